@@ -1,0 +1,64 @@
+"""Byte-level BPE of whole texts, word by word, with a bounded cache.
+
+The vocabulary's pattern never joins what stands on the two sides of a single space between two other characters, so a
+text can be cut there: its ids are those of the parts, each with its leading space. The parts repeat far more often than
+texts do, and each distinct one goes through the tokenizer once for as long as it stays in the cache.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+
+import numpy as np
+
+#: Parts that the cache of a worker holds at most.
+CACHE_PARTS = 400_000
+#: Longer parts aren't kept.
+CACHED_CHARS = 64
+
+_UNSAFE = re.compile(r"\s | \s|^ | $")
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+
+
+class Encoder:
+    """ids of texts as little-endian unsigned 32-bit integers."""
+
+    _shared: dict[str, Encoder] = {}
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.cache: dict[str, bytes] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """The encoder of this worker process."""
+        return cls._shared.setdefault(path, None) or cls._shared.__setitem__(path, cls(path)) or cls._shared[path]
+
+    def _tokens(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.cache) > CACHE_PARTS:
+            self.cache.clear()
+        cut = [(_SAFE.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in texts]
+        heads = [parts[0] for parts in cut]
+        fresh = set()
+        for parts in cut:
+            fresh.update(parts[1:])
+        fresh.difference_update(self.cache)
+        order = list(fresh)
+        known, now = self.cache, {}
+        for part, ids in zip(order, self._tokens([f" {p}" for p in order]), strict=True):
+            (known if len(part) <= CACHED_CHARS else now)[part] = ids
+        firsts = self._tokens(heads)
+        if now:
+            look = lambda p: known[p] if p in known else now[p]
+        else:
+            look = known.__getitem__
+        return [head + b"".join(map(look, parts[1:])) for head, parts in zip(firsts, cut, strict=True)]
