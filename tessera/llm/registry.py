@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import op6_exact_dedup
 from tessera.llm.jaccard_join import op8_jaccard_join
+from tessera.llm.lm import op9_lm
 from tessera.llm.media import op7_media
 from tessera.llm.packing import op10_packing
+from tessera.llm.pieces import op5_pieces
 from tessera.llm.secrets import op3_secrets
 from tessera.llm.sharding import op2_sharding
 from tessera.llm.toxicity import op1_toxicity
@@ -20,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
         "op3_secrets": op3_secrets,
+        "op5_pieces": op5_pieces,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_media": op7_media,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_lm": op9_lm,
         "op10_packing": op10_packing,
     }
 
