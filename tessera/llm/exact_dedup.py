@@ -17,6 +17,8 @@ from tessera.llm.common import SPACES, table, text_or_empty
 SAMPLE_ROWS = 20_000
 #: A text with this share of the sample is spread: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.005
+#: Characters of a text in a splitter.
+HEAD = 32
 #: Most bytes of such texts that are broadcast.
 HOT_BYTES = 8 << 20
 
@@ -68,10 +70,12 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).alias("doc_id"), F.char_length(source).cast("bigint").alias("points"), normalised(source).alias("norm"))
     hot = _hot(rows)
     is_hot = F.xxhash64("norm").isin(hot) if hot else F.lit(False)
-    # neighbours in the order of the bytes; a range partitioning by norm keeps equal texts together
+    # neighbours in the order of the bytes. Splitters are the texts' first characters and a hash, so that their samples are
+    # small and a beginning that many texts share is split; equal texts are in one range, and the window needs no shuffle
     order = [F.desc("points"), F.asc_nulls_last("doc_id")]
-    group = Window.partitionBy("norm")
-    cold = (rows.where(~is_hot) if hot else rows).repartitionByRange("norm")
+    group = Window.partitionBy("head", "hash", "norm")
+    cold = rows.where(~is_hot) if hot else rows
+    cold = cold.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")}).repartitionByRange("head", "hash")
     out = cold.select(
         "doc_id",
         F.first("doc_id").over(group.orderBy(*order)).alias("keep_id"),
@@ -92,6 +96,18 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.unionByName(repeats.select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("i") == 1)).alias("kept"), "text_sha256"))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, with the columns of docs.
+
+    Of rows that share a key and an equal text, repeated ones too, one stays. Null keys are a key like others.
+    """
+    kept = exact_groups(docs, key, text).where("kept").select(F.col("doc_id").alias("kept_key_"), F.col("text_sha256").alias("kept_hash_"))
+    hashed = docs.withColumn("hash_", F.sha2(normalised(text_or_empty(text)), 256))
+    joined = hashed.join(kept, F.col(key).eqNullSafe(F.col("kept_key_")) & (F.col("hash_") == F.col("kept_hash_")))
+    own = Window.partitionBy("kept_hash_", "kept_key_").orderBy(F.desc(F.char_length(text_or_empty(text))))
+    return joined.withColumn("place_", F.row_number().over(own)).where("place_ = 1").select(*docs.columns)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact_groups(table(spark, sf_dir, "documents"))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tessera.llm.exact_dedup import op6_exact_dedup
 from tessera.llm.jaccard_join import op8_jaccard_join
+from tessera.llm.licences import op4_licences
 from tessera.llm.lm import op9_lm
 from tessera.llm.media import op7_media
 from tessera.llm.packing import op10_packing
@@ -22,12 +24,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
         "op3_secrets": op3_secrets,
+        "op4_licences": op4_licences,
         "op5_pieces": op5_pieces,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_media": op7_media,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_lm": op9_lm,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
