@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, table, text_or_empty, written
-from tessera.llm.wordwise import Encoder
+from tessera.llm.bpe import Encoder
 
 CAPACITY = 2048
 #: Groups into which the pieces of each length are cut for numbering.
-BLOCKS = 64
+BLOCKS = 16
 #: Patterns of three have a multiple of this as their least length.
 STRIDE = 32
 #: Rounds of the least-squares fit.
