@@ -11,8 +11,8 @@ two similar sets agree on a whole subset in at least `SPARE` groups:
   has no signature for its empty subsets: two similar sets agree on a subset that isn't empty unless both have `spare`
   such groups, and then both have all signatures. So no pair is lost, and nothing piles up on the empty subset.
 
-Sets that share a signature are candidates. Parity sketches (as many bits as features), whose Hamming distance is never
-more than the symmetric difference, reject nearly all that aren't similar inside the join; the rest are compared in full.
+Sets that share a signature are candidates. Parity sketches (two bits or more a feature), whose Hamming distance is never
+more than the symmetric difference, reject nearly all that aren't similar; the rest are compared in full.
 Candidates are first only pairs of a signature's smallest member with the others; classes are formed; what shares a signature
 but no class yet is tried with other leaders, and at last all pairs of different classes. Pairs within a class are never made.
 """
@@ -37,6 +37,8 @@ WORDS, PERCENT = 5, 80
 SMALL = 3
 #: Groups of a block of columns that is compared together.
 BLOCK_GROUPS = 16
+#: Sets of a signature that are compared with as many others at a time.
+PAIR_BLOCK = 512
 #: Rounds with other leaders before all pairs of different classes.
 LEADERS = 2
 
@@ -141,8 +143,8 @@ def signatures(features: np.ndarray, bands: Bands) -> Iterator[tuple[int, np.nda
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of features in 2**i bins, at least 128 and as many as features, as 64-bit integers."""
-    bits = max(128, 1 << int(len(features) - 1).bit_length()) if len(features) else 128
+    """Parities of the numbers of features in 2**i bins, at least 128 and twice as many as features, as 64-bit integers."""
+    bits = max(128, 2 << int(len(features) - 1).bit_length()) if len(features) else 128
     odd = np.bincount((features >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -150,12 +152,12 @@ def sketch(features: np.ndarray) -> np.ndarray:
 def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
     """One row for each document (bucket null), and rows of signatures for each block of a band (doc_id null).
 
-    A document: doc_id, copy (a hash of the text), n, handle and key (of the set; null for the empty one), parity. A row
+    A document: doc_id, copy (a hash of the text), n, handle (a hash of the set; null for the empty one), parity. A row
     of signatures: bucket, blob (handles, then their signatures), width.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, copy bigint, n bigint, handle bigint, key binary, parity array<bigint>, bucket bigint, width int, blob binary"
-    names = ["doc_id", "copy", "n", "handle", "key", "parity", "bucket", "width", "blob"]
+    schema = f"doc_id {kind}, copy bigint, n bigint, handle bigint, parity array<bigint>, bucket bigint, width int, blob binary"
+    names = ["doc_id", "copy", "n", "handle", "parity", "bucket", "width", "blob"]
 
     def emit(pool: dict, of: pa.DataType) -> pa.RecordBatch:
         buckets, widths, blobs = [], [], []
@@ -169,7 +171,7 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
                     widths.append(matrix.shape[1])
                     blobs.append(owner[there].tobytes() + own[there].tobytes())
         n = len(buckets)
-        none = [pa.nulls(n, t) for t in (of, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        none = [pa.nulls(n, t) for t in (of, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*none, pa.array(buckets, pa.int64()), pa.array(widths, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,19 +180,16 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
         for batch in batches:
             of = batch.schema.field(0).type
             texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
-            n, handles, keys, parities = [], [], [], []
+            n, handles, parities = [], [], []
             seen = set()
             for features in shingles(texts):
                 n.append(len(features))
                 if not len(features):
                     handles.append(None)
-                    keys.append(None)
                     parities.append(None)
                     continue
-                first, second = mix(features).sum(), mix(features ^ U64(0x5851F42D4C957F2D)).sum()
-                handle = int((first + U64(len(features))).view(np.int64))
+                handle = int((mix(features).sum() + U64(len(features))).view(np.int64))
                 handles.append(handle)
-                keys.append(first.tobytes() + second.tobytes())
                 parities.append(sketch(features))
                 if handle in seen:
                     continue  # an equal set of this batch has the signatures
@@ -206,7 +205,7 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
             rows_ = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(handles, pa.int64()), pa.array(keys, pa.binary()), lists, pa.nulls(rows_, pa.int64()), pa.nulls(rows_, pa.int32()), pa.nulls(rows_, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(handles, pa.int64()), lists, pa.nulls(rows_, pa.int64()), pa.nulls(rows_, pa.int32()), pa.nulls(rows_, pa.binary())],
                 names=names,
             )
             if held > 32 << 20:
@@ -219,7 +218,7 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
 
 
 def _met(featured: DataFrame) -> DataFrame:
-    """Members of the signatures that two sets or more have: signature, handle, leader (the smallest handle).
+    """Members of the signatures that two sets or more have: bucket, signature, handle, leader (the smallest handle).
 
     A group is the blobs of one block of a band (or of a part of its signatures): a bounded number of columns, and as
     many parts as keep a group small. Signatures of a group that have the same members are told once.
@@ -246,15 +245,49 @@ def _met(featured: DataFrame) -> DataFrame:
                     own = owner[order[s : s + n]]
                     told.setdefault(hash(own.tobytes()), (int(mix(np.array([group["bucket"].iloc[0] * 65537 + column], np.int64).view(U64) + U64(ordered[s]))[0].view(np.int64)), own))
         if not told:
-            return pd.DataFrame({"signature": [], "handle": [], "leader": []}, dtype=np.int64)
+            return pd.DataFrame({"bucket": [], "signature": [], "handle": [], "leader": []}, dtype=np.int64)
         kept = list(told.values())
         sizes = [len(own) for _, own in kept]
         members = np.concatenate([own for _, own in kept]).view(np.int64)
         leaders = [own.view(np.int64).min() for _, own in kept]
-        return pd.DataFrame({"signature": np.repeat([s for s, _ in kept], sizes), "handle": members, "leader": np.repeat(leaders, sizes)})
+        return pd.DataFrame({"bucket": group["bucket"].iloc[0], "signature": np.repeat([s for s, _ in kept], sizes), "handle": members, "leader": np.repeat(leaders, sizes)})
 
     blobs = featured.where(F.col("bucket").isNotNull()).select("bucket", "width", "blob")
-    return blobs.groupBy("bucket").applyInPandas(meet, "signature long, handle long, leader long")
+    return blobs.groupBy("bucket").applyInPandas(meet, "bucket long, signature long, handle long, leader long")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of sets that share a signature but no class, and whose sizes and sketches allow the similarity.
+
+    members: bucket, signature, handle, label, n, parity. A group is a bucket of signatures (as in _met, of a bounded size), so that
+    a pair that shares many signatures of it is told once; a signature's sets are compared in blocks.
+    """
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        handles, first, own = np.unique(group["handle"].to_numpy(), return_index=True, return_inverse=True)
+        labels, sizes = group["label"].to_numpy()[first], group["n"].to_numpy()[first]
+        sketches = [group["parity"].iloc[i] for i in first]
+        length = min(map(len, sketches))
+        folded = np.stack([np.bitwise_xor.reduce(np.asarray(x).reshape(-1, length), axis=0) for x in sketches]).view(U64)
+        order = np.argsort(group["signature"].to_numpy(), kind="stable")
+        ends = np.flatnonzero(np.diff(group["signature"].to_numpy()[order], append=group["signature"].to_numpy()[order][-1] + 1)) + 1
+        found, begin = [], 0
+        for end in ends:
+            mine = np.unique(own[order[begin:end]])
+            begin = end
+            for i in range(0, len(mine), PAIR_BLOCK):
+                for j in range(i, len(mine), PAIR_BLOCK):
+                    a, b = mine[i : i + PAIR_BLOCK, None], mine[None, j : j + PAIR_BLOCK]
+                    n, m = sizes[a], sizes[b]
+                    x, y = np.nonzero((labels[a] != labels[b]) & (a < b) & (n * percent <= m * 100) & (m * percent <= n * 100))
+                    a, b = a[x, 0], b[0, y]
+                    distance = np.concatenate([np.bitwise_count(folded[a[k : k + 4096]] ^ folded[b[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(a), 4096)] or [np.empty(0, np.int64)])
+                    near = distance * (100 + percent) <= (sizes[a] + sizes[b]) * (100 - percent)
+                    found.append(a[near].astype(np.int64) << 32 | b[near])
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return pd.DataFrame({"u": handles[pairs >> 32], "v": handles[pairs & 0xFFFFFFFF]})
+
+    return members.groupBy("bucket").applyInPandas(compare, "u long, v long")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -276,7 +309,7 @@ def _may_link(percent: int) -> Column:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v: keys of sets) whose sets, made again from the texts, are similar."""
+    """The pairs (u, v: handles of sets) whose sets, made again from the texts, are similar."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -294,8 +327,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         kept.append((u, v))
             yield pd.DataFrame(kept, columns=["u", "v"])
 
-    of = lambda side: texts.select(F.col("key").alias(side), F.col("text").alias(f"{side}_text"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").mapInPandas(compare, "u binary, v binary")
+    of = lambda side: texts.select(F.col("handle").alias(side), F.col("text").alias(f"{side}_text"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInPandas(compare, "u long, v long")
 
 
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
@@ -321,7 +354,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Documents link when their sets of 5-word shingles (A-Z lowered; all words as one if there are fewer) have a Jaccard
     similarity of percent / 100 or more. component_id is the smallest key reachable by links. Sets are compared as
-    64-bit hashes of shingles; texts of one set are represented by one of them. A null or empty text has no shingle and
+    64-bit hashes of shingles, and equal sets known by a 64-bit hash of theirs; one text stands for those of one set. A null or empty text has no shingle and
     links with nothing, so that it has its own key; null keys are never the smallest unless all of a class are null;
     repeated rows are all returned; an empty table gives no rows; other columns are ignored.
     """
@@ -329,55 +362,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     splits = 1 + source.select("doc_id").count() // 4_000_000
     featured = written(_featured(source, bands, splits), "features")
-    rows = featured.where(F.col("bucket").isNull()).select("doc_id", "copy", "n", "handle", "key", "parity")
+    rows = featured.where(F.col("bucket").isNull()).select("doc_id", "copy", "n", "handle", "parity")
     # one row for each distinct set: its smallest key, and the text that stands for it
-    sets = written(
-        rows.where("key IS NOT NULL")
-        .groupBy("key", "handle", "n")
+    sets = (
+        rows.where("handle IS NOT NULL")
+        .groupBy("handle", "n")
         .agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "copy")).alias("first"), F.first("parity").alias("parity"))
-        .select("key", "handle", "n", "parity", F.col("first.doc_id").alias("least"), F.col("first.copy").alias("copy")),
-        "sets",
+        .select("handle", "n", "parity", F.col("first.doc_id").alias("least"), F.col("first.copy").alias("of"))
     )
+    sets = written(sets, "sets")
     met = written(_met(featured), "met")
-    members = written(met.join(sets.select("handle", "key", "n", "parity"), "handle").join(sets.select(F.col("handle").alias("leader"), F.col("key").alias("leader_key")), "leader"), "members")
-    named = members.select("key").distinct()
-    wanted = sets.join(named, "key").select("key", "least", F.col("copy").alias("of"))
+    wanted = sets.join(met.select("handle").distinct(), "handle").select("handle", "least", "of")
     texts = source.withColumn("copy", F.xxhash64("text")).join(wanted, (F.col("copy") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    texts = written(texts.select("key", F.col("text").cast("binary").alias("text")), "texts")
+    texts = written(texts.groupBy("handle").agg(F.first("text").alias("text")).select("handle", F.col("text").cast("binary").alias("text")), "texts")
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    one, other = sets.select("key", "n", "parity").alias("a"), sets.select("key", "n", "parity").alias("b")
+    one, other = sets.select("handle", "n", "parity").alias("a"), sets.select("handle", "n", "parity").alias("b")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        fit = pairs.join(one, F.col("u") == F.col("a.key")).join(other, (F.col("v") == F.col("b.key")) & _may_link(percent)).select("u", "v")
+        fit = pairs.join(one, F.col("u") == F.col("a.handle")).join(other, (F.col("v") == F.col("b.handle")) & _may_link(percent)).select("u", "v")
         return _linked(fit, texts, percent)
 
-    first = ordered(members.where(F.col("key") != F.col("leader_key")).select(F.col("key").alias("u"), F.col("leader_key").alias("v")))
-    links = written(checked(first), "links")
-    tried = written(first, "tried")
+    tried = written(ordered(met.select(F.col("handle").alias("u"), F.col("leader").alias("v"))), "tried")
+    links = written(checked(tried), "links")
     for i in range(LEADERS + 1):
         classes = components(links)
-        classed = members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        classed = met.select("bucket", "signature", "handle").join(classes.withColumnRenamed("node", "handle"), "handle", "left").withColumn("label", F.coalesce("label", "handle"))
         open_ = classed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("signature")
-        left = written(classed.join(open_, "signature").select("signature", "key", "label", "n", "parity"), "open")
+        # signatures with the same members are one
+        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("handle")).alias("all"), F.min("handle").alias("least"))
+        once = members.groupBy("n", "all", "least").agg(F.min("signature").alias("signature")).select("signature")
+        left = written(classed.join(once, "signature").select("bucket", "signature", "handle", "label"), "open")
         if i < LEADERS:
-            lead = left.groupBy("signature").agg(F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(i))).alias("lead"))
-            fresh = left.join(lead, "signature").where(F.col("label") != F.col("lead.label")).select(F.col("key").alias("u"), F.col("lead.key").alias("v"))
+            lead = left.groupBy("signature").agg(F.min_by(F.struct("handle", "label"), F.xxhash64("handle", F.lit(i))).alias("lead"))
+            fresh = left.join(lead, "signature").where(F.col("label") != F.col("lead.label")).select(F.col("handle").alias("u"), F.col("lead.handle").alias("v"))
             fresh = written(ordered(fresh).join(tried, ["u", "v"], "left_anti"), "fresh")
             tried = tried.unionByName(fresh)
+            links = written(links.unionByName(checked(fresh)), "links")
         else:
-            a, b = left.alias("a"), left.alias("b")
-            fresh = ordered(a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col("a.label") < F.col("b.label")) & _may_link(percent)).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")))
-            fresh = fresh.join(tried, ["u", "v"], "left_anti")
-        links = written(links.unionByName(checked(fresh) if i < LEADERS else _linked(fresh, texts, percent)), "links")
+            fresh = _across(left.join(sets.select("handle", "n", "parity"), "handle"), percent)
+            fresh = ordered(fresh).join(tried, ["u", "v"], "left_anti")
+            links = written(links.unionByName(_linked(fresh, texts, percent)), "links")
     classes = components(links)
-    classed = sets.select("key", "least").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    classed = sets.select("handle", "least").join(classes.withColumnRenamed("node", "handle"), "handle", "left").withColumn("label", F.coalesce("label", "handle"))
     least = classed.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = classed.join(least, "label").select("key", "component_id")
-    return rows.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = classed.join(least, "label").select("handle", "component_id")
+    return rows.join(ids, "handle", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ BANDS = (1, 12, 36, 96, 289)
 #: Frames from a peak to its partners.
 STEPS = (1, 2)
 #: Frames that are transformed at a time, and bytes of media in a batch.
-FRAMES, BATCH_BYTES = 4096, 16 << 20
+FRAMES, BATCH_BYTES = 2048, 4 << 20
 _WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
@@ -83,29 +83,61 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return time[order], code[order]
 
 
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, raw -> doc_id, n_bytes, media, in batches of a bounded size."""
+    for batch in batches:
+        begin, held, total = 0, [], 0
+        raw = batch.column(1)
+        for i, value in enumerate(raw):
+            data = value.as_buffer().to_pybytes()
+            held.append((len(data), wav(data + FILL * (max(BLOCK, -(-len(data) // BLOCK) * BLOCK) - len(data)))))
+            total += len(data)
+            if total >= BATCH_BYTES or i == len(raw) - 1:
+                sizes, files = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[begin : i + 1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                begin, held, total = i + 1, [], 0
+
+
+TOLD = ("payload_bytes bigint", "payload_sha256 string", "tail_crc32 bigint", "media_bytes bigint", "media_sha256 string", "times array<int>", "codes array<int>")
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_bytes, media -> doc_id, n_bytes and what the file holds."""
+    names = ["doc_id", "n_bytes", *(x.split()[0] for x in TOLD)]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        told, times, codes = [], [], []
+        for value in batch.column(2):
+            file = value.as_buffer().to_pybytes()
+            payload = samples(file)
+            time, code = fingerprint(payload)
+            told.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest()))
+            times.append(time)
+            codes.append(code)
+        columns = [pa.array(x, t) for x, t in zip(zip(*told, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, lists(times), lists(codes)], names=names)
+
+
+def _raw(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).cast("binary").alias("raw"))
+    return source, f"doc_id {dict(source.dtypes)['doc_id']}, n_bytes bigint"
+
+
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (of the text in UTF-8) and media: the bytes, filled up, as a WAV file.
 
     A null text counts as empty and gives one block; repeated rows and null keys are kept; an empty table gives no
     rows; other columns are ignored.
     """
-    source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).cast("binary").alias("raw"))
-    kind = dict(source.dtypes)["doc_id"]
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begin, held, total = 0, [], 0
-            raw = batch.column(1)
-            for i, value in enumerate(raw):
-                data = value.as_buffer().to_pybytes()
-                held.append((len(data), wav(data + FILL * (max(BLOCK, -(-len(data) // BLOCK) * BLOCK) - len(data)))))
-                total += len(data)
-                if total >= BATCH_BYTES or i == len(raw) - 1:
-                    sizes, files = zip(*held, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[begin : i + 1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
-                    begin, held, total = i + 1, [], 0
-
-    return source.mapInArrow(store, f"doc_id {kind}, n_bytes bigint, media binary")
+    source, head = _raw(docs, key, text)
+    return source.mapInArrow(_store, f"{head}, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -115,35 +147,16 @@ def described(media: DataFrame) -> DataFrame:
     another format.
     """
     source = media.select("doc_id", "n_bytes", "media")
-    kind = dict(source.dtypes)["doc_id"]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "times", "codes"]
+    return source.mapInArrow(_describe, f"doc_id {dict(source.dtypes)['doc_id']}, n_bytes bigint, {', '.join(TOLD)}")
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            told, times, codes = [], [], []
-            for value in batch.column(2):
-                file = value.as_buffer().to_pybytes()
-                payload = samples(file)
-                time, code = fingerprint(payload)
-                told.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest()))
-                times.append(time)
-                codes.append(code)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            columns = [pa.array(x, t) for x, t in zip(zip(*told, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, lists(times), lists(codes)], names=names)
-
-    return source.mapInArrow(
-        describe, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, times array<int>, codes array<int>"
-    )
+def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """described(stored(docs)) by one worker for each task: a file goes from the one to the other in its memory."""
+    source, head = _raw(docs, key, text)
+    return source.mapInArrow(lambda batches: _describe(_store(batches)), f"{head}, {', '.join(TOLD)}")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as WAV files, with a digest of their fingerprints: the number of pairs and a hash of times and codes."""
-    found = described(stored(table(spark, sf_dir, "documents")))
+    found = fingerprinted(table(spark, sf_dir, "documents"))
     return found.select(*found.columns[:-2], F.concat_ws(":", F.size("codes"), F.hex(F.xxhash64("times", "codes"))).alias("feature"))

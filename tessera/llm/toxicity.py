@@ -40,8 +40,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 FIT_ROWS = 10_000
 #: Terms and exceptions at most, the best first.
 MAX_TERMS, MAX_EXCEPTIONS = 5_000, 500
-#: Least rows of a term, least log odds, and least log odds in standard errors.
-MIN_ROWS, MIN_ODDS, MIN_Z = 4, 1.5, 3.0
+#: Least rows of a term or phrase, least log odds, and least log odds in standard errors of terms and of exceptions (of which
+#: there is mostly no toxic row at all, so that their error is large).
+MIN_ROWS, MIN_ODDS, MIN_Z, MIN_EXCEPTION_Z = 4, 1.5, 3.0, 1.0
 #: Lengths of the beginnings of words that can be terms.
 STEMS = (4, 5, 6)
 
@@ -174,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         found = []
         for r in kept.collect():
             weight, z = _odds(r.toxic, r.clean, n[1], n[0])
-            if (weight if toxic else -weight) >= MIN_ODDS and abs(z) >= MIN_Z:
+            if (weight if toxic else -weight) >= MIN_ODDS and abs(z) >= (MIN_Z if toxic else MIN_EXCEPTION_Z):
                 found.append((r.kind, r.term, weight, z))
         return [(k, t, w) for k, t, w, _ in sorted(found, key=lambda x: (-abs(x[3]), x[0], x[1]))[:most]]
 
