@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,15 +121,17 @@ def _odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> tuple[f
 def _counted(rows: DataFrame, terms_of) -> DataFrame:
     """term, kind, toxic, clean: rows of each label that have the term, by partial counts in each task."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(batch["text"], batch["label"], strict=True):
+            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
                 counts[1 if label else 0].update(terms_of(text))
             terms = list(counts[0].keys() | counts[1].keys())
-            yield pd.DataFrame({"kind": [k for k, _ in terms], "term": [t for _, t in terms], "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
+            toxic, clean = (pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))
+            kinds, names = pa.array([k for k, _ in terms], pa.int32()), pa.array([t for _, t in terms], pa.string())
+            yield pa.RecordBatch.from_arrays([kinds, names, toxic, clean], names=["kind", "term", "toxic", "clean"])
 
-    partial = rows.mapInPandas(count, "kind int, term string, toxic long, clean long")
+    partial = rows.mapInArrow(count, "kind int, term string, toxic long, clean long")
     return partial.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
