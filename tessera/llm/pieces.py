@@ -26,6 +26,8 @@ from tessera.llm.common import slices, table, text_or_empty
 
 MARK = "▁"
 _WORDS = re.compile("▁*[^▁]+|▁+")
+#: Lengths of pieces that are tried whatever the last characters are.
+_SHORT = (2, 1)
 #: Words and pairs of pieces that a worker keeps at most, and the longest word that is kept.
 CACHE_WORDS, CACHE_PAIRS, CACHED_CHARS = 300_000, 500_000, 48
 #: Characters that a task encodes at a time.
@@ -57,7 +59,12 @@ class Pieces:
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes over the start of a word")
-        self.longest = max(map(len, self.ids))
+        # the lengths of the pieces that end in given three characters , the longest first, and of the short ones
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], set()).add(len(p))
+        self.tails = {tail: (*sorted(found, reverse=True), *_SHORT) for tail, found in sizes.items()}
         self.least = min(self.scores.values()) - UNKNOWN_COST
         self.bytes = {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)} if proto.trainer_spec.byte_fallback else {}
         self.raw = [b""] * len(special)
@@ -109,7 +116,7 @@ class Pieces:
 
     def _walk(self, words: list[str]) -> Iterator[bytes]:
         """The ids of sorted words. last[i] is the last piece of the best segmentation of the first i characters, best[i] its score."""
-        ids, scores, longest = self.ids, self.scores, self.longest
+        ids, scores, tails, apart, own = self.ids, self.scores, self.tails, self.apart, self.own
         last, best, before = [""], [0.0], ""
         for word in words:
             shared = 0
@@ -119,26 +126,30 @@ class Pieces:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
+                sizes = tails.get(word[max(0, end - 3) : end], _SHORT)
                 if self.bpe:
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        if (piece in ids or end - start == 1) and self._stay_apart(last[start], piece):
-                            break
+                    for n in sizes:
+                        piece = word[end - n : end] if n <= end else ""
+                        if n == 1 or piece in ids:
+                            left = last[end - n]
+                            known = apart.get((left, piece))
+                            if self._stay_apart(left, piece) if known is None else known:
+                                break
                     last.append(piece)
                     best.append(0.0)
                 else:
                     top, found = -np.inf, word[end - 1]
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        score = scores.get(piece, self.least if end - start == 1 else None)
-                        if score is not None and best[start] + score > top:
-                            top, found = best[start] + score, piece
+                    for n in sizes:
+                        score = scores.get(word[end - n : end], self.least if n == 1 else None) if n <= end else None
+                        if score is not None and best[end - n] + score > top:
+                            top, found = best[end - n] + score, word[end - n : end]
                     last.append(found)
                     best.append(top)
             before, parts, end = word, [], len(word)
             while end:
-                parts.append(self._ids(last[end]))
-                end -= len(last[end])
+                piece = last[end]
+                parts.append(own.get(piece) or self._ids(piece))
+                end -= len(piece)
             yield b"".join(reversed(parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
