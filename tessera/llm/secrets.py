@@ -10,6 +10,7 @@ most a set share are true keys. DataFrame expressions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,28 +40,42 @@ KINDS = ("assign", "access", "hex", "random")
 BINS_PER_TEN, LAST_BIN = 20, 400
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: an array of struct(start, end, match), in code points, end exclusive."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def add(acc: Column, i: Column) -> Column:
-        start = acc.at + F.length(F.get(gaps, i))
-        match = F.get(found, i)
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("match")))).alias("out"))
+    def walk(both: Column) -> Column:
+        gaps, found = both["gaps"], both["found"]
 
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc.out)
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+        def add(acc: Column, i: Column) -> Column:
+            start = acc.at + F.length(F.get(gaps, i))
+            match = F.get(found, i)
+            own = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
+            return _once(own, lambda m: F.struct(m["end"].alias("at"), F.concat(acc.out, F.array(m)).alias("out")))
+
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc.out)
+        return F.when(F.size(found) > 0, walked).otherwise(none)
+
+    return _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), walk)
 
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal (the rational approximation of erfc with an error under 1.5e-7 of its value at 0)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = F.lit(1.0) / (F.lit(1.0) + x * 0.3275911)
-    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * 1.061405429))))
-    tail = poly * F.exp(-x * x) / 2
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
+
+    def tail(own: Column) -> Column:
+        x = F.abs(own) / math.sqrt(2)
+        half = _once(
+            F.lit(1.0) / (F.lit(1.0) + x * 0.3275911),
+            lambda t: t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * 1.061405429)))) * F.exp(-x * x) / 2,
+        )
+        return _once(half, lambda h: F.when(own >= 0, h).otherwise(F.lit(1.0) - h))
+
+    return _once(z, tail)
 
 
 def chi_squared_p(codes: Column, size: Column) -> Column:
@@ -75,23 +90,31 @@ def chi_squared_p(codes: Column, size: Column) -> Column:
 def runs_p(codes: Column, size: Column) -> Column:
     """Two-sided p of the number of runs below and above the middle of the alphabet."""
     n = F.size(codes).cast("double")
-    high = F.transform(codes, lambda c: (c * 2 >= size).cast("int"))
-    ones = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-    changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(codes) - 1), F.slice(high, 2, F.size(codes) - 1), lambda x, y: (x != y).cast("int")), F.lit(1), lambda a, x: a + x)
-    mean = ones * 2 * (n - ones) / n + 1
-    variance = (mean - 1) * (mean - 2) / (n - 1)
-    return F.coalesce(_upper_tail(F.abs(changes - mean) / F.sqrt(F.when(variance > 0, variance))) * 2, F.lit(0.0))
+
+    def of(high: Column) -> Column:
+        ones = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
+        changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(codes) - 1), F.slice(high, 2, F.size(codes) - 1), lambda x, y: (x != y).cast("int")), F.lit(1), lambda a, x: a + x)
+
+        def z(mean: Column) -> Column:
+            variance = (mean - 1) * (mean - 2) / (n - 1)
+            return F.abs(changes - mean) / F.sqrt(F.when(variance > 0, variance))
+
+        return F.coalesce(_upper_tail(_once(_once(ones, lambda k: k * 2 * (n - k) / n + 1), z)) * 2, F.lit(0.0))
+
+    return _once(F.transform(codes, lambda c: (c * 2 >= size).cast("int")), of)
 
 
 def serial_p(codes: Column) -> Column:
     """Two-sided p of the correlation of neighbours."""
     n = F.size(codes).cast("double")
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-    centred = F.transform(codes, lambda c: c - mean)
-    variance = F.aggregate(centred, F.lit(0.0), lambda a, c: a + c * c)
-    product = F.aggregate(F.zip_with(F.slice(centred, 1, F.size(codes) - 1), F.slice(centred, 2, F.size(codes) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-    r = product / F.when(variance > 0, variance)
-    return F.coalesce(_upper_tail(F.abs(r + F.lit(1.0) / n) * F.sqrt(n)) * 2, F.lit(0.0))
+
+    def of(centred: Column) -> Column:
+        variance = F.aggregate(centred, F.lit(0.0), lambda a, c: a + c * c)
+        product = F.aggregate(F.zip_with(F.slice(centred, 1, F.size(codes) - 1), F.slice(centred, 2, F.size(codes) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
+        r = product / _once(variance, lambda v: F.when(v > 0, v))
+        return F.coalesce(_upper_tail(F.abs(r + F.lit(1.0) / n) * F.sqrt(n)) * 2, F.lit(0.0))
+
+    return _once(F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n, lambda mean: _once(F.transform(codes, lambda c: c - mean), of))
 
 
 def candidates(text: Column) -> Column:
@@ -103,11 +126,9 @@ def candidates(text: Column) -> Column:
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), encoding.alias("encoding"))
 
     def tested(c: Column) -> Column:
-        alphabet = F.get(alphabets, c["encoding"])
-        size = F.length(alphabet)
-        codes = F.transform(F.split(c["match"], ""), lambda ch: F.instr(alphabet, ch) - 1)
+        codes = _once(F.get(alphabets, c["encoding"]), lambda alphabet: F.struct(F.transform(F.split(c["match"], ""), lambda ch: F.instr(alphabet, ch) - 1).alias("codes"), F.length(alphabet).alias("size")))
         n = c["end"] - c["start"]
-        p = F.least(F.least(chi_squared_p(codes, size), runs_p(codes, size), serial_p(codes)) * 3, F.lit(1.0))
+        p = _once(codes, lambda x: F.least(F.least(chi_squared_p(x["codes"], x["size"]), runs_p(x["codes"], x["size"]), serial_p(x["codes"])) * 3, F.lit(1.0)))
         p_bin = F.least(F.floor(F.log10(F.greatest(p, F.lit(1e-30))) * -BINS_PER_TEN), F.lit(LAST_BIN)).cast("int")
         band = sum([(n >= least).cast("int") for least, _ in BANDS[1:]], F.lit(0))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), band.alias("band"), p_bin.alias("bin"))
