@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 #: BM25's saturation and length normalisation, the constant of reciprocal ranks, and the boost of a named entity.
 K1, B, RRF_K, ENTITY_BOOST = 1.2, 0.75, 60, 0.5
+#: Queries whose vectors are broadcast at a time.
+QUERY_BLOCK = 4096
 # Most query terms, midpoint and steepness of the logistic curve.
 BM25_CURVES = ((3, 5.0, 0.7), (6, 7.0, 0.6), (9, 9.0, 0.5), (15, 10.0, 0.5), (None, 12.0, 0.5))
 
@@ -57,10 +60,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query, id, score, rank: exact nearest vectors by cosine of a bounded set of queries (query, vector), broadcast to one scan."""
-    pairs = vectors.select(F.col(key).alias("id"), F.col(vector).alias("own")).join(F.broadcast(queries))
-    scored = pairs.select("query", "id", F.round(cosine(F.col("own"), F.col("vector")), 6).alias("score")).where("score IS NOT NULL")
-    return top_of(scored, ["query"], [F.desc("score"), F.asc("id")], k)
+    """query, id, score, rank: exact nearest vectors by cosine of a stated set of queries (query, vector).
+
+    Queries are taken in blocks of about QUERY_BLOCK, each broadcast to a scan of its own, so that what is broadcast doesn't grow.
+    """
+    blocks = 1 + queries.count() // QUERY_BLOCK
+
+    def best(own: DataFrame) -> DataFrame:
+        pairs = vectors.select(F.col(key).alias("id"), F.col(vector).alias("own")).join(F.broadcast(own))
+        scored = pairs.select("query", "id", F.round(cosine(F.col("own"), F.col("vector")), 6).alias("score")).where("score IS NOT NULL")
+        return top_of(scored, ["query"], [F.desc("score"), F.asc("id")], k)
+
+    parts = [best(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reciprocal(rank: Column, weight: float = 1.0) -> Column:
