@@ -63,21 +63,28 @@ def _rarities(files: DataFrame, text: str) -> tuple[dict[str, float], float]:
     return {t: math.log((1 + total) / (1 + having.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + total) + 1
 
 
+def _vectors(weights: dict[str, float]) -> list[Column]:
+    """The templates as maps of terms to weights, of norm 1."""
+    vectors = []
+    for _, template in TEMPLATES:
+        own = {t: _terms(template).count(t) * weights[t] for t in set(_terms(template))}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        vectors.append(F.create_map(*[x for t in sorted(own) for x in (F.lit(t), F.lit(own[t] / norm))]))
+    return vectors
+
+
 def matched(files: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """files with own_licence, own_score: the best template's identifier and cosine over all statements (null: none at `least`).
 
-    Equal cosines go to the template that stands first. A null or empty text has no licence; whole texts are read; rows
+    Only the templates' terms are counted; any other has the weight of a term no row has, so that scores fall as a table
+    grows (scored counts all terms). Equal cosines go to the template that stands first. A null or empty text has no licence; whole texts are read; rows
     (repeated ones too) and columns are kept, those two replaced; an empty table gives no rows.
     """
     weights, rare = _rarities(files, text)
     scales = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.lit(w))])
     weight = lambda term: F.coalesce(F.element_at(scales, term), F.lit(rare))
 
-    vectors = []
-    for _, template in TEMPLATES:
-        own = {t: _terms(template).count(t) * weights[t] for t in set(_terms(template))}
-        norm = math.sqrt(sum(w * w for w in own.values()))
-        vectors.append(F.create_map(*[x for t in sorted(own) for x in (F.lit(t), F.lit(own[t] / norm))]))
+    vectors = _vectors(weights)
 
     def cosines(terms: Column) -> Column:
         distinct = F.array_distinct(terms)
@@ -92,6 +99,49 @@ def matched(files: DataFrame, text: str = "text", least: float = LEAST) -> DataF
     return found.withColumn("own_licence", F.when(good, F.col("own_.licence"))).withColumn("own_score", F.when(good, F.col("own_.score"))).drop("own_")
 
 
+def scored(files: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
+    """matched with the document frequencies of all terms of statements, and without the column of texts.
+
+    A template shares only its own terms with a statement, so those alone make the products; the others count in the
+    statement's norm, by joins of (row, statement, term) to the frequencies. As no weight is under 1, a statement whose
+    cosine is too small with weights of 1 for them is left out before the joins.
+    """
+    kept = [c for c in files.columns if c not in (text, "own_licence", "own_score")]
+    told = written(files.select(*kept, statements(text_or_empty(text)).alias("said_"), F.monotonically_increasing_id().alias("row_")), "told")
+    total = told.count()
+    counts = told.select(F.explode(F.array_distinct(F.flatten("said_"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = written(counts.select("term", "n", (F.log(F.lit(1.0 + total) / (F.col("n") + 1)) + 1).alias("w")), "frequencies")
+    vocabulary = sorted({t for _, template in TEMPLATES for t in _terms(template)})
+    having = {r.term: r.n for r in counts.where(F.col("term").isin(vocabulary)).collect()}
+    weights = {t: math.log((1 + total) / (1 + having.get(t, 0))) + 1 for t in vocabulary}
+    scales = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.lit(w))])
+    vectors = _vectors(weights)
+
+    each = told.select("row_", F.posexplode("said_").alias("at_", "terms")).where(F.size("terms") > 0)
+    times = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("n"), F.element_at(scales, t).alias("w")))
+    each = each.select("row_", "at_", times.alias("times"))
+    own = F.transform(F.filter("times", lambda e: e["w"].isNotNull()), lambda e: F.struct(e["term"].alias("term"), (e["n"] * e["w"]).alias("w")))
+    each = each.select("row_", "at_", own.alias("own"), F.filter("times", lambda e: e["w"].isNull()).alias("others"))
+    squares = F.aggregate("own", F.lit(0.0), lambda a, e: a + e["w"] * e["w"])
+    dot = lambda v: F.aggregate("own", F.lit(0.0), lambda a, e: a + e["w"] * F.coalesce(F.element_at(v, e["term"]), F.lit(0.0)))
+    dots = F.array(*[dot(v) for v in vectors])
+    each = each.select("row_", "at_", "others", squares.alias("squares"), dots.alias("dots"))
+    light = F.aggregate("others", F.lit(0.0), lambda a, e: a + e["n"] * e["n"])
+    near = written(each.where(F.array_max("dots") >= (least - 1e-6) * F.sqrt(F.col("squares") + light)), "near")
+
+    # terms in one row of a thousand or more are attached map-side (of a row's terms, a thousand rows' worth at most); the others have few rows each
+    common = F.col("n") * 1000 >= total
+    terms = near.select("row_", "at_", F.explode("others").alias("e")).select("row_", "at_", F.col("e.term").alias("term"), F.col("e.n").alias("times"))
+    found = terms.join(F.broadcast(counts.where(common).select("term", "w")), "term", "left")
+    seldom = found.where("w IS NULL").drop("w").join(counts.where(~common).select("term", "w"), "term")
+    rest = found.where("w IS NOT NULL").unionByName(seldom).groupBy("row_", "at_").agg(F.sum(F.pow(F.col("times") * F.col("w"), F.lit(2.0))).alias("rest"))
+
+    norm = F.sqrt(F.col("squares") + F.coalesce("rest", F.lit(0.0)))
+    scores = F.array(*[F.struct(F.round(F.coalesce(F.get("dots", F.lit(i)) / norm, F.lit(0.0)), 6).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("licence")) for i, (name, _) in enumerate(TEMPLATES)])
+    best = near.join(rest, ["row_", "at_"], "left").select("row_", F.array_max(scores).alias("s")).groupBy("row_").agg(F.max("s").alias("s")).where(F.col("s.score") >= least)
+    return told.drop("said_").join(best, "row_", "left").select(*kept, F.col("s.licence").alias("own_licence"), F.col("s.score").alias("own_score"))
+
+
 def directory(path: Column) -> Column:
     """The path of the directory of a file; '' at the top."""
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
@@ -134,7 +184,7 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.concat_ws("/", "source", "lang", F.lower(F.substring(F.lpad(F.hex(F.crc32(F.col("doc_id").cast("string"))), 8, "0"), 1, 1)), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")
     )
-    found = written(matched(docs).drop("text"), "licences")
+    found = written(scored(docs), "licences")
     first = found.where("own_licence IS NOT NULL").groupBy(directory(F.col("path")).alias("of")).agg(F.min("doc_id").alias("first"))
     found = found.join(first, (directory(F.col("path")) == F.col("of")) & (F.col("doc_id") == F.col("first")), "left")
     return inherited(found.drop("of"), licence_file=F.col("first").isNotNull()).select("doc_id", "path", "own_licence", "own_score", "licence", "licence_from")

@@ -155,3 +155,24 @@ def test_cosines_are_those_of_plain_vectors(spark):
 
     for own, row in zip(terms, rows, strict=True):
         assert row.own_score == pytest.approx(max(cosine(own, licences._terms(x)) for _, x in licences.TEMPLATES), abs=2e-6)
+
+
+def test_licences_do_not_vanish_as_tables_grow(spark):
+    """Every term is counted: scores are those of plain vectors, and the same however many rows there are."""
+    kinds = ["Released under the MIT License.", *["This project is released under the MIT License."] * 5]
+    for often in (10, 500):
+        texts = kinds * often + ["Copyright by nobody", "", None, "Copyright"]
+        rows = licences.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), least=0.5).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and "text" not in rows[0].asDict()
+        terms = [set(licences._terms(t or "")) for t in texts]
+        weight = lambda t: math.log((1 + len(texts)) / (1 + sum(t in x for x in terms))) + 1  # noqa: B023, E731
+        norm = lambda text: math.sqrt(sum(weight(t) ** 2 for t in licences._terms(text)))  # noqa: B023, E731
+        for row in rows:
+            if texts[row.doc_id] in kinds:
+                assert row.own_licence == "MIT" and row.own_score == pytest.approx(norm(kinds[0]) / norm(texts[row.doc_id]), abs=2e-6) and row.own_score > 0.7
+            else:
+                assert row.own_licence is None and row.own_score is None
+
+
+def test_scores_of_odd_rows(odd, none):
+    assert licences.scored(odd).count() == odd.count() and licences.scored(none).count() == 0
