@@ -34,7 +34,7 @@ BATCH_CHARS = 4 << 20
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32, and ids (array of int) if asked for.
 
-    A document is its ids and then id 0 (so that an empty or null text has one token). Only documents longer than
+    A document is its ids, special tokens by their own, and then id 0 (so that an empty or null text has one token). Only documents longer than
     `capacity` are cut; all pieces but the first are then full. A repeated row has pieces of its own.
     """
     source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
@@ -42,7 +42,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: st
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(tokenizer)
+        encoder = Encoder.shared(tokenizer, added=True)
         for batch in batches:
             keys = batch.column(0)
             texts = batch.column(1)

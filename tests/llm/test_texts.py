@@ -176,3 +176,30 @@ def test_licences_do_not_vanish_as_tables_grow(spark):
 
 def test_scores_of_odd_rows(odd, none):
     assert licences.scored(odd).count() == odd.count() and licences.scored(none).count() == 0
+
+
+def test_ids_with_added_tokens_are_the_library_s(spark, documents):
+    """The library in its default settings: special tokens have their own ids."""
+    library, own = Tokenizer.from_file(BPE), Encoder.shared(BPE, added=True)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    rng = random.Random(11)
+    parts = [*added, "one document ", " another", " ", "\n\n", "a", "<|", "|>", "end"]
+    texts = [*list(documents.values())[:50], *HARD, *added, "one document <|endoftext|> another", *("".join(rng.choices(parts, k=9)) for _ in range(300))]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    text = "one document <|endoftext|> another"
+    row = packing.pack(spark.createDataFrame([(1, text)], "doc_id int, text string"), BPE, with_ids=True).first()
+    assert row.ids == [*library.encode(text, add_special_tokens=False).ids, 0] and 50256 in row.ids
+
+
+@pytest.mark.parametrize("run", [" " * 12_000, "\n" * 12_000, "\t " * 6_000, " \u3000\x85\xa0" * 3_000, " " * 9_999 + "\x1c" * 5, "\x1c" * 12_000, "\u2028" * 11_000])
+def test_long_runs_have_the_library_s_ids(run):
+    library, own = Tokenizer.from_file(BPE), Encoder.shared(BPE, added=True)
+    texts = [a + run + b for a in ("", "x", "x!", "1 ") for b in ("", "y", "'s", "!", "7", "\x1c", "<|endoftext|>")]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_run_of_spaces_has_ids():
+    ids = Encoder.shared(BPE, added=True).encode(["a" + " " * 1_000_000 + "b"])[0]
+    assert Encoder.shared(BPE).encode(["a" + " " * 1_000_000 + "b"])[0] == ids and len(ids) > 0
