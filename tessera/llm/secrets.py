@@ -1,6 +1,7 @@
 """Secret scan: named patterns, and strings that a battery of randomness tests can't tell from random keys.
 
-A candidate is a run of 20 or more key characters whose characters point to an encoding. Three tests hold it
+A candidate is a run of 20 or more characters of one alphabet (both base64 ones, and letters and digits alone) whose
+characters point to an encoding, so that a key in a path or after a name is tested by itself too. Three tests hold it
 against a uniform random string of that encoding: chi-squared of the alphabet's counts, runs about the middle of the
 alphabet, and serial correlation at lag one. Their p values are combined (Bonferroni), and strings that are not random
 are dismissed by a Benjamini-Hochberg step for each encoding and band of lengths, so that of the strings dismissed at
@@ -21,8 +22,9 @@ from tessera.llm.common import table, text_or_empty
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: A run of key characters, and the encodings in the order in which they are tried: name, pattern, alphabet.
+#: A run of key characters, the runs of one alphabet that are looked for in it, and the encodings in the order in which they are tried: name, pattern, alphabet.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+PARTS = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef"),
     ("upper_hex", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF"),
@@ -45,9 +47,10 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches: an array of struct(start, end, match), in code points, end exclusive."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def walk(both: Column) -> Column:
         gaps, found = both["gaps"], both["found"]
@@ -61,7 +64,7 @@ def matches(text: Column, pattern: str) -> Column:
         walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc.out)
         return F.when(F.size(found) > 0, walked).otherwise(none)
 
-    return _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), walk)
+    return _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")), walk)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -121,6 +124,11 @@ def candidates(text: Column) -> Column:
     """The strings that have an encoding: array of struct(start, end, encoding, band, bin); bin is that of -log10 p."""
     alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
 
+    def parts(m: Column) -> Column:
+        found = F.flatten(F.transform(F.array(*[F.lit(p) for p in PARTS]), lambda p: matches(m["match"], p)))
+        moved = F.transform(found, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["match"].alias("match")))
+        return F.when(m["match"].rlike("[+/_-]"), F.array_distinct(moved)).otherwise(F.array(m))
+
     def told(m: Column) -> Column:
         encoding = F.coalesce(*[F.when(m["match"].rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(ENCODINGS)], F.lit(-1))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), encoding.alias("encoding"))
@@ -133,7 +141,7 @@ def candidates(text: Column) -> Column:
         band = sum([(n >= least).cast("int") for least, _ in BANDS[1:]], F.lit(0))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), band.alias("band"), p_bin.alias("bin"))
 
-    return F.transform(F.filter(F.transform(matches(text, CANDIDATE), told), lambda c: c["encoding"] >= 0), tested)
+    return F.transform(F.filter(F.transform(F.flatten(F.transform(matches(text, CANDIDATE), parts)), told), lambda c: c["encoding"] >= 0), tested)
 
 
 def dismissed_bins(bins: DataFrame) -> dict[tuple[int, int], int]:
@@ -158,7 +166,7 @@ def dismissed_bins(bins: DataFrame) -> dict[tuple[int, int], int]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column `secrets`: array of struct(start, kind, end), by start, then kind (0 assign, 1 access, 2 hex, 3 random).
 
-    Positions are code points, ends exclusive. Random strings that overlap a named kind are left out. A null text counts
+    Positions are code points, ends exclusive. Random strings that overlap a named kind, or lie within a longer random string, are left out. A null text counts
     as empty and has an empty array; an empty table gives no rows; columns of docs are kept (one named `secrets` is
     replaced). The counts of p values that set the dismissals are those of all rows.
     """
@@ -186,7 +194,17 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             first = F.when((c["encoding"] == encoding) & (c["band"] == band), F.lit(b)).otherwise(first)
         return (c["bin"] < first) & ~F.exists(F.col("secrets"), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
-    keep = spans(F.filter(candidates(source), random), 3)
+    def outermost(found: Column) -> Column:
+        by_start = F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("before"))))
+
+        def add(acc: Column, c: Column) -> Column:
+            own = F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), (-c["before"]).alias("end"))
+            return F.when(-c["before"] > acc["at"], F.struct((-c["before"]).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))).otherwise(acc)
+
+        empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+        return F.aggregate(by_start, F.struct(F.lit(-1).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    keep = outermost(F.filter(candidates(source), random))
     return with_named.withColumn("secrets", F.array_sort(F.concat(F.col("secrets"), keep)))
 
 

@@ -49,3 +49,21 @@ def test_redaction_and_odd_rows(spark, odd, none):
     found = secrets.scan(odd)
     assert found.count() == odd.count() and set(found.columns) == set(odd.columns)
     assert secrets.scan(none).count() == 0
+
+
+def test_keys_in_paths_and_after_names(spark):
+    """A key is tested by itself where the characters around it are of another alphabet."""
+    rng = random.Random(7)
+    plain, base32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    some = lambda alphabet, n: ["".join(rng.choices(alphabet, k=n)) for _ in range(40)]
+    rows = [("https://hooks.example.com/my-app/", k, "") for k in ["Zk3vQ9xT7bLw2RfY8mNc5HsJ4dGp6KaE1uWq", *some(plain, 36)]]
+    rows += [("🙂 team-", k, "/end") for k in some(base32, 40)] + [("Dir_a/b/", k, "") for k in some(plain + "-_", 43)]
+    written = [("see docs/my-app/", "ChapterOneSectionTwoOverviewOfTheStoneBridge2", "")] * 40
+    df = spark.createDataFrame([(i, "".join(r)) for i, r in enumerate(rows + written)], "i int, text string")
+    found = {r.i: r.secrets for r in secrets.scan(df).collect()}
+    # the key whole, and at most path or name before and after it
+    whole = [any(s.kind == 3 and s.start <= len(a) and len(a + k) <= s.end for s in found[i]) for i, (a, k, _) in enumerate(rows)]
+    assert whole[0] and all(sum(whole[i : i + 40]) >= 34 for i in (1, 41, 81))
+    assert not any(found[i] for i in range(len(rows), len(rows) + 40))
+    for spans in found.values():
+        assert not any(a != b and a.start <= b.start and b.end <= a.end for a in spans for b in spans)
