@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `capacity` tokens. The histogram of piece lengths (at most `capacity` numbers)
 goes to the driver, where repeat counts of patterns of two or three lengths that fill a sequence exactly are fitted
-to it by non-negative least squares, rounded down, and what is left is packed best fit first. The plan is a short
-list of patterns with repeats; Spark numbers the pieces of each length and looks up their places in it.
+to it by non-negative least squares, rounded so that the total stays, and what is left is packed best fit first. The plan
+is a list of patterns with repeats; Spark numbers the pieces of each length and looks up their places in it.
 """
 
 from __future__ import annotations
@@ -17,16 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table, text_or_empty, written
+from tessera.llm.common import numbered_columns, slices, table, text_or_empty, written
 from tessera.llm.bpe import Encoder
 
 CAPACITY = 2048
-#: Groups into which the pieces of each length are cut for numbering.
-BLOCKS = 16
-#: Patterns of three have a multiple of this as their least length.
-STRIDE = 32
 #: Rounds of the least-squares fit.
-ROUNDS = 300
+ROUNDS = 200
 #: Characters that a task tokenises at a time.
 BATCH_CHARS = 4 << 20
 
@@ -79,7 +75,7 @@ def patterns_of(histogram: np.ndarray) -> np.ndarray:
     pairs = there[(2 * there <= capacity) & (there < capacity)]
     pairs = pairs[has[capacity - pairs]]
     out = [np.stack([pairs, capacity - pairs, 0 * pairs], 1)]
-    for a in there[there % STRIDE == 0]:
+    for a in there:
         b = there[(there >= a) & (2 * there <= capacity - a)]
         b = b[has[capacity - a - b]]
         out.append(np.stack([0 * b + a, b, capacity - a - b], 1))
@@ -110,10 +106,9 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         left[capacity] = 0
     found = patterns_of(left)
     if len(found):
-        fitted = np.floor(nnls(found, left)).astype(np.int64)
-        for i in np.argsort(-fitted, kind="stable"):
-            if not fitted[i]:
-                break
+        # most repeats are under 1 where there are more patterns than sequences: what rounding takes goes to the next pattern
+        fitted = np.diff(np.floor(np.cumsum(nnls(found, left))), prepend=0.0).astype(np.int64)
+        for i in np.flatnonzero(fitted):
             lengths = [int(n) for n in found[i] if n]
             often = min(int(fitted[i]), *(int(left[n]) // lengths.count(n) for n in lengths))
             if often > 0:
@@ -156,20 +151,29 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (any columns, with `length` from 1 to capacity) with sequence_id and offset."""
-    spark = pieces.sparkSession
+    """pieces (any columns, with `length` from 1 to capacity) with sequence_id and offset.
+
+    A piece of `capacity` tokens is a sequence of its own (of a negative number). The others are numbered within their
+    length and the partition of the written pieces that they stand in, so that no length is gathered in one task, and
+    each such group begins where the one before it ends. The driver has one number for each length.
+    """
     others = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    cut = pieces.select(*others, F.pmod(F.xxhash64(*[c for c in others if c != "ids"]), F.lit(BLOCKS)).cast("int").alias("block_"))
-    counts = cut.groupBy("length", "block_").agg(F.count("*").alias("n"))
+    own = numbered_columns(pieces.select(*others)).withColumn("part", F.spark_partition_id())
+    own = own.withColumnRenamed(f"c{others.index('length')}", "length")
+    cut = written(own, "pieces")
+    names = [c for c in cut.columns if c != "part"]
+    full = cut.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest = cut.where(F.col("length") < capacity)
+    counts = rest.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         histogram[r.length] = r.n
-    where = spark.sparkContext.broadcast(places(plan(histogram)))
-    before = Window.partitionBy("length").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "block_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_"))
-    own = Window.partitionBy("length", "block_").orderBy(*[c for c in others if c in ("ids_crc32", "doc_id", "piece")] or [F.lit(0)])
-    ranked = cut.withColumn("rank_", F.row_number().over(own) - 1)
-    ranked = ranked.join(F.broadcast(firsts), ["length", "block_"]).select(*others, (F.col("first_") + F.col("rank_")).alias("rank_"))
+    where = pieces.sparkSession.sparkContext.broadcast(places(plan(histogram)))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    group = Window.partitionBy("length", "part").orderBy(F.lit(0))
+    ranked = rest.withColumn("place", F.row_number().over(group) - 1).join(firsts, ["length", "part"])
+    ranked = ranked.select(*names, (F.col("first") + F.col("place")).alias("rank"))
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -178,7 +182,8 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = np.searchsorted(keys, length.to_numpy(np.int64) * (1 << 44) + rank.to_numpy(np.int64), "right") - 1
         return pd.DataFrame({"sequence_id": sequences[at] + rank.to_numpy(np.int64) - firsts_[at], "offset": offsets[at]})
 
-    return ranked.withColumn("place_", place(F.col("length"), F.col("rank_"))).select(*others, "place_.sequence_id", "place_.offset")
+    found = ranked.withColumn("place", place(F.col("length"), F.col("rank"))).select(*names, "place.sequence_id", "place.offset")
+    return found.unionByName(full).toDF(*others, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     token; very long texts are cut whole into full pieces; ties and repeated rows are pieces like others; null keys
     are kept; an empty table gives no rows; other columns are ignored.
     """
-    return placed(written(tokenised(docs, tokenizer, capacity, key, text, with_ids), "pieces"), capacity)
+    return placed(tokenised(docs, tokenizer, capacity, key, text, with_ids), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
