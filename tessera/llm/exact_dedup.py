@@ -1,7 +1,9 @@
 """Exact deduplication by a content sort.
 
 Sampled splitters range-partition the normalised bytes, each partition is sorted (externally, if need be), and the
-comparison of neighbours over the full bytes finds the runs of equal texts. DataFrame operations only.
+comparison of neighbours over the full bytes finds the runs of equal texts. A text of which there are very many copies
+(told by exact counts of hashes) is cut into parts by the partition its rows are read from; its parts are sorted and
+compared like other texts, and one small row of each is merged. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -11,16 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, table, text_or_empty
+from tessera.llm.common import SPACES, numbered_columns, table, text_or_empty, written
 
-#: Rows in the sample that looks for texts of which there are very many copies.
-SAMPLE_ROWS = 20_000
-#: A text with this share of the sample is spread: there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.005
+#: Rows of a part of a text, about: HOT_ROWS or a HOT_TEXTS-th of all rows, so that at most HOT_TEXTS texts are cut.
+HOT_ROWS, HOT_TEXTS = 1_000, 20_000
 #: Characters of a text in a splitter.
 HEAD = 32
-#: Most bytes of such texts that are broadcast.
-HOT_BYTES = 8 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -28,30 +26,30 @@ def normalised(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, text)
 
 
-def _hot(rows: DataFrame) -> list[int]:
-    """Hashes of the texts that a sample shows to have a large share of the rows.
+def _hot(rows: DataFrame) -> DataFrame:
+    """hash, parts: the texts of which there are more rows than a part may have, HOT_TEXTS at most, with their numbers of parts.
 
-    This only decides how rows are spread; a text that the sample misses is handled by the sort alone.
+    Counts are exact and added up before they are shuffled. Two texts of one hash would only both be cut.
     """
-    n = rows.count()
-    if not n:
-        return []
-    seen = (
-        rows.sample(min(1.0, SAMPLE_ROWS / n), seed=7)
-        .select(F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("bytes"))
-        .groupBy("h", "bytes")
-        .count()
-        .where(F.col("count") >= max(4, int(HOT_SHARE * min(n, SAMPLE_ROWS))))
-        .orderBy(F.desc("count"), "h")
-        .limit(int(2 / HOT_SHARE))
-        .collect()
-    )
-    kept, total = [], 0
-    for r in seen:
-        if total + r.bytes <= HOT_BYTES:
-            kept.append(r.h)
-            total += r.bytes
-    return kept
+    counts = written(rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS), "counts")
+    part = max(HOT_ROWS, rows.count() // HOT_TEXTS)
+    return counts.where(F.col("n") > part).select("hash", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """rows (with norm) in the order of their normalised bytes, with head, hash, parts (1: whole) and part.
+
+    Splitters are the texts' first characters, a hash and the part, so that their samples are small and a beginning that
+    many texts share is split; the rows of a part of a text are in one range, and a window over them needs no shuffle.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("norm"))
+    cut = rows.join(F.broadcast(_hot(rows)), "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumns({"head": F.substring("norm", 1, HEAD), "part": F.pmod(F.spark_partition_id(), F.col("parts"))})
+    return cut.repartitionByRange("head", "hash", "part")
+
+
+def _best() -> list[Column]:
+    return [F.desc("points"), F.asc_nulls_last("key")]
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,50 +60,51 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     A null text counts as empty, and empty texts are equal; null keys come last among rows that are otherwise
     equal. Of rows with the same key and text exactly one stays. An empty table gives no rows; other columns are
-    ignored. Texts that have a large share of all rows are counted before any shuffle (map-side) and attached by
-    a broadcast of at most HOT_BYTES that compares the full texts; all others go through the content sort, in
-    which a group is smaller than about HOT_SHARE of the rows.
+    ignored. A part of a text has HOT_ROWS rows, or a HOT_TEXTS-th of all, about; what its winners say of the whole
+    text (HOT_TEXTS rows at most, without texts) is broadcast to the parts.
     """
     source = text_or_empty(text)
-    rows = docs.select(F.col(key).alias("doc_id"), F.char_length(source).cast("bigint").alias("points"), normalised(source).alias("norm"))
-    hot = _hot(rows)
-    is_hot = F.xxhash64("norm").isin(hot) if hot else F.lit(False)
-    # neighbours in the order of the bytes. Splitters are the texts' first characters and a hash, so that their samples are
-    # small and a beginning that many texts share is split; equal texts are in one range, and the window needs no shuffle
-    order = [F.desc("points"), F.asc_nulls_last("doc_id")]
-    group = Window.partitionBy("head", "hash", "norm")
-    cold = rows.where(~is_hot) if hot else rows
-    cold = cold.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")}).repartitionByRange("head", "hash")
-    out = cold.select(
-        "doc_id",
-        F.first("doc_id").over(group.orderBy(*order)).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy(*order)) == 1).alias("kept"),
-        F.sha2("norm", 256).alias("text_sha256"),
+    rows = docs.select(F.col(key).alias("key"), F.char_length(source).cast("bigint").alias("points"), normalised(source).alias("norm"))
+    part = Window.partitionBy("head", "hash", "part", "norm")  # by the full bytes
+    order = part.orderBy(*_best())
+    told = _sorted(rows).select(
+        "key",
+        F.first("key").over(order).alias("first_key"),
+        F.max("points").over(part).alias("most"),
+        F.count("*").over(part).alias("n"),
+        (F.row_number().over(order) == 1).alias("first"),
+        F.sha2("norm", 256).alias("sha"),
+        "part",
+        (F.col("parts") > 1).alias("cut"),
     )
-    if not hot:
-        return out
-    many = rows.where(is_hot)
-    sizes = many.groupBy("norm", "points").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    groups = sizes.groupBy("norm").agg(F.sum("n").alias("group_size"), F.max("points").alias("most"), F.max_by("first", "points").alias("keep_id"))
-    attached = many.join(F.broadcast(groups), "norm").select(
-        "doc_id", "keep_id", "group_size", ((F.col("points") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("wins"), F.sha2("norm", 256).alias("text_sha256")
+    told = written(told, "sorted")
+    best = F.min(F.struct(-F.col("most"), F.isnull("first_key"), F.col("first_key").alias("key"), F.col("part").alias("part")))
+    whole = told.where("cut AND first").groupBy("sha").agg(F.sum("n").alias("all_n"), best.alias("best"))
+    return told.join(F.broadcast(whole), "sha", "left").select(
+        F.col("key").alias("doc_id"),
+        F.when(F.col("cut"), F.col("best.key")).otherwise(F.col("first_key")).alias("keep_id"),
+        F.coalesce("all_n", "n").alias("group_size"),
+        (F.col("first") & (~F.col("cut") | (F.col("part") == F.col("best.part")))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
-    # rows that repeat each other are counted, so that one of them stays
-    repeats = attached.groupBy(*attached.columns).count().withColumn("i", F.explode(F.sequence(F.lit(1), F.col("count"))))
-    return out.unionByName(repeats.select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("i") == 1)).alias("kept"), "text_sha256"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each group of equal texts, with the columns of docs.
+    """The rows of docs that stay, one of each group of equal texts (as exact_groups has it), with the columns of docs.
 
-    Of rows that share a key and an equal text, repeated ones too, one stays. Null keys are a key like others.
+    Of rows that share a key and an equal text, repeated ones too, one stays. Null keys are a key like others. Columns of
+    docs pass through the sort; whatever their names are, none is changed.
     """
-    kept = exact_groups(docs, key, text).where("kept").select(F.col("doc_id").alias("kept_key_"), F.col("text_sha256").alias("kept_hash_"))
-    hashed = docs.withColumn("hash_", F.sha2(normalised(text_or_empty(text)), 256))
-    joined = hashed.join(kept, F.col(key).eqNullSafe(F.col("kept_key_")) & (F.col("hash_") == F.col("kept_hash_")))
-    own = Window.partitionBy("kept_hash_", "kept_key_").orderBy(F.desc(F.char_length(text_or_empty(text))))
-    return joined.withColumn("place_", F.row_number().over(own)).where("place_ = 1").select(*docs.columns)
+    own = numbered_columns(docs)
+    of = dict(zip(docs.columns, own.columns, strict=True))
+    source = text_or_empty(of[text])
+    rows = own.withColumns({"key": F.col(of[key]), "points": F.char_length(source).cast("bigint"), "norm": normalised(source)})
+    part = Window.partitionBy("head", "hash", "part", "norm").orderBy(*_best())
+    firsts = _sorted(rows).withColumn("place", F.row_number().over(part)).where("place = 1")
+    # of a text that was cut, one row of each part is left
+    again = Window.partitionBy("hash", "norm").orderBy(*_best(), "part")
+    merged = firsts.where("parts > 1").withColumn("place", F.row_number().over(again)).where("place = 1")
+    return firsts.where("parts = 1").unionByName(merged).select(*own.columns).toDF(*docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
