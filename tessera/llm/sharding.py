@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_or_empty
+from tessera.llm.common import table, text_or_empty, written
 
 # The multiplier of the published generator (key = key * 2862933555777941757 + 1), in limbs.
 MULTIPLIER = 2862933555777941757
 MASK32, MASK16 = 0xFFFFFFFF, 0xFFFF
-#: Groups into which each shard is cut for numbering its rows.
-BLOCKS = 64
+#: Distinct rows of a block within which they are numbered, about, and repeats of a row that one task writes.
+BLOCK_ROWS, REPEATS = 250_000, 1_000_000
 
 
 def _step(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -56,32 +56,47 @@ def jump_shards(key: Column, counts: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, walk, lambda acc: acc["at"])
 
 
+def stable_key(docs: DataFrame, key: str) -> Column:
+    """The key as a 64-bit integer: integers as they are, anything else by a hash of its text (null: 0)."""
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(key).cast("bigint") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+
+
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Put every row into one of `shards` shards by its key and number each shard's rows without gaps.
 
-    Returns doc_id, size (UTF-8 bytes and 16), text_crc32, law ("key"), shard, slot, grown_shard.
+    Returns doc_id, size (UTF-8 bytes and 16), text_crc32, law ("key"), shard, slot, grown_shard. Slots follow the order of
+    key, CRC and size.
 
-    Null keys are one key (0); a null or empty text has size 16 and CRC 0; rows with the same key share a shard
-    and have slots of their own; repeated rows are kept; an empty table gives no rows; other columns are ignored.
-    Rows of a shard are numbered in BLOCKS groups that start where the groups before end, so no shard is gathered
-    in one task. The broadcast offsets have shards * BLOCKS rows at most.
+    Null keys are one key (0) and stand first; keys that aren't integers are hashed; a null or empty text has size 16 and
+    CRC 0; rows with the same key share a shard and have slots of their own; repeated rows are kept; an empty table gives
+    no rows; other columns are ignored. Rows that are equal in all three are counted first, and what is distinct is
+    range-partitioned into blocks of BLOCK_ROWS, each of which begins where the one before it ends: neither a shard, nor
+    the rows of one key, nor those of one key and text are gathered in one task.
     """
     keyed = docs.select(
         F.col(key).alias("doc_id"),
+        stable_key(docs, key).alias("stable"),
         (F.octet_length(text_or_empty(text)) + 16).cast("bigint").alias("size"),
         F.crc32(text_or_empty(text)).alias("text_crc32"),
     )
-    # a key of which there are many rows is spread over the groups by the rows' texts
-    keyed = keyed.withColumns({"block": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)).cast("int"), "at": jump_shards(F.col("doc_id"), [shards, shards + 1])})
-    keyed = keyed.select("doc_id", "size", "text_crc32", "block", F.col("at")[0].cast("int").alias("shard"), F.col("at")[1].cast("int").alias("grown_shard"))
-    counts = keyed.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    order = ["doc_id", "text_crc32", "size"]
+    rows = keyed.groupBy(*order, "stable").agg(F.count("*").alias("n")).withColumn("at", jump_shards(F.col("stable"), [shards, shards + 1]))
+    rows = rows.select(*order, "n", F.col("at")[0].cast("int").alias("shard"), F.col("at")[1].cast("int").alias("grown_shard"))
+    blocks = 1 + docs.count() // BLOCK_ROWS
+    ranged = written(rows.repartitionByRange(blocks, "shard", *order).withColumn("block", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("shard", "block").agg(F.sum("n").alias("all_n"))  # blocks + shards rows at most
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
-    numbered = keyed.withColumn("place", F.row_number().over(own) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("bigint").alias("slot"), "grown_shard"
-    )
+    offsets = counts.select("shard", "block", F.coalesce(F.sum("all_n").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("shard", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("place", F.sum("n").over(own) - F.col("n")).join(offsets, ["shard", "block"])
+    placed = placed.select(*order, "shard", "grown_shard", (F.col("first") + F.col("place")).alias("slot"), "n")
+    few = placed.where(F.col("n") <= REPEATS)
+    # repeats beyond that are dealt out before they are written
+    many = placed.where(F.col("n") > REPEATS).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / REPEATS))))
+    many = many.select(*order, "shard", "grown_shard", (F.col("slot") + F.col("part") * REPEATS).alias("slot"), F.least(F.col("n") - F.col("part") * REPEATS, F.lit(REPEATS)).alias("n"))
+    every = few.unionByName(many.repartition("slot")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return every.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("i")).cast("bigint").alias("slot"), "grown_shard")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
