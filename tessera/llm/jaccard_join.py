@@ -19,6 +19,7 @@ but no class yet is tried with other leaders, and at last all pairs of different
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table, text_or_empty, written
+from tessera.llm.common import numbered_columns, slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
 #: Words of a shingle, and the least similarity in percent.
@@ -37,8 +38,10 @@ WORDS, PERCENT = 5, 80
 SMALL = 3
 #: Groups of a block of columns that is compared together.
 BLOCK_GROUPS = 16
-#: Sets of a signature that are compared with as many others at a time.
-PAIR_BLOCK = 512
+#: Sets of a signature that are compared with as many others at a time, and sets of a bucket of which all pairs are one task's.
+PAIR_BLOCK, BLOCK_SETS = 512, 2048
+#: Sets up to which a bucket has a block of groups; beyond, each column of signatures is cut by their values into buckets of as many.
+BUCKET_SETS = 4_000_000
 #: Rounds with other leaders before all pairs of different classes.
 LEADERS = 2
 
@@ -152,26 +155,38 @@ def sketch(features: np.ndarray) -> np.ndarray:
 def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
     """One row for each document (bucket null), and rows of signatures for each block of a band (doc_id null).
 
-    A document: doc_id, copy (a hash of the text), n, handle (a hash of the set; null for the empty one), parity. A row
-    of signatures: bucket, blob (handles, then their signatures), width.
+    A document: doc_id, copy (a hash of the text), n, handle and check (two hashes of the set; null for the empty one),
+    parity. A row of signatures: bucket, blob (handles, then their signatures), width. With splits, a bucket has one
+    column's signatures of one remainder.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, copy bigint, n bigint, handle bigint, parity array<bigint>, bucket bigint, width int, blob binary"
-    names = ["doc_id", "copy", "n", "handle", "parity", "bucket", "width", "blob"]
+    schema = f"doc_id {kind}, copy bigint, n bigint, handle bigint, check bigint, parity array<bigint>, bucket bigint, width int, blob binary"
+    names = ["doc_id", "copy", "n", "handle", "check", "parity", "bucket", "width", "blob"]
 
     def emit(pool: dict, of: pa.DataType) -> pa.RecordBatch:
         buckets, widths, blobs = [], [], []
         for (band, block), (handles, rows) in pool.items():
             owner, matrix = np.array(handles, U64), np.stack(rows)
-            for r in range(splits):
-                own = matrix if splits == 1 else np.where(matrix % splits == r, matrix, 0)
-                there = own.any(1)
+            if splits == 1:
+                parts = [(band << 40 | block << 20, owner, matrix)]
+            else:
+                columns = np.argsort(matrix % np.uint32(splits), axis=0, kind="stable")
+                parts = []
+                for c in range(matrix.shape[1]):
+                    values = matrix[columns[:, c], c]
+                    edges = np.flatnonzero(np.diff(values % np.uint32(splits), prepend=np.uint32(splits)))
+                    for start, end in zip(edges, [*edges[1:], len(values)], strict=True):
+                        own = columns[start:end, c]
+                        number = (((band << 14 | block) << 7 | c) * splits) + int(values[start] % splits)
+                        parts.append((number, owner[own], matrix[own, c : c + 1]))
+            for number, own, signatures_ in parts:
+                there = signatures_.any(1)
                 if there.any():
-                    buckets.append((band << 40) | (block << 20) | r)
-                    widths.append(matrix.shape[1])
-                    blobs.append(owner[there].tobytes() + own[there].tobytes())
+                    buckets.append(number)
+                    widths.append(signatures_.shape[1])
+                    blobs.append(own[there].tobytes() + signatures_[there].tobytes())
         n = len(buckets)
-        none = [pa.nulls(n, t) for t in (of, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        none = [pa.nulls(n, t) for t in (of, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*none, pa.array(buckets, pa.int64()), pa.array(widths, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,16 +195,18 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
         for batch in batches:
             of = batch.schema.field(0).type
             texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
-            n, handles, parities = [], [], []
+            n, handles, checks, parities = [], [], [], []
             seen = set()
             for features in shingles(texts):
                 n.append(len(features))
                 if not len(features):
                     handles.append(None)
+                    checks.append(None)
                     parities.append(None)
                     continue
                 handle = int((mix(features).sum() + U64(len(features))).view(np.int64))
                 handles.append(handle)
+                checks.append(int(mix(features ^ U64(0x5851F42D4C957F2D)).sum().view(np.int64)))
                 parities.append(sketch(features))
                 if handle in seen:
                     continue  # an equal set of this batch has the signatures
@@ -205,7 +222,7 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
             rows_ = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(handles, pa.int64()), lists, pa.nulls(rows_, pa.int64()), pa.nulls(rows_, pa.int32()), pa.nulls(rows_, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(handles, pa.int64()), pa.array(checks, pa.int64()), lists, pa.nulls(rows_, pa.int64()), pa.nulls(rows_, pa.int32()), pa.nulls(rows_, pa.binary())],
                 names=names,
             )
             if held > 32 << 20:
@@ -233,7 +250,7 @@ def _met(featured: DataFrame) -> DataFrame:
             matrices.append(np.frombuffer(blob, np.uint32, n * width, 8 * n).reshape(n, width))
         owner, first = np.unique(np.concatenate(handles), return_index=True)
         matrix = np.concatenate(matrices)[first]
-        told: dict[int, tuple[int, np.ndarray]] = {}
+        told: dict[bytes, tuple[int, np.ndarray]] = {}
         for column in range(width):
             values = matrix[:, column]
             order = np.argsort(values, kind="stable")
@@ -243,7 +260,7 @@ def _met(featured: DataFrame) -> DataFrame:
             for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
                 if ordered[s]:
                     own = owner[order[s : s + n]]
-                    told.setdefault(hash(own.tobytes()), (int(mix(np.array([group["bucket"].iloc[0] * 65537 + column], np.int64).view(U64) + U64(ordered[s]))[0].view(np.int64)), own))
+                    told.setdefault(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), (int(mix(np.array([group["bucket"].iloc[0] * 65537 + column], np.int64).view(U64) + U64(ordered[s]))[0].view(np.int64)), own))
         if not told:
             return pd.DataFrame({"bucket": [], "signature": [], "handle": [], "leader": []}, dtype=np.int64)
         kept = list(told.values())
@@ -259,35 +276,43 @@ def _met(featured: DataFrame) -> DataFrame:
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs of sets that share a signature but no class, and whose sizes and sketches allow the similarity.
 
-    members: bucket, signature, handle, label, n, parity. A group is a bucket of signatures (as in _met, of a bounded size), so that
-    a pair that shares many signatures of it is told once; a signature's sets are compared in blocks.
+    members: bucket, signature, handle, label, n, parity. The sets of a bucket of signatures (as in _met) are cut into blocks
+    of BLOCK_SETS, and a group is two of its blocks, so that a pair that shares many signatures of the bucket is told once
+    and no bucket, however many sets it has, is one task's.
     """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        handles, first, own = np.unique(group["handle"].to_numpy(), return_index=True, return_inverse=True)
-        labels, sizes = group["label"].to_numpy()[first], group["n"].to_numpy()[first]
-        sketches = [group["parity"].iloc[i] for i in first]
+        handles, labels, sizes, block = (group[c].to_numpy() for c in ("handle", "label", "n", "block"))
+        alone = group["i"].iloc[0] == group["j"].iloc[0]
+        sketches = [np.asarray(x) for x in group["parity"]]
         length = min(map(len, sketches))
-        folded = np.stack([np.bitwise_xor.reduce(np.asarray(x).reshape(-1, length), axis=0) for x in sketches]).view(U64)
-        order = np.argsort(group["signature"].to_numpy(), kind="stable")
-        ends = np.flatnonzero(np.diff(group["signature"].to_numpy()[order], append=group["signature"].to_numpy()[order][-1] + 1)) + 1
-        found, begin = [], 0
-        for end in ends:
+        folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, length), axis=0) for x in sketches]).view(U64)
+        flat = np.concatenate([np.asarray(x) for x in group["signatures"]])
+        own = np.repeat(np.arange(len(handles)), group["signatures"].map(len))
+        order = np.argsort(flat, kind="stable")
+        edges = [*np.flatnonzero(np.diff(flat[order], prepend=flat[order][0] - 1)), len(flat)]
+        found = []
+        for begin, end in zip(edges, edges[1:], strict=False):
             mine = np.unique(own[order[begin:end]])
-            begin = end
-            for i in range(0, len(mine), PAIR_BLOCK):
-                for j in range(i, len(mine), PAIR_BLOCK):
-                    a, b = mine[i : i + PAIR_BLOCK, None], mine[None, j : j + PAIR_BLOCK]
+            left, right = (mine, mine) if alone else (mine[block[mine] == group["i"].iloc[0]], mine[block[mine] == group["j"].iloc[0]])
+            for x in range(0, len(left), PAIR_BLOCK):
+                for y in range(x if alone else 0, len(right), PAIR_BLOCK):
+                    a, b = left[x : x + PAIR_BLOCK, None], right[None, y : y + PAIR_BLOCK]
                     n, m = sizes[a], sizes[b]
-                    x, y = np.nonzero((labels[a] != labels[b]) & (a < b) & (n * percent <= m * 100) & (m * percent <= n * 100))
-                    a, b = a[x, 0], b[0, y]
+                    p, q = np.nonzero((labels[a] != labels[b]) & ((a < b) | (not alone)) & (n * percent <= m * 100) & (m * percent <= n * 100))
+                    a, b = a[p, 0], b[0, q]
                     distance = np.concatenate([np.bitwise_count(folded[a[k : k + 4096]] ^ folded[b[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(a), 4096)] or [np.empty(0, np.int64)])
                     near = distance * (100 + percent) <= (sizes[a] + sizes[b]) * (100 - percent)
                     found.append(a[near].astype(np.int64) << 32 | b[near])
         pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        return pd.DataFrame({"u": handles[pairs >> 32], "v": handles[pairs & 0xFFFFFFFF]})
+        u, v = handles[pairs >> 32], handles[pairs & 0xFFFFFFFF]
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return members.groupBy("bucket").applyInPandas(compare, "u long, v long")
+    sets = members.groupBy("bucket", "handle").agg(F.collect_list("signature").alias("signatures"), *[F.first(c).alias(c) for c in ("label", "n", "parity")])
+    blocks = members.groupBy("bucket", "handle").count().groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    cut = sets.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("handle"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return dealt.drop("other", "blocks").groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -350,28 +375,39 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The class of linked documents of every row: doc_id, n_shingles, component_id.
+    """The class of linked documents of every row: doc_id, n_shingles, component_id, class_id, copy.
 
     Documents link when their sets of 5-word shingles (A-Z lowered; all words as one if there are fewer) have a Jaccard
-    similarity of percent / 100 or more. component_id is the smallest key reachable by links. Sets are compared as
-    64-bit hashes of shingles, and equal sets known by a 64-bit hash of theirs; one text stands for those of one set. A null or empty text has no shingle and
-    links with nothing, so that it has its own key; null keys are never the smallest unless all of a class are null;
-    repeated rows are all returned; an empty table gives no rows; other columns are ignored.
+    similarity of percent / 100 or more. component_id is the smallest key reachable by links; class_id (null for empty sets)
+    tells classes apart even where keys repeat, and copy is a hash of the text. Sets are compared as 64-bit hashes of
+    shingles, and equal sets known by two 64-bit hashes of theirs; one text stands for those of one set. A null or empty
+    text has no shingle and links with nothing, so that it has its own key; null keys are never the smallest unless all
+    of a class are null; repeated rows are all returned; an empty table gives no rows; other columns are ignored.
     """
     bands = Bands(percent)
     source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    splits = 1 + source.select("doc_id").count() // 4_000_000
+    splits = -(-max(1, source.count()) // BUCKET_SETS)
     featured = written(_featured(source, bands, splits), "features")
-    rows = featured.where(F.col("bucket").isNull()).select("doc_id", "copy", "n", "handle", "parity")
+    rows = featured.where(F.col("bucket").isNull()).select("doc_id", "copy", "n", "handle", "check", "parity")
     # one row for each distinct set: its smallest key, and the text that stands for it
     sets = (
         rows.where("handle IS NOT NULL")
-        .groupBy("handle", "n")
+        .groupBy("handle", "check", "n")
         .agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "copy")).alias("first"), F.first("parity").alias("parity"))
-        .select("handle", "n", "parity", F.col("first.doc_id").alias("least"), F.col("first.copy").alias("of"))
+        .select("handle", "check", "n", "parity", F.col("first.doc_id").alias("least"), F.col("first.copy").alias("of"))
     )
     sets = written(sets, "sets")
-    met = written(_met(featured), "met")
+    # different sets of one handle: all but one of them get another, and what their handle shares with others goes for each
+    twins = sets.groupBy("handle").agg(F.min("check").alias("kept"), F.max("check").alias("other")).where("kept <> other").select("handle", "kept")
+    if not twins.isEmpty():
+        renamed = sets.join(twins, "handle").select("handle", "check", F.when(F.col("check") == F.col("kept"), F.col("handle")).otherwise(F.xxhash64("handle", "check")).alias("own"))
+        renamed = written(renamed, "twins")
+        met = _met(featured).join(renamed.select("handle", "own"), "handle", "left")
+        met = written(met.select("bucket", "signature", F.coalesce("own", "handle").alias("handle"), "leader"), "met")
+        named = lambda df: df.join(renamed, ["handle", "check"], "left").withColumn("handle", F.coalesce("own", "handle")).drop("own")
+        rows, sets = named(rows), written(named(sets), "sets")
+    else:
+        met = written(_met(featured), "met")
     wanted = sets.join(met.select("handle").distinct(), "handle").select("handle", "least", "of")
     texts = source.withColumn("copy", F.xxhash64("text")).join(wanted, (F.col("copy") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
     texts = written(texts.groupBy("handle").agg(F.first("text").alias("text")).select("handle", F.col("text").cast("binary").alias("text")), "texts")
@@ -391,9 +427,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         classes = components(links)
         classed = met.select("bucket", "signature", "handle").join(classes.withColumnRenamed("node", "handle"), "handle", "left").withColumn("label", F.coalesce("label", "handle"))
         open_ = classed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("signature")
-        # signatures with the same members are one
-        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("handle")).alias("all"), F.min("handle").alias("least"))
-        once = members.groupBy("n", "all", "least").agg(F.min("signature").alias("signature")).select("signature")
+        # signatures with the same members (by 128 bits and their number) are one
+        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(x), "handle")).alias(x) for x in ("one", "two")])
+        once = members.groupBy("n", "one", "two").agg(F.min("signature").alias("signature")).select("signature")
         left = written(classed.join(once, "signature").select("bucket", "signature", "handle", "label"), "open")
         if i < LEADERS:
             lead = left.groupBy("signature").agg(F.min_by(F.struct("handle", "label"), F.xxhash64("handle", F.lit(i))).alias("lead"))
@@ -408,10 +444,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = components(links)
     classed = sets.select("handle", "least").join(classes.withColumnRenamed("node", "handle"), "handle", "left").withColumn("label", F.coalesce("label", "handle"))
     least = classed.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = classed.join(least, "label").select("handle", "component_id")
-    return rows.join(ids, "handle", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = classed.join(least, "label").select("handle", "component_id", F.col("label").alias("class_id"))
+    found = rows.where("handle IS NOT NULL").join(ids, "handle").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "copy")
+    empty = rows.where("handle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), "copy")
+    return found.unionByName(empty)
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs of which one stands for each class of near_duplicates, with the columns of docs.
+
+    Of a class, the row with the smallest key stays (null keys last), of different texts with that key the one with the
+    smallest hash, and of rows that repeat both, one. Rows without words are in no class and all stay, repeated ones too; whatever the
+    names of the columns are, none is changed; an empty table gives no rows.
+    """
+    own = numbered_columns(docs)
+    of = dict(zip(docs.columns, own.columns, strict=True))
+    classes = written(near_duplicates(own, of[key], of[text], percent).where("class_id IS NOT NULL").select("doc_id", "class_id", "copy"), "classed")
+    row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "copy")
+    best = classes.groupBy("class_id").agg(F.min(row).alias("best"))
+    counted = classes.groupBy("class_id", "doc_id", "copy").agg(F.count("*").alias("n")).join(best, "class_id").withColumn("stays", row == F.col("best"))
+    counted = written(counted.where("NOT stays OR n > 1").select(F.col("doc_id").alias("key"), F.col("copy").alias("of_copy"), "stays"), "decided")
+    hashed_ = own.withColumn("copy", F.xxhash64(text_or_empty(of[text])))
+    same = F.col(of[key]).eqNullSafe(F.col("key")) & (F.col("copy") == F.col("of_copy"))
+    left = hashed_.join(counted.where("NOT stays"), same, "left_anti")
+    again = counted.where("stays")
+    if not again.isEmpty():
+        once = left.join(again, same, "left_semi").dropDuplicates([of[key], "copy"])
+        left = left.join(again, same, "left_anti").unionByName(once)
+    return left.select(*own.columns).toDF(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of near-duplicates of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -142,6 +142,62 @@ def test_classes_of_odd_rows(odd, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def rows_that_stay(rows):
+    """Indices of one row of each class of texts with words (the smallest id, null ids last), and of all without words."""
+    linked = classes({i: t for i, (_, t) in enumerate(rows)})
+    by = defaultdict(list)
+    for i, (n, c) in linked.items():
+        by[c if n else ("none", i)].append(i)
+    return list(by.values())
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Ids that repeat with other texts, rows that repeat, null ids and texts, and columns with the operator's own names."""
+    words_ = [f"w{i}" for i in range(40)]
+    near = [*words_[:39], "other"]
+    rows = [
+        (1, " ".join(words_)), (7, " ".join(near)), (7, "a text of its own with quite other words"), (7, "a text of its own with quite other words"),
+        (3, "b text of its own with few words"), (3, "B text of its own\twith few words"), (None, " ".join(words_)), (None, "null id with words of its own here"), (None, None), (8, ""), (8, ""), (9, "one"),
+    ]
+    df = spark.createDataFrame([(i, t, "mine", "mine") for i, t in rows], "doc_id bigint, text string, class_id string, copy string").repartition(3)
+    left = jaccard_join.representatives(df)
+    assert left.columns == df.columns
+    found = Counter((r.doc_id, r.text) for r in left.collect())
+    groups = rows_that_stay(rows)
+    assert sum(found.values()) == len(groups)
+    for own in groups:
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in own)
+        texts = {rows[i] for i in own if (rows[i][0] is None, rows[i][0] or 0) == least}
+        assert sum(found[x] for x in texts) == (1 if words(rows[own[0]][1]) else found[rows[own[0]]])
+    assert found[(7, "a text of its own with quite other words")] == 1 and found[(8, "")] == 2 and found[(1, " ".join(words_))] == 1
+
+
+def test_classes_in_split_buckets_and_blocks(spark, monkeypatch):
+    """Buckets cut by values and sets cut into blocks give the same classes."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_SETS", 40)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    test_classes_by_brute_force(spark)
+
+
+def test_different_sets_of_one_handle(spark, monkeypatch):
+    """Sets that share the first hash are kept apart by the second."""
+    plain = jaccard_join._featured
+    monkeypatch.setattr(jaccard_join, "_featured", lambda *a: plain(*a).withColumn("handle", F.when(F.col("n") == 3, F.lit(77)).otherwise(F.col("handle"))))
+    texts = {1: "a b c d e f g", 2: "h i j k l m n", 5: "a b c d e f g"}
+    rows = jaccard_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 2), (5, 1)}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd, none, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd.withColumns({"source": F.lit(None).cast("string"), "n_chars": F.char_length("text").cast("bigint")})
+    out = stage(spark, docs, sf_dir)
+    assert out.count() > 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+    if name != "packing":
+        assert out.columns == docs.columns and set(out.collect()) <= set(docs.collect())
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf_dir, tmp_path_factory):
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
