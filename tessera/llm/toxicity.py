@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_or_empty
+from tessera.llm.common import dropped, table, text_or_empty, written
 
 # Characters that look like Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 #: Rows of each label that lexicon and curve are learned from: a bounded sample, by the order of a hash of the key.
 FIT_ROWS = 10_000
-#: Terms and exceptions at most, the best first.
+#: Terms and exceptions at most, the best first: the lexicon is a bounded model.
 MAX_TERMS, MAX_EXCEPTIONS = 5_000, 500
 #: Least rows of a term or phrase, least log odds, and least log odds in standard errors of terms and of exceptions (of which
 #: there is mostly no toxic row at all, so that their error is large).
@@ -99,7 +99,15 @@ class Lexicon:
             weight = max(word if whole else 0.0, stem)
             if weight > best.get(start, (0.0, 0))[0]:
                 best[start] = (weight, end)
-        return [(s, e, w) for s, (w, e) in best.items() if not any(a <= s and e <= b for a, b in covered)]
+        # a phrase covers a hit if it begins no later and ends no sooner: of those that begin no later, the farthest end tells
+        out, covered, at, farthest = [], sorted(covered), 0, 0
+        for start, (weight, end) in sorted(best.items()):
+            while at < len(covered) and covered[at][0] <= start:
+                farthest = max(farthest, covered[at][1])
+                at += 1
+            if farthest < end:
+                out.append((start, end, weight))
+        return out
 
     def evidence(self, text: str) -> float:
         """The weights of what counts against the length: their sum by the square root of the words in hundreds (one at least)."""
@@ -137,7 +145,7 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
 
 def _terms(text: str) -> set[tuple[int, str]]:
     words = set(_WORD.findall(fold(text)))
-    return {(0, w) for w in words if 3 <= len(w) <= 40} | {(n, w[:n]) for w in words for n in STEMS if len(w) >= n}
+    return {(0, w) for w in words if len(w) >= 3} | {(n, w[:n]) for w in words for n in STEMS if len(w) >= n}
 
 
 def _fit_curve(evidence: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -158,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A lexicon from the rows of docs that `labels` marks (1 toxic, 0 clean; null marks are left out).
 
     At most fit_rows rows of each label, the first by a hash of the key, are used; their keys (a bounded number) are
-    broadcast to the scan of docs, so that no text is shuffled. Without toxic or clean rows the lexicon is empty.
+    broadcast to the scan of docs, so that no text is shuffled; their texts are written once. Without toxic or clean rows the lexicon is empty.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     order = [F.xxhash64("key"), F.col("key")]
@@ -166,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, {}, (), (-3.0, 0.0))
     chosen = [marks.where(F.col("label") == k).orderBy(*order).limit(fit_rows) for k in (0, 1)]
-    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "key").select("text", "label")
+    rows = written(docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "key").select("text", "label"), "labelled")
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon({}, {}, (), (-3.0, 0.0))
@@ -191,12 +199,15 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for start, end, _ in lexicon.hits(folded):
             while end < len(folded) and folded[end].isalpha():
                 end += 1
-            after = re.match(r"\s[^\W\d_]+", folded[end : end + 40])
-            before = re.search(r"[^\W\d_]+\s$", folded[max(0, start - 40) : start])
-            if after:
-                found.add((0, folded[start : end + after.end()]))
-            if before:
-                found.add((0, folded[start - len(before[0]) : end]))
+            after, before = end + 1, start - 1
+            while after < len(folded) and folded[after].isalpha():
+                after += 1
+            while before > 0 and folded[before - 1].isalpha():
+                before -= 1
+            if after > end + 1 and folded[end].isspace():
+                found.add((0, folded[start:after]))
+            if 0 <= before < start - 1 and folded[start - 1].isspace():
+                found.add((0, folded[before:end]))
         return found
 
     exceptions = tuple(t for _, t, _ in best(_counted(rows, phrases), MAX_EXCEPTIONS, toxic=False))
@@ -208,6 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     # evidence is rounded, so the curve is fitted on a bounded table
     points = rows.select(F.round(evidence("text"), 2).alias("x"), "label").groupBy("x", "label").agg(F.count("*").alias("n")).collect()
+    dropped(rows)
     x, y, c = (np.array([p[i] for p in points], float) for i in range(3))
     share = sizes[1] / (sizes[0] + sizes[1])
     weights = c * np.where(y > 0, share / n[1], (1 - share) / n[0]) * (n[0] + n[1])

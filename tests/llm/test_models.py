@@ -34,6 +34,32 @@ def test_lexicon_matches_words_stems_and_exceptions():
     assert lexicon.score("trash") > lexicon.score("trash " + "fine words here " * 400)
 
 
+def test_hits_are_those_of_a_plain_scan():
+    """Every word and every phrase is looked for by itself, on random texts of few letters."""
+    rng = random.Random(9)
+    terms = ["".join(rng.choices("abc", k=rng.randrange(2, 5))) for _ in range(12)]
+    lexicon = toxicity.Lexicon({t: 1.0 + i for i, t in enumerate(terms[:6])}, {t: 1.5 + i for i, t in enumerate(terms[6:])}, tuple(f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False)))
+    for _ in range(400):
+        text = toxicity.fold("".join(rng.choices("abc  1", k=rng.randrange(60))))
+        spots = [m.span() for m in re.finditer(r"[^\W\d_]+", text)]
+        phrases = [(s, s + len(p)) for p in lexicon.exceptions for s in range(len(text)) if text.startswith(p, s) and not text[s - 1 : s].isalpha() * bool(s) and not text[s + len(p) : s + len(p) + 1].isalpha()]
+        wanted = []
+        for s, e in spots:
+            word = text[s:e]
+            fits = [(w, s + len(t)) for t, w in lexicon.words.items() if t == word] + [(w, s + len(t)) for t, w in lexicon.stems.items() if word.startswith(t)]
+            if fits and not any(a <= s and max(fits)[1] <= b for a, b in phrases):
+                wanted.append((s, max(fits)[1], max(fits)[0]))
+        assert lexicon.hits(text) == wanted
+
+
+def test_hits_are_linear_in_the_phrases():
+    import time
+
+    lexicon = toxicity.Lexicon({"trash": 5.0}, {}, ("trash can",))
+    began = time.perf_counter()
+    assert len(lexicon.hits("trash can and trash " * 32_000)) == 32_000 and time.perf_counter() - began < 5
+
+
 def test_toxicity_is_learned_and_held_out(spark, odd, none):
     rng = random.Random(1)
     plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
