@@ -1,8 +1,10 @@
 """Media columns: texts as 8-bit WAV files, short-time Fourier transforms, and fingerprints of pairs of spectral peaks.
 
-The first half stores any bytes losslessly as samples of a WAV file; the second reads such files by the wave module,
-takes the strongest frequency in each of a few bands of each frame, and pairs it with the peaks of the same band in the
-frames after it. A pair is coded by its band, both frequencies and the frames between; codes and times are arrays.
+The first half stores any bytes losslessly as samples of a WAV file; the second reads such files by the wave module.
+A peak is a frequency that is stronger than its two neighbours and than FLOOR times the mean of its frame; of the peaks
+in each of a few bands of a frame the strongest is taken. It is paired with that of the next band that has one in its frame, and
+with those of its band in the frames after it. A pair is coded by its band, both frequencies and the frames between; codes and
+times are arrays.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from tessera.llm.common import table, text_or_empty
 #: Payloads are a positive multiple of this many bytes, filled up with FILL.
 BLOCK, FILL = 576, b"\xff"
 RATE = 8000
-#: Samples of a frame and between the starts of frames.
-FRAME, HOP = 576, 288
-#: First frequency bins of the bands, and the end of the last.
-BANDS = (1, 12, 36, 96, 289)
-#: Frames from a peak to its partners.
+#: Samples of a frame and between the middles of frames: a block has seven frames.
+FRAME, HOP = 192, 96
+#: First frequency bins of the bands, and the end of the last (the outermost bins have one neighbour and are never peaks).
+BANDS = (1, 8, 20, 44, 96)
+#: How much stronger than the mean of its frame a peak is at least.
+FLOOR = 1.0
+#: Share of the sample before that is taken from each, so that steps (as to the filling) don't drown the rest.
+EMPHASIS = 0.97
+#: Frames from a peak to its partners of the same band.
 STEPS = (1, 2)
 #: Frames that are transformed at a time, and bytes of media in a batch.
 FRAMES, BATCH_BYTES = 2048, 4 << 20
@@ -54,30 +60,40 @@ def samples(media: bytes) -> bytes:
 
 
 def peaks(payload: bytes) -> np.ndarray:
-    """The strongest frequency bin of each band (column) in each frame (row); the lowest of equal ones."""
+    """The frequency bin of the strongest peak of each band (column) in each frame (row), the lowest of equal ones; 0 where there is none."""
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.diff(x, prepend=x[:1]) + (1 - EMPHASIS) * np.concatenate([x[:1], x[:-1]])
+    x = np.pad(x, (HOP, max(HOP, FRAME - HOP - len(x))))  # the first samples have the middle of a frame, as the last have
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.empty((len(frames), len(BANDS) - 1), np.int32)
     for i in range(0, len(frames), FRAMES):
-        size = np.abs(np.fft.rfft(frames[i : i + FRAMES] * _WINDOW, axis=1))
-        for b, (low, high) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
-            out[i : i + FRAMES, b] = low + size[:, low:high].argmax(1)
+        part = frames[i : i + FRAMES]
+        size = np.abs(np.fft.rfft((part - part.mean(1, keepdims=True)) * _WINDOW, axis=1)).astype(np.float32)
+        middle = size[:, 1:-1]
+        high = (middle > size[:, :-2]) & (middle >= size[:, 2:]) & (middle > FLOOR * size.mean(1, keepdims=True) + 1e-4)
+        only = np.where(high, middle, 0)
+        for b, (first, end) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
+            band = only[:, first - 1 : end - 1]
+            found = band.argmax(1)
+            out[i : i + FRAMES, b] = np.where(band[np.arange(len(band)), found] > 0, first + found, 0)
     return out
 
 
 def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frames) and codes of the pairs of peaks, by time, then step, then band."""
+    """Times (frames) and codes of the pairs of peaks, by time, then step (0: a higher band), then band.
+
+    A code has the band from bit 16 on, the frequency of the peak from bit 9, that of its partner from bit 2, and the step.
+    """
     found = peaks(payload)
-    band = np.arange(found.shape[1], dtype=np.int32) << 26
+    frames, bands = found.shape
+    higher = np.zeros_like(found)
+    for b in range(bands - 2, -1, -1):
+        higher[:, b] = np.where(found[:, b + 1] > 0, found[:, b + 1], higher[:, b + 1])
     times, codes = [], []
-    for step in STEPS:
-        if len(found) > step:
-            codes.append((band | found[:-step] << 14 | found[step:] << 3 | step).ravel())
-            times.append(np.repeat(np.arange(len(found) - step, dtype=np.int32), found.shape[1]))
-    if not codes:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
+    for step, (one, other) in {0: (found, higher), **{n: (found[:-n], found[n:]) for n in STEPS if frames > n}}.items():
+        time, band = np.nonzero((one > 0) & (other > 0))
+        codes.append((band << 16 | one[time, band] << 9 | other[time, band] << 2 | step).astype(np.int32))
+        times.append(time.astype(np.int32))
     time, code = np.concatenate(times), np.concatenate(codes)
     order = np.argsort(time, kind="stable")
     return time[order], code[order]
@@ -157,6 +173,6 @@ def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as WAV files, with a digest of their fingerprints: the number of pairs and a hash of times and codes."""
+    """All documents as WAV files, with their fingerprints (times and codes of pairs) and a digest of them: number and hash."""
     found = fingerprinted(table(spark, sf_dir, "documents"))
-    return found.select(*found.columns[:-2], F.concat_ws(":", F.size("codes"), F.hex(F.xxhash64("times", "codes"))).alias("feature"))
+    return found.select(*found.columns[:-2], F.concat_ws(":", F.size("codes"), F.hex(F.xxhash64("times", "codes"))).alias("feature"), "times", "codes")

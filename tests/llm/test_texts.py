@@ -123,9 +123,52 @@ def test_media_round_trip(odd, none):
 
 def test_peaks_find_a_tone():
     n = np.arange(576 * 20)
-    tone = (128 + 60 * np.sin(2 * np.pi * 48 * n / 576) + 30 * np.sin(2 * np.pi * 150 * n / 576)).astype(np.uint8)
+    tone = (128 + 60 * np.sin(2 * np.pi * 30 * n / 192) + 30 * np.sin(2 * np.pi * 60 * n / 192)).astype(np.uint8)
     found = media.peaks(tone.tobytes())
-    assert (found[:, 2] == 48).all() and (found[:, 3] == 150).all()
+    assert (found[1:-1, 2] == 30).all() and (found[1:-1, 3] == 60).all() and len(media.fingerprint(b"\xff" * 576)[1]) == 0
+
+
+@pytest.mark.parametrize("text", ["one short text", "x", "", "The quick brown fox jumps over the lazy dog. " * 30, "日本語 🙂 " * 90])
+def test_fingerprints_by_a_plain_transform(text):
+    """Every frame by a sum over all samples for each frequency; no peak near a tie."""
+    raw = text.encode()
+    payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+    times, codes = media.fingerprint(payload)
+    size, hop, frames = media.FRAME, media.HOP, []
+    levels = [(b - 128) / 128 for b in payload]
+    levels = [b - media.EMPHASIS * a for a, b in zip([levels[0], *levels], levels, strict=False)]
+    levels = [0.0] * hop + levels + [0.0] * hop
+    for start in range(0, len(levels) - size + 1, hop):
+        x = levels[start : start + size]
+        middle = sum(x) / size
+        x = np.array([(v - middle) * (0.5 - 0.5 * math.cos(2 * math.pi * i / size)) for i, v in enumerate(x)])
+        strength = [abs(sum(x * np.exp(-2j * np.pi * k * np.arange(size) / size))) for k in range(size // 2 + 1)]
+        floor, own = media.FLOOR * sum(strength) / len(strength) + 1e-4, []
+        for first, end in zip(media.BANDS, media.BANDS[1:], strict=False):
+            there = [k for k in range(first, end) if strength[k] > strength[k - 1] and strength[k] >= strength[k + 1] and strength[k] > floor]
+            own.append(max(there, key=lambda k: strength[k], default=0))
+        frames.append(own)
+    wanted = []
+    for t, own in enumerate(frames):
+        wanted += [(t, 0, b, x, next(y for y in own[b + 1 :] if y)) for b, x in enumerate(own) if x and any(own[b + 1 :])]
+        for step in media.STEPS:
+            if t + step < len(frames):
+                wanted += [(t, step, b, x, y) for b, (x, y) in enumerate(zip(own, frames[t + step], strict=True)) if x and y]
+    assert [(int(t), int(c & 3), int(c >> 16), int(c >> 9 & 127), int(c >> 2 & 127)) for t, c in zip(times, codes, strict=True)] == wanted
+    assert len(wanted) > 0 or len(raw) < 2
+
+
+def test_media_query_has_the_contract_s_columns(spark, sf_dir, documents):
+    rows = media.op7_media(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(documents)
+    features = {}
+    for r in rows:
+        raw = (documents[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        file = media.wav(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest()) and r.feature.startswith(f"{len(r.codes)}:")
+        assert features.setdefault(raw, r.feature) == r.feature and (len(r.codes) > 0 or len(raw) < 2)
 
 
 def test_licences_and_inheritance(spark, odd, none):
