@@ -1,13 +1,16 @@
 """Language-model scores by deleted interpolation.
 
-P(w | v) mixes the maximum-likelihood estimates of the pair, of the word and the uniform one; the weights depend on the bucket
-of the context's frequency and are learned by expectation-maximisation on held-out counts: a tenth of the training
-documents is held out, and its words are predicted from the counts of the other nine.
-
-The corpus's counts never meet in one place. Documents are dealt into chunks by a hash; a chunk asks for the counts of
-its distinct keys (hashes of words and of pairs) by sending them, with its own counts, to buckets of the key space; a
-bucket adds up and answers each chunk in the order of its keys. Keys and answers travel as packed arrays. The driver
-sees only totals and a table of the held-out words' estimates in bins.
+P(w | u v) mixes the maximum-likelihood estimates of the triple, of the pair, of the word and the uniform one; the weights
+depend on the bucket of the context's frequency (of u v, or of v where u v was never seen) and are learned by
+expectation-maximisation on held-out counts: a tenth of the training documents is held out, and its words are predicted from
+the counts of the other nine.
+
+The corpus's counts never meet in one place. Each task packs its documents into chunks; a chunk asks for the counts of
+its distinct keys (hashes of words, pairs and triples) by sending them, with its own counts, to buckets of the key space; a
+bucket adds up and answers each chunk in the order of its keys. A key travels at most once from each chunk, and a frequent
+one is one entry of a chunk like any other, so that buckets are even. Keys and answers travel as packed arrays; chunks and
+buckets have a fixed size, and tasks follow their numbers. The driver sees only totals and a table of the held-out words'
+estimates in bins. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,17 +28,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
-#: Bytes of text of a chunk, and keys of a bucket, about.
-CHUNK_BYTES, BUCKET_KEYS = 8 << 20, 4 << 20
+#: Bytes of text of a chunk, and of the text whose keys a bucket has, about; and most partitions of a shuffle.
+CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 8 << 20, 16 << 20, 20_000
 #: One training document in so many is held out for the weights.
 HELD = 10
-#: Contexts are put in a bucket by the binary logarithm of their frequency; 0 has those never seen.
+#: Contexts are put in a bucket by the binary logarithm of their frequency; 0 has those never seen. Pairs have buckets after those of words.
 FREQUENCIES = 24
-#: Bins of an estimate's logarithm for the weights: its steps of a factor of two, and how many.
-LOW_BINS = 48
+#: Bins of an estimate's binary logarithm for the weights; the last has all below.
+LOW_BINS = 40
 ROUNDS = 60
-#: The key of the end of a text, which is also the context of its first word.
-END = U64(0x5DEECE66D1CE4E5B)
+#: The key of the end of a text, which is also the context of its first word, and that of the pair before its first word.
+END, START = U64(0x5DEECE66D1CE4E5B), U64(0x2545F4914F6CDD1D)
+#: Orders of keys: words, pairs, triples.
+ORDERS = 3
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,93 +56,93 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(counts)
 
 
-def pair_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the key of its context, and that of the pair of context and token."""
-    context = np.empty_like(keys)
-    context[1:] = keys[:-1]
-    context[np.cumsum(counts) - counts] = END
-    return context, mix(context * U64(0x9E3779B97F4A7C15) + keys)
+def gram_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: the key of the pair of the token before it and itself, and that of the triple with the pair before it."""
+    firsts = np.cumsum(counts) - counts
+    before = np.roll(keys, 1)
+    before[firsts] = END
+    pairs = mix(before * U64(0x9E3779B97F4A7C15) + keys)
+    history = np.roll(pairs, 1)
+    history[firsts] = START
+    return pairs, mix(history * U64(0xD6E8FEB86659FD93) + keys)
 
 
-def _pack(docs: DataFrame, chunk: Column, held: Column, trained: Column) -> DataFrame:
-    """chunk, blob: documents of a batch that go to one chunk, compressed."""
-    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"), chunk.alias("chunk"), trained.cast("int").alias("trained"), held.cast("int").alias("held"))
+def _packed(docs: DataFrame, held: Column) -> DataFrame:
+    """chunk, held, ids, blob: the documents of a task in chunks of CHUNK_BYTES about, those held out apart, compressed."""
+    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("trained").cast("int").alias("trained"), held.cast("int").alias("held"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        pools: tuple = ([], [])
+        sizes = [0, 0]
+
+        def chunk(kind: int) -> pd.DataFrame:
+            ids, texts, trained = zip(*pools[kind], strict=True)
+            head_ = np.array([[len(t) for t in texts], trained], np.int64).tobytes()
+            pools[kind].clear()
+            sizes[kind] = 0
+            return pd.DataFrame({"held": [kind], "ids": [list(ids)], "blob": [squeeze(head_ + b"".join(texts))]})
+
         for batch in batches:
-            sizes = batch["text"].map(len).to_numpy()
-            for part in slices(sizes, 8 * CHUNK_BYTES):
-                rows = []
-                for number, own in batch.iloc[part].groupby("chunk", sort=False):
-                    texts = own["text"]
-                    head = np.stack([texts.map(len).to_numpy(np.int64), own["trained"].to_numpy(np.int64), own["held"].to_numpy(np.int64)])
-                    rows.append((number, own["doc_id"].tolist(), squeeze(head.tobytes() + b"".join(texts))))
-                yield pd.DataFrame(rows, columns=["chunk", "ids", "blob"])
-
-    return source.mapInPandas(pack, "chunk long, ids array<string>, blob binary")
-
-
-def _unpack(rows: pd.DataFrame) -> tuple[list, list[bytes], np.ndarray, np.ndarray]:
-    """ids, texts, trained and held of a chunk's documents."""
-    ids, texts, trained, held = [], [], [], []
-    expand = zstandard.ZstdDecompressor().decompress
-    for own, blob in zip(rows["ids"], rows["blob"], strict=True):
-        data, n = expand(blob), len(own)
-        sizes, t, h = np.frombuffer(data, np.int64, 3 * n).reshape(3, n)
-        at = 24 * n
-        for size in sizes:
-            texts.append(data[at : at + size])
-            at += size
-        ids += list(own)
-        trained.append(t)
-        held.append(h)
-    return ids, texts, np.concatenate(trained) > 0, np.concatenate(held) > 0
+            for doc_id, text, trained, kind in zip(batch["doc_id"], batch["text"], batch["trained"], batch["held"], strict=True):
+                pools[kind].append((doc_id, text, trained))
+                sizes[kind] += len(text) + 64
+                if sizes[kind] >= CHUNK_BYTES:
+                    yield chunk(kind)
+        for kind in (0, 1):
+            if pools[kind]:
+                yield chunk(kind)
+
+    return source.mapInPandas(pack, "held int, ids array<string>, blob binary").withColumn("chunk", F.monotonically_increasing_id())
 
 
 class _Keys:
-    """The tokens of a chunk and their distinct keys: of words (contexts included) first, then of pairs."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.ids, texts, trained, held = _unpack(rows)
-        self.words, self.counts = tokens(texts)
-        del texts
-        context, pairs = pair_keys(self.words, self.counts)
-        self.trained, self.held = np.repeat(trained, self.counts), np.repeat(held, self.counts)
-        self.unigrams, self.word = np.unique(np.append(self.words, END), return_inverse=True)
-        self.word = self.word[:-1]
-        self.context = np.searchsorted(self.unigrams, context)
-        self.bigrams, self.pair = np.unique(pairs, return_inverse=True)
+    """The tokens of a chunk and the distinct keys of each order, with the place of each token's own among them."""
+
+    def __init__(self, ids: list, blob: bytes, held: int) -> None:
+        data, n = zstandard.ZstdDecompressor().decompress(blob), len(ids)
+        sizes, trained = np.frombuffer(data, np.int64, 2 * n).reshape(2, n)
+        ends = 16 * n + np.cumsum(sizes)
+        texts = [data[end - size : end] for size, end in zip(sizes, ends, strict=True)]
+        words, self.counts = tokens(texts)
+        del texts, data
+        self.ids, self.held = list(ids), bool(held)
+        self.trained = np.repeat(trained > 0, self.counts)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        pairs, triples = gram_keys(words, self.counts)
+        self.keys, self.own = [], []
+        for order, found in enumerate((np.append(words, END), pairs, triples)):
+            keys, inverse = np.unique(found, return_inverse=True)
+            self.keys.append(keys)
+            self.own.append(inverse.astype(np.int32)[: len(words) if not order else None])
+        self.end = int(np.searchsorted(self.keys[0], END))
+
+    def _by_bucket(self, order: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket that has keys of an order, with their places in the order of keys."""
+        of = (self.keys[order] >> U64(20)) % U64(buckets)
+        by = np.argsort(of, kind="stable")
+        there, starts = np.unique(of[by], return_index=True)
+        for bucket, own in zip(there.tolist(), np.split(by, starts[1:]), strict=True):
+            yield bucket * ORDERS + order, own
 
     def requests(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         """For each bucket: the keys, and their counts in rows for the weights' estimates and in held-out rows."""
-        fit, held = self.trained & ~self.held, self.trained & self.held
-        for order, (keys, inverse) in enumerate(((self.unigrams, self.word), (self.bigrams, self.pair))):
-            counts = [np.bincount(inverse[mask], minlength=len(keys)).astype(np.uint32) for mask in (fit, held)]
-            of = (keys >> U64(20)) % U64(buckets)
-            by = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[by], np.arange(buckets + 1, dtype=U64))
-            for bucket in range(buckets):
-                own = by[ends[bucket] : ends[bucket + 1]]
-                if len(own):
-                    yield bucket * 2 + order, struct.pack("<q", len(own)) + keys[own].tobytes() + counts[0][own].tobytes() + counts[1][own].tobytes()
-
-    def answers(self, rows: pd.DataFrame, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Counts in the estimates' rows and in all training rows: of the unigrams, then of the bigrams."""
+        for order, keys in enumerate(self.keys):
+            counts = np.bincount(self.own[order][self.trained], minlength=len(keys)).astype(np.uint32)
+            both = (np.zeros_like(counts), counts) if self.held else (counts, np.zeros_like(counts))
+            for bucket, own in self._by_bucket(order, buckets):
+                yield bucket, struct.pack("<q", len(own)) + keys[own].tobytes() + both[0][own].tobytes() + both[1][own].tobytes()
+
+    def answers(self, rows: pd.DataFrame, buckets: int) -> list[np.ndarray]:
+        """For each order: counts in the estimates' rows and in all training rows."""
         expand = zstandard.ZstdDecompressor().decompress
-        got = {b: expand(blob) for b, blob in zip(rows["bucket"], rows["blob"], strict=True)}
+        got = dict(zip(rows["bucket"], rows["blob"], strict=True))
         out = []
-        for order, keys in enumerate((self.unigrams, self.bigrams)):
-            fit, every = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            of = (keys >> U64(20)) % U64(buckets)
-            by = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[by], np.arange(buckets + 1, dtype=U64))
-            for bucket in range(buckets):
-                own = by[ends[bucket] : ends[bucket + 1]]
-                if len(own):
-                    told = np.frombuffer(got[bucket * 2 + order], np.int64).reshape(2, len(own))
-                    fit[own], every[own] = told
-            out.append((fit, every))
+        for order, keys in enumerate(self.keys):
+            counts = np.zeros((2, len(keys)), np.int64)
+            for bucket, own in self._by_bucket(order, buckets):
+                counts[:, own] = np.frombuffer(expand(got[bucket]), np.int64).reshape(2, len(own))
+            out.append(counts)
         return out
 
 
@@ -158,52 +163,57 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     totals = [np.rint(np.bincount(inverse, np.concatenate(x), len(distinct))).astype(np.int64) for x in (fit, held)]
     totals[1] += totals[0]
     rows, at = [], 0
-    for chunk, n in zip(group["chunk"], sizes, strict=True):
+    for chunk, kind, n in zip(group["chunk"], group["held"], sizes, strict=True):
         own = inverse[at : at + n]
-        rows.append((chunk, bucket, squeeze(np.stack([t[own] for t in totals]).tobytes())))
+        rows.append((chunk, kind, bucket, squeeze(np.stack([t[own] for t in totals]).tobytes())))
         at += n
-    if bucket % 2 == 0:
-        rows.append((-1, bucket, struct.pack("<4q", *(int(x) for t in totals for x in ((t > 0).sum(), t.sum())))))
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
+    if bucket % ORDERS == 0:
+        rows.append((-1, -1, bucket, struct.pack(">4q", *(int(x) for t in totals for x in ((t > 0).sum(), t.sum())))))
+    return pd.DataFrame(rows, columns=["chunk", "held", "bucket", "blob"])
+
 
+def _number(digits: Column, i: int) -> Column:
+    """The i-th 64-bit number of a big-endian byte string in hexadecimal."""
+    return F.conv(F.substring(digits, 16 * i + 1, 16), 16, 10).cast("bigint")
 
-def _estimates(own: _Keys, counts: list, which: int, total: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each masked token: the context's bucket, and the estimates from the pair and from the word."""
-    word, context, pair = (counts[i][which][x[mask]] for i, x in ((0, own.word), (0, own.context), (1, own.pair)))
-    bucket = np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), FREQUENCIES - 1), 0)
-    return bucket, pair / np.maximum(context, 1), word / max(total, 1)
 
+def _estimates(own: _Keys, counts: list[np.ndarray], which: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: the context's bucket, and a column of estimates from the triple, the pair and the word."""
+    words, pairs, triples = (c[which] for c in counts)
+    word, pair, triple = words[own.own[0]], pairs[own.own[1]], triples[own.own[2]]
+    context, history = np.roll(word, 1), np.roll(pair, 1)
+    context[own.firsts] = history[own.firsts] = words[own.end]  # before a text's first word: as often as texts end
+    level = lambda n: np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64), FREQUENCIES - 1)
+    bucket = np.where(history > 0, FREQUENCIES + level(history), np.where(context > 0, level(context), 0))
+    return bucket, np.stack([triple / np.maximum(history, 1), pair / np.maximum(context, 1), word / max(total, 1)])
 
-def weights_of(bins: list[tuple[int, float, float, float]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights (pair, word, uniform) of each bucket of contexts by expectation-maximisation.
 
-    bins: bucket, pair estimate, word estimate, number of held-out tokens. A bucket without held-out tokens takes the
-    weights of all together.
+def weights_of(bins: list[tuple[int, float, float, float, float]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights (triple, pair, word, uniform) of each bucket of contexts by expectation-maximisation.
+
+    bins: bucket, estimates of triple, pair and word, number of held-out tokens. A bucket without held-out tokens takes the
+    weights of all together; estimates that a bucket's contexts don't have get no weight.
     """
-    out = np.tile([0.3, 0.6, 0.1], (FREQUENCIES, 1))
-    if not bins:
-        return out
-    rows = np.array(bins, float)
-    every = None
-    for bucket in [None, *range(FREQUENCIES)]:
+    first = np.array([0.3, 0.3, 0.3, 0.1])
+    there = np.ones((2 * FREQUENCIES, 4))
+    there[:FREQUENCIES, 0] = there[0, 1] = 0.0
+    rows = np.array(bins, float).reshape(-1, 5)
+    out, every = np.tile(first, (2 * FREQUENCIES, 1)), first
+    for bucket in [None, *range(2 * FREQUENCIES)]:
         own = rows if bucket is None else rows[rows[:, 0] == bucket]
-        if not len(own):
-            out[bucket] = every
-            continue
-        p = np.stack([own[:, 1], own[:, 2], np.full(len(own), uniform)], 1)
-        mixed = np.array([0.3, 0.6, 0.1])
-        for _ in range(rounds):
-            share = p * mixed
-            share *= (own[:, 3] / share.sum(1))[:, None]
-            mixed = np.maximum(share.sum(0) / own[:, 3].sum(), 1e-6)
-            mixed /= mixed.sum()
+        mixed = every
+        if len(own):
+            p, n = np.column_stack([own[:, 1:4], np.full(len(own), uniform)]), own[:, 4]
+            mixed = first
+            for _ in range(rounds):
+                share = p * mixed
+                share *= (n / share.sum(1))[:, None]
+                mixed = np.maximum(share.sum(0) / n.sum(), 1e-6)
+                mixed = mixed / mixed.sum()
         if bucket is None:
             every = mixed
         else:
-            out[bucket] = mixed
-    # a context that was never seen has no pair estimate
-    out[0, 1:] /= out[0, 1:].sum()
-    out[0, 0] = 0.0
+            out[bucket] = mixed * there[bucket] / (mixed * there[bucket]).sum()
     return out
 
 
@@ -217,58 +227,62 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
     unless the condition says so); repeated rows count and are scored each; an empty table gives no rows; without
     training rows all counts are 0 and the model is uniform; other columns are ignored but for `trained`.
     """
-    source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained_"))
-    size = source.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    chunks = 1 + size // CHUNK_BYTES
-    buckets = 1 + size // (4 * BUCKET_KEYS)
-    # held-out rows have chunks of their own, so that learning the weights reads only those
-    held = F.coalesce(F.col("trained_"), F.lit(False)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD)) == 0)
-    chunk = F.pmod(F.xxhash64("text", "doc_id"), F.lit(chunks)) * 2 + held.cast("int")
-    packed = _pack(source, chunk, held, F.col("trained_"))
-
-    def ask(group: pd.DataFrame) -> pd.DataFrame:
+    source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
+    held = F.col("trained") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD)) == 0)
+    packed = written(_packed(source, held), "packed")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint") + 64), F.lit(0))).first()[0]
+    buckets = 1 + size // BUCKET_BYTES
+    chunk_parts, bucket_parts = (int(min(PARTITIONS, n)) for n in (1 + size // CHUNK_BYTES, ORDERS * buckets))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        number = group["chunk"].iloc[0]
-        rows = [(number, bucket, squeeze(data)) for bucket, data in _Keys(group).requests(buckets)]
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
-
-    asked = packed.groupBy("chunk").applyInPandas(ask, "chunk long, bucket long, blob binary")
-    answers = written(asked.groupBy("bucket").applyInPandas(_add_up, "chunk long, bucket long, blob binary"), "answers")
-    totals = np.zeros(4, np.int64)
-    for r in answers.where(F.col("chunk") == -1).select("blob").collect():  # one small row of each bucket
-        totals += struct.unpack("<4q", r.blob)
-    fit_words, fit_tokens, all_words, all_tokens = (int(x) for x in totals)
-
-    def estimate(own_rows: pd.DataFrame, answer_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(own_rows):
-            return pd.DataFrame({"bucket": [], "pair": [], "word": [], "n": []})
-        own = _Keys(own_rows)
-        bucket, pair, word = _estimates(own, own.answers(answer_rows, buckets), 0, fit_tokens, own.held)
-        bins = [np.where(p > 0, np.minimum(np.rint(-4 * np.log2(np.maximum(p, 1e-30))), 4 * LOW_BINS), -1).astype(np.int64) for p in (pair, word)]
-        found, n = np.unique(np.stack([bucket, *bins]), axis=1, return_counts=True)
-        return pd.DataFrame({"bucket": found[0], "pair": found[1], "word": found[2], "n": n})
-
-    tested = _pack(source.where(held), chunk, held, F.col("trained_"))
-    table_ = tested.groupBy("chunk").cogroup(answers.where((F.col("chunk") >= 0) & (F.col("chunk") % 2 == 1)).groupBy("chunk")).applyInPandas(estimate, "bucket long, pair long, word long, n long")
-    bins = table_.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()  # FREQUENCIES * (4 * LOW_BINS + 2)**2 rows at most
-    back = lambda b: 0.0 if b < 0 else 2.0 ** (-b / 4)
-    mixture = weights_of([(r.bucket, back(r.pair), back(r.word), r.n) for r in bins], 1.0 / (fit_words + 1))
-
-    def tell(own_rows: pd.DataFrame, answer_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(own_rows):
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        own = _Keys(own_rows)
-        counts = own.answers(answer_rows, buckets)
-        seen = counts[0][1][own.word]
+        for batch in batches:
+            for chunk, kind, ids, blob in zip(batch["chunk"], batch["held"], batch["ids"], batch["blob"], strict=True):
+                rows = [(chunk, kind, bucket, squeeze(data)) for bucket, data in _Keys(ids, blob, kind).requests(buckets)]
+                yield pd.DataFrame(rows, columns=["chunk", "held", "bucket", "blob"])
+
+    asked = packed.select("chunk", "held", "ids", "blob").mapInPandas(ask, "chunk long, held int, bucket long, blob binary")
+    answers = written(asked.repartition(bucket_parts, "bucket").groupBy("bucket").applyInPandas(_add_up, "chunk long, held int, bucket long, blob binary"), "answers")
+    told_ = answers.where(F.col("chunk") == -1).select(F.hex("blob").alias("blob"))
+    numbers = [F.sum(_number(F.col("blob"), i)).alias(f"n{i}") for i in range(4)]
+    totals = [int(x or 0) for x in told_.agg(*numbers).first()]
+    fit_words, fit_tokens, all_words, all_tokens = totals
+
+    def with_answers(f, kinds: Column, schema: str) -> DataFrame:
+        """f of each chunk with its answers; the two meet by chunk in as many tasks as there are chunks."""
+        left = packed.where(kinds).select("chunk", "held", "ids", "blob").repartition(chunk_parts, "chunk")
+        right = answers.where(kinds & (F.col("chunk") >= 0)).select("chunk", "bucket", "blob").repartition(chunk_parts, "chunk")
+
+        def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            keys = _Keys(own["ids"].iloc[0], own["blob"].iloc[0], own["held"].iloc[0])
+            return f(keys, keys.answers(rows, buckets))
+
+        return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(run, schema)
+
+    def estimate(own: _Keys, counts: list[np.ndarray]) -> pd.DataFrame:
+        bucket, p = _estimates(own, counts, 0, fit_tokens)
+        code = bucket
+        for x in p:
+            code = code * 64 + np.where(x > 0, 1 + np.clip(np.rint(-np.log2(np.maximum(x, 1e-30))), 0, LOW_BINS).astype(np.int64), 0)
+        found, place = np.unique(code, return_inverse=True)
+        sums = {name: np.bincount(place, x, len(found)) for name, x in zip(("triple", "pair", "word"), p, strict=True)}
+        return pd.DataFrame({"code": found, "n": np.bincount(place, minlength=len(found)), **sums})
+
+    table_ = with_answers(estimate, F.col("held") == 1, "code long, n long, triple double, pair double, word double").groupBy("code")
+    # 2 * FREQUENCIES * (LOW_BINS + 2)**3 rows at most, of which few occur
+    bins = table_.agg(*[F.sum(c).alias(c) for c in ("n", "triple", "pair", "word")]).collect()
+    mixture = weights_of([(r.code >> 18, r.triple / r.n, r.pair / r.n, r.word / r.n, r.n) for r in bins], 1.0 / (fit_words + 1))
+
+    def tell(own: _Keys, counts: list[np.ndarray]) -> pd.DataFrame:
+        seen = counts[0][1][own.own[0]]
         base = np.log10((seen + 1) / (all_tokens + all_words + 1))
-        bucket, pair, word = _estimates(own, counts, 1, all_tokens, np.ones(len(own.words), bool))
-        mixed = mixture[bucket]
-        model = np.log10(mixed[:, 0] * pair + mixed[:, 1] * word + mixed[:, 2] / (all_words + 1))
-        starts = np.cumsum(own.counts) - own.counts
-        ids = pd.Series(own.ids, dtype=object)
-        return pd.DataFrame({"doc_id": ids, "n_tokens": own.counts, "n_known": np.add.reduceat((seen > 0).astype(np.int64), starts), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(model, starts)})
-
-    told = packed.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInPandas(tell, "doc_id string, n_tokens long, n_known long, base_score double, score double")
+        bucket, p = _estimates(own, counts, 1, all_tokens)
+        mixed = mixture[bucket].T
+        model = np.log10((mixed[:3] * p).sum(0) + mixed[3] / (all_words + 1))
+        add = lambda x: np.add.reduceat(x, own.firsts)
+        return pd.DataFrame({"doc_id": pd.Series(own.ids, dtype=object), "n_tokens": own.counts, "n_known": add((seen > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
+
+    told = with_answers(tell, F.lit(True), "doc_id string, n_tokens long, n_known long, base_score double, score double")
     told = told.withColumn("doc_id", F.col("doc_id").cast(source.schema["doc_id"].dataType))
     return told.withColumn("train_tokens", F.lit(all_tokens).cast("bigint"))
 

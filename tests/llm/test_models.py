@@ -93,14 +93,78 @@ def test_lm_base_scores_and_odd_rows(odd, none):
     assert all(r.score < 0 for r in rows) and lm.scored(none, train).count() == 0
 
 
-def test_lm_probabilities_add_up_and_help(spark, documents):
-    """The model beats the base on held-out rows, and with its weights every context's words and the unknown one sum to 1."""
+def test_lm_helps_on_held_out_rows(spark, documents):
     df = spark.createDataFrame(list(documents.items()), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in lm.scored(df, F.col("doc_id") % 5 != 0).collect()}
     held = [r for i, r in rows.items() if i % 5 == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    weights = lm.weights_of([(3, 0.5, 0.1, 10.0), (3, 0.0, 0.2, 5.0), (1, 0.0, 0.01, 3.0)], 0.001)
-    assert np.allclose(weights.sum(1), 1) and weights[0, 0] == 0 and weights[3, 0] > weights[1, 0]
+
+
+def test_weights_are_those_of_plain_expectation_maximisation():
+    bins, b = [(3, 0.0, 0.5, 0.1, 10.0), (3, 0.0, 0.0, 0.2, 5.0), (1, 0.0, 0.0, 0.01, 3.0), (27, 0.5, 0.25, 0.1, 4.0), (27, 0.0, 0.1, 0.3, 2.0)], lm.FREQUENCIES
+    weights = lm.weights_of(bins, 0.001)
+    assert np.allclose(weights.sum(1), 1) and (weights[:b, 0] == 0).all() and weights[0, 1] == 0
+    mixed = [0.3, 0.3, 0.3, 0.1]
+    for _ in range(lm.ROUNDS):
+        got = [0.0] * 4
+        for _, *p, n in (r for r in bins if r[0] == 27):
+            parts = [m * x for m, x in zip(mixed, [*p, 0.001], strict=True)]
+            got = [g + n * x / sum(parts) for g, x in zip(got, parts, strict=True)]
+        got = [max(g / 6, 1e-6) for g in got]
+        mixed = [g / sum(got) for g in got]
+    assert np.allclose(weights[27], mixed)
+
+
+@pytest.mark.parametrize("chunk_bytes", [2_000, 8 << 20])
+def test_lm_scores_by_brute_force(spark, documents, monkeypatch, chunk_bytes):
+    """Counts, estimates, buckets and mixture in plain Python; and a context's words have probabilities that sum to 1."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 50_000)
+    docs = dict(list(documents.items())[:60])
+    docs[10**6] = docs[min(docs)]
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    rows = {r.doc_id: r for r in lm.scored(df, F.col("doc_id") % 5 != 0).collect()}
+    held = {r.doc_id for r in df.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(lm.HELD)) == 0) & (F.col("doc_id") % 5 != 0)).collect()}
+    own = {i: [*words(t), "\0"] for i, t in docs.items()}
+
+    def grams(ws):
+        return [(u, v, w) for u, v, w in zip(["^", "\0", *ws], ["\0", *ws], ws, strict=False)]
+
+    def model(ids):
+        word, pair, triple = Counter(), Counter(), Counter()
+        for i in ids:
+            for u, v, w in grams(own[i]):
+                word[w] += 1
+                pair[v, w] += 1
+                triple[u, v, w] += 1
+        return word, pair, triple, sum(word.values())
+
+    def estimates(m, u, v, w):
+        word, pair, triple, total = m
+        context = word[v]
+        history = word["\0"] if u == "^" else pair[u, v]
+        level = lambda n: min(1 + int(math.log2(n)), lm.FREQUENCIES - 1)
+        bucket = lm.FREQUENCIES + level(history) if history else level(context) if context else 0
+        return bucket, (triple[u, v, w] / max(history, 1), pair[v, w] / max(context, 1), word[w] / total)
+
+    trained = [i for i in docs if i % 5]
+    fit, full = model([i for i in trained if i not in held]), model(trained)
+    bins = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+    for i in held:
+        for gram in grams(own[i]):
+            bucket, p = estimates(fit, *gram)
+            into = bins[(bucket, *(1 + min(lm.LOW_BINS, max(0, int(np.rint(-np.log2(x))))) if x else 0 for x in p))]
+            into[0] += 1
+            for k, x in enumerate(p):
+                into[k + 1] += x
+    assert held and bins
+    weights = lm.weights_of([(k[0], v[1] / v[0], v[2] / v[0], v[3] / v[0], v[0]) for k, v in sorted(bins.items())], 1 / (len(fit[0]) + 1))
+    probability = lambda *gram: (lambda b, p: sum(x * y for x, y in zip(weights[b], (*p, 1 / (len(full[0]) + 1)), strict=True)))(*estimates(full, *gram))
+    for i, ws in own.items():
+        assert rows[i].score == pytest.approx(sum(math.log10(probability(*g)) for g in grams(ws)), rel=1e-6, abs=1e-6)
+    for u, v in [("^", "\0"), *list(full[1])[:20], ("never", "seen"), ("never", own[min(own)][0])]:
+        if v != "\0" or u == "^":
+            assert sum(probability(u, v, w) for w in [*full[0], "never seen"]) == pytest.approx(1)
 
 
 def classes(docs):
