@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import licences, media, packing
@@ -176,28 +178,93 @@ def test_licences_and_inheritance(spark, odd, none):
         ("a/LICENSE", "Released under the MIT License."), ("a/x.py", "code"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("a/b/z.py", ""),
         ("a/b/LICENSE.txt", "intro\nThis work is licensed under the GNU General Public License, version 3."), ("a/b/c/d.py", None), ("top.py", "x"), ("e/f.py", "a licence to print money for all of them"), (None, "Released under the MIT License."),
     ]
-    found = licences.inherited(licences.matched(spark.createDataFrame(files, "path string, text string"))).collect()
+    found = licences.inherited(licences.scored(spark.createDataFrame(files, "path string, text string"))).collect()
     assert {r.path: (r.licence, r.licence_from) for r in found} == {
         "a/LICENSE": ("MIT", "own"), "a/x.py": ("MIT", "a"), "a/b/y.py": ("Apache-2.0", "own"), "a/b/z.py": ("GPL-3.0", "a/b"), "a/b/LICENSE.txt": ("GPL-3.0", "own"),
         "a/b/c/d.py": ("GPL-3.0", "a/b"), "top.py": (None, None), "e/f.py": (None, None), None: ("MIT", "own"),
     }
-    assert licences.matched(odd).count() == odd.count() and licences.matched(none).count() == 0
-
-
-def test_cosines_are_those_of_plain_vectors(spark):
-    texts = ["Licensed under CC BY-NC 4.0.", "This is licensed under CC BY 4.0 or so", "Copyright by nobody", "MIT License and Apache License"]
-    rows = licences.matched(spark.createDataFrame([(t,) for t in texts], "text string"), least=0.0).collect()
-    terms = [licences._terms(t) for t in texts]
-    vocabulary = {t for _, x in licences.TEMPLATES for t in licences._terms(x)}
-    rare = math.log(1 + len(texts)) + 1
-    weight = lambda t: math.log((1 + len(texts)) / (1 + sum(t in x for x in terms))) + 1 if t in vocabulary else rare
-
-    def cosine(a, b):
-        va, vb = ({t: x.count(t) * weight(t) for t in x} for x in (a, b))
-        return sum(va[t] * vb.get(t, 0) for t in va) / math.sqrt(sum(x * x for x in va.values()) * sum(x * x for x in vb.values()))
-
-    for own, row in zip(terms, rows, strict=True):
-        assert row.own_score == pytest.approx(max(cosine(own, licences._terms(x)) for _, x in licences.TEMPLATES), abs=2e-6)
+    clash = spark.createDataFrame([("a/x", "MIT", 0.9, "mine")] * 2, "path string, own_licence string, own_score double, near string").withColumns({c: F.lit("mine") for c in ("depth", "above", "given", "dir", "c0")})
+    assert [r.asDict() for r in licences.inherited(clash).collect()] == [{**r.asDict(), "licence": "MIT", "licence_from": "own"} for r in clash.collect()]
+    assert licences.inherited(licences.scored(none).withColumn("path", F.lit("a"))).count() == 0
+
+
+def plain_licences(texts):
+    """The best template of every window of lines and of the whole, by plain vectors."""
+    terms = [licences._terms(t or "") for t in texts]
+    frequency = Counter(t for x in terms for t in set(x))
+    weight = lambda t: math.log((1 + len(texts)) / (1 + frequency[t])) + 1
+    vector = lambda x: {t: n * weight(t) for t, n in Counter(x).items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    templates = [(i, name, set(names), vector(licences._terms(t))) for i, (name, t, names) in enumerate(licences.TEMPLATES)]
+    out = []
+    for text in texts:
+        lines, units = [licences._terms(line) for line in re.split(licences.CUT, text or "", flags=re.ASCII)], []
+        for width in licences.WIDTHS:
+            step = max(1, width // 4)
+            units += [sum(lines[s : s + width], []) for s in range(0, len(lines) - width // 2, step)]
+        best = (0.0, 0.0, 0, None)
+        for unit in [*units, sum(lines, [])]:
+            own = vector(unit)
+            for i, name, names, other in templates:
+                if own and names <= set(own):
+                    score = round(sum(w * other.get(t, 0) for t, w in own.items()) / (norm(own) * norm(other)), 6)
+                    if score >= licences.LEAST:
+                        best = max(best, (round(score * norm(other), 6), score, -i, name), key=lambda x: x[:3])
+        out.append((best[3], best[1]) if best[3] else (None, None))
+    return out
+
+
+def wrapped(text, prefix, width=70):
+    import textwrap
+
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width))
+
+
+def test_headers_texts_and_tags(spark):
+    """Planted headers (wrapped, as comments), full texts, titles and tags: all found, by plain vectors too, and nothing else."""
+    of = {}
+    for name, text, names in licences.TEMPLATES:
+        if len(text) > 200 and name not in of:
+            of[name] = text
+    gnu = {n: next(t for i, t, _ in licences.TEMPLATES if i == n and len(t) > 200) for n in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0")}
+    prose = "The river runs past the stone bridge and on to the sea.\nNobody knows its name."
+    planted = [(name, f"#!/bin/sh\n{wrapped(text, '# ')}\n\nimport this\n{prose}") for name, text in {**of, **gnu}.items()]
+    planted += [(name, f"{prose}\n{wrapped(text, ' * ', 50)}\n{prose}") for name, text in gnu.items()]
+    planted += [("BSD-2-Clause", of["BSD-2-Clause"]), ("MIT", "Copyright (c) 2021 Jane Roe. Released under the MIT License."), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nint main();"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("ISC", "ISC License"), ("EPL-2.0", "Eclipse Public License 2.0"), ("CC0-1.0", "CC0 1.0 Universal"), ("Unlicense", "Unlicense")]
+    clean = ["License", "a licence to print money", "Version 2.0 of the plan", "SPDX-License-Identifier: Nobody-1.0", "All rights reserved. Copyright by nobody.", "the public and the general", prose, "", None, "mit"]
+    texts = [t for _, t in planted] + clean + [f"{prose} {i} and more of it, word by word" for i in range(60)]
+    rows = {r.i: (r.own_licence, r.own_score) for r in licences.scored(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)).collect()}
+    plain = plain_licences(texts)
+    for i, wanted in enumerate(plain):
+        assert rows[i][0] == wanted[0] and rows[i][1] == pytest.approx(wanted[1], abs=2e-6), texts[i]
+    found = [rows[i][0] for i in range(len(planted))]
+    assert all(f in (None, name) for f, (name, _) in zip(found, planted, strict=True)), [x for x in zip(found, planted, strict=True) if x[0] != x[1][0]]
+    assert sum(f is not None for f in found) >= 0.9 * len(planted), [x for x in zip(found, planted, strict=True) if x[0] is None]
+    assert all(rows[len(planted) + i][0] is None for i in range(len(clean)))
+
+
+def test_licence_query_by_plain_paths(spark, sf_dir):
+    """The query's paths and what is inherited along them, in plain Python."""
+    rows = licences.op4_licences(spark, sf_dir).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and any(r.own_licence for r in rows)
+    for r in rows:
+        digit = f"{zlib.crc32(str(r.doc_id).encode()):08x}"[0]
+        assert r.path == f"{docs[r.doc_id].source or '-'}/{docs[r.doc_id].lang or '-'}/{digit}/{r.doc_id}.txt"
+    firsts = {}
+    for r in sorted((r for r in rows if r.own_licence), key=lambda r: r.doc_id):
+        firsts.setdefault(r.path.rsplit("/", 1)[0], r.own_licence)
+    for r in rows:
+        above = r.path.rsplit("/", 1)[0]
+        while above and above not in firsts:
+            above = above.rsplit("/", 1)[0] if "/" in above else ""
+        assert (r.licence, r.licence_from) == ((r.own_licence, "own") if r.own_licence else (firsts.get(above), above or None))
+    texts = [docs[r.doc_id].text for r in rows]
+    named = [r.own_licence for r in rows]
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    for text, own in zip(texts, named, strict=True):
+        there = {v for k, v in lines.items() if k in (text or "").split("\n")}
+        assert (own in there) if there else own is None
 
 
 def test_licences_do_not_vanish_as_tables_grow(spark):
