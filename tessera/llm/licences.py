@@ -48,7 +48,7 @@ _GNU = (
     "You should have received a copy of the GNU {name} General Public License along with this program. If not, see http://www.gnu.org/licenses/."
 )
 TEXTS = (
-    ("MIT", "Released under the MIT License.", "mit"),
+    ("MIT", "Released under the MIT License.", "mit license"),
     ("MIT", "MIT License", "mit license"),
     ("MIT", _MIT + _MIT_WARRANTY, ""),
     ("MIT", _MIT, ""),
@@ -143,7 +143,7 @@ def vectors(weights: dict[str, float]) -> list[dict[str, float]]:
 def needed_terms(weights: dict[str, float], least: float = LEAST) -> list[str]:
     """Terms of which a statement has at least one if its cosine to any template is `least`.
 
-    A template with names has them all; of another, the heaviest terms whose rest is too light to reach `least` by itself.
+    Of a template with names, the rarest of them; of another, the rarest terms without which the rest is too light to reach `least`.
     """
     out: set[str] = set()
     for (_, _, names), vector in zip(TEMPLATES, vectors(weights), strict=True):
@@ -151,7 +151,7 @@ def needed_terms(weights: dict[str, float], least: float = LEAST) -> list[str]:
             out.add(max(names, key=lambda t: (weights[t], t)))
             continue
         rest = 1.0
-        for t in sorted(vector, key=lambda t: (-vector[t], t)):
+        for t in sorted(vector, key=lambda t: (-weights[t], t)):
             if rest < (least - 1e-6) ** 2:
                 break
             out.add(t)
