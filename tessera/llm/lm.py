@@ -129,43 +129,51 @@ class _Keys:
         """For each bucket: the keys, and their counts in rows for the weights' estimates and in held-out rows."""
         for order, keys in enumerate(self.keys):
             counts = np.bincount(self.own[order][self.trained], minlength=len(keys)).astype(np.uint32)
-            both = (np.zeros_like(counts), counts) if self.held else (counts, np.zeros_like(counts))
             for bucket, own in self._by_bucket(order, buckets):
-                yield bucket, struct.pack("<q", len(own)) + keys[own].tobytes() + both[0][own].tobytes() + both[1][own].tobytes()
+                yield bucket, _squeezed(np.diff(keys[own], prepend=U64(0))) + counts[own].tobytes()
 
     def answers(self, rows: pd.DataFrame, buckets: int) -> list[np.ndarray]:
-        """For each order: counts in the estimates' rows and in all training rows."""
+        """For each order: counts in all training rows, of a chunk that is held out in the estimates' rows."""
         expand = zstandard.ZstdDecompressor().decompress
         got = dict(zip(rows["bucket"], rows["blob"], strict=True))
         out = []
         for order, keys in enumerate(self.keys):
-            counts = np.zeros((2, len(keys)), np.int64)
+            counts = np.zeros((1 + self.held, len(keys)), np.int64)
             for bucket, own in self._by_bucket(order, buckets):
-                counts[:, own] = np.frombuffer(expand(got[bucket]), np.int64).reshape(2, len(own))
+                counts[:, own] = _expanded(expand(got[bucket]), np.int64).reshape(1 + self.held, len(own))
             out.append(counts)
         return out
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte, so that those bytes that are mostly zero stand together and are compressed away."""
+    return struct.pack("<q", numbers.size) + np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T).tobytes()
+
+
+def _expanded(data: bytes, kind: type) -> np.ndarray:
+    (n,) = struct.unpack_from("<q", data)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T).view(kind).ravel()
+
+
 def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     """A bucket's totals, as answers to its chunks; chunk -1 has the numbers of words and tokens of both kinds of rows."""
     squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
     bucket = int(group["bucket"].iloc[0])
-    keys, fit, held, sizes = [], [], [], []
+    keys, counts = [], []
     for blob in group["blob"]:
         data = expand(blob)
-        (n,) = struct.unpack_from("<q", data)
-        keys.append(np.frombuffer(data, U64, n, 8))
-        fit.append(np.frombuffer(data, np.uint32, n, 8 + 8 * n))
-        held.append(np.frombuffer(data, np.uint32, n, 8 + 12 * n))
-        sizes.append(n)
+        keys.append(np.cumsum(_expanded(data, U64), dtype=U64))
+        counts.append(np.frombuffer(data, np.uint32, len(keys[-1]), 8 + 8 * len(keys[-1])))
+    sizes = [len(x) for x in keys]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     del keys
-    totals = [np.rint(np.bincount(inverse, np.concatenate(x), len(distinct))).astype(np.int64) for x in (fit, held)]
-    totals[1] += totals[0]
+    held = np.repeat(group["held"].to_numpy() == 1, sizes)
+    every = np.concatenate(counts)
+    totals = [np.rint(np.bincount(inverse, x, len(distinct))).astype(np.int64) for x in (np.where(held, 0, every), every)]
     rows, at = [], 0
     for chunk, kind, n in zip(group["chunk"], group["held"], sizes, strict=True):
         own = inverse[at : at + n]
-        rows.append((chunk, kind, bucket, squeeze(np.stack([t[own] for t in totals]).tobytes())))
+        rows.append((chunk, kind, bucket, squeeze(_squeezed(np.concatenate([t[own] for t in (totals if kind else totals[1:])])))))
         at += n
     if bucket % ORDERS == 0:
         rows.append((-1, -1, bucket, struct.pack(">4q", *(int(x) for t in totals for x in ((t > 0).sum(), t.sum())))))
@@ -179,7 +187,7 @@ def _number(digits: Column, i: int) -> Column:
 
 def _estimates(own: _Keys, counts: list[np.ndarray], which: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each token: the context's bucket, and a column of estimates from the triple, the pair and the word."""
-    words, pairs, triples = (c[which] for c in counts)
+    words, pairs, triples = (c[which] for c in counts)  # 0: the estimates' rows of a chunk that is held out; -1: all
     word, pair, triple = words[own.own[0]], pairs[own.own[1]], triples[own.own[2]]
     context, history = np.roll(word, 1), np.roll(pair, 1)
     context[own.firsts] = history[own.firsts] = words[own.end]  # before a text's first word: as often as texts end
@@ -274,9 +282,9 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
     mixture = weights_of([(r.code >> 18, r.triple / r.n, r.pair / r.n, r.word / r.n, r.n) for r in bins], 1.0 / (fit_words + 1))
 
     def tell(own: _Keys, counts: list[np.ndarray]) -> pd.DataFrame:
-        seen = counts[0][1][own.own[0]]
+        seen = counts[0][-1][own.own[0]]
         base = np.log10((seen + 1) / (all_tokens + all_words + 1))
-        bucket, p = _estimates(own, counts, 1, all_tokens)
+        bucket, p = _estimates(own, counts, -1, all_tokens)
         mixed = mixture[bucket].T
         model = np.log10((mixed[:3] * p).sum(0) + mixed[3] / (all_words + 1))
         add = lambda x: np.add.reduceat(x, own.firsts)
