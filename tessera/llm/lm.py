@@ -29,7 +29,7 @@ from tessera.llm.common import slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
 #: Bytes of text of a chunk, and of the text whose keys a bucket has, about; and most partitions of a shuffle.
-CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 8 << 20, 16 << 20, 20_000
+CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 16 << 20, 16 << 20, 20_000
 #: One training document in so many is held out for the weights.
 HELD = 10
 #: Contexts are put in a bucket by the binary logarithm of their frequency; 0 has those never seen. Pairs have buckets after those of words.
