@@ -10,7 +10,8 @@ its distinct keys (hashes of words, pairs and triples) by sending them, with its
 bucket adds up and answers each chunk in the order of its keys. A key travels at most once from each chunk, and a frequent
 one is one entry of a chunk like any other, so that buckets are even. Keys and answers travel as packed arrays; chunks and
 buckets have a fixed size, and tasks follow their numbers. The driver sees only totals and a table of the held-out words'
-estimates in bins. Words are told apart by 64-bit hashes.
+estimates in bins. Words are told apart by 64-bit hashes, pairs and triples by 56 bits of theirs (less is sent; of 10**13 different
+triples one in 7,000 would share another's).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tessera.llm.common import slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
 #: Bytes of text of a chunk, and of the text whose keys a bucket has, about; and most partitions of a shuffle.
-CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 16 << 20, 16 << 20, 20_000
+CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 8 << 20, 8 << 20, 20_000
 #: One training document in so many is held out for the weights.
 HELD = 10
 #: Contexts are put in a bucket by the binary logarithm of their frequency; 0 has those never seen. Pairs have buckets after those of words.
@@ -61,10 +62,10 @@ def gram_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     firsts = np.cumsum(counts) - counts
     before = np.roll(keys, 1)
     before[firsts] = END
-    pairs = mix(before * U64(0x9E3779B97F4A7C15) + keys)
+    pairs = mix(before * U64(0x9E3779B97F4A7C15) + keys) >> U64(8)
     history = np.roll(pairs, 1)
     history[firsts] = START
-    return pairs, mix(history * U64(0xD6E8FEB86659FD93) + keys)
+    return pairs, mix(history * U64(0xD6E8FEB86659FD93) + keys) >> U64(8)
 
 
 def _packed(docs: DataFrame, held: Column) -> DataFrame:
