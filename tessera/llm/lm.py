@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ FREQUENCIES = 24
 #: Bins of an estimate's binary logarithm for the weights; the last has all below.
 LOW_BINS = 40
 ROUNDS = 60
+#: Tokens that are mixed at a time.
+SLICE_TOKENS = 1 << 17
 #: The key of the end of a text, which is also the context of its first word, and that of the pair before its first word.
 END, START = U64(0x5DEECE66D1CE4E5B), U64(0x2545F4914F6CDD1D)
 #: Orders of keys: words, pairs, triples.
@@ -118,20 +121,20 @@ class _Keys:
             self.own.append(inverse.astype(np.int32)[: len(words) if not order else None])
         self.end = int(np.searchsorted(self.keys[0], END))
 
-    def _by_bucket(self, order: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket that has keys of an order, with their places in the order of keys."""
-        of = (self.keys[order] >> U64(20)) % U64(buckets)
-        by = np.argsort(of, kind="stable")
-        there, starts = np.unique(of[by], return_index=True)
-        for bucket, own in zip(there.tolist(), np.split(by, starts[1:]), strict=True):
-            yield bucket * ORDERS + order, own
+    def _by_bucket(self, order: int, buckets: int) -> Iterator[tuple[int, slice]]:
+        """Each bucket that has keys of an order, with their places."""
+        # a bucket is a range of keys, in which the differences of neighbours are small
+        width = (1 << (56 if order else 64)) // buckets + 1
+        starts = np.searchsorted(self.keys[order], np.array([min(width * i, (1 << 64) - 1) for i in range(buckets + 1)], U64))
+        for bucket in np.flatnonzero(np.diff(starts)).tolist():
+            yield bucket * ORDERS + order, slice(starts[bucket], starts[bucket + 1])
 
     def requests(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         """For each bucket: the keys, and their counts in rows for the weights' estimates and in held-out rows."""
         for order, keys in enumerate(self.keys):
             counts = np.bincount(self.own[order][self.trained], minlength=len(keys)).astype(np.uint32)
             for bucket, own in self._by_bucket(order, buckets):
-                yield bucket, _squeezed(np.diff(keys[own], prepend=U64(0))) + counts[own].tobytes()
+                yield bucket, _squeezed(np.diff(keys[own], prepend=U64(0))) + _planes(counts[own])
 
     def answers(self, rows: pd.DataFrame, buckets: int) -> list[np.ndarray]:
         """For each order: counts in all training rows, of a chunk that is held out in the estimates' rows."""
@@ -141,14 +144,19 @@ class _Keys:
         for order, keys in enumerate(self.keys):
             counts = np.zeros((1 + self.held, len(keys)), np.int64)
             for bucket, own in self._by_bucket(order, buckets):
-                counts[:, own] = _expanded(expand(got[bucket]), np.int64).reshape(1 + self.held, len(own))
+                counts[:, own] = _expanded(expand(got[bucket]), np.int64).reshape(1 + self.held, -1)
             out.append(counts)
         return out
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that those bytes that are mostly zero stand together and are compressed away."""
+    return np.ascontiguousarray(np.ascontiguousarray(numbers).reshape(-1, 1).view(np.uint8).T).tobytes()
+
+
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers, byte by byte, so that those bytes that are mostly zero stand together and are compressed away."""
-    return struct.pack("<q", numbers.size) + np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T).tobytes()
+    """How many 64-bit numbers there are, and their planes."""
+    return struct.pack("<q", numbers.size) + _planes(numbers)
 
 
 def _expanded(data: bytes, kind: type) -> np.ndarray:
@@ -164,7 +172,8 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     for blob in group["blob"]:
         data = expand(blob)
         keys.append(np.cumsum(_expanded(data, U64), dtype=U64))
-        counts.append(np.frombuffer(data, np.uint32, len(keys[-1]), 8 + 8 * len(keys[-1])))
+        n = len(keys[-1])
+        counts.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 8 + 8 * n).reshape(4, n).T).view(np.uint32).ravel())
     sizes = [len(x) for x in keys]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     del keys
@@ -188,10 +197,10 @@ def _number(digits: Column, i: int) -> Column:
 
 def _estimates(own: _Keys, counts: list[np.ndarray], which: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each token: the context's bucket, and a column of estimates from the triple, the pair and the word."""
-    words, pairs, triples = (c[which] for c in counts)  # 0: the estimates' rows of a chunk that is held out; -1: all
-    word, pair, triple = words[own.own[0]], pairs[own.own[1]], triples[own.own[2]]
+    # row 0 has the estimates' rows, of a chunk that is held out; row -1 all
+    word, pair, triple = (c[which][x] for c, x in zip(counts, own.own, strict=True))
     context, history = np.roll(word, 1), np.roll(pair, 1)
-    context[own.firsts] = history[own.firsts] = words[own.end]  # before a text's first word: as often as texts end
+    context[own.firsts] = history[own.firsts] = counts[0][which][own.end]  # before a text's first word: as often as texts end
     level = lambda n: np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64), FREQUENCIES - 1)
     bucket = np.where(history > 0, FREQUENCIES + level(history), np.where(context > 0, level(context), 0))
     return bucket, np.stack([triple / np.maximum(history, 1), pair / np.maximum(context, 1), word / max(total, 1)])
@@ -264,7 +273,9 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
 
         def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             keys = _Keys(own["ids"].iloc[0], own["blob"].iloc[0], own["held"].iloc[0])
-            return f(keys, keys.answers(rows, buckets))
+            counts = keys.answers(rows, buckets)
+            pa.default_memory_pool().release_unused()
+            return f(keys, counts)
 
         return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(run, schema)
 
@@ -286,8 +297,11 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
         seen = counts[0][-1][own.own[0]]
         base = np.log10((seen + 1) / (all_tokens + all_words + 1))
         bucket, p = _estimates(own, counts, -1, all_tokens)
-        mixed = mixture[bucket].T
-        model = np.log10((mixed[:3] * p).sum(0) + mixed[3] / (all_words + 1))
+        model = np.empty(len(seen))
+        for i in range(0, len(seen), SLICE_TOKENS):
+            part = slice(i, i + SLICE_TOKENS)
+            mixed = mixture[bucket[part]].T
+            model[part] = np.log10((mixed[:3] * p[:, part]).sum(0) + mixed[3] / (all_words + 1))
         add = lambda x: np.add.reduceat(x, own.firsts)
         return pd.DataFrame({"doc_id": pd.Series(own.ids, dtype=object), "n_tokens": own.counts, "n_known": add((seen > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
 
