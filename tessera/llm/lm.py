@@ -31,7 +31,7 @@ from tessera.llm.common import slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
 #: Bytes of text of a chunk, and of the text whose keys a bucket has, about; and most partitions of a shuffle.
-CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 8 << 20, 8 << 20, 20_000
+CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 6 << 20, 8 << 20, 20_000
 #: One training document in so many is held out for the weights.
 HELD = 10
 #: Contexts are put in a bucket by the binary logarithm of their frequency; 0 has those never seen. Pairs have buckets after those of words.
@@ -115,10 +115,13 @@ class _Keys:
         self.firsts = np.cumsum(self.counts) - self.counts
         pairs, triples = gram_keys(words, self.counts)
         self.keys, self.own = [], []
-        for order, found in enumerate((np.append(words, END), pairs, triples)):
-            keys, inverse = np.unique(found, return_inverse=True)
+        raw = [np.append(words, END), pairs, triples]
+        del words, pairs, triples
+        while raw:
+            keys, inverse = np.unique(raw.pop(0), return_inverse=True)
             self.keys.append(keys)
-            self.own.append(inverse.astype(np.int32)[: len(words) if not order else None])
+            self.own.append(inverse.astype(np.int32))
+        self.own[0] = self.own[0][:-1]
         self.end = int(np.searchsorted(self.keys[0], END))
 
     def _by_bucket(self, order: int, buckets: int) -> Iterator[tuple[int, slice]]:

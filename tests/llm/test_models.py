@@ -115,7 +115,7 @@ def test_weights_are_those_of_plain_expectation_maximisation():
     assert np.allclose(weights[27], mixed)
 
 
-@pytest.mark.parametrize("chunk_bytes", [2_000, 8 << 20])
+@pytest.mark.parametrize("chunk_bytes", [2_000, 6 << 20])
 def test_lm_scores_by_brute_force(spark, documents, monkeypatch, chunk_bytes):
     """Counts, estimates, buckets and mixture in plain Python; and a context's words have probabilities that sum to 1."""
     monkeypatch.setattr(lm, "CHUNK_BYTES", chunk_bytes)
