@@ -93,6 +93,59 @@ def distinct_relations(relations: DataFrame) -> DataFrame:
     return keyed.unionByName(relations.where("source_memory_id IS NULL"))
 
 
+def list_entities(entities: DataFrame, kind: str | None = None, scope: str | None = None, limit: int = 50) -> DataFrame:
+    """Entities of a type or a scope, the last seen first."""
+    for column, value in (("type", kind), ("scope_hash", scope)):
+        entities = entities if value is None else entities.where(F.col(column) == value)
+    return entities.orderBy(F.desc("last_seen_at"), "id").limit(limit)
+
+
+def mark_superseded(relations: DataFrame, ids: DataFrame, at: str, key: str = "ord") -> DataFrame:
+    """relations with superseded_at set, and not active any more, where their key is among the ids; an earlier time stays."""
+    hit = ids.select(key, F.lit(True).alias("hit_")).distinct()
+    old = F.col("superseded_at") if "superseded_at" in relations.columns else F.lit(None).cast("timestamp_ntz")
+    marked = relations.withColumn("superseded_at", old).join(hit, key, "left")
+    now = F.when(F.col("hit_"), F.coalesce("superseded_at", F.expr(f"TIMESTAMP_NTZ '{at}'"))).otherwise(F.col("superseded_at"))
+    return marked.withColumns({"superseded_at": now, "active": F.col("active") & F.col("hit_").isNull()}).drop("hit_")
+
+
+def supersedes_for(supersedes: DataFrame, memory: str) -> DataFrame:
+    """What a memory replaces: older, decided_at, the latest first."""
+    return supersedes.where(F.col("newer") == memory).select("older", "decided_at").orderBy(F.desc("decided_at"), "older")
+
+
+def superseded_by(supersedes: DataFrame, memory: str) -> DataFrame:
+    """What replaces a memory: newer, decided_at, the latest first."""
+    return supersedes.where(F.col("older") == memory).select("newer", "decided_at").orderBy(F.desc("decided_at"), "newer")
+
+
+def ingest(entities: DataFrame, relations: DataFrame, memories: DataFrame, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges of what was extracted from memories.
+
+    entities: memory_id, type, name, at, seq, context, confidence; relations: memory_id, subject_type, subject, predicate,
+    object_type, object, confidence, ord; memories: memory_id, scope_hash. Entities of relations' ends are added where
+    they aren't told; each memory mentions its entities. Edges: subject_id, predicate, object_id, source_memory_id,
+    confidence, active, ord.
+    """
+    ends = [relations.select("memory_id", F.col(f"{e}_type").alias("type"), F.col(e).alias("name"), F.col("ord").alias("seq"), "confidence") for e in ("subject", "object")]
+    told = entities.select("memory_id", "type", "name", "at", "seq", "context", "confidence")
+    every = told.unionByName(ends[0].union(ends[1]).where(F.col("confidence") >= least), allowMissingColumns=True).where(F.col("type").isin(*ENTITY_TYPES) & (F.trim("name") != ""))
+    named = every.join(memories, "memory_id").withColumn("id", entity_id(F.col("type"), F.col("name")))
+    node = F.concat(F.lit("memory:"), F.col("memory_id"))
+    mentions = named.groupBy("memory_id", "id").agg(F.max("confidence").alias("confidence"), F.min("seq").alias("ord"))
+    mentions = mentions.select(node.alias("subject_id"), F.lit("mentions").alias("predicate"), F.col("id").alias("object_id"), node.alias("source_memory_id"), "confidence", F.lit(True).alias("active"), "ord")
+    raw = relations.select(entity_id(F.col("subject_type"), F.col("subject")).alias("subject_id"), "predicate", entity_id(F.col("object_type"), F.col("object")).alias("object_id"), node.alias("source_memory_id"), "confidence", F.lit(True).alias("active"), "ord")
+    return upsert_entities(named), mentions.unionByName(distinct_relations(normalise_relations(raw, least)))
+
+
+def ingest_stats(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """added, updated, unchanged of new rows against a table, by the key and a hash of the other columns they share."""
+    shared = [c for c in new.columns if c in old.columns and c != key]
+    before = old.select(key, F.xxhash64(*shared).alias("was_"))
+    rows = new.select(key, F.xxhash64(*shared).alias("is_")).join(before, key, "left")
+    return rows.agg(F.count_if(F.col("was_").isNull()).alias("added"), F.count_if(F.col("was_") != F.col("is_")).alias("updated"), F.count_if(F.col("was_") == F.col("is_")).alias("unchanged"))
+
+
 def get_relations(relations: DataFrame, subject: str | None = None, object_: str | None = None, predicate: str | None = None, *, active: bool = True) -> DataFrame:
     for column, value in (("subject_id", subject), ("object_id", object_), ("predicate", predicate)):
         if value is not None:
@@ -116,15 +169,15 @@ def memories_about(relations: DataFrame, node: str, memories: DataFrame | None =
 
 
 def conflicts(relations: DataFrame, predicates: tuple[str, ...] = CONFLICTING) -> DataFrame:
-    """Unordered pairs of memories whose active relations share subject and predicate but not the object: memory_a, memory_b.
+    """Groups of conflicting memories, as members: subject_id, predicate, object_id, memory_id.
 
-    Relations are first reduced to distinct (subject, predicate, object, memory), so that repeats don't multiply.
+    A group is the active relations of a subject and predicate of which there are two objects and two memories or more; two of its members
+    with different objects are in conflict. One row for each member: the pairs of a group, which grow with its square, aren't made.
     """
-    rows = relations.where(F.col("active") & F.col("source_memory_id").isNotNull() & F.col("predicate").isin(*predicates)).select("subject_id", "predicate", "object_id", "source_memory_id").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.subject_id") == F.col("b.subject_id")) & (F.col("a.predicate") == F.col("b.predicate"))
-    pairs = a.join(b, same & (F.col("a.source_memory_id") < F.col("b.source_memory_id")) & (F.col("a.object_id") != F.col("b.object_id")))
-    return pairs.select(F.col("a.source_memory_id").alias("memory_a"), F.col("b.source_memory_id").alias("memory_b")).distinct()
+    rows = relations.where(F.col("active") & F.col("source_memory_id").isNotNull() & F.col("predicate").isin(*predicates)).select("subject_id", "predicate", "object_id", F.col("source_memory_id").alias("memory_id")).distinct()
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("object_id", "memory_id") for f, n in ((F.min, "low"), (F.max, "high"))]
+    groups = rows.groupBy("subject_id", "predicate").agg(*bounds).where("low_object_id <> high_object_id AND low_memory_id <> high_memory_id")
+    return rows.join(groups.select("subject_id", "predicate"), ["subject_id", "predicate"], "left_semi").select("subject_id", "predicate", "object_id", "memory_id")
 
 
 def n_hop(relations: DataFrame, seeds: DataFrame, depth: int, *, memory_nodes: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -176,3 +176,16 @@ def mark_sensitive(memories: DataFrame, scopes: DataFrame) -> DataFrame:
     plain = F.regexp_replace("body_path", r"\.enc$", "")
     hit = F.coalesce("hit_", F.lit(False))
     return joined.withColumn("body_path", F.when(hit, F.concat(plain, F.lit(".enc"))).otherwise(plain)).withColumn("scope_sensitive", hit).select(*memories.columns)
+
+
+def list_promotions(promotions: DataFrame, sensitive: DataFrame, granted: DataFrame | None = None, status: str | None = "pending", scope: str | None = None, limit: int = 50) -> DataFrame:
+    """Candidates of a status and scope, the newest first; those of sensitive scopes only where they are granted."""
+    rows = promotions if status is None else promotions.where(F.col("status") == status)
+    rows = rows if scope is None else rows.where(F.col("scope_hash") == scope)
+    hidden = sensitive.select("scope_hash") if granted is None else sensitive.select("scope_hash").join(granted.select("scope_hash"), "scope_hash", "left_anti")
+    return rows.join(hidden, "scope_hash", "left_anti").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def list_pending(promotions: DataFrame, limit: int = 200) -> DataFrame:
+    """Pending candidates by id, the last first."""
+    return promotions.where("status = 'pending'").orderBy(F.desc("id")).limit(limit)

@@ -186,3 +186,24 @@ def vector_upsert(index: DataFrame | None, chunks: DataFrame, embed, model: str)
         return fresh.withColumn("embedding", embed("content"))
     stays = index.join(fresh.select("source").distinct(), "source", "left_anti").unionByName(index.join(fresh.select("chunk_id"), "chunk_id", "left_semi").join(fresh.select("source").distinct(), "source", "left_semi").select(*index.columns))
     return stays.unionByName(fresh.join(index.select("chunk_id"), "chunk_id", "left_anti").withColumn("embedding", embed("content")).select(*index.columns))
+
+
+def vector_query(index: DataFrame, condition: str, limit: int | None = None, key: str = "chunk_id") -> DataFrame:
+    """Rows of an index by a condition over its plain columns, without a vector."""
+    rows = index.where(condition)
+    return rows if limit is None else rows.orderBy(key).limit(limit)
+
+
+def vector_delete(index: DataFrame, gone: DataFrame, by: str = "source") -> DataFrame:
+    """The index without the rows of some sources (or chunks)."""
+    return index.join(gone.select(by).distinct(), by, "left_anti").select(*index.columns)
+
+
+def vector_count(index: DataFrame, by: str = "source") -> DataFrame:
+    """Rows of each source."""
+    return index.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def dense_bm25(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:
+    """id, score: reciprocal ranks of two retrievers (id, rank), divided by what a first place in both would have."""
+    return fuse((dense, 1.0), (sparse, 1.0)).withColumn("score", F.col("score") / (2.0 / (k + 1)))

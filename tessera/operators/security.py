@@ -81,3 +81,10 @@ def encrypted(df: DataFrame, column: str, key: str, aad: str = "scope_hash") ->
 
 def decrypted(df: DataFrame, column: str, key: str, aad: str = "scope_hash") -> DataFrame:
     return df.withColumn(column, F.expr(f"cast(aes_decrypt(unbase64({column}), unhex('{key}'), 'GCM', 'DEFAULT', {aad}) AS string)"))
+
+
+def register_scopes(registry: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """The deny list (scope_hash, scope_root, at) with scopes added (a later row replaces its hash's) and removed."""
+    rows = registry.withColumn("new_", F.lit(0)).unionByName(added.withColumn("new_", F.lit(1)))
+    last = rows.groupBy("scope_hash").agg(F.max(F.struct("new_", "at", "scope_root")).alias("last")).select("scope_hash", "last.scope_root", "last.at")
+    return last if removed is None else last.join(removed.select("scope_hash"), "scope_hash", "left_anti")

@@ -106,3 +106,28 @@ def export_bundle(entries: DataFrame, spill: int = SPILL_BYTES) -> DataFrame:
     big = F.octet_length("content") > spill
     spilled = entries.withColumns({"content_ref": F.when(big, F.concat(F.lit("chunks/"), F.sha2("content", 256))), "content": F.when(~big, F.col("content"))})
     return spilled.select("id", F.to_json(F.struct(*spilled.columns)).alias("line"))
+
+
+def local_entries(entries: DataFrame, local: DataFrame, landing: DataFrame) -> DataFrame:
+    """id, content_hash, found_in: what a bundle's entries meet: the own entry, else one that an earlier import left in the landing table."""
+    own = local.select("id", F.struct("content_hash").alias("own_"))
+    other = landing.select("id", F.struct("content_hash").alias("landed_"))
+    rows = entries.select("id").join(own, "id", "left").join(other, "id", "left")
+    where = F.when(F.col("own_").isNotNull(), "memories").when(F.col("landed_").isNotNull(), "landing")
+    return rows.select("id", F.coalesce("own_", "landed_")["content_hash"].alias("content_hash"), where.alias("found_in"))
+
+
+def imported(local: DataFrame, remote: DataFrame, strategy: str = "merge") -> tuple[DataFrame, DataFrame]:
+    """The entries after an import under a strategy, and the landing table: entries that wait for a decision.
+
+    New entries are taken under all; of those on both sides merge joins the fields, prefer-local and ask keep the own one
+    (ask lands those that differ), and prefer-remote takes the other.
+    """
+    actions = import_bundle(local, remote, strategy)
+    columns = local.columns
+    if strategy == "merge":
+        return merge_entries(local, remote).select(*[c for c in columns if c != "merge_notes"], "merge_notes"), remote.limit(0)
+    taken = actions.where(F.col("action").isin("imported", "replaced")).select("id")
+    kept = local.join(actions.where("action = 'replaced'").select("id"), "id", "left_anti").select(*columns)
+    after = kept.unionByName(remote.join(taken, "id", "left_semi").select(*columns))
+    return after, remote.join(actions.where("action = 'pending'").select("id"), "id", "left_semi").select(*columns)

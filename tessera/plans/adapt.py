@@ -108,7 +108,6 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .where(F.col("l_quantity") >= 49)
         .select(
             F.concat(F.lit("entity:person:customer_"), F.col("o_custkey")).alias("subject_id"), F.lit("uses").alias("predicate"), F.concat(F.lit("entity:tool:"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_"))).alias("object_id"), F.concat(F.lit("memory:o"), F.col("o_orderkey")).alias("source_memory_id"), F.lit(0.7).alias("confidence"), (F.col("l_linenumber") != 3).alias("active"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")
         )
@@ -133,7 +132,7 @@ def entries(spark: SparkSession, sf_dir: str, *, remote: bool) -> DataFrame:
         docs = docs.where(i % 9 != 0)
     content = F.when(i % 4 == 1, F.concat(body, F.lit(" edited"))).otherwise(body) if remote else body
     moved = F.when(i % 4 == 1, F.when(i % 8 == 1, 100).otherwise(-100)).otherwise(0) if remote else F.lit(0)
-    docs = docs if remote else docs.where(i % 13 != 0)
+    docs = docs if remote else docs.where((i % 13 != 0) | (i % 9 == 0))
     side = "r" if remote else "l"
     return docs.select(
         F.concat(F.lit("doc-"), i).alias("id"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
 from tessera.operators import graph, lifecycle, listing, search, security, sync, trends
-from tessera.plans import adapt, oracles
+from tessera.plans import adapt, more, oracles
 from tessera.plans.adapt import EVENTS_NOW, NOW, read, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +101,8 @@ def _knn(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 def _keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    found = search.keyword_lines(adapt.memories(spark, d), r"\bwas\b").orderBy("slug").limit(40)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy("slug"))).select(F.regexp_extract("slug", r"(\d+)$", 1).cast("bigint").alias("id"), "rank")
+    found = search.keyword_lines(adapt.memories(spark, d), r"\bwas\b").orderBy("line", "slug").limit(40)  # those that say it first
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("line", "slug"))).select(F.regexp_extract("slug", r"(\d+)$", 1).cast("bigint").alias("id"), "rank")
 
 
 def _vector_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -273,8 +273,8 @@ def queries() -> dict[str, Query]:
         "month_report": _two(partial(trends.month_report, year=2024, month=1), adapt.memories, adapt.promotions, adapt.sensitive_scopes),
         "weekly_signals": _two(partial(trends.weekly_signals, now="2024-01-20 00:00:00"), adapt.memories, adapt.promotions, adapt.triggers),
     }
-    return found
+    return found | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | more.sql()

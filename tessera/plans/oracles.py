@@ -32,11 +32,11 @@ TABLES = {
       UNION ALL SELECT 'entity:place:' || replace(lower(n_name), ' ', '_'), 'belongs_to', 'entity:place:' || replace(lower(r_name), ' ', '_'), NULL, TRUE, n_nationkey
       FROM nation JOIN region ON n_regionkey = r_regionkey
       UNION ALL SELECT 'entity:person:customer_' || o_custkey, 'uses', 'entity:tool:' || replace(lower(p_brand), '#', '_'), 'memory:o' || o_orderkey, l_linenumber <> 3, l_orderkey * 10 + l_linenumber
-      FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49""",
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""",
     "chain": """SELECT 'memory:o' || o_orderkey AS newer, 'memory:o' || lag(o_orderkey) OVER w AS older, 'entity:person:customer_' || o_custkey AS entity_id, (o_orderkey % 100) / 100.0::DOUBLE AS confidence,
       o_orderkey, o_orderdate, o_custkey, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "mine": """SELECT 'doc-' || doc_id AS id, sha256(coalesce(text, '')) AS content_hash, 'scope-' || source AS scope, CASE WHEN doc_id % 5 = 0 THEN 'l-kind' ELSE 'fact' END AS memory_type,
-      doc_id * 10.0::DOUBLE AS created_at, doc_id * 10.0::DOUBLE + 5 AS updated_at, lang, doc_id FROM documents WHERE doc_id % 13 <> 0""",
+      doc_id * 10.0::DOUBLE AS created_at, doc_id * 10.0::DOUBLE + 5 AS updated_at, lang, doc_id FROM documents WHERE doc_id % 13 <> 0 OR doc_id % 9 = 0""",
     "theirs": """SELECT 'doc-' || doc_id AS id, sha256(coalesce(text, '') || CASE WHEN doc_id % 4 = 1 THEN ' edited' ELSE '' END) AS content_hash, 'scope-' || source AS scope,
       CASE WHEN doc_id % 5 = 0 THEN 'r-kind' ELSE 'fact' END AS memory_type, doc_id * 10.0::DOUBLE AS created_at,
       doc_id * 10.0::DOUBLE + 5 + CASE WHEN doc_id % 8 = 1 THEN 100 WHEN doc_id % 4 = 1 THEN -100 ELSE 0 END AS updated_at, lang, doc_id FROM documents WHERE doc_id % 9 <> 0""",
@@ -50,7 +50,8 @@ TABLES = {
     "cosines": """SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
       FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0""",
     "nearest": "SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM cosines",
-    "keyword_hits": """SELECT doc_id AS id, row_number() OVER (ORDER BY slug) AS rank FROM memories WHERE regexp_matches(body, '(?i)\\bwas\\b') ORDER BY slug LIMIT 40""",
+    "keyword_hits": """SELECT doc_id AS id, row_number() OVER (ORDER BY line, slug) AS rank FROM (SELECT doc_id, slug, list_position(list_transform(string_split(body, chr(10)), lambda x: regexp_matches(x, '(?i)\\bwas\\b')), TRUE) AS line
+      FROM memories WHERE regexp_matches(body, '(?i)\\bwas\\b')) WHERE line IS NOT NULL ORDER BY line, slug LIMIT 40""",
     "fused": """SELECT id, sum(w / (60 + rank)) AS score FROM (SELECT id, rank, 1.0::DOUBLE AS w, 1.0::DOUBLE AS w2 FROM nearest WHERE query = 0 AND rank <= 40
       UNION ALL SELECT id, rank, 1.0::DOUBLE, 0.7::DOUBLE FROM keyword_hits) GROUP BY id""",
     "merges": """SELECT first_value(slug) OVER w AS keep, slug AS "drop", row_number() OVER w AS pos, doc_id, body FROM memories WINDOW w AS (PARTITION BY fingerprint ORDER BY doc_id)""",
@@ -175,8 +176,8 @@ def sql() -> dict[str, str]:
         ),
         "kg_conflicts": _with(
             "relations",
-            """SELECT DISTINCT least(a.source_memory_id, b.source_memory_id) AS memory_a, greatest(a.source_memory_id, b.source_memory_id) AS memory_b FROM relations a JOIN relations b
-            ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.object_id <> b.object_id AND a.source_memory_id <> b.source_memory_id WHERE a.active AND b.active AND a.predicate IN ('prefers', 'uses', 'works_on')""",
+            """, open_ AS (SELECT DISTINCT subject_id, predicate, object_id, source_memory_id FROM relations WHERE active AND source_memory_id IS NOT NULL AND predicate IN ('prefers', 'uses', 'works_on'))
+            SELECT subject_id, predicate, object_id, source_memory_id AS memory_id FROM open_ WHERE (subject_id, predicate) IN (SELECT (subject_id, predicate) FROM open_ GROUP BY subject_id, predicate HAVING count(DISTINCT object_id) > 1 AND count(DISTINCT source_memory_id) > 1)""",
         ),
         "neighborhood": _with(
             "relations",

@@ -230,3 +230,14 @@ def scope_of_content(rows: DataFrame, roots: DataFrame) -> DataFrame:
     hit = above.join(roots.select("root"), "root").groupBy("id").agg(F.max_by("root", F.struct(F.length("root"), "root")).alias("deepest"), F.collect_set("root").alias("all"))
     clear = F.forall("all", lambda r: (F.col("deepest") == r) | F.startswith(F.col("deepest"), F.concat(r, F.lit("/"))))
     return rows.join(hit.where(clear).select("id", F.col("deepest").alias("root")), "id", "left").withColumn("scope_hash", F.coalesce(scope_hash(F.col("root")), F.lit("_unscoped")))
+
+
+def files_of_type(files: DataFrame, kind: str) -> DataFrame:
+    """scope_hash, slug, path of the files of one type, by their paths."""
+    return layout(files).where(F.col("type") == kind).select("scope_hash", "slug", "path").orderBy("path")
+
+
+def recent_files(files: DataFrame, limit: int = 5) -> DataFrame:
+    """path, slug, modified of the files modified last (path, modified)."""
+    placed = layout(files).join(files.select("path", "modified"), "path")
+    return placed.select("path", "slug", "modified").orderBy(F.desc("modified"), "path").limit(limit)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from tessera.plans import catalogue, oracles
+from tessera.plans import catalogue
 
 QUERIES = catalogue.queries()
-SQL = oracles.sql()
+SQL = catalogue.oracle_sql()
 
 
 def test_twins_belong_to_queries():
