@@ -1,8 +1,11 @@
-"""The corpus queries are registered, and the exact dedup has a SQL twin."""
+"""The corpus queries are registered, and equal their SQL twins where they have one."""
 
 from __future__ import annotations
 
+import pytest
+
 import __spark_entry__ as entry
+from tessera.llm import registry
 
 
 def test_registered():
@@ -10,5 +13,6 @@ def test_registered():
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
 
 
-def test_exact_dedup_same_as_sql(spark, sf_dir, same):
-    same(entry.queries()["op6_exact_dedup"](spark, sf_dir), entry.oracle_sql()["op6_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_as_sql(spark, sf_dir, same, name):
+    same(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name])
