@@ -159,6 +159,16 @@ def needed_terms(weights: dict[str, float], least: float = LEAST) -> list[str]:
     return sorted(out)
 
 
+def _may_match(terms: Column, weights: dict[str, float], lightest: float, least: float) -> Column:
+    """Whether the templates' terms have enough of a statement's norm for a cosine of `least`, if all others had the least weight of any."""
+    scales = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.lit(w))])
+    known = F.transform(F.array_intersect(terms, F.array(*[F.lit(t) for t in weights])), lambda t: F.struct(F.size(F.filter(terms, lambda x: x == t)).alias("n"), F.element_at(scales, t).alias("w")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("square"))
+    total = F.aggregate(known, start, lambda a, k: F.struct((a["n"] + k["n"]).alias("n"), (a["square"] + F.pow(k["n"] * k["w"], F.lit(2.0))).alias("square")))
+    fits = F.transform(F.array(total), lambda s: s["square"] * (1 - least**2) >= (F.size(terms) - s["n"]) * (least * lightest) ** 2)
+    return F.get(fits, F.lit(0))
+
+
 def windows(lines: Column) -> Column:
     """The statements of a file's lines (arrays of terms): an array of struct(unit, terms). The last unit is the whole file."""
 
@@ -180,8 +190,9 @@ def scored(files: DataFrame, text: str = "text", least: float = LEAST) -> DataFr
     go to the template that stands first. A null or empty text has no licence; whole texts are read; rows (repeated ones too) and columns are kept, those two
     replaced, whatever their names; an empty table gives no rows.
 
-    Statements without a needed term are left out as they are made; of the others, those that are too far from every
-    template even if all terms outside the templates had the least weight (1) are left out before the weights are joined.
+    Statements without a needed term are left out as they are made, and those in which the templates' terms have too little weight
+    beside the others (at the least weight that any has); of the rest, those that are too far from every template even if
+    all other terms had weight 1 are left out before the weights are joined. None of these can be near enough.
     """
     kept = [c for c in files.columns if c not in (text, "own_licence", "own_score")]
     own = numbered_columns(files.select(*kept, F.col(text).alias("text"))).withColumnRenamed(f"c{len(kept)}", "text")
@@ -198,6 +209,8 @@ def scored(files: DataFrame, text: str = "text", least: float = LEAST) -> DataFr
     told = own.select(*names, F.when(F.arrays_overlap(found, needed), lines).alias("lines"), F.monotonically_increasing_id().alias("row"))
     told = written(told, "told")
     units = told.where("lines IS NOT NULL").select("row", F.explode(windows(F.col("lines"))).alias("u")).where(F.arrays_overlap("u.terms", needed)).select("row", "u.unit", "u.terms")
+    lightest = counts.where(~F.col("term").isin(vocabulary)).agg(F.min("w")).first()[0] or 1.0
+    units = units.where(_may_match(F.col("terms"), weights, lightest, least - 1e-6))
 
     spark = files.sparkSession
     entries = [(t, i, v, t in TEMPLATES[i][2]) for i, vector in enumerate(vectors(weights)) for t, v in vector.items()]
