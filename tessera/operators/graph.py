@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -204,35 +205,71 @@ def n_hop(relations: DataFrame, seeds: DataFrame, depth: int, *, memory_nodes: b
     return nodes, kept
 
 
+def _topological(edges: pd.DataFrame) -> list[str]:
+    """An entity's memories from older to newer, the smallest id first; with a cycle the older ends by time, and the last newer one."""
+    pairs = list(dict.fromkeys(zip(edges["older"], edges["newer"], strict=True)))
+    nexts: dict[str, list[str]] = {}
+    waits: dict[str, int] = {}
+    for a, b in pairs:
+        nexts.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+        waits.setdefault(a, 0)
+    ready = [m for m, n in waits.items() if not n]
+    heapify(ready)
+    out = []
+    while ready:
+        out.append(node := heappop(ready))
+        for other in nexts.get(node, ()):
+            waits[other] -= 1
+            if not waits[other]:
+                heappush(ready, other)
+    return out if len(out) == len(waits) else [*edges["older"], edges["newer"].iloc[-1]]
+
+
+def _chains(edges: pd.DataFrame) -> pd.DataFrame:
+    """The orders of many entities' edges, which stand by entity and time. Edges that each begin where the one before ends are in order as they are."""
+    edges = edges.reset_index(drop=True)
+    group = edges.groupby("entity_id", sort=False, dropna=False).ngroup()
+    first = group.ne(group.shift())
+    nodes = pd.concat([pd.DataFrame({"group": group[first], "node": edges["older"][first]}), pd.DataFrame({"group": group, "node": edges["newer"]})])
+    bent = set(group[~first & edges["older"].ne(edges["newer"].shift())]) | set(nodes["group"][nodes.duplicated()])
+    straight = ~group.isin(bent)
+    parts = [
+        pd.DataFrame({"entity_id": edges["entity_id"][first & straight], "pos": 0, "memory_id": edges["older"][first & straight]}),
+        pd.DataFrame({"entity_id": edges["entity_id"][straight], "pos": edges.groupby(group).cumcount()[straight] + 1, "memory_id": edges["newer"][straight]}),
+    ]
+    for _, own in edges[~straight].groupby(group[~straight]):
+        found = _topological(own)
+        parts.append(pd.DataFrame({"entity_id": own["entity_id"].iloc[0], "pos": range(len(found)), "memory_id": found}))
+    return pd.concat(parts)
+
+
 def evolution_chain(supersedes: DataFrame) -> DataFrame:
     """entity_id, pos, memory_id: the memories of each entity from older to newer, in a topological order with the smallest id first.
 
-    A group is the edges of one entity. With a cycle: the older ends by time, and the last newer one.
+    Edges are sorted by entity and time within partitions, and the entities of an Arrow batch are ordered together; one
+    that goes on into the next batch waits for its last edge. With a cycle: the older ends by time, and the last newer one.
     """
 
-    def order(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["decided_at", "newer"], kind="stable")
-        pairs = list(dict.fromkeys(zip(edges["older"], edges["newer"], strict=True)))
-        nexts: dict[str, list[str]] = {}
-        waits: dict[str, int] = {}
-        for a, b in pairs:
-            nexts.setdefault(a, []).append(b)
-            waits[b] = waits.get(b, 0) + 1
-            waits.setdefault(a, 0)
-        ready = [m for m, n in waits.items() if not n]
-        heapify(ready)
-        out = []
-        while ready:
-            out.append(node := heappop(ready))
-            for other in nexts.get(node, ()):
-                waits[other] -= 1
-                if not waits[other]:
-                    heappush(ready, other)
-        if len(out) < len(waits):
-            out = [*edges["older"], edges["newer"].iloc[-1]]
-        return pd.DataFrame({"entity_id": edges["entity_id"].iloc[0], "pos": range(len(out)), "memory_id": out})
-
-    return supersedes.select("entity_id", "older", "newer", "decided_at").groupBy("entity_id").applyInPandas(order, "entity_id string, pos int, memory_id string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch["entity_id"].fillna("")
+            ends = ids.eq(ids.iloc[-1])
+            if held and ends.all() and held[-1]["entity_id"].fillna("").iloc[-1] == ids.iloc[-1]:
+                held.append(batch)
+                continue
+            done = pd.concat([*held, batch[~ends]]) if not ends.all() else pd.concat(held) if held else batch[:0]
+            if held and not ends.all() or len(done):
+                yield _chains(done)
+            held = [batch[ends]]
+        if held:
+            yield _chains(pd.concat(held))
+
+    rows = supersedes.select("entity_id", "older", "newer", "decided_at").repartition("entity_id").sortWithinPartitions("entity_id", "decided_at", "newer")
+    return rows.mapInPandas(run, "entity_id string, pos int, memory_id string")
 
 
 def add_supersedes(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from tessera.operators import graph, lifecycle, listing, reports, search, securi
 from tessera.plans import adapt
 from tessera.plans.adapt import EVENTS_NOW, read, stamp
 from tessera.plans.oracles import STAMP, _with
-from tessera.schemas import ENTITY_TYPES
 from tessera.sources import readers, sinks
 
 PERSON = "entity:person:customer_7"
@@ -271,7 +270,7 @@ def _queries() -> dict[str, tuple[object, str]]:
             _with("promotions sensitive", "SELECT id, status, scope_hash FROM promotions WHERE status = 'pending' AND scope_hash NOT IN (SELECT scope_hash FROM sensitive) ORDER BY created_at DESC, id DESC LIMIT 50"),
         ),
         "list_pending": (lambda s, d: lifecycle.list_pending(adapt.promotions(s, d)).select("id"), _with("promotions", "SELECT id FROM promotions WHERE status = 'pending' ORDER BY id DESC LIMIT 200")),
-        "find_by_fingerprint": (memory(lambda m: listing.find_by_fingerprint(m, F.sha1(F.lit(""))).select("slug")), _with("memories", "SELECT slug FROM memories WHERE fingerprint = sha1('')")),
+        "find_by_fingerprint": (memory(lambda m: listing.find_by_fingerprint(m.withColumn("fingerprint", F.sha1("source")), F.sha1(F.lit("src5"))).select("slug")), "SELECT 'doc-' || doc_id AS slug FROM documents WHERE source = 'src5'"),
         "scope_filter": (memory(lambda m: listing.scoped(m.withColumn("scope_hash", F.col("source")), "src5").select("slug")), "SELECT 'doc-' || doc_id AS slug FROM documents WHERE source = 'src5'"),
         "wanted_columns": (memory(lambda m: listing.wanted_columns(m, ["slug", "missing", "type"])), _with("memories", "SELECT slug, type FROM memories")),
         "list_entities": (lambda s, d: _stamped(graph.list_entities(entities(s, d), "person", limit=40).select("id", "last_seen_at")), _with("entities", f"SELECT id, {STAMP.format('entities.last_seen_at')} AS last_seen_at FROM entities ORDER BY entities.last_seen_at DESC, id LIMIT 40")),
@@ -382,7 +381,6 @@ def _queries() -> dict[str, tuple[object, str]]:
             _of_text("kept", lambda c: text.meaningful(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Head "), "doc_id", F.lit("\n<!-- x -->\n a "))).otherwise(c))),
             "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN FALSE ELSE length(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)<!--.*?-->', '', 'g'), '(?m)^#{1,6}\\s+.+$', '', 'g'), '^\\s+|\\s+$', '', 'g')) >= 2 END AS kept FROM documents",
         ),
-        "entity_types": (lambda s, d: s.createDataFrame([(t,) for t in ENTITY_TYPES], "type string"), "SELECT unnest(['person', 'organization', 'place', 'library', 'tool', 'project', 'concept']) AS type"),
     }
 
 
