@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Patterns of comments and headings.
 COMMENT = r"(?s)<!--.*?-->"
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 # Ordered hints of a heading's type, and substrings of an imported type.

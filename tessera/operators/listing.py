@@ -74,8 +74,8 @@ def paginate(df: DataFrame, order: list[Column], page: int, per_page: int = 50)
 def neighbours(memories: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
     """n memories before and after each anchor in its scope, strictly earlier or later: anchor, side, rank, slug.
 
-    The ranks within a scope are windows over the scope's rows, so that no anchor is compared with all rows; an anchor's
-    own time is skipped by ranking distinct times' rows from both ends.
+    Meant for a few anchors, which are broadcast: each is joined with the rows of its own scope, and those of its own time are
+    left out; the work is that of the anchors times their scopes' rows.
     """
     wanted = anchors.select(F.col("slug").alias("anchor"), "scope_hash", F.col("created_at").alias("at"))
     rows = memories.select("slug", "scope_hash", "created_at").join(F.broadcast(wanted.select("scope_hash").distinct()), "scope_hash", "left_semi")

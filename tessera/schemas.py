@@ -21,6 +21,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 STRING, LONG, DOUBLE, STAMP = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampNTZType()
 STRINGS = T.ArrayType(STRING)
 
+# The names and types of the tables' columns.
 MEMORY = _struct(
     ("slug", STRING), ("type", STRING), ("scope_hash", STRING), ("title", STRING), ("source", STRING), ("created_at", STAMP), ("updated_at", STAMP), ("ttl_days", T.IntegerType()),
     ("decay_state", STRING), ("last_recalled_at", STAMP), ("recall_count", LONG), ("fingerprint", STRING), ("body_path", STRING), ("scope_sensitive", T.BooleanType()), ("body", STRING),
