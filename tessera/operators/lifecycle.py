@@ -56,16 +56,23 @@ def record_recall(memories: DataFrame, hits: DataFrame, *, revive: bool = False)
 
 
 def merge_duplicates(memories: DataFrame, merges: DataFrame) -> DataFrame:
-    """Merge rows of `merges` (keep, drop, pos) into bodies: '## merged-from <slug>' sections in order; dropped rows go.
+    """The sections of memories after merges (keep, drop, pos): slug, pos, merged_from, section.
 
-    Missing slugs are ignored.
+    A memory's own body is at 0 (merged_from null), those merged into it follow at their pos; dropped memories have no row of their
+    own, and missing slugs are ignored. Sections stay rows, as one fingerprint may have any number of copies;
+    `merged_bodies` puts together those that a writer needs.
     """
-    dropped = merges.join(memories.select(F.col("slug").alias("drop"), "body"), "drop")
-    added = dropped.groupBy(F.col("keep").alias("slug")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "drop", "body"))), lambda r: F.concat(F.lit("\n\n## merged-from "), r["drop"], F.lit("\n\n"), r["body"])), "").alias("tail_")
-    )
-    kept = memories.join(merges.select(F.col("drop").alias("slug")).distinct(), "slug", "left_anti").join(added, "slug", "left")
-    return kept.withColumn("body", F.concat("body", F.coalesce("tail_", F.lit("")))).select(*memories.columns)
+    kept = memories.join(merges.select(F.col("drop").alias("slug")).distinct(), "slug", "left_anti")
+    own = kept.select("slug", F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("merged_from"), F.col("body").alias("section"))
+    dropped = merges.join(memories.select(F.col("slug").alias("drop"), "body"), "drop").join(kept.select(F.col("slug").alias("keep")), "keep", "left_semi")
+    return own.unionByName(dropped.select(F.col("keep").alias("slug"), F.col("pos").cast("bigint").alias("pos"), F.col("drop").alias("merged_from"), F.col("body").alias("section")))
+
+
+def merged_bodies(sections: DataFrame) -> DataFrame:
+    """slug, body of files to be written: sections of merge_duplicates in order, those merged in under '## merged-from <slug>'."""
+    text = F.concat(F.when(F.col("merged_from").isNull(), "").otherwise(F.concat(F.lit("\n\n## merged-from "), "merged_from", F.lit("\n\n"))), F.coalesce("section", F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "merged_from", text.alias("text"))))
+    return sections.groupBy("slug").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("body"))
 
 
 def merge_triggers(triggers: DataFrame, merges: DataFrame) -> DataFrame:

@@ -110,10 +110,9 @@ def counts_by_type(memories: DataFrame, types: tuple[str, ...] = MEMORY_TYPES) -
 
 
 def duplicates(memories: DataFrame) -> DataFrame:
-    """fingerprint, n, slugs (sorted, comma-joined) of fingerprints that two memories or more have."""
+    """fingerprint, n, slug: the memories of each fingerprint that two or more (n) have, a row each."""
     repeated = memories.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n >= 2")
-    rows = memories.select("fingerprint", "slug").join(repeated, "fingerprint")
-    return rows.groupBy("fingerprint", "n").agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("slugs"))
+    return memories.select("fingerprint", "slug").join(repeated, "fingerprint").select("fingerprint", "n", "slug")
 
 
 def digest_counts(memories: DataFrame, promotions: DataFrame) -> DataFrame:

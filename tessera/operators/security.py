@@ -6,10 +6,12 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ordered import before
+
 ZERO = "0" * 64
 # Seconds that a grant lasts ("task" is bound to its task alone).
 GRANT_SECONDS = {"once": 90, "session": 8 * 3600, "task": 9999 * 86400}
@@ -46,22 +48,25 @@ def event_hash(line: pd.Series) -> pd.Series:
     return line.map(one)
 
 
+def _hash_before() -> Column:
+    return F.when(F.col("before_").isNull(), ZERO).otherwise(F.col("before_.value"))
+
+
 def broken_links(log: DataFrame) -> DataFrame:
     """log, line: the first broken line (from 1) of each log; logs that hold have no row. log: log, n, line.
 
-    Each event's hash needs no other; only the neighbours' hashes are compared, in the order of lines.
+    Each event's hash needs no other; only the neighbours' hashes are compared, in the order of lines. A log of any length is
+    cut into blocks of lines, of which only the last hashes meet.
     """
-    rows = log.where(F.trim("line") != "").withColumns({"own_": event_hash("line"), "said_": F.get_json_object("line", "$.prev_hash")})
-    before = F.lag("own_", 1, ZERO).over(Window.partitionBy("log").orderBy("n"))
-    checked = rows.withColumn("wanted_", before)
+    rows = log.where(F.trim("line") != "").select("log", "n", event_hash("line").alias("own_"), F.get_json_object("line", "$.prev_hash").alias("said_"))
+    checked = before(rows, "log", "n", "own_").withColumn("wanted_", _hash_before())
     return checked.where(F.col("own_").isNull() | ~F.col("said_").eqNullSafe(F.col("wanted_"))).groupBy("log").agg(F.min("n").alias("line"))
 
 
 def chained(events: DataFrame) -> DataFrame:
     """log, n, line: events (log, n, event as JSON without prev_hash) with the hash of the one before."""
-    rows = events.withColumn("own_", event_hash("event"))
-    prev = F.lag("own_", 1, ZERO).over(Window.partitionBy("log").orderBy("n"))
-    line = F.concat(F.lit('{"prev_hash": "'), prev, F.lit('", '), F.substring("event", 2, 1 << 30))
+    rows = before(events.withColumn("own_", event_hash("event")), "log", "n", "own_")
+    line = F.concat(F.lit('{"prev_hash": "'), _hash_before(), F.lit('", '), F.substring("event", 2, 1 << 30))
     return rows.select("log", "n", line.alias("line"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import graph, lifecycle, listing, search, security, sync, trends
+from tessera.operators import graph, lifecycle, listing, ordered, search, security, sync, trends
 from tessera.plans import adapt, more, oracles
 from tessera.plans.adapt import EVENTS_NOW, NOW, read, stamp
 
@@ -74,15 +74,13 @@ def _recalls(spark: SparkSession, d: str) -> DataFrame:
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
     """Drops of repeated fingerprints: all but the smallest slug of each."""
-    from pyspark.sql import Window
-
-    m = adapt.memories(spark, d).select("slug", "fingerprint", "doc_id")
-    by = Window.partitionBy("fingerprint").orderBy("doc_id")
-    return m.select(F.first("slug").over(by).alias("keep"), F.col("slug").alias("drop"), F.row_number().over(by).alias("pos")).where("pos > 1")
+    rows = ordered.numbered(adapt.memories(spark, d).select("slug", "fingerprint", "doc_id"), "fingerprint", "doc_id", "slug")
+    return rows.select(F.col("first_").alias("keep"), F.col("slug").alias("drop"), "pos").where("pos > 1")
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.merge_duplicates(adapt.memories(spark, d), _merges(spark, d)).select("slug", F.sha1("body").alias("body_sha1"), F.length("body").alias("n"))
+    rows = lifecycle.merge_duplicates(adapt.memories(spark, d), _merges(spark, d))
+    return rows.select("slug", "pos", "merged_from", F.sha1("section").alias("section_sha1"), F.length("section").alias("n"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -166,11 +164,12 @@ def _merge_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("source").orderBy("doc_id")
-    rows = read(spark, d, "documents").select("doc_id", F.lag("text").over(by).alias("before"), F.col("text").alias("after"))
-    return rows.select("doc_id", F.size(text.unified_diff("before", "after")).alias("lines"))
+    """Each document against the one before of its source: ids are put in order, texts are fetched by them."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    pairs = ordered.before(docs.select("doc_id", "source"), "source", "doc_id", "doc_id").select("doc_id", F.col("before_.value").alias("earlier"))
+    texts = docs.select(F.col("doc_id").alias("earlier"), F.col("text").alias("before"))
+    rows = docs.join(pairs, "doc_id").join(texts, "earlier", "left")
+    return rows.select("doc_id", F.size(text.unified_diff("before", F.col("text").alias("after"))).alias("lines"))
 
 
 def _embedded(spark: SparkSession, d: str) -> DataFrame:

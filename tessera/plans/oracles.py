@@ -132,7 +132,7 @@ def sql() -> dict[str, str]:
             "SELECT 'type' AS dimension, type AS value, count(*) AS n FROM memories GROUP BY 2 UNION ALL SELECT 'scope', scope_hash, count(*) FROM memories GROUP BY 2 UNION ALL SELECT 'decay', decay_state, count(*) FROM memories GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM memories",
         ),
         "health_counts": _with("memories", f"SELECT t.type, count(m.slug) AS n, {STAMP.format('max(m.updated_at)')} AS last FROM (VALUES ('session'), ('decision'), ('preference'), ('fact'), ('playbook'), ('warning')) t(type) LEFT JOIN memories m ON m.type = t.type GROUP BY 1"),
-        "duplicates": _with("memories", "SELECT fingerprint, count(*) AS n, string_agg(slug, ',' ORDER BY slug) AS slugs FROM memories GROUP BY 1 HAVING count(*) >= 2"),
+        "duplicates": _with("memories", "SELECT * FROM (SELECT fingerprint, count(*) OVER (PARTITION BY fingerprint) AS n, slug FROM memories) WHERE n >= 2"),
         "digest_counts": _with(
             "memories promotions",
             "SELECT 'pending' AS name, count(*) AS n FROM promotions WHERE status = 'pending' UNION ALL SELECT 'duplicates', count(*) FROM (SELECT fingerprint FROM memories GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT 'decayed', count(*) FROM memories WHERE decay_state IN ('dim', 'soft-forgotten')",
@@ -151,8 +151,7 @@ def sql() -> dict[str, str]:
         ),
         "merge_duplicates": _with(
             "merges",
-            """SELECT k.keep AS slug, sha1(k.body || coalesce(t.tail, '')) AS body_sha1, CAST(length(k.body || coalesce(t.tail, '')) AS INTEGER) AS n FROM merges k
-            LEFT JOIN (SELECT keep, string_agg(chr(10) || chr(10) || '## merged-from ' || "drop" || chr(10) || chr(10) || body, '' ORDER BY pos) AS tail FROM merges WHERE pos > 1 GROUP BY 1) t ON k.keep = t.keep WHERE k.pos = 1""",
+            'SELECT keep AS slug, CAST(if(pos = 1, 0, pos) AS BIGINT) AS pos, if(pos = 1, NULL, "drop") AS merged_from, sha1(body) AS section_sha1, CAST(length(body) AS INTEGER) AS n FROM merges',
         ),
         "merge_triggers": _with("triggers merges", 'SELECT DISTINCT keep AS slug, trigger FROM triggers JOIN merges ON slug = "drop"'),
         "promotion_bands": _with("promotions", "SELECT id, round(mean, 6) AS mean, CASE WHEN mean >= 0.85 THEN 'approved' WHEN mean < 0.5 THEN 'rejected' ELSE 'pending' END AS band FROM promotions"),

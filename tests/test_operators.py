@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import graph, lifecycle, listing, search, security, sync, trends
+from tessera.operators import graph, lifecycle, listing, ordered, search, security, sync, trends
 from tessera.sources import readers, sinks
 
 
@@ -300,3 +300,30 @@ def test_save_and_read_memories(spark, tmp_path):
     sinks.save_memories(m, str(tmp_path / "t"), key="22" * 32)
     found = {r.slug: r.body for r in spark.read.parquet(str(tmp_path / "t")).where("type = 'fact'").collect()}
     assert found["b"] == "plain" and found["a"] != "hidden"
+
+
+def test_ordered_over_blocks(spark, monkeypatch):
+    """Numbers and predecessors against plain Python, where a group has many blocks, some are empty, and groups or orders are null."""
+    monkeypatch.setattr(ordered, "BLOCK", 4)
+    data = [("hot", i, f"v{i}") for i in range(0, 60) if i % 7] + [(None, i * 5, None) for i in range(4)] + [("one", -3, "x")] + [("gap", None, "n"), ("gap", 9, "a"), ("gap", 1000, "b")]
+    rows = spark.createDataFrame(data, "log string, n bigint, value string")
+    groups = {}
+    for log, n, value in sorted(data, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0)):
+        groups.setdefault(log, []).append((n, value))
+    got = {(r.log, r.n): r.before_ for r in ordered.before(rows, "log", "n", "value").collect()}
+    assert len(got) == len(data)
+    for log, own in groups.items():
+        for i, (n, _) in enumerate(own):
+            assert (got[log, n] is None) == (i == 0) and (i == 0 or got[log, n].value == own[i - 1][1])
+    got = {(r.log, r.n): (r.pos, r.first_) for r in ordered.numbered(rows, "log", "n", "value").collect()}
+    assert got == {(log, n): (i + 1, own[0][1]) for log, own in groups.items() for i, (n, _) in enumerate(own)}
+    none = rows.limit(0)
+    assert ordered.before(none, "log", "n", "value").count() == ordered.numbered(none, "log", "n", "value").count() == 0
+
+
+def test_merge_duplicates_sections(spark):
+    memories = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None), ("d", "D")], "slug string, body string")
+    merges = spark.createDataFrame([("a", "c", 2), ("a", "b", 3), ("a", "gone", 4), ("lost", "d", 2)], "keep string, drop string, pos int")
+    sections = lifecycle.merge_duplicates(memories, merges)
+    assert sorted((r.slug, r.pos, r.merged_from, r.section) for r in sections.collect()) == [("a", 0, None, "A"), ("a", 2, "c", None), ("a", 3, "b", "B")]
+    assert [tuple(r) for r in lifecycle.merged_bodies(sections).collect()] == [("a", "A\n\n## merged-from c\n\n\n\n## merged-from b\n\nB")]
