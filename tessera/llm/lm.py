@@ -198,15 +198,20 @@ def _number(digits: Column, i: int) -> Column:
     return F.conv(F.substring(digits, 16 * i + 1, 16), 16, 10).cast("bigint")
 
 
-def _estimates(own: _Keys, counts: list[np.ndarray], which: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the context's bucket, and a column of estimates from the triple, the pair and the word."""
+def _estimates(own: _Keys, counts: list[np.ndarray], which: int, total: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of the tokens, with each token's bucket of the context, and a column of estimates from the triple, the pair and the word."""
     # row 0 has the estimates' rows, of a chunk that is held out; row -1 all
-    word, pair, triple = (c[which][x] for c, x in zip(counts, own.own, strict=True))
-    context, history = np.roll(word, 1), np.roll(pair, 1)
-    context[own.firsts] = history[own.firsts] = counts[0][which][own.end]  # before a text's first word: as often as texts end
+    words, pairs, triples = (c[which] for c in counts)
     level = lambda n: np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64), FREQUENCIES - 1)
-    bucket = np.where(history > 0, FREQUENCIES + level(history), np.where(context > 0, level(context), 0))
-    return bucket, np.stack([triple / np.maximum(history, 1), pair / np.maximum(context, 1), word / max(total, 1)])
+    for begin in range(0, len(own.own[0]), SLICE_TOKENS):
+        part = slice(begin, min(begin + SLICE_TOKENS, len(own.own[0])))
+        word, pair, triple = (c[x[part]] for c, x in zip((words, pairs, triples), own.own, strict=True))
+        earlier = np.maximum(np.arange(part.start, part.stop) - 1, 0)
+        context, history = words[own.own[0][earlier]], pairs[own.own[1][earlier]]
+        firsts = own.firsts[slice(*np.searchsorted(own.firsts, [part.start, part.stop]))] - part.start
+        context[firsts] = history[firsts] = words[own.end]  # before a text's first word: as often as texts end
+        bucket = np.where(history > 0, FREQUENCIES + level(history), np.where(context > 0, level(context), 0))
+        yield part, bucket, np.stack([triple / np.maximum(history, 1), pair / np.maximum(context, 1), word / max(total, 1)])
 
 
 def weights_of(bins: list[tuple[int, float, float, float, float]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
@@ -283,13 +288,15 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
         return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(run, schema)
 
     def estimate(own: _Keys, counts: list[np.ndarray]) -> pd.DataFrame:
-        bucket, p = _estimates(own, counts, 0, fit_tokens)
-        code = bucket
-        for x in p:
-            code = code * 64 + np.where(x > 0, 1 + np.clip(np.rint(-np.log2(np.maximum(x, 1e-30))), 0, LOW_BINS).astype(np.int64), 0)
-        found, place = np.unique(code, return_inverse=True)
-        sums = {name: np.bincount(place, x, len(found)) for name, x in zip(("triple", "pair", "word"), p, strict=True)}
-        return pd.DataFrame({"code": found, "n": np.bincount(place, minlength=len(found)), **sums})
+        parts = []
+        for _, bucket, p in _estimates(own, counts, 0, fit_tokens):
+            code = bucket
+            for x in p:
+                code = code * 64 + np.where(x > 0, 1 + np.clip(np.rint(-np.log2(np.maximum(x, 1e-30))), 0, LOW_BINS).astype(np.int64), 0)
+            found, place = np.unique(code, return_inverse=True)
+            sums = {name: np.bincount(place, x, len(found)) for name, x in zip(("triple", "pair", "word"), p, strict=True)}
+            parts.append(pd.DataFrame({"code": found, "n": np.bincount(place, minlength=len(found)), **sums}))
+        return pd.concat(parts)
 
     table_ = with_answers(estimate, F.col("held") == 1, "code long, n long, triple double, pair double, word double").groupBy("code")
     # 2 * FREQUENCIES * (LOW_BINS + 2)**3 rows at most, of which few occur
@@ -299,12 +306,10 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
     def tell(own: _Keys, counts: list[np.ndarray]) -> pd.DataFrame:
         seen = counts[0][-1][own.own[0]]
         base = np.log10((seen + 1) / (all_tokens + all_words + 1))
-        bucket, p = _estimates(own, counts, -1, all_tokens)
         model = np.empty(len(seen))
-        for i in range(0, len(seen), SLICE_TOKENS):
-            part = slice(i, i + SLICE_TOKENS)
-            mixed = mixture[bucket[part]].T
-            model[part] = np.log10((mixed[:3] * p[:, part]).sum(0) + mixed[3] / (all_words + 1))
+        for part, bucket, p in _estimates(own, counts, -1, all_tokens):
+            mixed = mixture[bucket].T
+            model[part] = np.log10((mixed[:3] * p).sum(0) + mixed[3] / (all_words + 1))
         add = lambda x: np.add.reduceat(x, own.firsts)
         return pd.DataFrame({"doc_id": pd.Series(own.ids, dtype=object), "n_tokens": own.counts, "n_known": add((seen > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
 
