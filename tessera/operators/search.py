@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 #: BM25's saturation and length normalisation, the constant of reciprocal ranks, and the boost of a named entity.
 K1, B, RRF_K, ENTITY_BOOST = 1.2, 0.75, 60, 0.5
-#: Queries whose vectors are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Vectors of a pack at most, and how much lower than a query's k-th best a cosine may be and still be level when rounded.
+PACK, LEVEL = 4096, 2e-6
 # Most query terms, midpoint and steepness of the logistic curve.
 BM25_CURVES = ((3, 5.0, 0.7), (6, 7.0, 0.6), (9, 9.0, 0.5), (15, 10.0, 0.5), (None, 12.0, 0.5))
 
@@ -52,27 +52,57 @@ def top_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of numbers, in doubles; null if one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.nullif(norm, F.lit(0.0))
+def _packs(vectors: DataFrame, kind: str) -> DataFrame:
+    """ids, width, unit: rows (id, vector) in packs of up to PACK from each batch, their vectors of length one as bytes, one width a pack.
 
+    Vectors that are null, empty, without length, or have a null or a number that isn't finite are in no pack: they have no cosine.
+    """
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query, id, score, rank: exact nearest vectors by cosine of a stated set of queries (query, vector).
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch[batch["vector"].notna()]
+            for width, own in rows.groupby(rows["vector"].map(len)):
+                if not width:
+                    continue
+                matrix = np.stack([np.asarray(v, np.float64) for v in own["vector"]])
+                norm = np.sqrt((matrix * matrix).sum(1))
+                there = np.isfinite(norm) & (norm > 0)
+                matrix, ids = matrix[there] / norm[there, None], own["id"].to_numpy()[there]
+                for i in range(0, len(ids), PACK):
+                    unit = matrix[i : i + PACK]
+                    yield pd.DataFrame({"ids": [list(ids[i : i + PACK])], "width": [int(width)], "unit": [unit.tobytes()]})
 
-    Queries are taken in blocks of about QUERY_BLOCK, each broadcast to a scan of its own, so that what is broadcast doesn't grow.
-    """
-    blocks = 1 + queries.count() // QUERY_BLOCK
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInPandas(pack, f"ids array<{kind}>, width int, unit binary")
 
-    def best(own: DataFrame) -> DataFrame:
-        pairs = vectors.select(F.col(key).alias("id"), F.col(vector).alias("own")).join(F.broadcast(own))
-        scored = pairs.select("query", "id", F.round(cosine(F.col("own"), F.col("vector")), 6).alias("score")).where("score IS NOT NULL")
-        return top_of(scored, ["query"], [F.desc("score"), F.asc("id")], k)
 
-    parts = [best(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query, id, score, rank: exact nearest vectors by cosine (rounded to six digits) of a stated set of queries (query, vector).
+
+    Both sides are packed, and each pack of queries meets each pack of vectors in one matrix product, of which a query's best k
+    (and all that rounding may put level with them) go on: one plan for any number of queries, a scan for each PACK of them,
+    and no pair of single rows leaves a task. Vectors of different widths, and those without a cosine, don't meet; ties go by id.
+    """
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    # a partition of queries is one pack or so, as each goes through all packs of vectors
+    asked = queries.select(F.col("query").alias("id"), "vector").repartition(1 + queries.count() // PACK)
+    kinds = dict(asked.dtypes)["id"], dict(rows.dtypes)["id"]
+    left, right = (_packs(df, kind).select(*[F.col(c).alias(f"{side}_{c}") for c in ("ids", "width", "unit")]) for df, kind, side in ((asked, kinds[0], "q"), (rows, kinds[1], "v")))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # compared here, as a join by width would bring all packs of the usual one to one task
+            for row in batch[batch["q_width"] == batch["v_width"]].itertuples(index=False):
+                ours, theirs = (np.frombuffer(u, np.float64).reshape(-1, row.q_width) for u in (row.q_unit, row.v_unit))
+                own, other = np.asarray(row.q_ids), np.asarray(row.v_ids)
+                for i in range(0, len(ours), PACK // 8):
+                    scores = ours[i : i + PACK // 8] @ theirs.T
+                    least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -2.0)
+                    q, v = np.nonzero(scores >= least[:, None] - LEVEL)
+                    yield pd.DataFrame({"query": own[i + q], "id": other[v], "score": scores[q, v]})
+
+    pairs = left.crossJoin(right).mapInPandas(best, f"query {kinds[0]}, id {kinds[1]}, score double")
+    return top_of(pairs.withColumn("score", F.round("score", 6)), ["query"], [F.desc("score"), F.asc("id")], k)
 
 
 def reciprocal(rank: Column, weight: float = 1.0) -> Column:

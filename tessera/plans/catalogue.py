@@ -91,9 +91,9 @@ def _bm25(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return search.bm25(read(spark, d, "documents"), _questions(spark, d), "doc_id", "text", k)
 
 
-def _knn(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+def _knn(spark: SparkSession, d: str, k: int = 10, which: str = "vec_id % 50 = 0") -> DataFrame:
     vectors = read(spark, d, "embeddings")
-    return search.knn(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
+    return search.knn(vectors, vectors.where(which).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
 
 
 def _keyword_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _keyword_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector_hits(spark: SparkSession, d: str) -> DataFrame:
-    return _knn(spark, d, 40).where("query = 0").select("id", "rank")
+    return _knn(spark, d, 40, "vec_id = 0").select("id", "rank")
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ def _score_and_rank(spark: SparkSession, d: str) -> DataFrame:
     mid, steep = search.bm25_curve(F.lit(8))
     raw = _bm25(spark, d, 100).where("query = 1").select("id", search.normalised_bm25(F.col("score"), mid, steep).alias("score"))
     boosts = spark.createDataFrame([(2, 0.5), (5, 0.5)], "id bigint, boost double")
-    return search.score_and_rank(_knn(spark, d, 200).where("query = 50").select("id", "score"), raw, boosts, 0.05, 25)
+    return search.score_and_rank(_knn(spark, d, 200, "vec_id = 50").select("id", "score"), raw, boosts, 0.05, 25)
 
 
 def _bm25_normalised(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from datetime import datetime
 
 import pytest
@@ -327,3 +328,23 @@ def test_merge_duplicates_sections(spark):
     sections = lifecycle.merge_duplicates(memories, merges)
     assert sorted((r.slug, r.pos, r.merged_from, r.section) for r in sections.collect()) == [("a", 0, None, "A"), ("a", 2, "c", None), ("a", 3, "b", "B")]
     assert [tuple(r) for r in lifecycle.merged_bodies(sections).collect()] == [("a", "A\n\n## merged-from c\n\n\n\n## merged-from b\n\nB")]
+
+
+def test_knn_by_packs(spark, monkeypatch):
+    """Nearest vectors against plain Python: many packs, ties, repeated rows, other widths, and vectors without a cosine."""
+    monkeypatch.setattr(search, "PACK", 8)
+    data = [(i, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None), (62, []), (63, [1.0, 2.0]), (64, [1.0, None, 2.0]), (5, [2.0, 0.0, 1.0])]
+    vectors = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    asked = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 1.0, 1.0]), (2, [3.0, 4.0]), (3, None), (4, [0.0, 0.0, 0.0])]
+    found = search.knn(vectors, spark.createDataFrame(asked, "query bigint, vector array<double>"), 5).collect()
+    got = {q: [(r.id, r.score) for r in sorted((r for r in found if r["query"] == q), key=lambda r: r["rank"])] for q, _ in asked}
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(y * y for y in b)), 6)
+
+    good = [(i, v) for i, v in data if v and None not in v and any(v)]
+    for q, a in asked[:3]:
+        want = sorted(((i, cosine(a, v)) for i, v in good if len(v) == len(a)), key=lambda r: (-r[1], r[0]))[:5]
+        assert got[q] == want
+    assert got[3] == got[4] == []
+    assert search.knn(vectors.limit(0), vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 5).count() == 0
