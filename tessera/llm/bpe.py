@@ -20,7 +20,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{10000,}")
 
 
-def _letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the file: printable ones for themselves, the others from 256 on in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -39,7 +39,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         special = {t["id"] for t in told["added_tokens"]}
-        letters = _letters()
+        letters = byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in told["model"]["vocab"].items() if i not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
         made = [told["model"]["vocab"][a + b] for a, b in merges]
