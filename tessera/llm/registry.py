@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tessera.llm.alignment import op12_alignment
+from tessera.llm.chat import op11_chat
 from tessera.llm.exact_dedup import op6_exact_dedup
 from tessera.llm.infill import op13_infill
 from tessera.llm.jaccard_join import op8_jaccard_join
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_lm": op9_lm,
         "op10_packing": op10_packing,
+        "op11_chat": op11_chat,
         "op12_alignment": op12_alignment,
         "op13_infill": op13_infill,
         "pipeline": corpus_pipeline.run,
