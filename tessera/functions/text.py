@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Patterns of comments and headings.
+# Patterns of comments, ends of lines and headings.
 COMMENT = r"(?s)<!--.*?-->"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 # Ordered hints of a heading's type, and substrings of an imported type.
 TYPE_HINTS = (
@@ -30,9 +31,10 @@ def clean_for_embedding(text: Column) -> Column:
 
 
 def meaningful(text: Column) -> Column:
-    """Two characters or more besides comments and headings."""
-    body = F.regexp_replace(F.regexp_replace(text, COMMENT, ""), r"(?m)^#{1,6}\s+.+$", "")
-    return F.length(F.regexp_replace(body, r"^\s+|\s+$", "")) >= 2
+    """Two characters or more besides comments and lines that are headings."""
+    lines = F.split(F.regexp_replace(text, COMMENT, ""), LINE_END)
+    body = F.array_join(F.filter(lines, lambda x: ~x.rlike(r"(?sU)^#{1,6}\s+.+$")), "\n")
+    return F.length(F.regexp_replace(body, r"(?U)^\s+|\s+$", "")) >= 2
 
 
 def count_words(text: Column) -> Column:

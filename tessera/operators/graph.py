@@ -72,9 +72,9 @@ def top_entities(entities: DataFrame, since: str | None = None, scope: str | Non
     return rows.orderBy(F.desc("mention_count"), F.desc("last_seen_at"), "id").limit(limit)
 
 
-def top_open_entities(entities: DataFrame, sensitive: DataFrame, limit: int = 10) -> DataFrame:
-    """The top entities of scopes that aren't sensitive, out of twice as many (so there may be fewer)."""
-    return top_entities(top_entities(entities, limit=2 * limit).join(sensitive.select("scope_hash"), "scope_hash", "left_anti"), limit=limit)
+def top_open_entities(entities: DataFrame, sensitive: DataFrame, since: str | None = None, scope: str | None = None, limit: int = 10) -> DataFrame:
+    """The top entities of a window in scopes that aren't sensitive, out of twice as many (so there may be fewer)."""
+    return top_entities(top_entities(entities, since, scope, 2 * limit).join(sensitive.select("scope_hash"), "scope_hash", "left_anti"), limit=limit)
 
 
 def find_entities(entities: DataFrame, name: str, *, fuzzy: bool = True) -> DataFrame:
@@ -94,11 +94,11 @@ def distinct_relations(relations: DataFrame) -> DataFrame:
     return keyed.unionByName(relations.where("source_memory_id IS NULL"))
 
 
-def list_entities(entities: DataFrame, kind: str | None = None, scope: str | None = None, limit: int = 50) -> DataFrame:
-    """Entities of a type or a scope, the last seen first."""
+def list_entities(entities: DataFrame, kind: str | None = None, scope: str | None = None) -> DataFrame:
+    """All entities of a type or a scope, the last seen first."""
     for column, value in (("type", kind), ("scope_hash", scope)):
         entities = entities if value is None else entities.where(F.col(column) == value)
-    return entities.orderBy(F.desc("last_seen_at"), "id").limit(limit)
+    return entities.orderBy(F.desc("last_seen_at"), "id")
 
 
 def mark_superseded(relations: DataFrame, ids: DataFrame, at: str, key: str = "ord") -> DataFrame:
@@ -120,23 +120,65 @@ def superseded_by(supersedes: DataFrame, memory: str) -> DataFrame:
     return supersedes.where(F.col("older") == memory).select("newer", "decided_at").orderBy(F.desc("decided_at"), "newer")
 
 
-def ingest(entities: DataFrame, relations: DataFrame, memories: DataFrame, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges of what was extracted from memories.
+def parsed_entities(entities: DataFrame) -> DataFrame:
+    """Extracted entities with trimmed names, known types in lower case, and confidence from 0 to 1 (null: 0.5); others are left out."""
+    rows = entities.withColumns({"name": F.trim("name"), "type": F.lower(F.trim("type")), "confidence": _sure(), "context": F.substring(F.coalesce("context", F.lit("")), 1, 500)})
+    return rows.where((F.col("name") != "") & F.col("type").isin(*ENTITY_TYPES))
 
-    entities: memory_id, type, name, at, seq, context, confidence; relations: memory_id, subject_type, subject, predicate,
-    object_type, object, confidence, ord; memories: memory_id, scope_hash. Entities of relations' ends are added where
-    they aren't told; each memory mentions its entities. Edges: subject_id, predicate, object_id, source_memory_id,
-    confidence, active, ord.
+
+def parsed_relations(relations: DataFrame) -> DataFrame:
+    """Extracted relations with both names, a predicate and known types; the others are left out."""
+    rows = relations.withColumns({c: F.trim(c) for c in ("subject", "object")} | {c: F.lower(F.trim(c)) for c in ("subject_type", "object_type", "predicate")} | {"confidence": _sure()})
+    return rows.where("subject <> '' AND object <> '' AND predicate <> ''").where(F.col("subject_type").isin(*ENTITY_TYPES) & F.col("object_type").isin(*ENTITY_TYPES))
+
+
+def _sure() -> Column:
+    return F.least(F.greatest(F.coalesce("confidence", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+
+
+def ingest(entities: DataFrame, relations: DataFrame, memories: DataFrame, least: float = 0.0, *, drop_unknown: bool = False, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, edges and counts of what was extracted from memories, which are taken in the order of at and seq.
+
+    entities: memory_id, type, name, pos, context, confidence; relations: memory_id, subject_type, subject, predicate, object_type,
+    object, confidence, pos; memories: memory_id, scope_hash, at, seq. Each telling of an entity is a mention. The ends of a relation that
+    is taken (of confidence `least` or more, of a known predicate if unknown ones are dropped) become entities where none is
+    there yet, in this order or in `old`; that is one mention. Edges: subject_id, predicate, object_id, source_memory_id,
+    confidence, active, ord; each memory mentions the entities told of it (not the ends), and of equal edges the first stays.
+    Counts, in one row: entities_added and entities_updated (of those told), relations_added and relations_skipped.
     """
-    ends = [relations.select("memory_id", F.col(f"{e}_type").alias("type"), F.col(e).alias("name"), F.col("ord").alias("seq"), "confidence") for e in ("subject", "object")]
-    told = entities.select("memory_id", "type", "name", "at", "seq", "context", "confidence")
-    every = told.unionByName(ends[0].union(ends[1]).where(F.col("confidence") >= least), allowMissingColumns=True).where(F.col("type").isin(*ENTITY_TYPES) & (F.trim("name") != ""))
-    named = every.join(memories, "memory_id").withColumn("id", entity_id(F.col("type"), F.col("name")))
-    node = F.concat(F.lit("memory:"), F.col("memory_id"))
-    mentions = named.groupBy("memory_id", "id").agg(F.max("confidence").alias("confidence"), F.min("seq").alias("ord"))
-    mentions = mentions.select(node.alias("subject_id"), F.lit("mentions").alias("predicate"), F.col("id").alias("object_id"), node.alias("source_memory_id"), "confidence", F.lit(True).alias("active"), "ord")
-    raw = relations.select(entity_id(F.col("subject_type"), F.col("subject")).alias("subject_id"), "predicate", entity_id(F.col("object_type"), F.col("object")).alias("object_id"), node.alias("source_memory_id"), "confidence", F.lit(True).alias("active"), "ord")
-    return upsert_entities(named), mentions.unionByName(distinct_relations(normalise_relations(raw, least)))
+    when = memories.select("memory_id", "scope_hash", "at", "seq")
+    id_ = entity_id(F.col("type"), F.col("name")).alias("id")
+    told = parsed_entities(entities).join(when, "memory_id").select("memory_id", id_, "type", "name", "scope_hash", "at", F.struct("seq", F.lit(0).alias("kind"), "pos").alias("seq"), "context", "confidence")
+    parsed = parsed_relations(relations).join(when, "memory_id")
+    name, reverse = normalised_predicate(F.col("predicate"))
+    taken = (F.col("confidence") >= least) & (F.col("name_") != "") & (F.col("name_").isin(*PREDICATES) | F.lit(not drop_unknown))
+    parsed = parsed.withColumns({"name_": name, "back_": reverse}).withColumn("taken_", taken)
+    side = lambda a, b: F.when(F.col("back_"), F.col(b)).otherwise(F.col(a))
+    rows = parsed.where("taken_").select(
+        "memory_id", "scope_hash", "at", "seq", "pos", "confidence", F.col("name_").alias("predicate"), *[side(f"{a}{t}", f"{b}{t}").alias(f"{a}{t}") for a, b in (("subject", "object"), ("object", "subject")) for t in ("", "_type")]
+    )
+    ends = [
+        rows.select("memory_id", F.col(f"{e}_type").alias("type"), F.col(e).alias("name"), "scope_hash", "at", F.struct("seq", F.lit(1).alias("kind"), (2 * F.col("pos") + i).alias("pos")).alias("seq"))
+        .withColumn("id", id_).withColumns({"context": F.lit(""), "confidence": F.lit(None).cast("double")})
+        .select(*told.columns)
+        for i, e in enumerate(("subject", "object"))
+    ]
+    # the first that names an id, in whichever way
+    firsts = told.unionByName(ends[0].unionByName(ends[1])).groupBy("id").agg(F.min_by(F.struct(*told.columns), F.struct("at", "seq")).alias("first")).select("first.*")
+    firsts = firsts if old is None else firsts.join(old.select("id"), "id", "left_anti")
+    found = upsert_entities(told.unionByName(firsts.where("seq.kind = 1")), old)
+    mentions = told.groupBy("memory_id", "id").agg(F.min_by("confidence", "seq").alias("confidence"), F.min("seq.seq").alias("ord"))
+    mentions = mentions.select(F.concat(F.lit("memory:"), "memory_id").alias("subject_id"), F.lit("mentions").alias("predicate"), F.col("id").alias("object_id"), F.col("memory_id").cast("string").alias("source_memory_id"), "confidence", F.lit(True).alias("active"), "ord")
+    edges = rows.select(
+        entity_id(F.col("subject_type"), F.col("subject")).alias("subject_id"), "predicate", entity_id(F.col("object_type"), F.col("object")).alias("object_id"), F.col("memory_id").cast("string").alias("source_memory_id"), "confidence", F.lit(True).alias("active"), F.col("seq").alias("ord"), "pos"
+    )
+    first = Window.partitionBy("subject_id", "predicate", "object_id", "source_memory_id").orderBy("ord", "pos")
+    edges = edges.withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_", "pos")
+    added = firsts.agg(F.count_if(F.col("seq.kind") == 0).alias("entities_added"))
+    n_told = told.agg(F.count("*").alias("told_"))
+    n_related = parsed.agg(F.count_if("taken_").alias("relations_added"), F.count_if(~F.col("taken_")).alias("relations_skipped"))
+    counts = added.crossJoin(n_told).crossJoin(n_related)  # one row each
+    return found, mentions.unionByName(edges), counts.select("entities_added", (F.col("told_") - F.col("entities_added")).alias("entities_updated"), "relations_added", "relations_skipped")
 
 
 def ingest_stats(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -281,9 +323,10 @@ def add_supersedes(rows: DataFrame) -> DataFrame:
 def supersede_candidates(mentions: DataFrame, fresh: DataFrame, types: tuple[str, ...] = ("decision", "preference", "fact")) -> DataFrame:
     """new, old, entity_id: older memories of some types in the scope of a fresh one that mention one of its entities; the first entity of a pair.
 
-    mentions: memory_id, type, scope_hash, entity_id, created_at, pos.
+    mentions: memory_id, type, scope_hash, entity_id, created_at, pos, and active, where false ones of older memories don't count.
     """
-    old = mentions.join(fresh, "memory_id", "left_anti").where(F.col("type").isin(*types)).select(F.col("memory_id").alias("old"), "scope_hash", "entity_id")
+    live = mentions.where("active") if "active" in mentions.columns else mentions
+    old = live.join(fresh, "memory_id", "left_anti").where(F.col("type").isin(*types)).select(F.col("memory_id").alias("old"), "scope_hash", "entity_id")
     new = mentions.join(fresh, "memory_id", "left_semi").select(F.col("memory_id").alias("new"), "scope_hash", "entity_id", "pos")
     return new.join(old, ["scope_hash", "entity_id"]).groupBy("new", "old").agg(F.min_by("entity_id", F.struct("pos", "entity_id")).alias("entity_id"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.listing import scoped
 from tessera.schemas import SCORE_KEYS
 
 #: Days after the TTL, since the last touch of a dim memory, and since that of a soft-forgotten one.
@@ -145,9 +146,9 @@ def promoted_memories(promotions: DataFrame) -> DataFrame:
     )
 
 
-def review_pending(promotions: DataFrame, low: float = 0.0, high: float = 1.0, types: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
-    """Pending candidates with a mean in a range, the lowest first."""
-    rows = with_status(promotions.where("status = 'pending'")).withColumn("mean", F.bround("mean", 3)).where(F.col("mean").between(low, high))
+def review_pending(promotions: DataFrame, low: float = 0.0, high: float = 1.0, types: tuple[str, ...] = (), limit: int = 20, scope: str | None = None) -> DataFrame:
+    """Pending candidates of a scope (a global one: of all) with a mean in a range, the lowest first."""
+    rows = with_status(scoped(promotions.where("status = 'pending'"), scope)).withColumn("mean", F.bround("mean", 3)).where(F.col("mean").between(low, high))
     rows = rows.where(F.col("proposed_type").isin(*types)) if types else rows
     return rows.orderBy("mean", "id").limit(limit)
 

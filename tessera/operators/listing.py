@@ -62,9 +62,10 @@ def recent_memories(memories: DataFrame, scope: str | None = None, types: tuple[
 
 
 def recent_typed(memories: DataFrame, kind: str, now: str, days: int, limit: int, scope: str | None = None) -> DataFrame:
-    """Newest of a type in a window, the body without its front matter."""
-    rows = scoped(memories.where((F.col("type") == kind) & (F.col("created_at") >= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(days)} DAYS"))).where(VISIBLE), scope)
-    return top(rows.withColumn("body", F.regexp_replace("body", r"(?s)\A---\n.*?\n---\n+", "")), [F.desc("created_at"), F.asc("slug")], limit)
+    """Newest visible memories of a type in a window, but for sensitive scopes', the body without its front matter."""
+    rows = memories.where((F.col("type") == kind) & (F.col("created_at") >= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(days)} DAYS")) & ~F.coalesce("scope_sensitive", F.lit(False)))
+    rows = rows.where(VISIBLE) if scope is None else rows.where(VISIBLE).where(F.col("scope_hash") == scope)
+    return top(rows.withColumn("body", F.regexp_replace("body", r"(?sU)\A---.*?---\s*", "")), [F.desc("created_at"), F.asc("slug")], limit)
 
 
 def paginate(df: DataFrame, order: list[Column], page: int, per_page: int = 50) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import top_entities
 from tessera.operators.listing import VISIBLE, recall_hot, recent_typed
 from tessera.operators.trends import rising_triggers, top_triggers
 
 
-def dashboard_counts(memories: DataFrame, promotions: DataFrame, entities: DataFrame, sensitive: DataFrame) -> DataFrame:
-    """name, n: memories, those shown, decayed and sensitive ones, pending candidates, entities and sensitive scopes."""
+def dashboard_counts(memories: DataFrame, promotions: DataFrame, entities: DataFrame, sensitive: DataFrame, relations: DataFrame, versions: DataFrame) -> DataFrame:
+    """name, n: memories, those shown, decayed and sensitive ones, scopes, pending candidates, entities, relations, profile versions and sensitive scopes."""
     wide = memories.agg(
         F.count("*").alias("memories"),
         F.count_if(F.expr(VISIBLE)).alias("shown"),
@@ -19,19 +20,19 @@ def dashboard_counts(memories: DataFrame, promotions: DataFrame, entities: DataF
         F.count_distinct("scope_hash").alias("scopes"),
     )
     rows = wide.unpivot([], wide.columns, "name", "n")
-    for name, df in (("pending", promotions.where("status = 'pending'")), ("entities", entities), ("sensitive_scopes", sensitive)):
+    for name, df in (("pending", promotions.where("status = 'pending'")), ("entities", entities), ("relations", relations), ("profile_versions", versions), ("sensitive_scopes", sensitive)):
         rows = rows.union(df.agg(F.count("*").alias("n")).select(F.lit(name), "n"))
     return rows
 
 
-def handoff_signals(memories: DataFrame, entities: DataFrame, now: str, days: int = 14, decisions: int = 12, warnings: int = 8, sessions: int = 5, top: int = 10) -> DataFrame:
-    """kind, item, rank: the newest decisions, warnings and sessions of a window, and the entities mentioned most."""
+def handoff_signals(memories: DataFrame, entities: DataFrame, now: str, days: int = 14, decisions: int = 12, warnings: int = 8, sessions: int = 5, top: int = 10, scope: str | None = None) -> DataFrame:
+    """kind, item, rank: the newest decisions, warnings and sessions of a window, and the entities seen in it that are mentioned most; of one scope if given."""
     parts = []
     for kind, most in (("decision", decisions), ("warning", warnings), ("session", sessions)):
-        found = recent_typed(memories, kind, now, days, most).select("slug", "created_at")
+        found = recent_typed(memories, kind, now, days, most, scope).select("slug", "created_at")
         rank = F.row_number().over(Window.orderBy(F.desc("created_at"), "slug"))  # of `most` rows
         parts.append(found.select(F.lit(kind).alias("kind"), F.col("slug").alias("item"), rank.alias("rank")))
-    best = entities.orderBy(F.desc("mention_count"), F.desc("last_seen_at"), "id").limit(top)
+    best = seen_since(entities, now, days, top, scope)
     parts.append(best.select(F.lit("entity"), "id", F.row_number().over(Window.orderBy(F.desc("mention_count"), F.desc("last_seen_at"), "id"))))
     out = parts[0]
     for part in parts[1:]:
@@ -39,18 +40,26 @@ def handoff_signals(memories: DataFrame, entities: DataFrame, now: str, days: in
     return out
 
 
-def trend_page(stats: DataFrame, memories: DataFrame, now: str, days: int = 7) -> DataFrame:
-    """kind, item, n: top and rising triggers and the memories recalled most."""
-    rows = top_triggers(stats, now, days).select(F.lit("top").alias("kind"), F.col("trigger").alias("item"), F.col("total").alias("n"))
-    rows = rows.union(rising_triggers(stats, now, days, days).select(F.lit("rising"), "trigger", F.col("recent") - F.col("prior")))
-    return rows.union(recall_hot(memories).select(F.lit("hot"), "slug", "recall_count"))
+def seen_since(entities: DataFrame, now: str, days: int, limit: int, scope: str | None = None) -> DataFrame:
+    """The entities mentioned most of those seen in the last days."""
+    recent = entities.where(F.col("last_seen_at") >= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(days)} DAYS"))
+    return top_entities(recent, scope=scope, limit=limit)
 
 
-def list_versions(versions: DataFrame, since: int | None = None, until: int | None = None, limit: int = 50) -> DataFrame:
-    """Versions from `since` up to but without `until`, by number; `limit` at most."""
-    rows = versions if since is None else versions.where(F.col("version_num") >= since)
-    rows = rows if until is None else rows.where(F.col("version_num") < until)
-    return rows.orderBy("version_num").limit(limit)
+def trend_page(stats: DataFrame, memories: DataFrame, entities: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """kind, item, n: ten top triggers, eight that rise over the two windows before, the eight memories recalled most, and ten entities of four windows."""
+    rows = top_triggers(stats, now, days, limit=10).select(F.lit("top").alias("kind"), F.col("trigger").alias("item"), F.col("total").alias("n"))
+    rows = rows.union(rising_triggers(stats, now, days, 2 * days, limit=8).select(F.lit("rising"), "trigger", F.col("recent") - F.col("prior")))
+    rows = rows.union(recall_hot(memories, limit=8).select(F.lit("hot"), "slug", "recall_count"))
+    return rows.union(seen_since(entities, now, 4 * days, 10).select(F.lit("entity"), "id", "mention_count"))
+
+
+def list_versions(versions: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = None) -> DataFrame:
+    """Versions written from `since` up to but without `until`, by number."""
+    rows = versions if since is None else versions.where(F.col("written_at") >= F.expr(f"TIMESTAMP_NTZ '{since}'"))
+    rows = rows if until is None else rows.where(F.col("written_at") < F.expr(f"TIMESTAMP_NTZ '{until}'"))
+    rows = rows.orderBy("version_num")
+    return rows.limit(limit) if limit else rows
 
 
 def newest_versions(versions: DataFrame, limit: int = 50) -> DataFrame:

@@ -117,17 +117,36 @@ def local_entries(entries: DataFrame, local: DataFrame, landing: DataFrame) -> D
     return rows.select("id", F.coalesce("own_", "landed_")["content_hash"].alias("content_hash"), where.alias("found_in"))
 
 
-def imported(local: DataFrame, remote: DataFrame, strategy: str = "merge") -> tuple[DataFrame, DataFrame]:
-    """The entries after an import under a strategy, and the landing table: entries that wait for a decision.
+def imported(local: DataFrame, landing: DataFrame, remote: DataFrame, strategy: str = "merge", audit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The landing table after an import under a strategy, and counts: imported, conflicts_resolved, merged, skipped.
 
-    New entries are taken under all; of those on both sides merge joins the fields, prefer-local and ask keep the own one
-    (ask lands those that differ), and prefer-remote takes the other.
+    An entry meets the own one of its id, else one that landed before. New ones land under all strategies. Of the others prefer-local
+    lands none, prefer-remote all, ask all with the note pending-user-decision, and merge those whose fields, joined with the
+    help of the audit log, have other content or tags than the own. What lands replaces what had landed under its id. All sides have
+    the columns of remote, with merge_notes.
     """
-    actions = import_bundle(local, remote, strategy)
-    columns = local.columns
-    if strategy == "merge":
-        return merge_entries(local, remote).select(*[c for c in columns if c != "merge_notes"], "merge_notes"), remote.limit(0)
-    taken = actions.where(F.col("action").isin("imported", "replaced")).select("id")
-    kept = local.join(actions.where("action = 'replaced'").select("id"), "id", "left_anti").select(*columns)
-    after = kept.unionByName(remote.join(taken, "id", "left_semi").select(*columns))
-    return after, remote.join(actions.where("action = 'pending'").select("id"), "id", "left_semi").select(*columns)
+    columns = remote.columns
+    hashed = "content" if "content" in columns else "content_hash"
+    twins = local.unionByName(landing.join(local.select("id"), "id", "left_anti")).select(*columns)
+    new = remote.join(twins.select("id"), "id", "left_anti")
+    met = remote.join(twins.select("id"), "id", "left_semi")
+    none = F.array().cast("array<string>")
+    if strategy == "prefer-local":
+        changed = met.limit(0)
+    elif strategy == "prefer-remote":
+        changed = met
+    elif strategy == "ask":
+        changed = met.withColumn("merge_notes", F.concat(F.coalesce("merge_notes", none), F.array(F.lit("pending-user-decision"))))
+    elif strategy == "merge":
+        own = twins.select("id", F.struct(F.col(hashed).alias("value"), "tags").alias("own_"))
+        joined = merge_entries(twins.join(met.select("id"), "id", "left_semi"), met, audit).join(own, "id")
+        same = F.col(hashed).eqNullSafe(F.col("own_.value")) & F.col("tags").eqNullSafe(F.col("own_.tags"))
+        rest = [c for c in columns if c not in joined.columns]
+        changed = joined.where(~same).select(*joined.columns).join(met.select("id", *rest), "id").select(*columns)
+    else:
+        raise ValueError(f"unknown strategy: {strategy}")
+    fresh = new.unionByName(changed)
+    after = landing.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+    n = new.agg(F.count("*").alias("imported")).crossJoin(changed.agg(F.count("*").alias("changed"))).crossJoin(met.agg(F.count("*").alias("met")))  # one row each
+    merged = F.col("changed") if strategy == "merge" else F.lit(0).cast("bigint")
+    return after, n.select("imported", F.col("changed").alias("conflicts_resolved"), merged.alias("merged"), (F.col("met") - F.col("changed")).alias("skipped"))

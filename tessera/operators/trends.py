@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lifecycle import score_mean
 from tessera.operators.listing import VISIBLE, scoped
 from tessera.schemas import LONG_TERM_TYPES
 
@@ -64,15 +63,33 @@ def month_report(memories: DataFrame, promotions: DataFrame, sensitive: DataFram
     return wide.unpivot([], ["added", "dropped", "supersedes"], "name", "n")
 
 
-def weekly_signals(memories: DataFrame, promotions: DataFrame, triggers: DataFrame, now: str, days: int = 7) -> DataFrame:
-    """kind, slug, title, triggers, n: new long-term memories, recurring ones, sessions with triggers, and candidates of a week."""
-    start = F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(days)} DAYS")
-    shown = memories.where(~F.coalesce("scope_sensitive", F.lit(False))).where(VISIBLE)
-    words = triggers.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("trigger")), ", ").alias("triggers"))
-    fresh = shown.where(F.col("created_at") >= start)
-    picked = fresh.where("type = 'session'").orderBy(F.desc("created_at"), "slug").limit(20).select(F.lit("session").alias("kind"), "slug", "title", F.lit(0).cast("bigint").alias("n"))
-    new = fresh.where(F.col("type").isin(*LONG_TERM_TYPES)).orderBy(F.desc("created_at"), "slug").limit(20).select(F.lit("new"), "slug", "title", F.lit(0).cast("bigint"))
-    recurring = shown.where((F.col("recall_count") >= 2) & (F.col("type") != "session")).orderBy(F.desc("recall_count"), F.desc_nulls_last("last_recalled_at"), "slug").limit(20).select(F.lit("recurring"), "slug", "title", "recall_count")
-    rows = picked.union(new).union(recurring).join(words, "slug", "left")
-    waiting = promotions.where(F.col("status") == "pending").where(F.col("created_at") >= start).orderBy(F.desc(score_mean(F.col("dura_score"))), "id").limit(20)
-    return rows.select("kind", "slug", "title", F.coalesce("triggers", F.lit("")).alias("triggers"), "n").union(waiting.select(F.lit("pending"), "source_session_slug", "proposed_title", F.lit(""), F.lit(0).cast("bigint")))
+def weekly_signals(memories: DataFrame, promotions: DataFrame, triggers: DataFrame, entities: DataFrame, stats: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """kind, item, title, detail, n: what a week's profile is written from.
+
+    new: the 50 newest long-term memories of the window with their triggers; recurring: the 20 that are recalled most, twice at least;
+    replaced: the titles of 20 approved candidates of 14 days with what they replace; entity: the 15 mentioned most in 30 days;
+    trigger: the 15 top ones of the window; sources: the number of new and recurring memories. Sensitive and forgotten ones are left out.
+    """
+    before = lambda n: F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(n)} DAYS")
+    long_term = memories.where(~F.coalesce("scope_sensitive", F.lit(False)) & F.col("type").isin(*LONG_TERM_TYPES)).where(VISIBLE)
+    new = long_term.where(F.col("created_at") >= before(days)).orderBy(F.desc("created_at"), "slug").limit(50).select("slug", "title", "recall_count")
+    # only the triggers of these few
+    words = triggers.join(F.broadcast(new.select("slug")), "slug", "left_semi").groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("trigger")), ",").alias("triggers"))
+    recurring = long_term.where("recall_count >= 2").orderBy(F.desc("recall_count"), F.desc_nulls_last("last_recalled_at"), "slug").limit(20)
+    replaced = promotions.where((F.col("status") == "approved") & (F.col("created_at") >= before(14)) & (F.col("proposed_supersedes") != "[]")).orderBy(F.desc("created_at"), "id").limit(20)
+    gone = F.from_json("proposed_supersedes", "array<string>")
+    seen = entities.where(F.col("last_seen_at") >= before(30)).orderBy(F.desc("mention_count"), F.desc("last_seen_at"), "id").limit(15)
+    none, n = F.lit(""), F.col("recall_count")
+    rows = new.join(words, "slug", "left").select(F.lit("new").alias("kind"), F.col("slug").alias("item"), "title", F.coalesce("triggers", none).alias("detail"), n.alias("n"))
+    again = recurring.select(F.lit("recurring"), "slug", "title", none, n)
+    count = new.select("slug").union(recurring.select("slug")).agg(F.count("*").alias("n")).select(F.lit("sources"), none, none, none, "n")
+    parts = [
+        again,
+        replaced.where(F.size(gone) > 0).select(F.lit("replaced"), F.col("id").cast("string"), "proposed_title", F.array_join(gone, ","), F.size(gone).cast("bigint")),
+        seen.select(F.lit("entity"), "id", "name", none, "mention_count"),
+        top_triggers(stats, now, days, limit=15).select(F.lit("trigger"), "trigger", none, none, "total"),
+        count,
+    ]
+    for part in parts:
+        rows = rows.union(part)
+    return rows

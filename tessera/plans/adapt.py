@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: The clock of queries over tables derived from documents, events and orders.
 NOW, EVENTS_NOW, ORDERS_NOW = "2024-06-01 00:00:00", "2024-01-31 00:00:00", "1998-08-02 00:00:00"
 
+#: Days from the orders' last ones to January 2024.
+MOVED = 9300
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,7 +77,7 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(F.array(*[F.lit(k) for k in ("decision", "preference", "fact", "playbook", "warning")]), (i % 5).cast("int")).alias("proposed_type"),
         F.concat(F.lit("Candidate "), i).alias("proposed_title"),
         score.alias("dura_score"),
-        F.when(i % 4 == 0, F.concat(F.lit('["doc-'), i - 1, F.lit('"]'))).otherwise("[]").alias("proposed_supersedes"),
+        F.when(i % 3 == 0, F.concat(F.lit('["doc-'), i - 1, F.lit('"]'))).otherwise("[]").alias("proposed_supersedes"),
         F.substring(F.sha1("source"), 1, 12).alias("scope_hash"),
         F.get(F.array(*[F.lit(k) for k in ("pending", "approved", "rejected", "merged")]), (i % 4).cast("int")).alias("status"),
         _after(i).alias("created_at"),
@@ -93,6 +96,13 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recent_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of the mentions, with their times moved by MOVED days to those of the other tables."""
+    from tessera.operators.graph import upsert_entities
+
+    return upsert_entities(mentions(spark, sf_dir).withColumn("at", F.col("at") + F.expr(f"INTERVAL {MOVED} DAYS")))
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges: customers at nations, nations in regions, and customers that use the brands of parts they order."""
     customer, nation, region = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))

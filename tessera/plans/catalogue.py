@@ -270,7 +270,7 @@ def queries() -> dict[str, Query]:
         "last_turns": lambda spark, d: listing.last_turns(read(spark, d, "conversations")).select("conv_id", "turn", "role", "rank"),
         "session_transcript": lambda spark, d: listing.transcript(read(spark, d, "conversations")),
         "month_report": _two(partial(trends.month_report, year=2024, month=1), adapt.memories, adapt.promotions, adapt.sensitive_scopes),
-        "weekly_signals": _two(partial(trends.weekly_signals, now="2024-01-20 00:00:00"), adapt.memories, adapt.promotions, adapt.triggers),
+        "weekly_signals": _two(partial(trends.weekly_signals, now="2024-01-12 00:00:00"), adapt.memories, adapt.promotions, adapt.triggers, adapt.recent_entities, adapt.trigger_stats),
     }
     return found | more.queries()
 

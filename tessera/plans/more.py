@@ -15,6 +15,10 @@ from tessera.sources import readers, sinks
 PERSON = "entity:person:customer_7"
 GONE = "SELECT slug FROM memories WHERE doc_id % 5 = 0"
 FILES = "SELECT *, '/root/scopes/' || scope_hash || '/' || type || '/' || CASE WHEN doc_id % 7 = 0 THEN '_' ELSE '' END || slug || '.md' AS path FROM memories"
+#: Of the extracted: who is told, which relations are taken, and their ends, each with its place.
+TOLD = """SELECT o_orderdate AS seen, o_orderkey AS k, 0 AS kind, 0 AS pos, 'entity:person:customer_' || o_custkey AS id FROM orders UNION ALL SELECT o_orderdate, o_orderkey, 0, 1, 'entity:tool:tool_' || (o_orderkey % 10) FROM orders WHERE o_orderkey % 7 = 0"""
+TAKEN = "SELECT o_orderdate AS seen, o_orderkey AS k, 'entity:person:customer_' || o_custkey AS person, 'entity:tool:tool_' || (o_orderkey % 10) AS tool FROM orders WHERE o_orderkey % 5 >= 2 AND o_orderkey % 4 < 2"
+ENDS = f"SELECT seen, k, 1 AS kind, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END AS pos, person AS id FROM ({TAKEN}) UNION ALL SELECT seen, k, 1, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END, tool FROM ({TAKEN})"
 MENTION_EDGES = "SELECT 'memory:o' || o_orderkey AS subject_id, 'mentions' AS predicate, 'entity:person:customer_' || o_custkey AS object_id, o_orderkey % 10 <> 0 AS active, o_orderkey AS ord FROM orders"
 
 
@@ -99,21 +103,26 @@ def _doubled(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(rows.withColumn("decided_at", F.col("decided_at") + F.expr("INTERVAL 1 DAY"))).unionByName(rows.withColumn("older", F.col("newer")))
 
 
-def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges from orders: the customer, and that it uses a tool of one of ten kinds (some predicates unknown, some weak)."""
+def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From orders: the customer is told, now and then a tool too, and a relation between them (some unknown, some weak, some without a name)."""
     o = F.col("o_orderkey")
     orders = read(spark, d, "orders")
-    entities = orders.select(o.alias("memory_id"), F.lit("person").alias("type"), F.concat(F.lit("Customer "), "o_custkey").alias("name"), F.col("o_orderdate").alias("at"), o.alias("seq"), F.lit("").alias("context"), F.lit(0.9).alias("confidence"))
-    names = F.get(F.array(*[F.lit(x) for x in ("used", "used by", "likes")]), (o % 3).cast("int"))
+    told = orders.select(
+        o.alias("memory_id"),
+        F.explode(F.array(F.struct(F.lit("Person").alias("type"), F.concat(F.lit(" Customer "), "o_custkey").alias("name")), F.struct(F.when(o % 7 == 0, "tool").otherwise("thing").alias("type"), F.concat(F.lit("Tool "), o % 10).alias("name")))).alias("e"),
+    )
+    entities = told.select("memory_id", "e.type", "e.name", F.when(F.col("e.type") == "tool", 1).otherwise(0).alias("pos"), F.lit("").alias("context"), F.lit(0.9).alias("confidence"))
+    names = F.get(F.array(*[F.lit(x) for x in ("used", "used by", "likes", "")]), (o % 4).cast("int"))
     relations = orders.select(
-        o.alias("memory_id"), F.lit("person").alias("subject_type"), F.concat(F.lit("Customer "), "o_custkey").alias("subject"), names.alias("predicate"), F.lit("tool").alias("object_type"), F.concat(F.lit("Tool "), o % 10).alias("object"), (o % 5 / 5).alias("confidence"), o.alias("ord")
+        o.alias("memory_id"), F.lit("person").alias("subject_type"), F.concat(F.lit("Customer "), "o_custkey").alias("subject"), names.alias("predicate"), F.lit("tool").alias("object_type"), F.concat(F.lit("Tool "), o % 10).alias("object"), (o % 5 / 5).alias("confidence"), F.lit(0).alias("pos")
     )
-    return graph.ingest(entities, relations, orders.select(o.alias("memory_id"), F.lit("s").alias("scope_hash")), 0.3)
+    memories_ = orders.select(o.alias("memory_id"), F.lit("s").alias("scope_hash"), F.col("o_orderdate").alias("at"), o.alias("seq"))
+    return graph.ingest(entities, relations, memories_, 0.3, drop_unknown=True)
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
-    return read(spark, d, "orders").select((F.col("o_custkey") % 20).cast("string").alias("page"), o.alias("version_num"), F.repeat(F.lit("x"), (o % 3 + 1).cast("int")).alias("content_md"))
+    return read(spark, d, "orders").select((F.col("o_custkey") % 20).cast("string").alias("page"), o.alias("version_num"), F.repeat(F.lit("x"), (o % 3 + 1).cast("int")).alias("content_md"), F.col("o_orderdate").alias("written_at"))
 
 
 def _next_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +145,7 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
-    rows = read(spark, d, "orders").select(F.concat(F.lit("m"), o).alias("memory_id"), F.when(o % 3 == 0, "session").otherwise("fact").alias("type"), F.lit("s").alias("scope_hash"), F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("created_at"), F.lit(0).alias("pos"))
+    rows = read(spark, d, "orders").select(F.concat(F.lit("m"), o).alias("memory_id"), F.when(o % 3 == 0, "session").otherwise("fact").alias("type"), F.lit("s").alias("scope_hash"), F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("created_at"), F.lit(0).alias("pos"), (o % 11 != 0).alias("active"))
     return graph.supersede_candidates(rows, rows.where(F.substring("memory_id", 2, 20).cast("bigint") % 7 == 0).select("memory_id"))
 
 
@@ -151,15 +160,41 @@ def _registered(spark: SparkSession, d: str) -> DataFrame:
     return security.register_scopes(rows.where("at < 10"), rows.where("at >= 10"), rows.where("at = 3").select("scope_hash"))
 
 
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The own entries, those that landed before, a bundle, and its audit log, which decides the type of some."""
+    i = F.substring("id", 5, 20).cast("bigint")
+    none = F.array().cast("array<string>")
+    local, remote = (adapt.entries(spark, d, remote=r).withColumns({"tags": F.when(i % 3 == 0, F.array(F.lit("all"))).otherwise(F.col("tags")), "merge_notes": none}) for r in (False, True))
+    landing = remote.where((i % 13 == 0) & (i % 2 == 0)).withColumns({"content_hash": F.lit("landed"), "updated_at": i * 10.0})
+    audit = remote.where(i % 16 == 1).select(i.alias("seq"), F.lit(1.0).alias("ts"), F.lit("update").alias("action"), F.col("id").alias("target_id"), F.array(F.lit("content_hash")).alias("changed_fields"), F.create_map(F.lit("content_hash"), F.lit("audited")).alias("after"))
+    return local, landing, remote, audit
+
+
 def _imported(strategy: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        local, remote = (adapt.entries(spark, d, remote=r) for r in (False, True))
-        after, landing = sync.imported(local, remote, strategy)
-        return after.select("id", "content_hash", F.lit("entries").alias("place")).union(landing.select("id", "content_hash", F.lit("landing")))
+        local, landing, remote, audit = _sides(spark, d)
+        after, counts = sync.imported(local, landing, remote, strategy, audit)
+        wide = counts.unpivot([], counts.columns, "id", "n").select("id", F.col("n").cast("string").alias("content_hash"), F.lit("").alias("notes"), F.lit("count").alias("place"))
+        noted = F.when(F.array_contains("merge_notes", "pending-user-decision"), "pending").when(F.size("merge_notes") > 0, F.substring(F.col("merge_notes")[0], 1, 25)).otherwise("")
+        return after.select("id", "content_hash", noted.alias("notes"), F.lit("landing").alias("place")).union(wide)
 
     return query
 
 
+def _import_twin(changed: str, merged: str = "0 * count(*)") -> str:
+    """changed: id, content_hash, notes of the met entries that land. Own entries are met before those that landed."""
+    return _with(
+        "mine theirs",
+        f""", landed AS (SELECT id, 'landed' AS content_hash, doc_id * 10.0::DOUBLE AS updated_at, doc_id FROM theirs WHERE doc_id % 26 = 0),
+        twins AS (SELECT id, content_hash, updated_at FROM mine UNION ALL SELECT id, content_hash, updated_at FROM landed WHERE id NOT IN (SELECT id FROM mine)),
+        met AS (SELECT t.id, t.doc_id, t.content_hash AS theirs_hash, w.content_hash AS own_hash, t.updated_at AS their_time, w.updated_at AS own_time FROM theirs t JOIN twins w ON w.id = t.id),
+        fresh AS (SELECT id, content_hash, '' AS notes FROM theirs WHERE id NOT IN (SELECT id FROM twins)), changed AS ({changed}), lands AS (SELECT * FROM fresh UNION ALL SELECT * FROM changed)
+        SELECT id, content_hash, notes, 'landing' AS place FROM lands UNION ALL SELECT id, content_hash, '', 'landing' FROM landed WHERE id NOT IN (SELECT id FROM lands)
+        UNION ALL SELECT 'imported', CAST(count(*) AS VARCHAR), '', 'count' FROM fresh UNION ALL SELECT 'conflicts_resolved', CAST(count(*) AS VARCHAR), '', 'count' FROM changed
+        UNION ALL SELECT 'merged', CAST({merged} AS VARCHAR), '', 'count' FROM changed UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM met) - count(*) AS VARCHAR), '', 'count' FROM changed""",
+    )
+
+
 def _local_entries(spark: SparkSession, d: str) -> DataFrame:
     local, remote = (adapt.entries(spark, d, remote=r) for r in (False, True))
     return sync.local_entries(remote, local, remote.where(F.substring("id", 5, 20).cast("bigint") % 2 == 0))
@@ -184,11 +219,11 @@ def _diff_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _handoff(spark: SparkSession, d: str) -> DataFrame:
-    return reports.handoff_signals(adapt.memories(spark, d), graph.upsert_entities(adapt.mentions(spark, d)), "2024-02-01 00:00:00", 14)
+    return reports.handoff_signals(adapt.memories(spark, d), adapt.recent_entities(spark, d), "2024-01-12 00:00:00", 14)
 
 
 def _dashboard(spark: SparkSession, d: str) -> DataFrame:
-    return reports.dashboard_counts(adapt.memories(spark, d), adapt.promotions(spark, d), graph.upsert_entities(adapt.mentions(spark, d)), adapt.sensitive_scopes(spark, d))
+    return reports.dashboard_counts(adapt.memories(spark, d), adapt.promotions(spark, d), graph.upsert_entities(adapt.mentions(spark, d)), adapt.sensitive_scopes(spark, d), adapt.relations(spark, d), _versions(spark, d))
 
 
 def _of_text(name: str, f) -> object:
@@ -273,10 +308,10 @@ def _queries() -> dict[str, tuple[object, str]]:
         "find_by_fingerprint": (memory(lambda m: listing.find_by_fingerprint(m.withColumn("fingerprint", F.sha1("source")), F.sha1(F.lit("src5"))).select("slug")), "SELECT 'doc-' || doc_id AS slug FROM documents WHERE source = 'src5'"),
         "scope_filter": (memory(lambda m: listing.scoped(m.withColumn("scope_hash", F.col("source")), "src5").select("slug")), "SELECT 'doc-' || doc_id AS slug FROM documents WHERE source = 'src5'"),
         "wanted_columns": (memory(lambda m: listing.wanted_columns(m, ["slug", "missing", "type"])), _with("memories", "SELECT slug, type FROM memories")),
-        "list_entities": (lambda s, d: _stamped(graph.list_entities(entities(s, d), "person", limit=40).select("id", "last_seen_at")), _with("entities", f"SELECT id, {STAMP.format('entities.last_seen_at')} AS last_seen_at FROM entities ORDER BY entities.last_seen_at DESC, id LIMIT 40")),
+        "list_entities": (lambda s, d: _stamped(graph.list_entities(entities(s, d), "person", "n3").select("id", "last_seen_at")), _with("entities", f"SELECT id, {STAMP.format('entities.last_seen_at')} AS last_seen_at FROM entities WHERE scope_hash = 'n3'")),
         "top_open_entities": (
-            lambda s, d: graph.top_open_entities(entities(s, d), s.createDataFrame([("n3",), ("n7",)], "scope_hash string")).select("id", "mention_count"),
-            _with("entities", "SELECT id, mention_count FROM (SELECT * FROM entities ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 20) WHERE scope_hash NOT IN ('n3', 'n7') ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 10"),
+            lambda s, d: graph.top_open_entities(entities(s, d), s.createDataFrame([("n3",), ("n7",)], "scope_hash string"), "1998-06-01 00:00:00").select("id", "mention_count"),
+            _with("entities", "SELECT id, mention_count FROM (SELECT * FROM entities WHERE last_seen_at >= TIMESTAMP '1998-06-01' ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 20) WHERE scope_hash NOT IN ('n3', 'n7') ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 10"),
         ),
         "alias_union": (
             _aliases,
@@ -293,19 +328,23 @@ def _queries() -> dict[str, tuple[object, str]]:
         ),
         "supersede_candidates": (
             _candidates,
-            """SELECT 'm' || n.o_orderkey AS new, 'm' || o.o_orderkey AS old, n.o_custkey AS entity_id FROM orders n JOIN orders o USING (o_custkey) WHERE n.o_orderkey % 7 = 0 AND o.o_orderkey % 7 <> 0 AND o.o_orderkey % 3 <> 0""",
+            """SELECT 'm' || n.o_orderkey AS new, 'm' || o.o_orderkey AS old, n.o_custkey AS entity_id FROM orders n JOIN orders o USING (o_custkey) WHERE n.o_orderkey % 7 = 0 AND o.o_orderkey % 7 <> 0 AND o.o_orderkey % 3 <> 0 AND o.o_orderkey % 11 <> 0""",
         ),
         "ingest_entities": (
             lambda s, d: _extracted(s, d)[0].select("id", "mention_count"),
-            """SELECT id, CAST(sum(n) AS BIGINT) AS mention_count FROM (SELECT 'entity:person:customer_' || o_custkey AS id, 1 + (o_orderkey % 5 >= 2)::INTEGER AS n FROM orders
-            UNION ALL SELECT 'entity:tool:tool_' || (o_orderkey % 10), 1 FROM orders WHERE o_orderkey % 5 >= 2) GROUP BY 1""",
+            f"""WITH told AS ({TOLD}), ends AS ({ENDS}), firsts AS (SELECT id, arg_min(kind, (seen, k, kind, pos)) AS kind FROM (SELECT seen, k, kind, pos, id FROM told UNION ALL SELECT seen, k, kind, pos, id FROM ends) GROUP BY id)
+            SELECT id, (SELECT count(*) FROM told WHERE told.id = firsts.id) + kind AS mention_count FROM firsts""",
         ),
         "ingest_edges": (
-            lambda s, d: _extracted(s, d)[1].select("subject_id", "predicate", "object_id", "ord"),
-            """SELECT 'memory:' || o_orderkey AS subject_id, 'mentions' AS predicate, 'entity:person:customer_' || o_custkey AS object_id, o_orderkey AS ord FROM orders
-            UNION ALL SELECT 'memory:' || o_orderkey, 'mentions', 'entity:tool:tool_' || (o_orderkey % 10), o_orderkey FROM orders WHERE o_orderkey % 5 >= 2
-            UNION ALL SELECT 'entity:person:customer_' || o_custkey, 'uses', 'entity:tool:tool_' || (o_orderkey % 10), o_orderkey FROM orders WHERE o_orderkey % 5 >= 2 AND o_orderkey % 3 = 0
-            UNION ALL SELECT 'entity:tool:tool_' || (o_orderkey % 10), 'uses', 'entity:person:customer_' || o_custkey, o_orderkey FROM orders WHERE o_orderkey % 5 >= 2 AND o_orderkey % 3 = 1""",
+            lambda s, d: _extracted(s, d)[1].select("subject_id", "predicate", "object_id", "source_memory_id", "ord"),
+            f"""WITH told AS ({TOLD}) SELECT 'memory:' || k AS subject_id, 'mentions' AS predicate, id AS object_id, CAST(k AS VARCHAR) AS source_memory_id, k AS ord FROM told
+            UNION ALL SELECT CASE WHEN k % 4 = 0 THEN person ELSE tool END, 'uses', CASE WHEN k % 4 = 0 THEN tool ELSE person END, CAST(k AS VARCHAR), k FROM ({TAKEN})""",
+        ),
+        "ingest_counts": (
+            lambda s, d: _extracted(s, d)[2],
+            f"""WITH told AS ({TOLD}), ends AS ({ENDS}), firsts AS (SELECT id, arg_min(kind, (seen, k, kind, pos)) AS kind FROM (SELECT seen, k, kind, pos, id FROM told UNION ALL SELECT seen, k, kind, pos, id FROM ends) GROUP BY id)
+            SELECT (SELECT count(*) FROM firsts WHERE kind = 0) AS entities_added, (SELECT count(*) FROM told) - (SELECT count(*) FROM firsts WHERE kind = 0) AS entities_updated,
+            (SELECT count(*) FROM ({TAKEN})) AS relations_added, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 3) - (SELECT count(*) FROM ({TAKEN})) AS relations_skipped""",
         ),
         "ingest_stats": (_stats, "SELECT count(*) FILTER (doc_id % 4 = 0) AS added, count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 3 = 0) AS updated, count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 3 <> 0) AS unchanged FROM documents"),
         "to_cytoscape": (
@@ -313,7 +352,7 @@ def _queries() -> dict[str, tuple[object, str]]:
             """, e AS (SELECT * FROM relations WHERE predicate = 'belongs_to') SELECT '{"data":{"id":"' || subject_id || '"}}' AS element FROM e
             UNION ALL SELECT '{"data":{"id":"' || subject_id || '--belongs_to->' || object_id || '","source":"' || subject_id || '","target":"' || object_id || '","label":"belongs_to"}}' FROM e""",
         ),
-        "list_versions": (lambda s, d: reports.list_versions(_versions(s, d), 100, 900).select("version_num", "page"), "SELECT o_orderkey AS version_num, CAST(o_custkey % 20 AS VARCHAR) AS page FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900 ORDER BY 1 LIMIT 50"),
+        "list_versions": (lambda s, d: reports.list_versions(_versions(s, d), "1995-03-01 00:00:00", "1996-01-15 12:00:00").select("version_num", "page"), "SELECT o_orderkey AS version_num, CAST(o_custkey % 20 AS VARCHAR) AS page FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-01-15 12:00:00'"),
         "profile_list": (lambda s, d: reports.newest_versions(_versions(s, d), 24).select("version_num"), "SELECT o_orderkey AS version_num FROM orders ORDER BY 1 DESC LIMIT 24"),
         "version_diff": (
             lambda s, d: reports.version_changes(_versions(s, d)),
@@ -321,13 +360,18 @@ def _queries() -> dict[str, tuple[object, str]]:
             WINDOW w AS (PARTITION BY page ORDER BY version_num)""",
         ),
         "diff_lines": (_diff_counts, f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE {deltas} END AS diff FROM documents"),
-        "import_prefer_remote": (_imported("prefer-remote"), _with("mine theirs", "SELECT id, coalesce(r.content_hash, l.content_hash) AS content_hash, 'entries' AS place FROM mine l FULL JOIN theirs r USING (id)")),
-        "import_prefer_local": (_imported("prefer-local"), _with("mine theirs", "SELECT id, coalesce(l.content_hash, r.content_hash) AS content_hash, 'entries' AS place FROM mine l FULL JOIN theirs r USING (id)")),
-        "import_ask": (
-            _imported("ask"),
-            _with("mine theirs", "SELECT id, coalesce(l.content_hash, r.content_hash) AS content_hash, 'entries' AS place FROM mine l FULL JOIN theirs r USING (id) UNION ALL SELECT id, r.content_hash, 'landing' FROM mine l JOIN theirs r USING (id) WHERE l.content_hash <> r.content_hash"),
+        "import_prefer_remote": (_imported("prefer-remote"), _import_twin("SELECT id, theirs_hash AS content_hash, '' AS notes FROM met")),
+        "import_prefer_local": (_imported("prefer-local"), _import_twin("SELECT id, theirs_hash AS content_hash, '' AS notes FROM met WHERE FALSE")),
+        "import_ask": (_imported("ask"), _import_twin("SELECT id, theirs_hash AS content_hash, 'pending' AS notes FROM met")),
+        "import_merge": (
+            _imported("merge"),
+            _import_twin(
+                """SELECT id, kept AS content_hash, CASE WHEN own_hash = theirs_hash THEN '' ELSE 'content-conflict: kept ' || CASE WHEN their_time >= own_time THEN 're' ELSE 'lo' END END AS notes
+                FROM (SELECT *, CASE WHEN own_hash = theirs_hash THEN own_hash WHEN doc_id % 16 = 1 THEN 'audited' WHEN their_time >= own_time THEN theirs_hash ELSE own_hash END AS kept FROM met)
+                WHERE kept <> own_hash OR (doc_id % 3 <> 0 AND id IN (SELECT id FROM mine))""",
+                "count(*)",
+            ),
         ),
-        "import_merge": (_imported("merge"), _with("mine theirs", "SELECT id, CASE WHEN l.id IS NULL OR r.updated_at >= l.updated_at THEN r.content_hash ELSE l.content_hash END AS content_hash, 'entries' AS place FROM (SELECT *, id AS i FROM mine) l FULL JOIN theirs r USING (id)")),
         "local_entries": (
             _local_entries,
             _with("mine theirs", "SELECT r.id, coalesce(l.content_hash, CASE WHEN r.doc_id % 2 = 0 THEN r.content_hash END) AS content_hash, CASE WHEN l.id IS NOT NULL THEN 'memories' WHEN r.doc_id % 2 = 0 THEN 'landing' END AS found_in FROM theirs r LEFT JOIN mine l ON l.id = r.id"),
@@ -336,29 +380,30 @@ def _queries() -> dict[str, tuple[object, str]]:
         "handoff_signals": (
             _handoff,
             _with(
-                "memories entities",
-                """, r AS (SELECT type AS kind, slug AS item, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, slug) AS rank FROM memories WHERE type IN ('decision', 'warning', 'session') AND created_at >= TIMESTAMP '2024-01-18' AND decay_state <> 'soft-forgotten')
+                "memories recent",
+                """, r AS (SELECT type AS kind, slug AS item, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, slug) AS rank FROM memories WHERE type IN ('decision', 'warning', 'session') AND created_at >= TIMESTAMP '2023-12-29' AND NOT scope_sensitive AND decay_state <> 'soft-forgotten')
                 SELECT kind, item, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= CASE kind WHEN 'decision' THEN 12 WHEN 'warning' THEN 8 ELSE 5 END
-                UNION ALL SELECT 'entity', id, CAST(rank AS INTEGER) FROM (SELECT id, row_number() OVER (ORDER BY mention_count DESC, last_seen_at DESC, id) AS rank FROM entities) WHERE rank <= 10""",
+                UNION ALL SELECT 'entity', id, CAST(rank AS INTEGER) FROM (SELECT id, row_number() OVER (ORDER BY mention_count DESC, last_seen_at DESC, id) AS rank FROM recent WHERE last_seen_at >= TIMESTAMP '2023-12-29') WHERE rank <= 10""",
             ),
         ),
         "dashboard_counts": (
             _dashboard,
             _with(
-                "memories promotions entities sensitive",
+                "memories promotions entities sensitive relations",
                 """SELECT 'memories' AS name, count(*) AS n FROM memories UNION ALL SELECT 'shown', count(*) FROM memories WHERE decay_state <> 'soft-forgotten' UNION ALL SELECT 'decayed', count(*) FROM memories WHERE decay_state <> 'alive'
                 UNION ALL SELECT 'sensitive', count(*) FROM memories WHERE scope_sensitive UNION ALL SELECT 'scopes', count(DISTINCT scope_hash) FROM memories UNION ALL SELECT 'pending', count(*) FROM promotions WHERE status = 'pending'
-                UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'sensitive_scopes', count(*) FROM sensitive""",
+                UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'profile_versions', count(*) FROM orders UNION ALL SELECT 'sensitive_scopes', count(*) FROM sensitive""",
             ),
         ),
         "trend_page": (
-            lambda s, d: reports.trend_page(adapt.trigger_stats(s, d), adapt.memories(s, d), EVENTS_NOW),
+            lambda s, d: reports.trend_page(adapt.trigger_stats(s, d), adapt.memories(s, d), adapt.recent_entities(s, d), EVENTS_NOW),
             _with(
-                "trigger_stats memories",
+                "trigger_stats memories recent",
                 """, t AS (SELECT trigger, CAST(sum(hits) AS BIGINT) AS total FROM trigger_stats WHERE day >= DATE '2024-01-24' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
-                r AS (SELECT trigger, coalesce(sum(hits) FILTER (day >= DATE '2024-01-24'), 0) - coalesce(sum(hits) FILTER (day >= DATE '2024-01-17' AND day < DATE '2024-01-24'), 0) AS n FROM trigger_stats GROUP BY 1 HAVING n > 0 ORDER BY 2 DESC, 1 LIMIT 5),
-                h AS (SELECT slug, recall_count FROM memories WHERE recall_count >= 2 AND type <> 'session' AND NOT scope_sensitive AND decay_state <> 'soft-forgotten' ORDER BY recall_count DESC, last_recalled_at DESC NULLS LAST, slug LIMIT 5)
-                SELECT 'top' AS kind, trigger AS item, total AS n FROM t UNION ALL SELECT 'rising', trigger, CAST(n AS BIGINT) FROM r UNION ALL SELECT 'hot', slug, recall_count FROM h""",
+                r AS (SELECT trigger, coalesce(sum(hits) FILTER (day >= DATE '2024-01-24'), 0) - coalesce(sum(hits) FILTER (day >= DATE '2024-01-10' AND day < DATE '2024-01-24'), 0) AS n FROM trigger_stats GROUP BY 1 HAVING n > 0 ORDER BY 2 DESC, 1 LIMIT 8),
+                h AS (SELECT slug, recall_count FROM memories WHERE recall_count >= 2 AND type <> 'session' AND NOT scope_sensitive AND decay_state <> 'soft-forgotten' ORDER BY recall_count DESC, last_recalled_at DESC NULLS LAST, slug LIMIT 8),
+                e AS (SELECT id, mention_count FROM recent WHERE last_seen_at >= TIMESTAMP '2024-01-03' ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 10)
+                SELECT 'top' AS kind, trigger AS item, total AS n FROM t UNION ALL SELECT 'rising', trigger, CAST(n AS BIGINT) FROM r UNION ALL SELECT 'hot', slug, recall_count FROM h UNION ALL SELECT 'entity', id, mention_count FROM e""",
             ),
         ),
         "grant_valid": (_grants, "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20'"),
@@ -378,8 +423,9 @@ def _queries() -> dict[str, tuple[object, str]]:
         ),
         "map_type": (lambda s, d: read(s, d, "part").select("p_partkey", text.map_type(F.concat(F.lit("My-"), F.get(F.array(*[F.lit(x) for x in ("Decisions", "prefs", "note", "Process")]), (F.col("p_partkey") % 4).cast("int")))).alias("type")), "SELECT p_partkey, ['decision', 'preference', 'fact', 'playbook'][p_partkey % 4 + 1] AS type FROM part"),
         "meaningful": (
-            _of_text("kept", lambda c: text.meaningful(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Head "), "doc_id", F.lit("\n<!-- x -->\n a "))).otherwise(c))),
-            "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN FALSE ELSE length(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)<!--.*?-->', '', 'g'), '(?m)^#{1,6}\\s+.+$', '', 'g'), '^\\s+|\\s+$', '', 'g')) >= 2 END AS kept FROM documents",
+            _of_text("kept", lambda c: text.meaningful(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Head "), "doc_id", F.lit("\n<!-- x -->\n "), F.when(F.col("doc_id") % 2 == 0, F.lit("a ")).otherwise("##\nab"))).otherwise(c))),
+            r"""SELECT doc_id, length(trim(array_to_string(list_filter(string_split_regex(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '\r\n|[\n\r\x0b\x0c]'), lambda x: NOT regexp_matches(x, '^#{1,6}\s+.+$')), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 2 AS kept
+            FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '# Head ' || doc_id || chr(10) || '<!-- x -->' || chr(10) || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'a ' ELSE '##' || chr(10) || 'ab' END ELSE coalesce(text, '') END AS t FROM documents)""",
         ),
     }
 

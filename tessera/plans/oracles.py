@@ -19,7 +19,7 @@ TABLES = {
     "scored": """SELECT doc_id AS id, quality * 0.5::DOUBLE + (doc_id % 5) / 10.0::DOUBLE AS d, (doc_id % 10) / 10.0::DOUBLE AS u, (doc_id % 7) / 10.0::DOUBLE + 0.3::DOUBLE AS r,
       1.0::DOUBLE - toxic * 0.5::DOUBLE AS a, ['decision','preference','fact','playbook','warning'][doc_id % 5 + 1] AS proposed_type,
       ['pending','approved','rejected','merged'][doc_id % 4 + 1] AS status, substr(sha1(source), 1, 12) AS scope_hash,
-      TIMESTAMP '2024-01-01' + INTERVAL (doc_id) HOUR AS created_at, doc_id % 4 = 0 AS replaces
+      TIMESTAMP '2024-01-01' + INTERVAL (doc_id) HOUR AS created_at, doc_id % 3 = 0 AS replaces
       FROM labels JOIN documents USING (doc_id)""",
     "promotions": "SELECT *, (d + u + r + a) / 4 AS mean FROM scored",
     "sensitive": "SELECT substr(sha1(s), 1, 12) AS scope_hash FROM (VALUES ('src0'), ('src1')) t(s)",
@@ -27,6 +27,7 @@ TABLES = {
       FROM orders JOIN customer ON o_custkey = c_custkey""",
     "entities": """SELECT id, arg_min(name, (seen, seq)) AS name, count(*) AS mention_count, min(seen) AS first_seen_at, max(seen) AS last_seen_at,
       arg_min(scope_hash, (seen, seq)) AS scope_hash, arg_max(context, (seen, seq)) AS context FROM mentions GROUP BY id""",
+    "recent": "SELECT id, name, mention_count, last_seen_at + INTERVAL 9300 DAY AS last_seen_at, scope_hash FROM entities",
     "relations": """SELECT 'entity:person:customer_' || c_custkey AS subject_id, 'located_at' AS predicate, 'entity:place:' || replace(lower(n_name), ' ', '_') AS object_id,
       'memory:c' || (c_custkey % 50) AS source_memory_id, c_custkey % 11 <> 0 AS active, c_custkey AS ord FROM customer JOIN nation ON c_nationkey = n_nationkey
       UNION ALL SELECT 'entity:place:' || replace(lower(n_name), ' ', '_'), 'belongs_to', 'entity:place:' || replace(lower(r_name), ' ', '_'), NULL, TRUE, n_nationkey
@@ -59,7 +60,7 @@ TABLES = {
     "remote_files": "SELECT 'scopes/' || replace(scope, 'scope-', '') || '/' || id AS key, substr(content_hash, 1, 16) AS fingerprint FROM theirs",
 }
 NEEDS = {
-    "triggers": ["memories"], "promotions": ["scored"], "entities": ["mentions"], "bm25": ["terms", "words"], "bm25_ranked": ["bm25"], "nearest": ["cosines"], "keyword_hits": ["memories"],
+    "triggers": ["memories"], "promotions": ["scored"], "entities": ["mentions"], "recent": ["entities"], "bm25": ["terms", "words"], "bm25_ranked": ["bm25"], "nearest": ["cosines"], "keyword_hits": ["memories"],
     "fused": ["nearest", "keyword_hits"], "merges": ["memories"], "local_files": ["mine"], "remote_files": ["theirs"],
 }
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -114,7 +115,7 @@ def sql() -> dict[str, str]:
         "get_memory": _with("memories", f"SELECT slug, title, fingerprint, {_t('updated_at')} FROM memories WHERE slug = 'doc-7'"),
         "timeline": _with("memories", f"SELECT slug, type, {_t('created_at')} FROM memories WHERE memories.created_at >= TIMESTAMP '2024-01-18' AND type IN ('fact', 'session') ORDER BY memories.created_at DESC, slug LIMIT 200"),
         "recent_memories": _with("memories", f"SELECT slug, type, {_t('created_at')} FROM memories WHERE type IN ('decision', 'preference', 'fact') AND NOT scope_sensitive AND decay_state <> 'soft-forgotten' ORDER BY memories.created_at DESC, slug LIMIT 5"),
-        "recent_typed": _with("memories", f"SELECT slug, {_t('created_at')} FROM memories WHERE type = 'warning' AND memories.created_at >= TIMESTAMP '2024-01-12' AND decay_state <> 'soft-forgotten' ORDER BY memories.created_at DESC, slug LIMIT 12"),
+        "recent_typed": _with("memories", f"SELECT slug, {_t('created_at')} FROM memories WHERE type = 'warning' AND memories.created_at >= TIMESTAMP '2024-01-12' AND NOT scope_sensitive AND decay_state <> 'soft-forgotten' ORDER BY memories.created_at DESC, slug LIMIT 12"),
         "recall_hot": _with(
             "memories", f"SELECT slug, type, recall_count, {_t('last_recalled_at')} FROM memories WHERE recall_count >= 2 AND type <> 'session' AND NOT scope_sensitive AND decay_state <> 'soft-forgotten' ORDER BY recall_count DESC, memories.last_recalled_at DESC NULLS LAST, slug LIMIT 5"
         ),
@@ -263,12 +264,16 @@ def sql() -> dict[str, str]:
             UNION ALL SELECT 'supersedes', count(*) FROM promotions WHERE status = 'approved' AND replaces AND scope_hash NOT IN (SELECT scope_hash FROM sensitive) AND created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-02-01 00:00:00.999999'""",
         ),
         "weekly_signals": _with(
-            "memories promotions triggers",
-            """, shown AS (SELECT * FROM memories WHERE NOT scope_sensitive AND decay_state <> 'soft-forgotten'), fresh AS (SELECT * FROM shown WHERE created_at >= TIMESTAMP '2024-01-13'),
-            w AS (SELECT slug, string_agg(trigger, ', ' ORDER BY trigger) AS triggers FROM triggers GROUP BY 1),
-            picked AS ((SELECT 'session' AS kind, slug, title, 0 AS n FROM fresh WHERE type = 'session' ORDER BY created_at DESC, slug LIMIT 20) UNION ALL (SELECT 'new', slug, title, 0 FROM fresh WHERE type <> 'session' ORDER BY created_at DESC, slug LIMIT 20)
-            UNION ALL (SELECT 'recurring', slug, title, recall_count FROM shown WHERE recall_count >= 2 AND type <> 'session' ORDER BY recall_count DESC, last_recalled_at DESC NULLS LAST, slug LIMIT 20))
-            SELECT kind, slug, title, coalesce(triggers, '') AS triggers, CAST(n AS BIGINT) AS n FROM picked LEFT JOIN w USING (slug)
-            UNION ALL (SELECT 'pending', 'doc-' || id, 'Candidate ' || id, '', CAST(0 AS BIGINT) FROM promotions WHERE status = 'pending' AND created_at >= TIMESTAMP '2024-01-13' ORDER BY mean DESC, id LIMIT 20)""",
+            "memories promotions triggers recent trigger_stats",
+            """, long_term AS (SELECT * FROM memories WHERE type <> 'session' AND NOT scope_sensitive AND decay_state <> 'soft-forgotten'),
+            fresh AS (SELECT * FROM long_term WHERE created_at >= TIMESTAMP '2024-01-05' ORDER BY created_at DESC, slug LIMIT 50),
+            again AS (SELECT * FROM long_term WHERE recall_count >= 2 ORDER BY recall_count DESC, last_recalled_at DESC NULLS LAST, slug LIMIT 20),
+            rows AS (SELECT 'new' AS kind, slug AS item, title, coalesce((SELECT string_agg(trigger, ',' ORDER BY trigger) FROM triggers t WHERE t.slug = fresh.slug), '') AS detail, recall_count AS n FROM fresh
+            UNION ALL SELECT 'recurring', slug, title, '', recall_count FROM again
+            UNION ALL (SELECT 'replaced', CAST(id AS VARCHAR), 'Candidate ' || id, 'doc-' || (id - 1), 1 FROM promotions WHERE status = 'approved' AND replaces AND created_at >= TIMESTAMP '2023-12-29' ORDER BY created_at DESC, id LIMIT 20)
+            UNION ALL (SELECT 'entity', id, name, '', mention_count FROM recent WHERE last_seen_at >= TIMESTAMP '2023-12-13' ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 15)
+            UNION ALL (SELECT 'trigger', trigger, '', '', CAST(sum(hits) AS BIGINT) FROM trigger_stats WHERE day >= DATE '2024-01-05' GROUP BY trigger ORDER BY sum(hits) DESC, trigger LIMIT 15)
+            UNION ALL SELECT 'sources', '', '', '', (SELECT count(*) FROM fresh) + (SELECT count(*) FROM again))
+            SELECT kind, item, title, detail, CAST(n AS BIGINT) AS n FROM rows""",
         ),
     }

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import graph, lifecycle, listing, ordered, search, security, sync, trends
+from tessera.operators import graph, lifecycle, listing, ordered, reports, search, security, sync, trends
 from tessera.sources import readers, sinks
 
 
@@ -348,3 +348,77 @@ def test_knn_by_packs(spark, monkeypatch):
         assert got[q] == want
     assert got[3] == got[4] == []
     assert search.knn(vectors.limit(0), vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 5).count() == 0
+
+
+def test_headings_are_told_by_line(spark):
+    for body, kept in (("##\nabc", True), ("## Title\n  ", False), ("# a\r\n# b", False), ("<!-- x\n# y -->ab", True), ("#\tT\n x ", False), ("####### seven", True)):
+        assert one(spark, text.meaningful(F.col("t")), t=body) is kept
+
+
+def test_sensitive_memories_are_not_handed_over(spark):
+    day = lambda d: datetime(2024, 1, d)
+    rows = [("a", "decision", day(9), False, "---\nx: 1\n---\n\n body"), ("b", "decision", day(8), True, "b"), ("c", "decision", day(7), None, "no --- front"), ("d", "decision", day(1), False, "old")]
+    made = spark.createDataFrame([(s, k, at, "alive", flag, body, "sc") for s, k, at, flag, body in rows], "slug string, type string, created_at timestamp_ntz, decay_state string, scope_sensitive boolean, body string, scope_hash string")
+    found = listing.recent_typed(made, "decision", "2024-01-10 00:00:00", 5, 10).collect()
+    assert [(r.slug, r.body) for r in found] == [("a", "body"), ("c", "no --- front")]
+    people = spark.createDataFrame([("e1", "E", 3, day(9), "sc"), ("e2", "E", 9, day(1), "sc"), ("e3", "E", 5, day(9), "other")], "id string, name string, mention_count bigint, last_seen_at timestamp_ntz, scope_hash string")
+    signals = [(r.kind, r.item) for r in reports.handoff_signals(made, people, "2024-01-10 00:00:00", 5, scope="sc").collect()]
+    assert signals == [("decision", "a"), ("decision", "c"), ("entity", "e1")]
+
+
+ENTITIES = "memory_id string, type string, name string, pos int, context string, confidence double"
+RELATIONS = "memory_id string, subject_type string, subject string, predicate string, object_type string, object string, confidence double, pos int"
+
+
+def ingested(spark, entities, relations, memories=(("m1", "s", datetime(2024, 1, 1), 1), ("m2", "s", datetime(2024, 1, 2), 2)), **how):
+    return graph.ingest(spark.createDataFrame(entities, ENTITIES), spark.createDataFrame(relations, RELATIONS), spark.createDataFrame(list(memories), "memory_id string, scope_hash string, at timestamp_ntz, seq bigint"), **how)
+
+
+def test_ends_that_are_told_are_not_counted_again(spark):
+    ann = ("m1", "person", "Ann", 0, "", 0.9)
+    relations = [("m1", "person", "Ann", "uses", "tool", "Vim", 0.9, 0), ("m1", "person", "Ann", "likes", "tool", "Emacs", 0.9, 1), ("m1", "person", "Ann", "uses", "tool", "Vim", 0.8, 2), ("m1", "person", "Ann", "uses", "tool", "Ed", 0.1, 3)]
+    entities, edges, counts = ingested(spark, [ann], relations, least=0.3, drop_unknown=True)
+    assert {r.id: r.mention_count for r in entities.collect()} == {"entity:person:ann": 1, "entity:tool:vim": 1}
+    assert sorted((r.subject_id, r.predicate, r.object_id, r.confidence) for r in edges.collect()) == [("entity:person:ann", "uses", "entity:tool:vim", 0.9), ("memory:m1", "mentions", "entity:person:ann", 0.9)]
+    assert tuple(counts.first()) == (1, 0, 2, 2)
+
+
+def test_an_end_counts_before_it_is_told(spark):
+    """m1 names Vim as an end, m2 tells it: two mentions; the other way round it is one. Old entities aren't counted as ends."""
+    relation = ("tool", "Vim", "used by", "person", "Ann", None, 0)
+    for first, second, n in (("m1", "m2", 2), ("m2", "m1", 1)):
+        entities, edges, counts = ingested(spark, [(second, "tool", "vim", 0, "c", 0.5)], [(first, *relation)])
+        assert {r.id: r.mention_count for r in entities.collect()} == {"entity:person:ann": 1, "entity:tool:vim": n}
+        assert ("entity:person:ann", "uses", "entity:tool:vim") in {(r.subject_id, r.predicate, r.object_id) for r in edges.collect()}
+        assert tuple(counts.first()) == (2 - n, n - 1, 1, 0)
+    old, _, _ = ingested(spark, [("m1", "tool", "Vim", 0, "", 0.5)], [])
+    entities, _, counts = ingested(spark, [("m1", "place", "", 0, "", 0.5), ("m1", "thing", "x", 1, "", 0.5)], [("m1", *relation)], old=old)
+    assert {r.id: r.mention_count for r in entities.collect()} == {"entity:person:ann": 1, "entity:tool:vim": 1}
+    assert tuple(counts.first()) == (0, 0, 1, 0)
+
+
+def test_versions_are_listed_by_the_time_they_were_written(spark):
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 5)), (2, datetime(2024, 1, 1)), (3, datetime(2024, 1, 9))], "version_num bigint, written_at timestamp_ntz")
+    assert [r.version_num for r in reports.list_versions(rows, "2024-01-01 00:00:00", "2024-01-09 00:00:00").collect()] == [1, 2]
+    assert [r.version_num for r in reports.list_versions(rows, limit=2).collect()] == [1, 2]
+
+
+def test_what_an_import_lands(spark):
+    columns = "id string, content string, tags array<string>, created_at double, updated_at double, relations array<struct<subject_id:string,predicate:string,object_id:string>>, merge_notes array<string>"
+    make = lambda rows: spark.createDataFrame([(i, c, t, 0.0, at, None, n) for i, c, t, at, n in rows], columns)
+    local = make([("same", "x", ["a"], 2.0, None), ("mine", "old", ["a"], 1.0, None), ("tags", "x", ["a"], 9.0, None)])
+    landing = make([("landed", "was", [], 1.0, ["n"])])
+    remote = make([("same", "x", ["a"], 1.0, None), ("mine", "new", ["a"], 2.0, None), ("tags", "x", ["b"], 1.0, None), ("landed", "is", [], 2.0, None), ("new", "n", [], 1.0, None)])
+    expected = {
+        "prefer-local": ({"landed": "was", "new": "n"}, (1, 0, 0, 4)),
+        "prefer-remote": ({"same": "x", "mine": "new", "tags": "x", "landed": "is", "new": "n"}, (1, 4, 0, 0)),
+        "ask": ({"same": "x", "mine": "new", "tags": "x", "landed": "is", "new": "n"}, (1, 4, 0, 0)),
+        "merge": ({"mine": "new", "tags": "x", "landed": "is", "new": "n"}, (1, 3, 3, 1)),
+    }
+    for strategy, (rows, told) in expected.items():
+        after, counts = sync.imported(local, landing, remote, strategy)
+        assert {r.id: r.content for r in after.collect()} == rows and tuple(counts.first()) == told
+        if strategy == "ask":
+            assert {tuple(r.merge_notes) for r in after.where("id <> 'new'").collect()} == {("pending-user-decision",)}
+    with pytest.raises(ValueError, match="strategy"):
+        sync.imported(local, landing, remote, "guess")
