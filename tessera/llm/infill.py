@@ -49,44 +49,43 @@ def cut_texts(docs: DataFrame, unit: str = LINES, seed: int = SEED, rate: int =
     # of rows with one handle key and text are the same, and so are their cuts
     named = F.sha2(F.concat(F.coalesce(F.col("c0").cast("string"), F.lit("")), F.lit("\n"), "c1"), 256)
     source = source.withColumn("handle", F.coalesce(named, F.lit("")))  # never null, so that the join infers no filter that hashes again
-    lengths = F.transform(F.regexp_extract_all("c1", F.lit(unit), F.lit(0)), F.char_length)
-    facts = source.select("handle", lengths.alias("lengths"), drawn("c0", seed).alias("h")).groupBy("handle").agg(F.first("lengths").alias("lengths"), F.first("h").alias("h"))
+    plain = F.col("c1") == ""
+    for sentinel in sentinels:
+        plain |= F.contains("c1", F.lit(sentinel))
+    h, lengths = F.col("h"), F.transform(F.regexp_extract_all("c1", F.lit(unit), F.lit(0)), F.char_length)
+    facts = source.select("handle", lengths.alias("lengths"), plain.alias("plain"), drawn("c0", seed).alias("h"))
+    form = F.when(F.col("plain") | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < spm_rate, "spm").otherwise("psm")
+    facts = facts.groupBy("handle").agg(*[F.first(c).alias(c) for c in ("lengths", "plain", "h")]).withColumn("form", form)
     facts = written(facts, "units")  # a few numbers of each line: the pattern runs once
     n = F.size("lengths")
-    requests = facts.select("handle", n.alias("n"), F.posexplode(F.array_sort(F.array(F.col("h")[0] % (n + 1), F.col("h")[1] % (n + 1)))).alias("cut", "ordinal"))
+    requests = facts.select("handle", "form", n.alias("n"), F.posexplode(F.array_sort(F.array(h[0] % (n + 1), h[1] % (n + 1)))).alias("cut", "ordinal"))
     units = facts.select("handle", F.posexplode("lengths").alias("pos", "length"))
     running = F.sum("length").over(Window.partitionBy("handle").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     ends = units.select(F.col("handle").alias("of"), (F.col("pos") + 1).alias("nth"), running.alias("end"))
     # the difference keeps the ordinal out of the join's keys, which would deal all units out anew
     met = requests.join(ends, (F.col("handle") == F.col("of")) & (F.col("nth") - F.col("ordinal") == 0), "left")
     at = [F.coalesce(F.max(F.when(F.col("cut") == i, F.col("end"))), F.lit(0)).cast("int") for i in (0, 1)]
-    offsets = met.groupBy("handle").agg(F.max("n").cast("bigint").alias("n"), at[0].alias("first"), at[1].alias("second"))
-    h, whole = drawn("c0", seed), F.col("c1")
-    plain = whole == ""
-    for sentinel in sentinels:
-        plain |= F.contains(whole, F.lit(sentinel))
-    form = F.when(plain | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < spm_rate, "spm").otherwise("psm")
+    offsets = met.groupBy("handle").agg(F.max("n").cast("bigint").alias("n"), F.max("form").alias("form"), at[0].alias("first"), at[1].alias("second"))
     # hashing the offsets spares a sort of the texts
-    cut = source.join(offsets.hint("shuffle_hash"), "handle").select("c0", "c1", "n", form.alias("form"), "first", "second")
+    cut, whole = source.join(offsets.hint("shuffle_hash"), "handle"), F.col("c1")
     some = F.col("form") != "plain"
     pieces = {
         "prefix": F.when(some, F.substring(whole, F.lit(1), F.col("first"))),
         "middle": F.when(some, F.substring(whole, F.col("first") + 1, F.col("second") - F.col("first"))),
         "suffix": F.when(some, F.substring(whole, F.col("second") + 1, F.char_length(whole))),
     }
-    output = (
-        F.when(~some, whole)
-        .when(F.col("form") == "psm", F.concat(p, "prefix", s, "suffix", m, "middle"))
-        .otherwise(F.concat(s, "suffix", p, "prefix", m, "middle"))
-    )
+    output = F.when(~some, whole).when(F.col("form") == "psm", F.concat(p, "prefix", s, "suffix", m, "middle")).otherwise(F.concat(s, "suffix", p, "prefix", m, "middle"))
     return cut.withColumns(pieces).select(F.col("c0").alias(key), "n", "form", *pieces, output.alias("output"))
 
 
 def restored(form: str = "form", output: str = "output", sentinels: tuple[str, str, str] = SENTINELS) -> Column:
     """The text that an output was made of, by its form and the sentinels in it alone."""
-    parts = F.split(output, "|".join(re.escape(x) for x in _checked(sentinels)), -1)
-    put = F.when(F.col(form) == "psm", F.concat(parts[1], parts[3], parts[2])).otherwise(F.concat(parts[2], parts[3], parts[1]))
-    return F.when(F.col(form) == "plain", F.col(output)).otherwise(put)
+    p, s, m = (re.escape(x) for x in _checked(sentinels))
+    back = {"psm": (f"(?s)^{p}(.*?){s}(.*?){m}(.*)$", "$1$3$2"), "spm": (f"(?s)^{s}(.*?){p}(.*?){m}(.*)$", "$2$3$1")}
+    out = F.col(output)
+    for name, (pattern, order) in back.items():
+        out = F.when(F.col(form) == name, F.regexp_replace(output, pattern, order)).otherwise(out)
+    return out
 
 
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
