@@ -56,7 +56,8 @@ def cut_texts(docs: DataFrame, unit: str = LINES, seed: int = SEED, rate: int =
     facts = source.select("handle", lengths.alias("lengths"), plain.alias("plain"), drawn("c0", seed).alias("h"))
     form = F.when(F.col("plain") | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < spm_rate, "spm").otherwise("psm")
     facts = facts.groupBy("handle").agg(*[F.first(c).alias(c) for c in ("lengths", "plain", "h")]).withColumn("form", form)
-    facts = written(facts, "units")  # a few numbers of each line: the pattern runs once
+    # a few numbers of each document, so that the pattern runs once; dealt out by handle before the units are exploded
+    facts = written(facts, "units").repartition("handle")
     n = F.size("lengths")
     requests = facts.select("handle", "form", n.alias("n"), F.posexplode(F.array_sort(F.array(h[0] % (n + 1), h[1] % (n + 1)))).alias("cut", "ordinal"))
     units = facts.select("handle", F.posexplode("lengths").alias("pos", "length"))
