@@ -25,6 +25,11 @@ TYPE_HINTS = (
 TYPE_MAP = (("decision", "decision"), ("pref", "preference"), ("warn", "warning"), ("playbook", "playbook"), ("process", "playbook"))
 
 
+def tokens(text: Column) -> Column:
+    """Runs of letters, digits and underscores, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def clean_for_embedding(text: Column) -> Column:
     """Without HTML comments, runs of blank lines collapsed, trimmed."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, COMMENT, ""), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

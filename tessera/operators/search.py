@@ -7,49 +7,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}_]+"
-#: BM25's saturation and length normalisation, the constant of reciprocal ranks, and the boost of a named entity.
-K1, B, RRF_K, ENTITY_BOOST = 1.2, 0.75, 60, 0.5
+from tessera.operators import index
+from tessera.operators.listing import top_of
+from tessera.shared import fresh_path
+
+#: The constant of reciprocal ranks, and the boost of a named entity.
+RRF_K, ENTITY_BOOST = 60, 0.5
 #: Vectors of a pack at most, and how much lower than a query's k-th best a cosine may be and still be level when rounded.
 PACK, LEVEL = 4096, 2e-6
 # Most query terms, midpoint and steepness of the logistic curve.
 BM25_CURVES = ((3, 5.0, 0.7), (6, 7.0, 0.6), (9, 9.0, 0.5), (15, 10.0, 0.5), (None, 12.0, 0.5))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-
-
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, length. Counting is per row, so that no shuffle is needed before terms are filtered."""
-    rows = docs.select(F.col(key).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("words"))
-    return rows.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """query, id, score, rank: the best k of each query (query, text).
+    """query, id, score, rank: the best k of each query (query, text), by an index of the documents that is written once for all queries.
 
-    Query terms (bounded by the queries) are broadcast to the scan, and only their occurrences leave the map side; document
-    lengths travel with them, and corpus totals are one row.
+    To search the same documents again, keep an index (`index.build`) and search that.
     """
-    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sizes = docs.select(F.size(tokens(F.coalesce(text, F.lit("")))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    vocabulary = terms.select("term").distinct()
-    found = term_counts(docs, key, text).join(F.broadcast(vocabulary), "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = found.join(F.broadcast(frequency), "term").join(F.broadcast(sizes))
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = weighted.withColumn("part", part).join(F.broadcast(terms), "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_of(scores, ["query"], [F.desc("score"), F.asc("id")], k)
-
-
-def top_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group with their rank from 1; groups' lists are cut map-side by Spark's group limit."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    path = fresh_path(docs.sparkSession, "index")
+    index.build(docs, path, key, text)
+    return index.search(docs.sparkSession, path, queries, k)
 
 
 def _packs(vectors: DataFrame, kind: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import graph, lifecycle, listing, ordered, search, security, sync, trends
+from tessera.operators import graph, index, lifecycle, listing, ordered, search, security, sync, trends
 from tessera.plans import adapt, more, oracles
 from tessera.plans.adapt import EVENTS_NOW, NOW, read, stamp
+from tessera.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = "00" * 31 + "07"
@@ -91,6 +92,15 @@ def _bm25(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return search.bm25(read(spark, d, "documents"), _questions(spark, d), "doc_id", "text", k)
 
 
+def _updated_index(spark: SparkSession, d: str) -> DataFrame:
+    """A search after a third of the documents is revised and an eleventh goes."""
+    path, docs, i = fresh_path(spark, "index"), read(spark, d, "documents"), F.col("doc_id")
+    index.build(docs, path)
+    revised = docs.where((i % 3 == 0) & (i % 11 != 0)).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised edition of was")))
+    index.update(path, revised, docs.where(i % 11 == 0).select("doc_id"))
+    return index.search(spark, path, _questions(spark, d), 10)
+
+
 def _knn(spark: SparkSession, d: str, k: int = 10, which: str = "vec_id % 50 = 0") -> DataFrame:
     vectors = read(spark, d, "embeddings")
     return search.knn(vectors, vectors.where(which).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
@@ -240,6 +250,7 @@ def queries() -> dict[str, Query]:
         "supersede_bands": _supersede_bands,
         "knn_cosine": _knn,
         "bm25_topk": _bm25,
+        "index_update": _updated_index,
         "rrf_fusion": lambda spark, d: search.fuse((_vector_hits(spark, d), 1.0), (_keyword_hits(spark, d), 1.0)).withColumn("score", F.round("score", 6)),
         "hybrid_search": _hybrid,
         "score_and_rank": _score_and_rank,

@@ -90,6 +90,10 @@ ACTION = """CASE WHEN decay_state = 'alive' AND ttl_days IS NOT NULL AND {age} >
 KEBAB = "coalesce(nullif(trim(substr(regexp_replace(regexp_replace(lower({c}), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), 1, 60), '-'), ''), 'untitled')"
 
 
+#: The documents after the update of the index.
+REVISED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' revised edition of was' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0"
+
+
 def _action(now: str) -> str:
     return ACTION.format(age=AGE.format(now=now))
 
@@ -199,6 +203,7 @@ def sql() -> dict[str, str]:
         ),
         "supersede_bands": _with("chain", "SELECT CASE WHEN confidence >= 0.9 THEN 'ignore' WHEN confidence >= 0.85 THEN 'apply' WHEN confidence >= 0.5 THEN 'pending' ELSE 'ignore' END AS action, count(*) AS n FROM chain WHERE before IS NOT NULL GROUP BY 1"),
         "knn_cosine": _with("nearest", "SELECT query, id, score, rank FROM nearest WHERE rank <= 10"),
+        "index_update": _with("bm25_ranked", "SELECT query, id, score, rank FROM bm25_ranked WHERE rank <= 10").replace("FROM documents", f"FROM ({REVISED})"),
         "bm25_topk": _with("bm25_ranked", "SELECT query, id, score, rank FROM bm25_ranked WHERE rank <= 10"),
         "rrf_fusion": _with("fused", "SELECT id, round(score, 6) AS score FROM fused"),
         "hybrid_search": _with(
