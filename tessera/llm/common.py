@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import cleared, dropped, shared_dir, written  # noqa: F401
+
 #: Characters that separate words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -21,53 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local session (one machine, as in tests) gets a temporary one, and a cluster an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut df's lineage by a table in the shared folder; it outlives any executor."""
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.parquet(path)
-    out.written_to = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Remove tables made by `written` that no later plan reads."""
-    for df in tables:
-        _delete(df.sparkSession, df.written_to)
-
-
-def cleared(spark: SparkSession) -> None:
-    """Remove all that `written` made in this application; results that still read it must have been used up."""
-    _delete(spark, _own_dir(spark))
-
-
 def numbered_columns(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1 and so on, so that an operator's own names clash with none (nor do repeated ones)."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
