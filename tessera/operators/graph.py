@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import entity_id
-from tessera.schemas import ENTITY_TYPES, PREDICATES
+from tessera.schemas import ENTITY_TYPES, GLOBAL_SCOPES, PREDICATES
 
 # Other names of predicates, with those whose ends change places.
 ALIASES = {
@@ -247,6 +247,33 @@ def n_hop(relations: DataFrame, seeds: DataFrame, depth: int, *, memory_nodes: b
     return nodes, kept
 
 
+def global_graph(entities: DataFrame, relations: DataFrame, now: str, days: int = 30, top: int = 15, scope: str | None = None, kind: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, hops, name, type, mention_count) and edges (subject_id, object_id, predicate, confidence, source_memory_id) about the top entities.
+
+    The `top` entities of a window and scope (a global one: of all), then those of a type, are the seeds; their subgraphs of 1 to 3 hops are
+    merged. As an edge is in one of them if an end is nearer than `depth` to some seed, one frontier goes out from all seeds
+    at once, and no node is reached twice. Nodes that are no entities are named by their id and of type unknown; of parallel edges the last stays.
+    """
+    recent = entities.where(F.col("last_seen_at") >= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(days)} DAYS"))
+    seeds = top_entities(recent, scope=None if scope in GLOBAL_SCOPES else scope, limit=top)
+    seeds = seeds if kind is None else seeds.where(F.col("type") == kind)
+    live = relations.where(F.col("active") & ~F.col("subject_id").startswith("memory:") & ~F.col("object_id").startswith("memory:"))
+    live = live.select("subject_id", "object_id", "ord", F.struct("predicate", "confidence", "source_memory_id").alias("edge"))
+    ends = F.explode(F.array(F.struct(F.col("subject_id").alias("node"), F.col("object_id").alias("other")), F.struct(F.col("object_id").alias("node"), F.col("subject_id").alias("other")))).alias("e")
+    both = live.select("*", ends).select("subject_id", "object_id", "ord", "edge", "e.node", "e.other")
+    nodes, edges = seeds.select(F.col("id").alias("node"), F.lit(0).alias("hops")), None
+    frontier = nodes
+    for hop in range(1, max(1, min(3, depth)) + 1):
+        step = both.join(frontier.select("node"), "node")
+        edges = step if edges is None else edges.unionByName(step)
+        frontier = step.select(F.col("other").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
+        nodes = nodes.unionByName(frontier)
+    told = nodes.join(entities.select(F.col("id").alias("node"), "name", "type", "mention_count"), "node", "left")
+    told = told.select("node", "hops", F.coalesce("name", "node").alias("name"), F.coalesce("type", F.lit("unknown")).alias("type"), "mention_count")
+    kept = edges.groupBy("subject_id", "object_id").agg(F.max_by("edge", "ord").alias("edge"))
+    return told, kept.select("subject_id", "object_id", "edge.*")
+
+
 def _topological(edges: pd.DataFrame) -> list[str]:
     """An entity's memories from older to newer, the smallest id first; with a cycle the older ends by time, and the last newer one."""
     pairs = list(dict.fromkeys(zip(edges["older"], edges["newer"], strict=True)))

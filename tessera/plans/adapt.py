@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.schemas import ENTITY_TYPES
+
 #: The clock of queries over tables derived from documents, events and orders.
 NOW, EVENTS_NOW, ORDERS_NOW = "2024-06-01 00:00:00", "2024-01-31 00:00:00", "1998-08-02 00:00:00"
 
@@ -96,11 +98,18 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def recent_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entities of the mentions, with their times moved by MOVED days to those of the other tables."""
+def recent_entities(spark: SparkSession, sf_dir: str, *, tools: bool = False) -> DataFrame:
+    """The entities of the mentions (with the brands of the parts that are ordered), with their times moved by MOVED days to those of the other tables."""
     from tessera.operators.graph import upsert_entities
 
-    return upsert_entities(mentions(spark, sf_dir).withColumn("at", F.col("at") + F.expr(f"INTERVAL {MOVED} DAYS")))
+    rows = mentions(spark, sf_dir)
+    if tools:
+        orders, lines, parts = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+        ordered = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        # the name as relations have it
+        name = F.replace("p_brand", F.lit("#"), F.lit("_"))
+        rows = rows.unionByName(ordered.select(F.lit("tool").alias("type"), name.alias("name"), F.lit("n0").alias("scope_hash"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"), F.lit("").alias("context")))
+    return upsert_entities(rows.withColumn("at", F.col("at") + F.expr(f"INTERVAL {MOVED} DAYS")))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +134,23 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located.unionByName(belongs).unionByName(uses)
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of entities: the first two words of each title are a name, the third is another for it."""
+    found = F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{3,}"), F.lit(0))
+    kinds = F.array(*[F.lit(k) for k in ENTITY_TYPES])
+    rows = memories(spark, sf_dir).select(F.get(kinds, (F.col("doc_id") % 7).cast("int")).alias("type"), found.alias("w")).where(F.size("w") >= 2)
+    return rows.select("type", F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("name"), F.slice("w", 3, 1).alias("aliases"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and all turns of conversations, as texts with the time that they are taken in."""
+    docs = memories(spark, sf_dir).select("slug", "body", "scope_hash", F.col("created_at").alias("at"), F.col("doc_id").alias("seq"))
+    turns = read(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv-"), "conv_id", F.lit("-"), "turn").alias("slug"), F.coalesce("text", F.lit("")).alias("body"), F.lit("chat").alias("scope_hash"), _after(F.col("conv_id")).alias("at"), (F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
+    )
+    return docs.unionByName(turns)
+
+
 def supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """newer, older, entity_id, decided_at: consecutive orders of each customer."""
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

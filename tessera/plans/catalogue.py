@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import graph, index, lifecycle, listing, ordered, search, security, sync, trends
+from tessera.operators import extract, graph, index, lifecycle, listing, ordered, search, security, sync, trends
 from tessera.plans import adapt, more, oracles
 from tessera.plans.adapt import EVENTS_NOW, NOW, read, stamp
 from tessera.shared import fresh_path
@@ -101,6 +101,21 @@ def _updated_index(spark: SparkSession, d: str) -> DataFrame:
     return index.search(spark, path, _questions(spark, d), 10)
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return extract.linked(adapt.texts(spark, d), adapt.names(spark, d))
+
+
+def _ingested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    texts = adapt.texts(spark, d)
+    return graph.ingest(*extract.extract(texts, adapt.names(spark, d)), texts.select(F.col("slug").alias("memory_id"), "scope_hash", "at", "seq"))
+
+
+def _global_graph(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = graph.global_graph(adapt.recent_entities(spark, d, tools=True), adapt.relations(spark, d), "2024-01-12 00:00:00", top=30, kind="tool")
+    none = F.lit("")
+    return nodes.select("node", "name", "type", "mention_count", none.alias("other"), none.alias("predicate")).union(edges.select("subject_id", none, none, F.lit(None).cast("bigint"), "object_id", "predicate"))
+
+
 def _knn(spark: SparkSession, d: str, k: int = 10, which: str = "vec_id % 50 = 0") -> DataFrame:
     vectors = read(spark, d, "embeddings")
     return search.knn(vectors, vectors.where(which).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
@@ -249,6 +264,10 @@ def queries() -> dict[str, Query]:
         "evolution_chain": _two(graph.evolution_chain, adapt.supersedes),
         "supersede_bands": _supersede_bands,
         "knn_cosine": _knn,
+        "extract_links": _links,
+        "extract_entities": lambda spark, d: _ingested(spark, d)[0].select("id", "mention_count"),
+        "extract_relations": lambda spark, d: _ingested(spark, d)[1].where("predicate <> 'mentions'").select("subject_id", "predicate", "object_id", "source_memory_id"),
+        "global_graph": _global_graph,
         "bm25_topk": _bm25,
         "index_update": _updated_index,
         "rrf_fusion": lambda spark, d: search.fuse((_vector_hits(spark, d), 1.0), (_keyword_hits(spark, d), 1.0)).withColumn("score", F.round("score", 6)),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.operators.graph import ALIASES, REVERSED
+from tessera.schemas import PREDICATES
+
+#: The names of predicates, as a list in SQL.
+NAMES = str((*PREDICATES, *ALIASES))
 TABLES = {
     "memories": """SELECT 'doc-' || doc_id AS slug, ['session','decision','preference','fact','playbook','warning'][doc_id % 6 + 1] AS type,
       substr(sha1(source), 1, 12) AS scope_hash, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 80) AS title, source,
@@ -41,6 +46,17 @@ TABLES = {
     "theirs": """SELECT 'doc-' || doc_id AS id, sha256(coalesce(text, '') || CASE WHEN doc_id % 4 = 1 THEN ' edited' ELSE '' END) AS content_hash, 'scope-' || source AS scope,
       CASE WHEN doc_id % 5 = 0 THEN 'r-kind' ELSE 'fact' END AS memory_type, doc_id * 10.0::DOUBLE AS created_at,
       doc_id * 10.0::DOUBLE + 5 + CASE WHEN doc_id % 8 = 1 THEN 100 WHEN doc_id % 4 = 1 THEN -100 ELSE 0 END AS updated_at, lang, doc_id FROM documents WHERE doc_id % 9 <> 0""",
+    "names": """SELECT * FROM (SELECT ['person','organization','place','library','tool','project','concept'][doc_id % 7 + 1] AS type, w[1] || ' ' || w[2] AS name, w[3] AS alias
+      FROM (SELECT doc_id, regexp_extract_all(lower(title), '\\p{L}{3,}') AS w FROM memories) WHERE len(w) >= 2)""",
+    "texts": """SELECT slug, body FROM memories UNION ALL SELECT 'conv-' || conv_id || '-' || turn, coalesce(text, '') FROM conversations""",
+    "phrases": """SELECT phrase, n, min((type, name)) AS of FROM (SELECT name AS phrase, 2 AS n, type, name FROM names UNION ALL SELECT alias, 1, type, name FROM names WHERE alias IS NOT NULL) GROUP BY ALL""",
+    "cut": "SELECT slug, regexp_extract_all(lower(body), '[\\p{L}\\p{N}_]+|[.!?;:\\n]') AS ws FROM texts",
+    "spots": "SELECT slug, ws, unnest(range(1, len(ws) + 1)) AS i FROM cut",
+    "hits": """SELECT slug, ws, i, max(n) AS n, arg_max(of, n) AS of FROM (SELECT slug, ws, i, p.n, p.of FROM spots JOIN phrases p ON p.n = 1 AND p.phrase = ws[i] UNION ALL SELECT slug, ws, i, p.n, p.of FROM spots JOIN phrases p ON p.n = 2 AND p.phrase = ws[i] || ' ' || ws[i + 1]) GROUP BY slug, ws, i""",
+    "kept": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug, run ORDER BY i) AS nth FROM (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY slug ORDER BY i) AS run
+      FROM (SELECT *, coalesce(lag(i + n) OVER (PARTITION BY slug ORDER BY i) <= i, TRUE) AS fresh FROM hits))) WHERE nth % 2 = 1""",
+    "links": f"""SELECT slug AS memory_id, CAST(i - 1 AS INTEGER) AS pos, CAST(n AS INTEGER) AS n, of[1] AS type, of[2] AS name, CASE WHEN said IN {NAMES} THEN said END AS predicate, CASE WHEN said IN {NAMES} THEN other[1] END AS other_type, CASE WHEN said IN {NAMES} THEN other[2] END AS other
+      FROM (SELECT *, lag(of) OVER w AS other, CASE WHEN i - lag(i + n) OVER w BETWEEN 1 AND 4 THEN array_to_string(ws[lag(i + n) OVER w : i - 1], '_') END AS said FROM kept WINDOW w AS (PARTITION BY slug ORDER BY i))""",
     "terms": """SELECT item_id AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS term FROM benchmark""",
     "words": "SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents",
     "bm25": """SELECT query, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
@@ -60,6 +76,7 @@ TABLES = {
     "remote_files": "SELECT 'scopes/' || replace(scope, 'scope-', '') || '/' || id AS key, substr(content_hash, 1, 16) AS fingerprint FROM theirs",
 }
 NEEDS = {
+    "names": ["memories"], "texts": ["memories"], "phrases": ["names"], "cut": ["texts"], "spots": ["cut"], "hits": ["spots", "phrases"], "kept": ["hits"], "links": ["kept"],
     "triggers": ["memories"], "promotions": ["scored"], "entities": ["mentions"], "recent": ["entities"], "bm25": ["terms", "words"], "bm25_ranked": ["bm25"], "nearest": ["cosines"], "keyword_hits": ["memories"],
     "fused": ["nearest", "keyword_hits"], "merges": ["memories"], "local_files": ["mine"], "remote_files": ["theirs"],
 }
@@ -203,6 +220,26 @@ def sql() -> dict[str, str]:
         ),
         "supersede_bands": _with("chain", "SELECT CASE WHEN confidence >= 0.9 THEN 'ignore' WHEN confidence >= 0.85 THEN 'apply' WHEN confidence >= 0.5 THEN 'pending' ELSE 'ignore' END AS action, count(*) AS n FROM chain WHERE before IS NOT NULL GROUP BY 1"),
         "knn_cosine": _with("nearest", "SELECT query, id, score, rank FROM nearest WHERE rank <= 10"),
+        "extract_links": _with("links", "SELECT * FROM links"),
+        "extract_entities": _with("links", "SELECT 'entity:' || type || ':' || replace(name, ' ', '_') AS id, count(DISTINCT memory_id) AS mention_count FROM links GROUP BY 1"),
+        "extract_relations": _with(
+            "links",
+            f""", aliases AS (SELECT * FROM (VALUES {", ".join(str(x) for x in ALIASES.items())}) t(said, predicate)),
+            ends AS (SELECT memory_id, said, coalesce(predicate, said) AS predicate, 'entity:' || other_type || ':' || replace(other, ' ', '_') AS a, 'entity:' || type || ':' || replace(name, ' ', '_') AS b
+            FROM (SELECT memory_id, type, name, other_type, other, predicate AS said FROM links WHERE predicate IS NOT NULL) LEFT JOIN aliases USING (said))
+            SELECT DISTINCT CASE WHEN said IN {REVERSED} THEN b ELSE a END AS subject_id, predicate, CASE WHEN said IN {REVERSED} THEN a ELSE b END AS object_id, memory_id AS source_memory_id FROM ends""",
+        ),
+        "global_graph": _with(
+            "recent relations",
+            """, tools AS (SELECT 'entity:tool:' || replace(lower(p_brand), '#', '_') AS id, replace(p_brand, '#', '_') AS name, count(*) AS mention_count, max(o_orderdate) + INTERVAL 9300 DAY AS last_seen_at FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
+            all_ AS (SELECT id, name, 'person' AS type, mention_count, last_seen_at FROM recent UNION ALL SELECT id, name, 'tool', mention_count, last_seen_at FROM tools),
+            seeds AS (SELECT id FROM (SELECT * FROM all_ WHERE last_seen_at >= TIMESTAMP '2023-12-13' ORDER BY mention_count DESC, last_seen_at DESC, id LIMIT 30) WHERE type = 'tool'),
+            live AS (SELECT * FROM relations WHERE active), near AS (SELECT id FROM seeds UNION SELECT object_id FROM live JOIN seeds ON subject_id = id UNION SELECT subject_id FROM live JOIN seeds ON object_id = id),
+            picked AS (SELECT * FROM live WHERE subject_id IN (SELECT id FROM near) OR object_id IN (SELECT id FROM near)),
+            nodes AS (SELECT id FROM seeds UNION SELECT subject_id FROM picked UNION SELECT object_id FROM picked)
+            SELECT nodes.id AS node, coalesce(all_.name, nodes.id) AS name, coalesce(type, 'unknown') AS type, mention_count, '' AS other, '' AS predicate FROM nodes LEFT JOIN all_ USING (id)
+            UNION ALL SELECT subject_id, '', '', NULL, object_id, arg_max(predicate, ord) FROM picked GROUP BY subject_id, object_id""",
+        ),
         "index_update": _with("bm25_ranked", "SELECT query, id, score, rank FROM bm25_ranked WHERE rank <= 10").replace("FROM documents", f"FROM ({REVISED})"),
         "bm25_topk": _with("bm25_ranked", "SELECT query, id, score, rank FROM bm25_ranked WHERE rank <= 10"),
         "rrf_fusion": _with("fused", "SELECT id, round(score, 6) AS score FROM fused"),
