@@ -10,7 +10,9 @@ from tessera.operators import graph, lifecycle, listing, reports, search, securi
 from tessera.plans import adapt
 from tessera.plans.adapt import EVENTS_NOW, read, stamp
 from tessera.plans.oracles import STAMP, _with
-from tessera.sources import readers, sinks
+from tessera.shared import fresh_path
+from tessera.sources import readers, sinks, stored
+from tessera.streaming import streams
 
 PERSON = "entity:person:customer_7"
 GONE = "SELECT slug FROM memories WHERE doc_id % 5 = 0"
@@ -143,6 +145,30 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
     return _stamped(lifecycle.upsert_memories(m, new.unionByName(added)).select("slug", "title", "created_at", "recall_count"))
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same upsert into a stored table of buckets, by a batch that comes twice; then some rows are removed."""
+    path = fresh_path(spark, "memories")
+    m = adapt.memories(spark, d).select("slug", "title", "created_at", "updated_at", "recall_count", "doc_id")
+    stored.create(m, path, "slug", 16)
+    new = m.where("doc_id % 4 = 0").withColumns({"title": F.lit("new"), "created_at": F.col("updated_at"), "recall_count": F.lit(99).cast("bigint")})
+    batch = new.unionByName(m.where("doc_id % 4 = 1").withColumn("slug", F.concat(F.lit("more-"), "slug")))
+    for _ in range(2):
+        stored.upsert(batch, path, "slug", lifecycle.upsert_memories)
+    stored.remove(m.where("doc_id % 5 = 2").select("slug"), path, "slug")
+    return _stamped(stored.read(spark, path).select("slug", "title", "created_at", "recall_count"))
+
+
+def _fires(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream: each type's counter starts anew at 7, and half a day passes between those that count."""
+    out, given = fresh_path(spark, "fires"), read(spark, d, "events")
+    rows = spark.readStream.schema(given.schema).parquet(f"{d}/events*.parquet")
+    events = rows.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("user_id") % 3).alias("n"))
+    with streams.rocks(spark):
+        query = streams.due(events, 7, 43_200).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return _stamped(spark.read.parquet(out))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
     rows = read(spark, d, "orders").select(F.concat(F.lit("m"), o).alias("memory_id"), F.when(o % 3 == 0, "session").otherwise("fact").alias("type"), F.lit("s").alias("scope_hash"), F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("created_at"), F.lit(0).alias("pos"), (o % 11 != 0).alias("active"))
@@ -289,6 +315,18 @@ def _queries() -> dict[str, tuple[object, str]]:
             _upserted,
             _with("memories", f"SELECT slug, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE title END AS title, {STAMP.format('created_at')} AS created_at, recall_count FROM memories UNION ALL SELECT 'more-' || slug, title, {STAMP.format('created_at')}, recall_count FROM memories WHERE doc_id % 4 = 1"),
         ),
+        "stored_upsert": (
+            _stored,
+            _with("memories", f"SELECT slug, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE title END AS title, {STAMP.format('created_at')} AS created_at, recall_count FROM memories WHERE doc_id % 5 <> 2 UNION ALL SELECT 'more-' || slug, title, {STAMP.format('created_at')}, recall_count FROM memories WHERE doc_id % 4 = 1"),
+        ),
+        "stream_fires": (
+            _fires,
+            f"""WITH RECURSIVE e AS (SELECT event_type AS key, ts, user_id % 3 AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE user_id % 3 > 0),
+            walk AS (SELECT key, CAST(0 AS BIGINT) AS i, NULL::TIMESTAMP AS ts, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS rest, NULL::TIMESTAMP AS last, FALSE AS passed FROM (SELECT DISTINCT key FROM e)
+            UNION ALL SELECT key, i, ts, n, CASE WHEN n >= 7 THEN 0 ELSE n END, CASE WHEN n >= 7 AND free THEN ts ELSE last END, free
+            FROM (SELECT e.key, e.i, e.ts, walk.rest + e.n AS n, walk.last, walk.last IS NULL OR epoch(e.ts) - epoch(walk.last) >= 43200 AS free FROM walk JOIN e ON e.key = walk.key AND e.i = walk.i + 1))
+            SELECT key, {STAMP.format('ts')} AS ts, n, passed FROM walk WHERE n >= 7""",
+        ),
         "delete_memory": (lambda s, d: lifecycle.delete_memories(adapt.memories(s, d).where("doc_id % 5 = 0").select("slug"), (adapt.triggers(s, d), "slug"))[0].select("slug", "trigger"), _with("triggers", f"SELECT slug, trigger FROM triggers WHERE slug NOT IN ({GONE})")),
         "merge_scopes": (memory(lambda m: lifecycle.retag_scope(m.select("slug", F.col("source").alias("scope_hash")), "src3", "src4")), "SELECT 'doc-' || doc_id AS slug, CASE WHEN source = 'src3' THEN 'src4' ELSE source END AS scope_hash FROM documents"),
         "mark_sensitive": (_sensitive, _with("memories", "SELECT slug, CASE WHEN scope_sensitive THEN body_path || '.enc' ELSE body_path END AS body_path, scope_sensitive FROM memories")),

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.lifecycle import upsert_memories
+from tessera.sources import stored
 
 
 def file_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,15 +62,81 @@ def threshold_fires(events: DataFrame, threshold: int = 10) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(count, "key string, fires long, rest long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Fires(StatefulProcessor):
+    """A counter of each key that starts anew when it reaches a threshold, with a pause after each time that it counts.
+
+    An event-time timer at the end of a pause removes what is known of it, so that keys that fall silent keep a number alone.
+    """
+
+    def __init__(self, threshold: int, pause: float) -> None:
+        self.threshold, self.pause = threshold, int(pause * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count, self.last = handle.getValueState("count", "n long"), handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        n = self.count.get()[0] if self.count.exists() else 0
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for ts, more in zip(frame["ts"], frame["n"], strict=True):
+            if self.threshold <= 0 or more <= 0:
+                continue
+            n += int(more)
+            if n >= self.threshold:
+                now = ts.value // 1_000_000
+                passed = last is None or now - last >= self.pause
+                out.append((key[0], ts, n, passed))
+                n, last = 0, now if passed else last
+        self.count.update((n,))
+        if any(x[3] for x in out):
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.pause)
+        yield pd.DataFrame(out, columns=["key", "ts", "n", "passed"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.pause <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame([], columns=["key", "ts", "n", "passed"])
+
+    def close(self) -> None:
+        pass
+
+
+def due(events: DataFrame, threshold: int = 10, pause: float = 300.0, late: str = "10 minutes") -> DataFrame:
+    """key, ts, n, passed: each time that the sum of a key's increments reaches the threshold; it starts anew then, whatever is over.
+
+    events: key, ts, seq, n; an increment of 0 or less counts as none, and a threshold of 0 or less is never reached. passed is false
+    within `pause` seconds of the last that passed. A batch's events are taken in the order of ts and seq. Run with ROCKS.
+    """
+    rows = events.select("key", "ts", "seq", "n").withWatermark("ts", late)
+    kind = "key string, ts timestamp, n long, passed boolean"
+    return rows.groupBy("key").transformWithStateInPandas(Fires(threshold, pause), T.StructType.fromDDL(kind), "append", "eventTime")
+
+
+#: The setting that a stream with `due` starts under, as its state has timers.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB."""
+    before = spark.conf.get(ROCKS[0])
+    spark.conf.set(*ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROCKS[0], before)
+
+
 def into_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Upsert each batch of memories by slug into a table of versions (path/<batch>); a batch that runs again writes the same version."""
+    """Upsert each batch of memories by slug into a stored table, of which it writes its slugs' buckets; a batch that runs again changes nothing."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/{number - 1}") if number else None
         fresh = batch.dropDuplicates(["slug"])
         fresh = fresh.withColumn("updated_at", F.col("created_at")) if "updated_at" not in fresh.columns else fresh
-        (fresh if old is None else upsert_memories(old, fresh)).write.mode("overwrite").parquet(f"{path}/{number}")
+        stored.upsert(fresh, path, "slug", upsert_memories)
 
     return run_available(stream, upsert, checkpoint)
 
