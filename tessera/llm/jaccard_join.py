@@ -234,6 +234,14 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def _named(bucket: int, column: int, value: int) -> int:
+    """A signature's 64-bit id: bucket, column and value mixed one after the other, as sums of them would meet."""
+    out = np.array([bucket], np.int64).view(U64)
+    for part in (column, value):
+        out = mix(out) + U64(part + 1)
+    return int(mix(out)[0].view(np.int64))
+
+
 def _met(featured: DataFrame) -> DataFrame:
     """Members of the signatures that two sets or more have: bucket, signature, handle, leader (the smallest handle).
 
@@ -260,7 +268,7 @@ def _met(featured: DataFrame) -> DataFrame:
             for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
                 if ordered[s]:
                     own = owner[order[s : s + n]]
-                    told.setdefault(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), (int(mix(np.array([group["bucket"].iloc[0] * 65537 + column], np.int64).view(U64) + U64(ordered[s]))[0].view(np.int64)), own))
+                    told.setdefault(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), (_named(int(group["bucket"].iloc[0]), column, int(ordered[s])), own))
         if not told:
             return pd.DataFrame({"bucket": [], "signature": [], "handle": [], "leader": []}, dtype=np.int64)
         kept = list(told.values())
@@ -428,8 +436,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         classed = met.select("bucket", "signature", "handle").join(classes.withColumnRenamed("node", "handle"), "handle", "left").withColumn("label", F.coalesce("label", "handle"))
         open_ = classed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("signature")
         # signatures with the same members (by 128 bits and their number) are one
-        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(x), "handle")).alias(x) for x in ("one", "two")])
-        once = members.groupBy("n", "one", "two").agg(F.min("signature").alias("signature")).select("signature")
+        halves = {f"{x}{s}": F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(x), "handle"), s).bitwiseAND(F.lit(0xFFFFFFFF))) for x in ("one", "two") for s in (0, 32)}
+        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), *[c.alias(x) for x, c in halves.items()])
+        once = members.groupBy("n", *halves).agg(F.min("signature").alias("signature")).select("signature")
         left = written(classed.join(once, "signature").select("bucket", "signature", "handle", "label"), "open")
         if i < LEADERS:
             lead = left.groupBy("signature").agg(F.min_by(F.struct("handle", "label"), F.xxhash64("handle", F.lit(i))).alias("lead"))

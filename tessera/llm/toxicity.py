@@ -18,7 +18,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, table, text_or_empty, written
@@ -39,8 +39,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 #: Rows of each label that lexicon and curve are learned from: a bounded sample, by the order of a hash of the key.
 FIT_ROWS = 10_000
-#: Terms and exceptions at most, the best first: the lexicon is a bounded model.
-MAX_TERMS, MAX_EXCEPTIONS = 5_000, 500
 #: Least rows of a term or phrase, least log odds, and least log odds in standard errors of terms and of exceptions (of which
 #: there is mostly no toxic row at all, so that their error is large).
 MIN_ROWS, MIN_ODDS, MIN_Z, MIN_EXCEPTION_Z = 4, 1.5, 3.0, 1.0
@@ -119,10 +117,10 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(self.evidence(text))))))
 
 
-def _odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> tuple[float, float]:
+def _odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> tuple[Column, Column]:
     """Smoothed log odds of a term, and its size in standard errors."""
-    weight = math.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - math.log((clean + 0.5) / (n_clean - clean + 0.5))
-    error = math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n_toxic - toxic + 0.5) + 1 / (n_clean - clean + 0.5))
+    weight = F.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - F.log((clean + 0.5) / (n_clean - clean + 0.5))
+    error = F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n_toxic - toxic + 0.5) + 1 / (n_clean - clean + 0.5))
     return weight, weight / error
 
 
@@ -179,18 +177,17 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not n.get(0) or not n.get(1):
         return Lexicon({}, {}, (), (-3.0, 0.0))
 
-    def best(counts: DataFrame, most: int, *, toxic: bool) -> list[tuple[int, str, float]]:
+    def marked(counts: DataFrame, *, toxic: bool) -> list[tuple[int, str, float]]:
+        """All terms that mark a side, the surest first; the labelled rows bound their number."""
         side = "toxic" if toxic else "clean"
-        kept = counts.where((F.col(side) >= MIN_ROWS) & (F.col(side) * n[int(not toxic)] > F.col("clean" if toxic else "toxic") * n[int(toxic)] * 3))
-        kept = kept.orderBy(F.desc(F.col(side) / (F.col("toxic") + F.col("clean") + 2.0)), F.desc(side), "kind", "term").limit(4 * most)
-        found = []
-        for r in kept.collect():
-            weight, z = _odds(r.toxic, r.clean, n[1], n[0])
-            if (weight if toxic else -weight) >= MIN_ODDS and abs(z) >= (MIN_Z if toxic else MIN_EXCEPTION_Z):
-                found.append((r.kind, r.term, weight, z))
-        return [(k, t, w) for k, t, w, _ in sorted(found, key=lambda x: (-abs(x[3]), x[0], x[1]))[:most]]
-
-    terms = best(_counted(rows, _terms), MAX_TERMS, toxic=True)
+        least = MIN_Z if toxic else MIN_EXCEPTION_Z
+        weight, z = _odds(F.col("toxic"), F.col("clean"), n[1], n[0])
+        told = counts.where((F.col(side) >= MIN_ROWS) & (F.col(side) * n[int(not toxic)] > F.col("clean" if toxic else "toxic") * n[int(toxic)] * 3))
+        told = told.select("kind", "term", weight.alias("weight"), z.alias("z"))
+        kept = told.where(((F.col("weight") if toxic else -F.col("weight")) >= MIN_ODDS) & (F.abs("z") >= least)).collect()
+        return [(r.kind, r.term, r.weight) for r in sorted(kept, key=lambda r: (-abs(r.z), r.kind, r.term))]
+
+    terms = marked(_counted(rows, _terms), toxic=True)
     lexicon = Lexicon({t: w for k, t, w in terms if k == 0}, {t: w for k, t, w in terms if k})
 
     # phrases of a term and a neighbour that clean rows have are exceptions
@@ -210,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 found.add((0, folded[before:end]))
         return found
 
-    exceptions = tuple(t for _, t, _ in best(_counted(rows, phrases), MAX_EXCEPTIONS, toxic=False))
+    exceptions = tuple(t for _, t, _ in marked(_counted(rows, phrases), toxic=False))
     lexicon = Lexicon(lexicon.words, lexicon.stems, exceptions)
 
     @F.pandas_udf("double")

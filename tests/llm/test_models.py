@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import jaccard_join, lm, toxicity
+from tessera.llm import jaccard_join, lm, secrets, toxicity
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -300,10 +304,20 @@ def stages(spark, sf_dir, tmp_path_factory):
     return out
 
 
-def test_pipeline_stages(stages):
+def base_spans(text):
+    """Spans that any secrets scan has: long hexadecimal strings and access keys."""
+    return [m.span() for p in (r"[0-9a-f]{32,}", r"AKIA[A-Z0-9]{12,}") for m in re.finditer(p, text or "")]
+
+
+def test_pipeline_stages(spark, sf_dir, stages):
     start = {r.doc_id: r for r in stages["start"]}
     kept = {r.doc_id: r for r in stages["toxicity"]}
-    assert len(kept) >= 0.85 * len(start) and all(kept[i] == start[i] for i in kept)
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marked = {r.doc_id: int(r.toxic > 0) for r in marks.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in start}
+    words_, stems, exceptions = learned_by_hand([(start[i].text or "", y) for i, y in marked.items()])
+    curve = toxicity.learn(spark.createDataFrame(stages["start"]), marks.where("crc32(cast(doc_id as string)) % 4 != 2")).curve
+    lexicon = toxicity.Lexicon(words_, stems, tuple(exceptions), curve)
+    assert kept == {i: r for i, r in start.items() if lexicon.score(r.text or "") < 0.3}
     norm = lambda t: "".join((t or "").split())
     distinct = {r.doc_id: r for r in stages["exact_dedup"]}
     assert len(distinct) == len({norm(r.text) for r in kept.values()}) == len({norm(r.text) for r in distinct.values()})
@@ -311,9 +325,29 @@ def test_pipeline_stages(stages):
     assert near == {c for i, (n, c) in classes({i: r.text for i, r in distinct.items()}).items()}
     masked = {r.doc_id: r for r in stages["secrets"]}
     assert set(masked) == near and all(set(r.asDict()) == set(start[i].asDict()) for i, r in masked.items())
+    spans = {r.doc_id: sorted((s.start, s.end) for s in r.secrets) for r in secrets.scan(spark.createDataFrame(stages["near_dups"], "doc_id bigint, text string, lang string, source string, n_chars bigint"), "text").collect()}
+    assert any(spans.values())
     for i, r in masked.items():
-        assert r.text == start[i].text or ("[SECRET]" in r.text and r.n_chars == len(r.text))
-    assert {r.doc_id for r in stages["packing"]} == near
+        text, out, at = start[i].text, [], 0
+        for s, e in spans[i]:
+            out += [text[at:s], "[SECRET]"] if s >= at else []
+            at = max(at, e)
+        assert r == start[i] if not spans[i] else (r.text == "".join([*out, text[at:]]) and r.n_chars == len(r.text))
+    assert all(len({x for x in spans[i]}) >= len(base_spans(start[i].text)) for i in near)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in stages["packing"]:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == near
+    for i, own in pieces.items():
+        ids, at = [*library.encode(masked[i].text or "", add_special_tokens=False).ids, 0], 0
+        for r in sorted(own, key=lambda r: r.piece):
+            assert (r.start, r.ids_crc32) == (at, zlib.crc32(struct.pack(f"<{r.length}I", *ids[at : at + r.length])))
+            at += r.length
+        assert at == len(ids)
+    for own in sequences.values():
+        assert [o for o, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1] and sum(n for _, n in own) <= 2048
 
 
 def test_run_is_the_stages(spark, sf_dir, stages):
@@ -322,6 +356,93 @@ def test_run_is_the_stages(spark, sf_dir, stages):
     assert zlib.crc32(b"") == 0
 
 
+def learned_by_hand(rows):
+    """Words, stems and exceptions of (text, label) rows, by counting every word, beginning and neighbour."""
+
+    def tests(side, other, n_side, n_other, least_z):
+        if side < 4 or side * n_other <= other * n_side * 3:
+            return None
+        odds = lambda x, n: (x + 0.5) / (n - x + 0.5)
+        weight = math.log(odds(side, n_side) / odds(other, n_other))
+        z = weight / math.sqrt(sum(1 / (y + 0.5) for y in (side, other, n_side - side, n_other - other)))
+        return weight if weight >= 1.5 and z >= least_z else None
+
+    n = Counter(label for _, label in rows)
+    in_rows = {}
+    for text, label in rows:
+        spoken = set(re.findall(r"[^\W\d_]+", toxicity.fold(text)))
+        for term in {("word", w) for w in spoken if len(w) >= 3} | {("stem", w[:k]) for w in spoken for k in (4, 5, 6) if len(w) >= k}:
+            in_rows.setdefault(term, Counter())[label] += 1
+    weights = {t: w for t, c in in_rows.items() if (w := tests(c[1], c[0], n[1], n[0], 3.0))}
+    words_, stems = ({t: w for (kind, t), w in weights.items() if kind == k} for k in ("word", "stem"))
+    phrases = {}
+    for text, label in rows:
+        folded = toxicity.fold(text)
+        spots = [m.span() for m in re.finditer(r"[^\W\d_]+", folded)]
+        own = set()
+        for k, (s, e) in enumerate(spots):
+            if folded[s:e] in words_ or any(folded[s:e].startswith(t) for t in stems):
+                if k + 1 < len(spots) and spots[k + 1][0] == e + 1 and folded[e].isspace():
+                    own.add(folded[s : spots[k + 1][1]])
+                if k and spots[k - 1][1] == s - 1 and folded[s - 1].isspace():
+                    own.add(folded[spots[k - 1][0] : e])
+        for phrase in own:
+            phrases.setdefault(phrase, Counter())[label] += 1
+    return words_, stems, {p for p, c in phrases.items() if tests(c[0], c[1], n[0], n[1], 1.0)}
+
+
+def test_lexicon_and_curve_are_those_of_plain_counts(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(150)]
+    rows = []
+    for i in range(500):
+        text, label = rng.choices(plain, k=rng.randrange(5, 40)), int(i % 5 == 0)
+        if label or i % 25 == 1:
+            text[rng.randrange(len(text))] = rng.choice(("gr0mble", "grombles", "zaxwort", "QUIMMO", "zaxwort's"))
+        if i % 6 == 1:
+            text[1:3] = ["zaxwort", "bridge"] if i % 12 == 1 else ["old", "quimmo"]
+        rows.append((i, " ".join(text), label))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    words_, stems, exceptions = learned_by_hand([(t, y) for _, t, y in rows])
+    assert lexicon.words == pytest.approx(words_) and lexicon.stems == pytest.approx(stems) and set(lexicon.exceptions) == exceptions
+    assert len(words_) >= 3 and stems and exceptions
+    # the curve is where the penalised likelihood of all rows is flat
+    x = np.array([math.log1p(round(lexicon.evidence(t), 2)) for _, t, _ in rows])
+    y = np.array([label for *_, label in rows], float)
+    design, beta = np.stack([np.ones(len(x)), x], 1), np.array(lexicon.curve)
+    p = 1 / (1 + np.exp(-design @ beta))
+    slope = design.T @ (y - p) - np.array([1e-3, 1e-2]) * len(rows) / 100 * beta
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_all_terms_are_kept_however_many(spark):
+    """6,000 marking words: none is left out by number."""
+    toxic = [(i, " ".join(f"t{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x" for k in range(6000)), 1) for i in range(6)]
+    df = spark.createDataFrame(toxic + [(100 + i, "calm plain text", 0) for i in range(200)], "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(lexicon.words) == 6000
+
+
+def test_signatures_of_other_columns_and_buckets_have_other_ids(spark):
+    """Two signatures of a bucket whose column and value add up alike, and two of neighbouring buckets, keep their members apart."""
+
+    def blob(handles, matrix):
+        return np.array(handles, np.uint64).tobytes() + np.array(matrix, np.uint32).tobytes()
+
+    quiet = [[100 * i + c for c in range(5)] for i in range(1, 5)]
+    for i, (c, v) in enumerate([(3, 1000), (3, 1000), (4, 999), (4, 999)]):
+        quiet[i][c] = v
+    rows = [(7, 5, blob([1, 2, 3, 4], quiet)), (8, 1, blob([5, 6], [[65_000 + 537], [65_000 + 537]])), (9, 1, blob([7, 8], [[0 + 1], [0 + 1]])), (8 + 65_537, 1, blob([5, 6, 9], [[1], [1], [1]]))]
+    met = jaccard_join._met(spark.createDataFrame(rows, "bucket bigint, width int, blob binary")).collect()
+    by = defaultdict(set)
+    for r in met:
+        by[r.signature].add(r.handle)
+    assert sorted(map(sorted, by.values())) == [[1, 2], [3, 4], [5, 6], [5, 6, 9], [7, 8]]
+    ids = [jaccard_join._named(b, c, v) for b in (0, 1, 65_537, -3) for c in range(40) for v in (*range(60), 65_537, 2**32 - 1)]
+    assert len(set(ids)) == len(ids)
+
+
 def test_pairs_across_classes_lose_no_link(spark):
     """Sets of one signature, each a class of its own: every similar pair is told, few others."""
     rng = np.random.default_rng(6)
