@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered
 from tessera.schemas import GLOBAL_SCOPES, MEMORY_TYPES
 
 VISIBLE = "decay_state <> 'soft-forgotten'"
@@ -77,19 +78,26 @@ def paginate(df: DataFrame, order: list[Column], page: int, per_page: int = 50)
     return df.orderBy(*order).offset((max(1, page) - 1) * per_page).limit(per_page)
 
 
-def neighbours(memories: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
-    """n memories before and after each anchor in its scope, strictly earlier or later: anchor, side, rank, slug.
+def neighbours(memories: DataFrame, anchors: DataFrame | None = None, n: int = 3) -> DataFrame:
+    """n memories before and after each anchor (all memories without any) in its scope, strictly earlier or later: anchor, side, rank, slug.
 
-    Meant for a few anchors, which are broadcast: each is joined with the rows of its own scope, and those of its own time are
-    left out; the work is that of the anchors times their scopes' rows.
+    The nearest come first, by slug where times are equal. Memories of one scope and time have the same neighbours, so each such
+    group looks up the n places before and after it in the order of its scope; no scope is read once for each anchor, nor
+    is it one task's. Memories without a scope or time have no neighbours.
     """
-    wanted = anchors.select(F.col("slug").alias("anchor"), "scope_hash", F.col("created_at").alias("at"))
-    rows = memories.select("slug", "scope_hash", "created_at").join(F.broadcast(wanted.select("scope_hash").distinct()), "scope_hash", "left_semi")
-    pairs = rows.join(F.broadcast(wanted), "scope_hash").where(F.col("created_at") != F.col("at"))
-    side = F.when(F.col("created_at") < F.col("at"), "before").otherwise("after")
-    gap = F.abs(F.unix_seconds(F.col("created_at").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp")))
-    rank = F.row_number().over(Window.partitionBy("anchor", "side").orderBy("gap", "slug"))
-    return pairs.select("anchor", side.alias("side"), gap.alias("gap"), "slug").withColumn("rank", rank).where(F.col("rank") <= n).drop("gap")
+    rows = memories.where("scope_hash IS NOT NULL AND created_at IS NOT NULL").select("slug", "scope_hash", F.col("created_at").alias("at"))
+    wanted = (memories if anchors is None else anchors).select(F.col("slug").alias("anchor"), "scope_hash", F.col("created_at").alias("at"))
+    if anchors is not None:
+        rows = rows.join(wanted.select("scope_hash").distinct(), "scope_hash", "left_semi")
+    # of a group no more than its first n are anyone's neighbours
+    heads = top_of(rows, ["scope_hash", "at"], [F.asc("slug")], n).drop("rank")
+    lists = []
+    for side, slug, edge, step in (("before", F.desc("slug"), F.min, -1), ("after", F.asc("slug"), F.max, 1)):
+        places = numbered(heads, "scope_hash", [F.asc("at"), slug], "slug").select("scope_hash", "at", "slug", "pos")
+        groups = places.groupBy("scope_hash", "at").agg(edge("pos").alias("edge"))
+        asked = groups.select("scope_hash", "at", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"), "edge").withColumn("pos", F.col("edge") + step * F.col("rank"))
+        lists.append(asked.join(places.select("scope_hash", "pos", "slug"), ["scope_hash", "pos"]).select("scope_hash", "at", F.lit(side).alias("side"), "rank", "slug"))
+    return wanted.join(lists[0].unionByName(lists[1]), ["scope_hash", "at"]).select("anchor", "side", "rank", "slug")
 
 
 def top_of_scopes(memories: DataFrame, per_scope: int, limit: int) -> DataFrame:

@@ -1,50 +1,59 @@
-"""Numbers and predecessors of rows in the order of an integer, where one group may hold most rows.
+"""Numbers and predecessors of rows in an order, where one group may hold most rows.
 
-A window over a hot group would sort it in one task. Here a group is cut into blocks, ranges of BLOCK values of the order; only
-one row of each block meets those of the group's other blocks, and rows are ordered within their block.
+A window over a hot group would sort it in one task. Here all rows are sorted by group and order in ranges of about as many rows
+each, whatever the values are, and written with their place; of each range only its edges meet those of the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values of the order in a block, and so at most as many rows (where none repeat).
-BLOCK = 1 << 14
+from tessera.shared import written
 
+#: Where a row stands: its range, and its place there.
+PART, PLACE = "part_", "place_"
 
-def _with_blocks(rows: DataFrame, by: str, order: str, edges: list) -> tuple[DataFrame, DataFrame]:
-    """Rows with their block, and by_, at_ and aggregates of each block."""
-    cut = rows.withColumn("block_", F.floor(F.col(order) / BLOCK))
-    return cut, cut.groupBy(F.col(by).alias("by_"), F.col("block_").alias("at_")).agg(*edges)
 
+def placed(rows: DataFrame, by: str, *order: str | Column) -> DataFrame:
+    """rows in the order of `by` and `order` (null first), written, with their range and place there.
 
-def _same(by: str) -> F.Column:
-    return F.col(by).eqNullSafe(F.col("by_")) & F.col("block_").eqNullSafe(F.col("at_"))
+    Equal rows are kept apart by where they are read, so that they may fill any number of ranges.
+    """
+    keys = [F.col(by), *[F.col(c) if isinstance(c, str) else c for c in order], F.col("row_")]
+    whole = rows.withColumn("row_", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return written(whole.drop("row_").withColumns({PART: F.spark_partition_id(), PLACE: place}), "ordered")
 
 
-def numbered(rows: DataFrame, by: str, order: str, first: str) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: str | list[Column], first: str) -> DataFrame:
     """rows with pos, from 1 in the order within `by`, and first_, the column `first` of the group's first row.
 
     Null groups are one group; a null order stands before all others; equal orders are numbered by `first`.
     """
-    key = F.struct(F.col(order).alias("order"), F.col(first).alias("value"))
-    cut, edges = _with_blocks(rows, by, order, [F.count("*").alias("rows_"), F.min(key).alias("least_")])
-    before = Window.partitionBy("by_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("by_").orderBy("at_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = edges.select("by_", "at_", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("past_"), F.first(F.col("least_.value")).over(whole).alias("first_"))
-    own = F.row_number().over(Window.partitionBy(by, "block_").orderBy(order, first))
-    return cut.withColumn("own_", own).join(edges, _same(by)).select(*rows.columns, (F.col("past_") + F.col("own_")).alias("pos"), "first_")
+    table = placed(rows, by, *([order] if isinstance(order, str) else order), first)
+    # a row for each group and range: as many as groups and ranges
+    edges = table.groupBy(F.col(by).alias("by_"), F.col(PART).alias("at_")).agg(F.count("*").alias("rows_"), F.min(PLACE).alias("start_"), F.min_by(F.struct(first), PLACE).alias("least_"))
+    up_to = Window.partitionBy("by_").orderBy("at_")
+    past = F.coalesce(F.sum("rows_").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = F.first("least_").over(up_to.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = edges.select("by_", "at_", (past - F.col("start_") + 1).alias("past_"), least[first].alias("first_"))
+    same = (F.col(PART) == F.col("at_")) & F.col(by).eqNullSafe(F.col("by_"))
+    return table.join(edges, same).select(*rows.columns, (F.col("past_") + F.col(PLACE)).alias("pos"), "first_")
 
 
 def before(rows: DataFrame, by: str, order: str, column: str) -> DataFrame:
-    """rows with before_: a struct of `column` of the row before in the order within `by`; a group's first row has none (null).
+    """rows with before_: a struct `value` of `column` of the row before in the order within `by`; a group's first row has none (null).
 
-    Null groups are one group; a null order stands before all others; of rows with equal orders either may stand first.
+    Null groups are one group; a null order stands before all others; equal orders go by `column`.
     """
-    cut, edges = _with_blocks(rows, by, order, [F.max(F.struct(F.col(order).alias("order"), F.col(column).alias("value"))).alias("last_")])
-    value = F.struct(F.col(column).alias("value"))
-    last = F.lag(F.struct(F.col("last_.value"))).over(Window.partitionBy("by_").orderBy("at_"))
-    edges = edges.select("by_", "at_", last.alias("far_"))
-    near = F.lag(value).over(Window.partitionBy(by, "block_").orderBy(order, column))
-    return cut.withColumn("near_", near).join(edges, _same(by)).select(*rows.columns, F.coalesce("near_", "far_").alias("before_"))
+    table = placed(rows, by, order, column)
+    own = F.struct(F.col(by).alias("by"), F.col(column).alias("value"))
+    # the last row of each range, for the one after it: as many as ranges
+    edges = table.groupBy(F.col(PART).alias("at_")).agg(F.max_by(own, PLACE).alias("last_"))
+    edges = edges.select("at_", F.lag("last_").over(Window.orderBy("at_")).alias("far_"))
+    near = F.lag(own).over(Window.partitionBy(PART).orderBy(PLACE))
+    found = table.withColumn("near_", near).join(F.broadcast(edges), F.col(PART) == F.col("at_"))
+    last = F.when(F.col(PLACE) == 0, F.col("far_")).otherwise(F.col("near_"))
+    same = last.isNotNull() & last["by"].eqNullSafe(F.col(by))
+    return found.select(*rows.columns, F.when(same, F.struct(last["value"].alias("value"))).alias("before_"))

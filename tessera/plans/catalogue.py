@@ -233,6 +233,7 @@ def queries() -> dict[str, Query]:
         "paginate": memory(lambda m: listing.paginate(m, [F.desc("created_at"), F.asc("slug")], 2), "slug", "created_at"),
         "decayed_list": memory(listing.decayed, "slug", "decay_state", "last_recalled_at"),
         "context_neighbors": _anchors,
+        "all_neighbors": memory(listing.neighbours),
         "cross_scope_topn": memory(lambda m: listing.top_of_scopes(m, 3, 20), "scope_hash", "rank", "slug"),
         "stats_rollup": memory(listing.stats),
         "health_counts": memory(listing.counts_by_type),

@@ -148,6 +148,12 @@ def sql() -> dict[str, str]:
             FROM (SELECT a.slug AS anchor, CASE WHEN m.created_at < a.created_at THEN 'before' ELSE 'after' END AS side, m.slug, abs(epoch(m.created_at) - epoch(a.created_at)) AS gap
             FROM memories m JOIN memories a ON m.scope_hash = a.scope_hash AND m.created_at <> a.created_at WHERE a.slug IN ('doc-50', 'doc-100', 'doc-131'))) WHERE rank <= 3""",
         ),
+        "all_neighbors": _with(
+            "memories",
+            """SELECT anchor, side, slug, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor, side ORDER BY gap, slug) AS rank
+            FROM (SELECT a.slug AS anchor, CASE WHEN m.created_at < a.created_at THEN 'before' ELSE 'after' END AS side, m.slug, abs(epoch(m.created_at) - epoch(a.created_at)) AS gap
+            FROM memories m JOIN memories a ON m.scope_hash = a.scope_hash AND m.created_at <> a.created_at)) WHERE rank <= 3""",
+        ),
         "cross_scope_topn": _with("memories", "SELECT scope_hash, CAST(rank AS INTEGER) AS rank, slug FROM (SELECT *, row_number() OVER (PARTITION BY scope_hash ORDER BY created_at DESC, slug) AS rank FROM memories) WHERE rank <= 3 ORDER BY scope_hash, rank LIMIT 20"),
         "stats_rollup": _with(
             "memories",

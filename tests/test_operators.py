@@ -303,9 +303,39 @@ def test_save_and_read_memories(spark, tmp_path):
     assert found["b"] == "plain" and found["a"] != "hidden"
 
 
-def test_ordered_over_blocks(spark, monkeypatch):
-    """Numbers and predecessors against plain Python, where a group has many blocks, some are empty, and groups or orders are null."""
-    monkeypatch.setattr(ordered, "BLOCK", 4)
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay as many as asked for, however few rows they have."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set(name, before)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_neighbours_of_all_rows(spark, many_ranges):
+    import random
+
+    rng = random.Random(3)
+    data = [(f"m{rng.randrange(1000)}-{i}", rng.choice(["a", "a", "a", "b", None]), None if i % 40 == 0 else datetime(2024, 1, 1 + rng.randrange(25))) for i in range(160)]
+    rows = spark.createDataFrame(data, "slug string, scope_hash string, created_at timestamp_ntz")
+    expected = set()
+    for slug, scope, at in data:
+        for side in (-1, 1):
+            others = [(abs(t - at), s) for s, sc, t in data if scope and sc == scope and t and at and (t - at) * side > t - t]
+            expected |= {(slug, "before" if side < 0 else "after", i + 1, s) for i, (_, s) in enumerate(sorted(others)[:3])}
+    found = listing.neighbours(rows).collect()
+    assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+    some = rows.where("scope_hash = 'b'")
+    slugs = {r.slug for r in some.collect()}
+    assert {tuple(r) for r in listing.neighbours(rows, some).collect()} == {x for x in expected if x[0] in slugs}
+    assert listing.neighbours(rows.limit(0)).count() == 0
+
+
+def test_ordered_over_ranges(spark, many_ranges):
+    """Numbers and predecessors against plain Python, where a group has many ranges, orders are far apart, and groups or orders are null."""
     data = [("hot", i, f"v{i}") for i in range(0, 60) if i % 7] + [(None, i * 5, None) for i in range(4)] + [("one", -3, "x")] + [("gap", None, "n"), ("gap", 9, "a"), ("gap", 1000, "b")]
     rows = spark.createDataFrame(data, "log string, n bigint, value string")
     groups = {}
