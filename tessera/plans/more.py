@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import graph, lifecycle, listing, reports, search, security, sync, trends
+from tessera.operators import diffs, graph, lifecycle, listing, reports, search, security, sync, trends
 from tessera.plans import adapt
 from tessera.plans.adapt import EVENTS_NOW, read, stamp
 from tessera.plans.oracles import STAMP, _with
@@ -145,6 +145,29 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
     return _stamped(lifecycle.upsert_memories(m, new.unionByName(added)).select("slug", "title", "created_at", "recall_count"))
 
 
+def _rebuilt(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """page, version_num, patched_sha1, changed: each version put together from the one before and its hunks."""
+    lines = diffs.patched(pairs, found).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("pos", "nth", "line"))).alias("rows"))
+    whole = lines.select("pair", F.sha1(F.array_join("rows.line", "\n")).alias("patched_sha1"))
+    some = found.select("pair", F.lit(True).alias("changed")).distinct()
+    return pairs.select("pair", "page", "version_num").join(whole, "pair", "left").join(some, "pair", "left").select("page", "version_num", "patched_sha1", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
+def _document_hunks(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against the one before it of its source."""
+    rows = read(spark, d, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("version_num"), F.coalesce("text", F.lit("")).alias("content_md"))
+    return _rebuilt(*diffs.version_hunks(rows))
+
+
+def _version_hunks(spark: SparkSession, d: str) -> DataFrame:
+    """Four versions of each document: one whose short lines change, one that loses its first line, and one that gains two."""
+    text_ = F.coalesce("text", F.lit(""))
+    changed = F.regexp_replace(text_, r"(?m)^(.{1,60})$", "short: $1")
+    first = F.regexp_replace(changed, r"^[^\n]*\n", "")
+    versions = F.posexplode(F.array(text_, changed, first, F.concat(F.lit("new\n"), first, F.lit("\nlast")))).alias("version_num", "content_md")
+    return _rebuilt(*diffs.version_hunks(read(spark, d, "documents").select(F.col("doc_id").alias("page"), versions)))
+
+
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """The same upsert into a stored table of buckets, by a batch that comes twice; then some rows are removed."""
     path = fresh_path(spark, "memories")
@@ -397,6 +420,16 @@ def _queries() -> dict[str, tuple[object, str]]:
             """SELECT page, version_num, lag(after) OVER w AS before, after, lag(after) OVER w IS DISTINCT FROM after AS changed FROM (SELECT CAST(o_custkey % 20 AS VARCHAR) AS page, o_orderkey AS version_num, CAST(o_orderkey % 3 + 1 AS INTEGER) AS after FROM orders)
             WINDOW w AS (PARTITION BY page ORDER BY version_num)""",
         ),
+        "document_hunks": (
+            _document_hunks,
+            "SELECT source AS page, doc_id AS version_num, sha1(coalesce(text, '')) AS patched_sha1, coalesce(text, '') IS DISTINCT FROM lag(coalesce(text, '')) OVER (PARTITION BY source ORDER BY doc_id) AS changed FROM documents",
+        ),
+        "version_hunks": (
+            _version_hunks,
+            r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS a, regexp_replace(coalesce(text, ''), '(?m)^([^\n]{1,60})$', 'short: \1', 'g') AS b FROM documents), u AS (SELECT *, regexp_replace(b, '^[^\n]*\n', '') AS c FROM t),
+            v AS (SELECT doc_id AS page, unnest([0, 1, 2, 3]) AS version_num, unnest([a, b, c, 'new' || chr(10) || c || chr(10) || 'last']) AS x, unnest([NULL, a, b, c]) AS was FROM u)
+            SELECT page, version_num, sha1(x) AS patched_sha1, x IS DISTINCT FROM was AS changed FROM v""",
+        ),
         "diff_lines": (_diff_counts, f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE {deltas} END AS diff FROM documents"),
         "import_prefer_remote": (_imported("prefer-remote"), _import_twin("SELECT id, theirs_hash AS content_hash, '' AS notes FROM met")),
         "import_prefer_local": (_imported("prefer-local"), _import_twin("SELECT id, theirs_hash AS content_hash, '' AS notes FROM met WHERE FALSE")),
