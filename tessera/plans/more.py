@@ -11,7 +11,7 @@ from tessera.plans import adapt
 from tessera.plans.adapt import EVENTS_NOW, read, stamp
 from tessera.plans.oracles import STAMP, _with
 from tessera.shared import fresh_path
-from tessera.sources import readers, sinks, stored
+from tessera.sources import bundles, readers, sinks, stored
 from tessera.streaming import streams
 
 PERSON = "entity:person:customer_7"
@@ -244,6 +244,26 @@ def _import_twin(changed: str, merged: str = "0 * count(*)") -> str:
     )
 
 
+def _bundled(spark: SparkSession, d: str) -> DataFrame:
+    """section, id, value: what a bundle of all tables holds after it was read, exported again and read again."""
+    i = F.col("doc_id")
+    tags = F.to_json(F.struct(F.col("lang"), (i % 7).alias("week"), F.array(i % 3, F.lit(None).cast("bigint")).alias("seen")))
+    memories_ = read(spark, d, "documents").select(
+        F.concat(F.lit("doc-"), i).alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("scope"), F.col("source").isin("src0", "src1").alias("sensitive"), F.parse_json(tags).alias("metadata")
+    )
+    given = {"memories": memories_, "entities": graph.upsert_entities(adapt.mentions(spark, d)).select("id", "name", "mention_count"), "relations": adapt.relations(spark, d).drop("active", "ord"), "versions": _versions(spark, d), "audit": read(spark, d, "events").select("event_id", "props")}
+    for _ in range(2):
+        path = fresh_path(spark, "bundle")
+        bundles.export(spark, path, **given, passphrase="passphrase", spill=4096)
+        given = bundles.read(spark, path, "passphrase")
+        given["versions"] = given.pop("profile")
+    part = lambda name, id_, value: given[name].select(F.lit(name).alias("section"), id_.cast("string").alias("id"), value.cast("string").alias("value"))
+    out = part("memories", F.col("id"), F.concat_ws("|", F.sha2("content", 256), "scope", F.col("sensitive").cast("string"), F.to_json("metadata")))
+    out = out.union(part("entities", F.col("id"), F.concat_ws("|", "name", "mention_count")))
+    out = out.union(part("relations", F.col("subject_id"), F.concat_ws("|", "predicate", "object_id", "source_memory_id", F.col("confidence") * 100)))
+    return out.union(part("versions", F.col("version_num"), F.col("content_md"))).union(part("audit", F.col("event_id"), F.sha1("props")))
+
+
 def _local_entries(spark: SparkSession, d: str) -> DataFrame:
     local, remote = (adapt.entries(spark, d, remote=r) for r in (False, True))
     return sync.local_entries(remote, local, remote.where(F.substring("id", 5, 20).cast("bigint") % 2 == 0))
@@ -443,6 +463,16 @@ def _queries() -> dict[str, tuple[object, str]]:
                 "count(*)",
             ),
         ),
+        "bundle_round_trip": (
+            _bundled,
+            _with(
+                "entities relations",
+                """SELECT 'memories' AS section, 'doc-' || doc_id AS id, sha256(coalesce(text, '')) || '|' || source || '|' || (source IN ('src0', 'src1')) || '|{"lang":"' || lang || '","seen":[' || (doc_id % 3) || ',null],"week":' || (doc_id % 7) || '}' AS value FROM documents
+                UNION ALL SELECT 'entities', id, name || '|' || mention_count FROM entities
+                UNION ALL SELECT 'relations', subject_id, concat_ws('|', predicate, object_id, source_memory_id, CASE predicate WHEN 'located_at' THEN '90.0' WHEN 'belongs_to' THEN '100.0' ELSE '70.0' END) FROM relations
+                UNION ALL SELECT 'versions', CAST(max(o_orderkey) AS VARCHAR), repeat('x', CAST(max(o_orderkey) % 3 + 1 AS BIGINT)) FROM orders UNION ALL SELECT 'audit', CAST(event_id AS VARCHAR), sha1(props) FROM events""",
+            ),
+        ),
         "local_entries": (
             _local_entries,
             _with("mine theirs", "SELECT r.id, coalesce(l.content_hash, CASE WHEN r.doc_id % 2 = 0 THEN r.content_hash END) AS content_hash, CASE WHEN l.id IS NOT NULL THEN 'memories' WHEN r.doc_id % 2 = 0 THEN 'landing' END AS found_in FROM theirs r LEFT JOIN mine l ON l.id = r.id"),
