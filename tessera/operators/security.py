@@ -79,6 +79,11 @@ def audit_events(log: DataFrame, scope: str | None = None, kind: str | None = No
     return rows if since is None else rows.where(F.try_to_timestamp("ts") >= F.lit(since).cast("timestamp"))
 
 
+def audit_tail(log: DataFrame, limit: int = 50, scope: str | None = None, kind: str | None = None) -> DataFrame:
+    """The last well-formed events of a log, the newest first."""
+    return audit_events(log, scope, kind).orderBy(F.desc("n")).limit(limit)
+
+
 def encrypted(df: DataFrame, column: str, key: str, aad: str = "scope_hash") -> DataFrame:
     """A text column as AES-GCM in base 64, bound to the scope. key: 32 bytes in hexadecimal."""
     return df.withColumn(column, F.expr(f"base64(aes_encrypt({column}, unhex('{key}'), 'GCM', 'DEFAULT', '', {aad}))"))
@@ -88,6 +93,13 @@ def decrypted(df: DataFrame, column: str, key: str, aad: str = "scope_hash") ->
     return df.withColumn(column, F.expr(f"cast(aes_decrypt(unbase64({column}), unhex('{key}'), 'GCM', 'DEFAULT', {aad}) AS string)"))
 
 
+def opened(df: DataFrame, column: str, keys: DataFrame, aad: str = "scope_hash") -> DataFrame:
+    """df with a text column decrypted by its scope's key (keys: scope_hash, key); where a sensitive row has no key here, the column is null."""
+    joined = df.join(keys.select("scope_hash", F.col("key").alias("key_")), "scope_hash", "left")
+    plain = F.expr(f"cast(try_aes_decrypt(unbase64({column}), unhex(key_), 'GCM', 'DEFAULT', {aad}) AS string)")
+    return joined.withColumn(column, F.when(F.coalesce("scope_sensitive", F.lit(False)), plain).otherwise(F.col(column))).select(*df.columns)
+
+
 def register_scopes(registry: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """The deny list (scope_hash, scope_root, at) with scopes added (a later row replaces its hash's) and removed."""
     rows = registry.withColumn("new_", F.lit(0)).unionByName(added.withColumn("new_", F.lit(1)))

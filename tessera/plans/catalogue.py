@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
 from tessera.operators import extract, graph, index, lifecycle, listing, ordered, search, security, sync, trends
-from tessera.plans import adapt, more, oracles
+from tessera.plans import adapt, more, oracles, others
 from tessera.plans.adapt import EVENTS_NOW, NOW, read, stamp
 from tessera.shared import fresh_path
 
@@ -303,8 +303,8 @@ def queries() -> dict[str, Query]:
         "month_report": _two(partial(trends.month_report, year=2024, month=1), adapt.memories, adapt.promotions, adapt.sensitive_scopes),
         "weekly_signals": _two(partial(trends.weekly_signals, now="2024-01-12 00:00:00"), adapt.memories, adapt.promotions, adapt.triggers, adapt.recent_entities, adapt.trigger_stats),
     }
-    return found | more.queries()
+    return found | more.queries() | others.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql() | more.sql()
+    return oracles.sql() | more.sql() | others.sql()

@@ -84,7 +84,7 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    body = F.concat(F.lit("see /srv/a"), i % 4, F.lit("/b/file.py and more"), F.when(i % 5 == 0, " and /opt/z/q.txt").otherwise(""))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" see /srv/a"), i % 4, F.lit("/b/file.py and more"), F.when(i % 5 == 0, " and /opt/z/q.txt").otherwise(""))
     roots = spark.createDataFrame([("/srv/a0",), ("/srv/a0/b",), ("/srv/a1",), ("/opt/z",)], "root string")
     return readers.scope_of_content(read(spark, d, "documents").select(i.alias("id"), body.alias("text")), roots).select("id", "root")
 
@@ -277,7 +277,7 @@ def _by_type(spark: SparkSession, d: str) -> DataFrame:
 def _stats(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     docs = read(spark, d, "documents")
-    return graph.ingest_stats(docs.where(i % 4 != 0).select(i.alias("id"), F.lit("a").alias("value")), docs.select(i.alias("id"), F.when(i % 3 == 0, "b").otherwise("a").alias("value")))
+    return graph.ingest_stats(docs.where(i % 4 != 0).select(i.alias("id"), "text", "lang"), docs.select(i.alias("id"), F.when(i % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" b"))).otherwise(F.col("text")).alias("text"), "lang"))
 
 
 def _diff_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -237,6 +237,11 @@ def files_of_type(files: DataFrame, kind: str) -> DataFrame:
     return layout(files).where(F.col("type") == kind).select("scope_hash", "slug", "path").orderBy("path")
 
 
+def recent_slugs(files: DataFrame, kind: str, limit: int = 50) -> DataFrame:
+    """scope_hash, slug, path of the files of a type, the last slugs first."""
+    return files_of_type(files, kind).orderBy(F.desc("slug"), "path").limit(limit)
+
+
 def recent_files(files: DataFrame, limit: int = 5) -> DataFrame:
     """path, slug, modified of the files modified last (path, modified)."""
     placed = layout(files).join(files.select("path", "modified"), "path")

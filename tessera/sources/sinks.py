@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators.security import encrypted
 
@@ -15,7 +13,8 @@ def save_memories(memories: DataFrame, path: str, key: str | None = None, mode:
     if key:
         hidden = encrypted(memories.where("scope_sensitive"), "body", key)
         memories = memories.where(~F.coalesce("scope_sensitive", F.lit(False))).unionByName(hidden)
-    memories.repartition("scope_hash", "type").write.mode(mode).partitionBy("scope_hash", "type").parquet(path)
+    # a rebalance by scope and type splits what a hot scope has into several files
+    memories.hint("rebalance", "scope_hash", "type").write.mode(mode).partitionBy("scope_hash", "type").parquet(path)
 
 
 FIELDS = ("title", "slug", "type", "scope_hash", "source", "created_at", "updated_at", "ttl_days", "decay_state", "last_recalled_at", "recall_count")
@@ -25,21 +24,22 @@ DEFAULTS = {"decay_state": "alive", "recall_count": "0"}
 def markdown(memories: DataFrame) -> DataFrame:
     """slug, text: each memory as front matter and body; empty fields and defaults are left out."""
 
-    @F.pandas_udf(T.StringType())
-    def render(fields: pd.DataFrame, triggers: pd.Series, body: pd.Series) -> pd.Series:
-        import json
-
-        out = []
-        for (_, row), words, text in zip(fields.iterrows(), triggers, body, strict=True):
-            lines = [f"{k}: {json.dumps(str(v), ensure_ascii=False)}" for k, v in row.items() if v is not None and str(v) not in ("", DEFAULTS.get(k))]
-            if words is not None and len(words):
-                lines += ["triggers:", *(f"- {json.dumps(str(w), ensure_ascii=False)}" for w in words)]
-            out.append("\n".join(["---", *lines, "---", "", text or ""]))
-        return pd.Series(out)
-
-    have = [c for c in FIELDS if c in memories.columns]
-    triggers = F.col("triggers") if "triggers" in memories.columns else F.array().cast("array<string>")
-    return memories.select("slug", render(F.struct(*[F.col(c).cast("string").alias(c) for c in have]), triggers, F.col("body")).alias("text"))
+    def quoted(value: Column) -> Column:
+        """A string as JSON has it."""
+        listed = F.to_json(F.array(value))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    lines = []
+    for c in FIELDS:
+        if c in memories.columns:
+            value = F.col(c).cast("string")
+            lines.append(F.when((value != "") & (value != DEFAULTS.get(c, "")), F.concat(F.lit(f"{c}: "), quoted(value))))
+    if "triggers" in memories.columns:
+        items = F.transform("triggers", lambda w: F.concat(F.lit("- "), quoted(w)))
+        lines.append(F.when(F.size("triggers") > 0, F.concat_ws("\n", F.lit("triggers:"), items)))
+    # concat_ws leaves out nulls
+    head = F.concat_ws("\n", F.lit("---"), *lines, F.lit("---\n"))
+    return memories.select("slug", F.concat(head, F.lit("\n"), F.coalesce("body", F.lit(""))).alias("text"))
 
 
 def next_version(versions: DataFrame, content: DataFrame) -> DataFrame:
