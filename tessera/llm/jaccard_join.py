@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered_columns, slices, table, text_or_empty, written
+from tessera.llm.common import numbered_columns, released, slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
 #: Words of a shingle, and the least similarity in percent.
@@ -230,6 +230,8 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
                 pool, held = {}, 0
         if pool:
             yield emit(pool, of)
+        pool = {}
+        released()
 
     return docs.select("doc_id", F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -271,6 +273,7 @@ def _met(featured: DataFrame) -> DataFrame:
                     told.setdefault(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), (_named(int(group["bucket"].iloc[0]), column, int(ordered[s])), own))
         if not told:
             return pd.DataFrame({"bucket": [], "signature": [], "handle": [], "leader": []}, dtype=np.int64)
+        del matrix, matrices, handles
         kept = list(told.values())
         sizes = [len(own) for _, own in kept]
         members = np.concatenate([own for _, own in kept]).view(np.int64)
@@ -359,6 +362,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     if 100 * same >= percent * (len(x) + len(y) - same):
                         kept.append((u, v))
             yield pd.DataFrame(kept, columns=["u", "v"])
+        released()
 
     of = lambda side: texts.select(F.col("handle").alias(side), F.col("text").alias(f"{side}_text"))
     return pairs.join(of("u"), "u").join(of("v"), "v").mapInPandas(compare, "u long, v long")
@@ -436,9 +440,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         classed = met.select("bucket", "signature", "handle").join(classes.withColumnRenamed("node", "handle"), "handle", "left").withColumn("label", F.coalesce("label", "handle"))
         open_ = classed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("signature")
         # signatures with the same members (by 128 bits and their number) are one
-        halves = {f"{x}{s}": F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(x), "handle"), s).bitwiseAND(F.lit(0xFFFFFFFF))) for x in ("one", "two") for s in (0, 32)}
-        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), *[c.alias(x) for x, c in halves.items()])
-        once = members.groupBy("n", *halves).agg(F.min("signature").alias("signature")).select("signature")
+        sums = [F.sum(F.xxhash64(F.lit(x), "handle").cast("decimal(20,0)")).alias(x) for x in ("one", "two")]
+        members = classed.join(open_, "signature").groupBy("signature").agg(F.count("*").alias("n"), *sums)
+        once = members.groupBy("n", "one", "two").agg(F.min("signature").alias("signature")).select("signature")
         left = written(classed.join(once, "signature").select("bucket", "signature", "handle", "label"), "open")
         if i < LEADERS:
             lead = left.groupBy("signature").agg(F.min_by(F.struct("handle", "label"), F.xxhash64("handle", F.lit(i))).alias("lead"))
