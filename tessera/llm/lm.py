@@ -22,16 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table, text_or_empty, written
+from tessera.llm.common import released, slices, table, text_or_empty, written
 from tessera.llm.words import SLICE_BYTES, U64, hashed, mix
 
 #: Bytes of text of a chunk, and of the text whose keys a bucket has, about; and most partitions of a shuffle.
-CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 6 << 20, 8 << 20, 20_000
+CHUNK_BYTES, BUCKET_BYTES, PARTITIONS = 6 << 20, 8 << 20, 100_000
 #: One training document in so many is held out for the weights.
 HELD = 10
 #: Contexts are put in a bucket by the binary logarithm of their frequency; 0 has those never seen. Pairs have buckets after those of words.
@@ -96,6 +95,7 @@ def _packed(docs: DataFrame, held: Column) -> DataFrame:
         for kind in (0, 1):
             if pools[kind]:
                 yield chunk(kind)
+        released()
 
     return source.mapInPandas(pack, "held int, ids array<string>, blob binary").withColumn("chunk", F.monotonically_increasing_id())
 
@@ -266,6 +266,7 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
             for chunk, kind, ids, blob in zip(batch["chunk"], batch["held"], batch["ids"], batch["blob"], strict=True):
                 rows = [(chunk, kind, bucket, squeeze(data)) for bucket, data in _Keys(ids, blob, kind).requests(buckets)]
                 yield pd.DataFrame(rows, columns=["chunk", "held", "bucket", "blob"])
+                released()
 
     asked = packed.select("chunk", "held", "ids", "blob").mapInPandas(ask, "chunk long, held int, bucket long, blob binary")
     answers = written(asked.repartition(bucket_parts, "bucket").groupBy("bucket").applyInPandas(_add_up, "chunk long, held int, bucket long, blob binary"), "answers")
@@ -282,8 +283,11 @@ def scored(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "t
         def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             keys = _Keys(own["ids"].iloc[0], own["blob"].iloc[0], own["held"].iloc[0])
             counts = keys.answers(rows, buckets)
-            pa.default_memory_pool().release_unused()
-            return f(keys, counts)
+            released()
+            out = f(keys, counts)
+            del keys, counts
+            released()
+            return out
 
         return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(run, schema)
 
