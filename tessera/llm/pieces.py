@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a forward pass that common prefixes share.
 
 A text is cut into marked words (▁ for the space before each). The distinct words of a batch are sorted, which is a
-depth-first walk of their trie: a word keeps the forward states of the prefix it has in common with the one before, and
-goes on from there. The state of a prefix is its best segmentation's last piece:
+depth-first walk of their trie: a word keeps the forward scores and states of the prefix it has in common with the one before,
+and goes on from there. The forward score is the highest sum of piece scores of a prefix (Viterbi), the state its last piece:
 
 * of a unigram model, the piece with the highest sum of scores (Viterbi);
 * of a BPE model, the one piece that ends there and that merging leaves apart from the state before it. Merging is
@@ -15,6 +15,7 @@ Ids of words are kept in a bounded cache, as few words make up most of a corpus.
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table, text_or_empty
+from tessera.llm.common import released, slices, table, text_or_empty
 
 MARK = "▁"
 _WORDS = re.compile("▁*[^▁]+|▁+")
@@ -74,6 +75,8 @@ class Pieces:
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
         self.cache: dict[str, bytes] = {}
+        #: of each kept word the number of pieces and the score, as one number to add up
+        self.best: dict[str, complex] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bytes] = {}
 
@@ -114,48 +117,59 @@ class Pieces:
             known = self.own[piece] = np.array(found, "<u4").tobytes()
         return known
 
-    def _walk(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of sorted words. last[i] is the last piece of the best segmentation of the first i characters, best[i] its score."""
-        ids, scores, tails, apart, own = self.ids, self.scores, self.tails, self.apart, self.own
-        last, best, before = [""], [0.0], ""
+    def _walk(self, words: list[str]) -> Iterator[tuple[bytes, int, float]]:
+        """The ids of sorted words, and how many pieces the best-scored segmentation of each has, with its score.
+
+        last[i] is the last piece of the first i characters as merging leaves it (or as scores have it, in a unigram model); best[i] is the
+        highest sum of scores of the first i characters and number[i] that segmentation's pieces: the forward pass (Viterbi).
+        """
+        ids, scores, tails, apart, own, least = self.ids, self.scores, self.tails, self.apart, self.own, self.least
+        last, best, number, before = [""], [0.0], [0], ""
         for word in words:
             shared = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :], number[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                sizes = tails.get(word[max(0, end - 3) : end], _SHORT)
-                if self.bpe:
-                    for n in sizes:
-                        piece = word[end - n : end] if n <= end else ""
-                        if n == 1 or piece in ids:
-                            left = last[end - n]
-                            known = apart.get((left, piece))
-                            if self._stay_apart(left, piece) if known is None else known:
-                                break
-                    last.append(piece)
-                    best.append(0.0)
-                else:
-                    top, found = -np.inf, word[end - 1]
-                    for n in sizes:
-                        score = scores.get(word[end - n : end], self.least if n == 1 else None) if n <= end else None
-                        if score is not None and best[end - n] + score > top:
-                            top, found = best[end - n] + score, word[end - n : end]
-                    last.append(found)
-                    best.append(top)
+                top, found, most, merged = -np.inf, word[end - 1], 0, None
+                for n in tails.get(word[max(0, end - 3) : end], _SHORT):
+                    if n > end:
+                        continue
+                    piece = word[end - n : end]
+                    score = scores.get(piece)
+                    if score is None:
+                        if n > 1:
+                            continue
+                        score = least
+                    total = best[end - n] + score
+                    if total > top:
+                        top, found, most = total, piece, number[end - n] + 1
+                    if merged is None and self.bpe:
+                        left = last[end - n]
+                        known = apart.get((left, piece))
+                        if self._stay_apart(left, piece) if known is None else known:
+                            merged = piece
+                last.append((word[end - 1] if merged is None else merged) if self.bpe else found)
+                best.append(top)
+                number.append(most)
             before, parts, end = word, [], len(word)
             while end:
                 piece = last[end]
                 parts.append(own.get(piece) or self._ids(piece))
                 end -= len(piece)
-            yield b"".join(reversed(parts))
+            yield b"".join(reversed(parts)), number[-1], best[-1]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        return [ids for ids, _, _ in self.segmented(texts)]
+
+    def segmented(self, texts: list[str]) -> list[tuple[bytes, int, float]]:
+        """The ids of each text, and the pieces and the score of its best-scored segmentation."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+            self.best.clear()
         cut = []
         for text in texts:
             if not text:
@@ -165,11 +179,15 @@ class Pieces:
             cut.append(_WORDS.findall(marked))
         fresh = set().union(*cut) if cut else set()
         fresh.difference_update(self.cache)
-        order, now = sorted(fresh), {}
-        for word, ids in zip(order, self._walk(order), strict=True):
-            (self.cache if len(word) <= CACHED_CHARS else now)[word] = ids
-        look = self.cache.__getitem__ if not now else lambda w: self.cache[w] if w in self.cache else now[w]
-        return [b"".join(map(look, words)) for words in cut]
+        order, long, best = sorted(fresh), {}, {}
+        for word, (ids, number, score) in zip(order, self._walk(order), strict=True):
+            keep = len(word) <= CACHED_CHARS
+            (self.cache if keep else long)[word] = ids
+            (self.best if keep else best)[word] = complex(number, score)
+        look = self.cache.__getitem__ if not long else ChainMap(long, self.cache).__getitem__
+        tell = self.best.__getitem__ if not best else ChainMap(best, self.best).__getitem__
+        sums = [sum(map(tell, words)) for words in cut]
+        return [(b"".join(map(look, words)), int(x.real), x.imag) for words, x in zip(cut, sums, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that stands before the first word goes, and bytes that aren't UTF-8 are replaced."""
@@ -178,9 +196,10 @@ class Pieces:
 
 
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row's whole text.
+    """doc_id, ids (array of int), best_pieces and best_score of every row's whole text.
 
-    A null or empty text has no ids; null keys and repeated rows are kept; a very long word is walked once and not kept;
+    The ids are the model's; best_score is the highest sum of piece scores that a segmentation of the text has, best_pieces that
+    segmentation's number of pieces (the same as the ids' in a unigram model, but for characters in bytes). A null or empty text has no ids; null keys and repeated rows are kept; a very long word is walked once and not kept;
     an empty table gives no rows; other columns are ignored. A ▁ in a text counts as a space.
     """
     source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"), F.char_length(text_or_empty(text)).alias("size"))
@@ -190,12 +209,14 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
         pieces = Pieces.shared(model)
         for batch in batches:
             for part in slices(batch.column(2).to_numpy(), BATCH_CHARS):
-                found = pieces.encode(batch.column(1)[part].to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-                values = np.frombuffer(b"".join(found), np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "ids"])
+                found = pieces.segmented(batch.column(1)[part].to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x, _, _ in found)], dtype=np.int32)
+                values = np.frombuffer(b"".join(x for x, _, _ in found), np.int32)
+                best = [pa.array([x[1] for x in found], pa.int64()), pa.array([float(x[2]) for x in found])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), *best], names=["doc_id", "ids", "best_pieces", "best_score"])
+        released()
 
-    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, best_pieces bigint, best_score double")
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -210,6 +231,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
             texts = [pieces.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        released()
 
     return rows.select(*others).mapInArrow(run, f"{schema}, decoded string")
 
@@ -220,4 +242,4 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = decoded(encoded(table(spark, sf_dir, "documents"), model), model)
-    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.crc32("decoded").alias("decoded_crc32"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.crc32("decoded").alias("decoded_crc32"), "best_pieces", "best_score")

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import licences, media, packing
 from tessera.llm.bpe import Encoder
-from tessera.llm.pieces import Pieces, decoded, encoded
+from tessera.llm.pieces import MARK, Pieces, decoded, encoded
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 HARD = ["", "\n", "a\n\nb", " x", "x ", "don't it's.", "日本。 語, ok.", "x<|endoftext|>y", "a\r\nb", "A.B, c.d  e", "\x00\x01", "🙂" * 50, "a" * 3000, "  two  spaces\t\ttabs", "▁mark"]
@@ -67,6 +67,40 @@ def test_unigram_pieces_are_the_library_s(tmp_path, documents):
         assert mine == theirs or math.isclose(total(mine), total(theirs), rel_tol=1e-5)
 
 
+def test_best_scores_are_those_of_all_segmentations():
+    """Forward scores that prefixes share against a search of every segmentation, and against the library with the same scores in a unigram model."""
+    own, rng = Pieces(PIECES), random.Random(11)
+    words = sorted({MARK * rng.randrange(2) + "".join(rng.choices("aeinrst☃", k=rng.randrange(1, 9))) for _ in range(150)} | {"▁the", "the", "▁▁", "ation", "▁nation", "▁nations"})
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max(best(word[:-n]) + (own.scores.get(word[-n:], own.least if n == 1 else -math.inf)) for n in range(1, len(word) + 1))
+
+    for word, (_, n, score) in zip(words, own._walk(words), strict=True):
+        assert score == pytest.approx(best(word)) and 1 <= n <= len(word)
+
+
+def test_best_scores_are_the_library_s(tmp_path, documents):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(PIECES, "rb") as file:
+        proto.ParseFromString(file.read())
+    proto.trainer_spec.model_type = 1
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto.SerializeToString())
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), Pieces(PIECES)
+    words = sorted({w for t in documents.values() for w in (t or "").split()})[:1500]
+    checked = 0
+    for word, (_, n, score) in zip(words, own.segmented(words), strict=True):
+        first = library.nbest_encode_as_ids(word, 2)[0]  # the lattice's best
+        if not any(library.is_byte(i) or library.is_unknown(i) for i in first):
+            checked += 1
+            assert score == pytest.approx(sum(library.get_score(i) for i in first)) and n > 0
+    assert checked > 1000
+
+
 def test_pieces_of_odd_rows(odd, none):
     rows = decoded(encoded(odd, PIECES), PIECES).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.decoded) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in odd.collect())
