@@ -71,7 +71,9 @@ def merge_duplicates(memories: DataFrame, merges: DataFrame) -> DataFrame:
 
 def merged_bodies(sections: DataFrame) -> DataFrame:
     """slug, body of files to be written: sections of merge_duplicates in order, those merged in under '## merged-from <slug>'."""
-    text = F.concat(F.when(F.col("merged_from").isNull(), "").otherwise(F.concat(F.lit("\n\n## merged-from "), "merged_from", F.lit("\n\n"))), F.coalesce("section", F.lit("")))
+    body = F.coalesce("section", F.lit(""))
+    own = F.regexp_replace(body, r"(?U)\s+$", "")
+    text = F.when(F.col("merged_from").isNull(), own).otherwise(F.concat(F.lit("\n\n\n## merged-from "), "merged_from", F.lit("\n\n"), body))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "merged_from", text.alias("text"))))
     return sections.groupBy("slug").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("body"))
 

@@ -6,6 +6,7 @@ lists, so that their rows may be collected.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import graph, lifecycle, listing, search
+from tessera.operators import graph, lifecycle, listing, search, security
 from tessera.schemas import LONG_TERM_TYPES, MEMORY, MEMORY_TYPES
 
 
@@ -31,13 +32,26 @@ def _rows(df: DataFrame) -> list[dict[str, Any]]:
 
 @dataclass(frozen=True)
 class MemoryStore:
-    """memories, triggers (slug, trigger), promotions, relations and supersedes."""
+    """memories, triggers (slug, trigger), promotions, relations, vectors, sensitive scopes (scope_hash), grants (scope_hash, expires_at) and prompts (name, content)."""
 
     memories: DataFrame
     triggers: DataFrame | None = None
     promotions: DataFrame | None = None
     relations: DataFrame | None = None
     vectors: DataFrame | None = None
+    sensitive: DataFrame | None = None
+    grants: DataFrame | None = None
+    prompts: DataFrame | None = None
+
+    def _gated(self, scope: str | None, now: str) -> dict | None:
+        """A refusal if the scope is sensitive and no grant holds now."""
+        if self.sensitive is None or scope is None:
+            return None
+        spark = self.memories.sparkSession
+        grants = self.grants if self.grants is not None else spark.createDataFrame([], "scope_hash string, expires_at timestamp_ntz")
+        asked = spark.createDataFrame([(scope,)], "scope_hash string")
+        denied = security.gate(asked, self.sensitive, grants, now).first().result == "deny"
+        return failed("authorization_required", f"scope {scope} is sensitive and not granted") if denied else None
 
     # writes
 
@@ -119,8 +133,83 @@ class MemoryStore:
         told = ok(count=moved.count(), preview=[r.slug for r in moved.orderBy("slug").limit(20).collect()], dry_run=dry_run)
         return (self if dry_run else replace(self, memories=lifecycle.retag_scope(self.memories, old, new))), told
 
+    def record_long_term(self, *, kind: str, title: str, body: str, triggers: tuple[str, ...], scope_hash: str, now: str) -> tuple[MemoryStore, dict]:
+        """A long-term memory that was told as such, without a candidate."""
+        if refused := self._gated(scope_hash, now):
+            return self, refused
+        if kind not in LONG_TERM_TYPES:
+            return self, failed("invalid_type", kind)
+        store, told = self.mem_save(title=title, body=body, kind=kind, scope_hash=scope_hash, now=now, triggers=triggers)
+        return store, told | {"type": kind, "title": title}
+
+    def promote_to_long_term(self, session_slug: str, *, kind: str, title: str, now: str, body: str | None = None, triggers: tuple[str, ...] | None = None, reason: str = "") -> tuple[MemoryStore, dict]:
+        """A long-term memory from a memory at hand: its body (5,000 characters at most) and triggers unless others are given."""
+        if kind not in LONG_TERM_TYPES:
+            return self, failed("invalid_type", kind)
+        row = listing.get_memory(self.memories, session_slug).first()
+        if row is None:
+            return self, failed("not_found", session_slug)
+        if refused := self._gated(row.scope_hash, now):
+            return self, refused
+        if triggers is None:
+            own = [] if self.triggers is None else self.triggers.where(F.col("slug") == session_slug).collect()
+            triggers = tuple(sorted(r.trigger for r in own))
+        store, told = self.mem_save(title=title, body=(row.body or "")[:5000] if body is None else body, kind=kind, scope_hash=row.scope_hash, now=now, triggers=triggers)
+        return store, told | {"promoted_from": session_slug, "reason": reason}
+
+    def merge_duplicates(self, keep: str, drops: list[str], now: str) -> tuple[MemoryStore, dict]:
+        """Bodies of the dropped memories are put after the kept one's, and triggers joined; from a sensitive scope none of another may come."""
+        row = listing.get_memory(self.memories, keep).first()
+        if row is None:
+            return self, failed("not_found", keep)
+        if refused := self._gated(row.scope_hash, now):
+            return self, refused
+        spark = self.memories.sparkSession
+        there = self.memories.where(F.col("slug").isin(drops) & (F.col("slug") != keep))
+        hidden = self.sensitive is not None and not self.sensitive.where(F.col("scope_hash") == row.scope_hash).isEmpty()
+        if hidden and not there.where(F.col("scope_hash") != row.scope_hash).isEmpty():
+            return self, failed("cross_scope", f"memories of other scopes can't be merged into {keep}")
+        known = {r.slug for r in there.select("slug").collect()}
+        order = [d for d in dict.fromkeys(drops) if d in known]
+        merges = spark.createDataFrame([(keep, d, i) for i, d in enumerate(order, 1)], "keep string, drop string, pos long")
+        sections = lifecycle.merge_duplicates(self.memories.where(F.col("slug").isin([keep, *order])), merges)
+        whole = lifecycle.merged_bodies(sections).select("slug", F.col("body").alias("whole_"))
+        left = self.memories.join(merges.select(F.col("drop").alias("slug")), "slug", "left_anti").join(F.broadcast(whole), "slug", "left")
+        memories = left.withColumn("body", F.coalesce("whole_", "body")).select(*self.memories.columns)
+        triggers = None if self.triggers is None else lifecycle.merge_triggers(self.triggers, merges)
+        return replace(self, memories=memories, triggers=triggers), ok(kept=keep, dropped=drops)
+
+    def mem_save_prompt(self, name: str, content: str) -> tuple[MemoryStore, dict]:
+        """A prompt under a name of letters, digits, _ and -; one that is there is replaced."""
+        if not name.strip() or not content.strip():
+            return self, failed("invalid_argument", "name and content are required")
+        safe = re.sub(r"[^A-Za-z0-9_-]", "_", name.strip())[:60]
+        row = self.memories.sparkSession.createDataFrame([(safe, content)], "name string, content string")
+        prompts = row if self.prompts is None else self.prompts.where(F.col("name") != safe).unionByName(row)
+        return replace(self, prompts=prompts), ok(name=safe, bytes=len(content.encode()))
+
     # reads
 
+    def get_memory(self, slug: str, now: str) -> dict:
+        """A memory, if its scope isn't sensitive or is granted."""
+        found = self.mem_get(slug)
+        return self._gated(found["memory"]["scope_hash"], now) or found if found["ok"] else found
+
+    def list_promotions(self, now: str, scope: str | None = None, status: str = "pending") -> dict:
+        """Candidates of a scope (refused where it isn't granted), or of all scopes but those that aren't."""
+        if scope is not None and (refused := self._gated(scope, now)):
+            return refused
+        spark = self.memories.sparkSession
+        sensitive = self.sensitive if self.sensitive is not None and scope is None else spark.createDataFrame([], "scope_hash string")
+        granted = None if self.grants is None else security.valid_grants(self.grants, now).select("scope_hash").distinct()
+        return ok(promotions=_rows(lifecycle.list_promotions(self.promotions, sensitive, granted, status, scope)))
+
+    def request_sensitive_read(self, root: str, now: str) -> dict:
+        """Whether a folder's scope may be read now."""
+        row = self.memories.sparkSession.createDataFrame([(root,)], "t string").select(ids.scope_hash(F.col("t")).alias("scope")).first()
+        refused = self._gated(row.scope, now)
+        return ok(granted=False, scope_hash=row.scope, reason=refused["error"]["message"]) if refused else ok(granted=True, scope_hash=row.scope, scope_root=root)
+
     def mem_get(self, slug: str) -> dict:
         row = listing.get_memory(self.memories, slug).first()
         return failed("not_found", slug) if row is None else ok(memory=row.asDict())

@@ -357,7 +357,7 @@ def test_merge_duplicates_sections(spark):
     merges = spark.createDataFrame([("a", "c", 2), ("a", "b", 3), ("a", "gone", 4), ("lost", "d", 2)], "keep string, drop string, pos int")
     sections = lifecycle.merge_duplicates(memories, merges)
     assert sorted((r.slug, r.pos, r.merged_from, r.section) for r in sections.collect()) == [("a", 0, None, "A"), ("a", 2, "c", None), ("a", 3, "b", "B")]
-    assert [tuple(r) for r in lifecycle.merged_bodies(sections).collect()] == [("a", "A\n\n## merged-from c\n\n\n\n## merged-from b\n\nB")]
+    assert [tuple(r) for r in lifecycle.merged_bodies(sections).collect()] == [("a", "A\n\n\n## merged-from c\n\n\n\n\n## merged-from b\n\nB")]
 
 
 def test_knn_by_packs(spark, monkeypatch):
