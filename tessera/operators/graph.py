@@ -359,9 +359,26 @@ def supersede_candidates(mentions: DataFrame, fresh: DataFrame, types: tuple[str
 
 
 def judged(candidates: DataFrame, auto: float = 0.85, review: float = 0.5) -> DataFrame:
-    """Judgements (decision, confidence) as apply, pending or ignore; only 'supersedes' counts."""
-    sure = F.col("confidence")
-    return candidates.withColumn("action", F.when(F.col("decision") != "supersedes", "ignore").when(sure >= auto, "apply").when(sure >= review, "pending").otherwise("ignore"))
+    """Judgements (decision, confidence) as apply, pending or ignore; only 'supersedes' counts, and a null confidence is 0."""
+    sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    said = F.lower(F.trim(F.coalesce("decision", F.lit("")))) == "supersedes"
+    return candidates.withColumn("action", F.when(~said, "ignore").when(sure >= auto, "apply").when(sure >= review, "pending").otherwise("ignore"))
+
+
+def applied_judgements(memories: DataFrame, supersedes: DataFrame, judgements: DataFrame, at: str, auto: float = 0.85, review: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The memories and the supersedes table after judgements (new, old, entity_id, decision, confidence, reason).
+
+    What is sure enough is written down as decided by auto, and the old memory is dim from then on; what is to be reviewed as decided by
+    digest. Of a pair that is judged twice the latest stays, and a memory doesn't replace itself.
+    """
+    told = judged(judgements, auto, review).where("action <> 'ignore' AND new <> old")
+    dim = told.where("action = 'apply'").select(F.col("old").alias("slug"), F.lit(True).alias("dim_")).distinct()
+    state = F.when(F.col("dim_"), "dim").otherwise(F.col("decay_state"))
+    after = memories.join(dim, "slug", "left").withColumn("decay_state", state).select(*memories.columns)
+    sure = F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))
+    by = F.when(F.col("action") == "apply", "auto").otherwise("digest")
+    rows = told.select(F.col("new").alias("newer"), F.col("old").alias("older"), "entity_id", sure.alias("confidence"), F.substring(F.coalesce("reason", F.lit("")), 1, 500).alias("reason"), by.alias("decided_by"), F.expr(f"TIMESTAMP_NTZ '{at}'").alias("decided_at"))
+    return after, add_supersedes(supersedes.unionByName(rows, allowMissingColumns=True))
 
 
 def cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:

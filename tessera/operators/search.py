@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokens
 from tessera.operators import index
 from tessera.operators.listing import top_of
 from tessera.shared import fresh_path
@@ -111,6 +112,16 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, boosts: DataFrame |
     return best if types is None or not kinds else F.broadcast(best).join(types.select("id", "type"), "id").where(F.col("type").isin(*kinds)).drop("type")
 
 
+def lemmatised(query: Column) -> Column:
+    """The words of a query, one space between them, as its length is counted by."""
+    return F.array_join(tokens(query), " ")
+
+
+def bm25_parameters(query: Column) -> tuple[Column, Column]:
+    """Midpoint and steepness for a query, by its number of words (one at least)."""
+    return bm25_curve(F.greatest(F.size(tokens(F.coalesce(query, F.lit("")))), F.lit(1)))
+
+
 def bm25_curve(terms: Column) -> tuple[Column, Column]:
     """Midpoint and steepness for a number of query terms."""
     pick = lambda i: F.coalesce(*[F.when(F.lit(True) if most is None else terms <= most, F.lit((mid, steep)[i])) for most, mid, steep in BM25_CURVES])

@@ -107,6 +107,18 @@ def _two_retrievers(spark: SparkSession, d: str) -> DataFrame:
     return search.dense_bm25(dense, sparse).withColumn("score", F.round("score", 6))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on each third document and the one before it, applied to memories and written down."""
+    i = F.col("doc_id")
+    verdicts = read(spark, d, "documents").where((i % 3 == 0) & (i > 0)).select(
+        F.concat(F.lit("doc-"), i).alias("new"), F.concat(F.lit("doc-"), i - 1).alias("old"), F.col("source").alias("entity_id"), F.when(i % 4 == 0, "unrelated").when(i % 4 == 1, " Supersedes").otherwise("supersedes").alias("decision"),
+        F.when(i % 7 > 0, (i % 13) / 10).alias("confidence"), F.col("text").alias("reason"),
+    )
+    memories_, told = graph.applied_judgements(adapt.memories(spark, d), adapt.supersedes(spark, d).limit(0), verdicts, "2024-05-01 00:00:00")
+    rows = memories_.select(F.lit("memory").alias("kind"), "slug", F.col("decay_state").alias("value"), F.lit(None).cast("double").alias("confidence"))
+    return rows.union(told.select(F.lit("replaced"), F.col("older"), F.concat_ws("|", "newer", "decided_by", "entity_id", F.length("reason").cast("string")), "confidence"))
+
+
 def _tail(spark: SparkSession, d: str) -> DataFrame:
     line = F.to_json(F.struct(F.col("event_type"), F.concat(F.lit("u"), F.col("user_id") % 10).alias("scope_hash"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts")))
     log = read(spark, d, "events").select(F.col("event_id").alias("n"), F.when(F.col("event_id") % 9 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line"))
@@ -158,6 +170,20 @@ def _queries() -> dict[str, tuple[object, str]]:
             _two_retrievers,
             _with("nearest bm25_ranked", "SELECT id, round(sum(1.0::DOUBLE / (60 + rank)) / (2.0::DOUBLE / 61), 6) AS score FROM (SELECT id, rank FROM nearest WHERE query = 0 AND rank <= 40 UNION ALL SELECT id, rank FROM bm25_ranked WHERE query = 0 AND rank <= 40) GROUP BY id"),
         ),
+        "supersede_apply": (
+            _judged,
+            _with(
+                "memories",
+                """, v AS (SELECT *, CASE WHEN doc_id % 7 > 0 THEN least(doc_id % 13 / 10.0::DOUBLE, 1.0::DOUBLE) ELSE 0 END AS sure FROM documents WHERE doc_id % 3 = 0 AND doc_id > 0 AND doc_id % 4 <> 0)
+                SELECT 'memory' AS kind, slug, CASE WHEN doc_id + 1 IN (SELECT doc_id FROM v WHERE sure >= 0.85) THEN 'dim' ELSE decay_state END AS value, CAST(NULL AS DOUBLE) AS confidence FROM memories
+                UNION ALL SELECT 'replaced', 'doc-' || (doc_id - 1), 'doc-' || doc_id || '|' || CASE WHEN sure >= 0.85 THEN 'auto' ELSE 'digest' END || '|' || source || '|' || least(length(coalesce(text, '')), 500), sure FROM v WHERE sure >= 0.5""",
+            ),
+        ),
+        "bm25_params": (
+            lambda s, d: read(s, d, "benchmark").select("item_id", F.sha1(search.lemmatised(F.col("text"))).alias("words"), *[c.alias(n) for c, n in zip(search.bm25_parameters(F.substring("text", F.lit(1), (F.col("item_id") * 3).cast("int"))), ("midpoint", "steepness"), strict=True)]),
+            """SELECT item_id, sha1(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')) AS words, CAST(CASE WHEN n <= 3 THEN 5 WHEN n <= 6 THEN 7 WHEN n <= 9 THEN 9 WHEN n <= 15 THEN 10 ELSE 12 END AS DOUBLE) AS midpoint,
+            CAST(CASE WHEN n <= 3 THEN 0.7 WHEN n <= 6 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS steepness FROM (SELECT *, len(regexp_extract_all(lower(substr(text, 1, item_id * 3)), '[\p{L}\p{N}_]+')) AS n FROM benchmark)""",
+        ),
         "audit_tail": (_tail, "SELECT event_id AS n, event_type FROM events WHERE event_id % 9 <> 0 ORDER BY event_id DESC LIMIT 30"),
         "truncate_words": (
             _cut(lambda c: text.truncate_by_words(_paragraphs(c), 60), "kept"),
