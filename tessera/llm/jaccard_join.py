@@ -42,6 +42,8 @@ BLOCK_GROUPS = 16
 PAIR_BLOCK, BLOCK_SETS = 512, 2048
 #: Sets up to which a bucket has a block of groups; beyond, each column of signatures is cut by their values into buckets of as many.
 BUCKET_SETS = 4_000_000
+#: Rows whose sets a task makes at a time, and bytes of signatures that it pools before they leave it.
+BATCH_ROWS, POOL_BYTES = 1024, 8 << 20
 #: Rounds with other leaders before all pairs of different classes.
 LEADERS = 2
 
@@ -192,7 +194,7 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: dict = {}
         held, of = 0, pa.null()
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, len(whole), BATCH_ROWS)):
             of = batch.schema.field(0).type
             texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
             n, handles, checks, parities = [], [], [], []
@@ -225,7 +227,7 @@ def _featured(docs: DataFrame, bands: Bands, splits: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(handles, pa.int64()), pa.array(checks, pa.int64()), lists, pa.nulls(rows_, pa.int64()), pa.nulls(rows_, pa.int32()), pa.nulls(rows_, pa.binary())],
                 names=names,
             )
-            if held > 32 << 20:
+            if held > POOL_BYTES:
                 yield emit(pool, of)
                 pool, held = {}, 0
         if pool:
