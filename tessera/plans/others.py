@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import graph, listing, search, security, sync
+from tessera.operators import graph, listing, packs, search, security, sync
 from tessera.plans import adapt
 from tessera.plans.adapt import read
 from tessera.plans.oracles import KEBAB, _with
@@ -119,6 +119,13 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return rows.union(told.select(F.lit("replaced"), F.col("older"), F.concat_ws("|", "newer", "decided_by", "entity_id", F.length("reason").cast("string")), "confidence"))
 
 
+def _packed(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    """Nearest vectors by packs that are written first."""
+    path, vectors = fresh_path(spark, "packs"), read(spark, d, "embeddings")
+    packs.build(vectors, path)
+    return packs.search(spark, path, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
+
+
 def _tail(spark: SparkSession, d: str) -> DataFrame:
     line = F.to_json(F.struct(F.col("event_type"), F.concat(F.lit("u"), F.col("user_id") % 10).alias("scope_hash"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts")))
     log = read(spark, d, "events").select(F.col("event_id").alias("n"), F.when(F.col("event_id") % 9 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line"))
@@ -181,9 +188,10 @@ def _queries() -> dict[str, tuple[object, str]]:
         ),
         "bm25_params": (
             lambda s, d: read(s, d, "benchmark").select("item_id", F.sha1(search.lemmatised(F.col("text"))).alias("words"), *[c.alias(n) for c, n in zip(search.bm25_parameters(F.substring("text", F.lit(1), (F.col("item_id") * 3).cast("int"))), ("midpoint", "steepness"), strict=True)]),
-            """SELECT item_id, sha1(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')) AS words, CAST(CASE WHEN n <= 3 THEN 5 WHEN n <= 6 THEN 7 WHEN n <= 9 THEN 9 WHEN n <= 15 THEN 10 ELSE 12 END AS DOUBLE) AS midpoint,
+            r"""SELECT item_id, sha1(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')) AS words, CAST(CASE WHEN n <= 3 THEN 5 WHEN n <= 6 THEN 7 WHEN n <= 9 THEN 9 WHEN n <= 15 THEN 10 ELSE 12 END AS DOUBLE) AS midpoint,
             CAST(CASE WHEN n <= 3 THEN 0.7 WHEN n <= 6 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS steepness FROM (SELECT *, len(regexp_extract_all(lower(substr(text, 1, item_id * 3)), '[\p{L}\p{N}_]+')) AS n FROM benchmark)""",
         ),
+        "knn_packs": (_packed, _with("nearest", "SELECT query, id, score, rank FROM nearest WHERE rank <= 10")),
         "audit_tail": (_tail, "SELECT event_id AS n, event_type FROM events WHERE event_id % 9 <> 0 ORDER BY event_id DESC LIMIT 30"),
         "truncate_words": (
             _cut(lambda c: text.truncate_by_words(_paragraphs(c), 60), "kept"),
