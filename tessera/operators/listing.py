@@ -108,12 +108,13 @@ def top_of_scopes(memories: DataFrame, per_scope: int, limit: int) -> DataFrame:
 
 def stats(memories: DataFrame) -> DataFrame:
     """Counts in all, by type, by scope and by decay state in one pass: dimension, value, n."""
-    memories.createOrReplaceTempView("stats_memories_")
-    return memories.sparkSession.sql(
-        """SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(scope_hash) = 0 THEN 'scope' WHEN grouping(decay_state) = 0 THEN 'decay' ELSE 'total' END AS dimension,
-                  coalesce(type, scope_hash, decay_state, '') AS value, count(*) AS n
-           FROM stats_memories_ GROUP BY GROUPING SETS ((type), (scope_hash), (decay_state), ())"""
-    )
+    dimensions = {"type": "type", "scope_hash": "scope", "decay_state": "decay"}
+    of = F.lit("total")
+    for column, name in dimensions.items():
+        of = F.when(F.col(f"{column}_out") == 0, name).otherwise(of)
+    sets = memories.groupingSets([*([F.col(c)] for c in dimensions), []], *dimensions)
+    rows = sets.agg(F.count("*").alias("n"), *[F.grouping(c).alias(f"{c}_out") for c in dimensions])
+    return rows.select(of.alias("dimension"), F.coalesce(*dimensions, F.lit("")).alias("value"), "n")
 
 
 def counts_by_type(memories: DataFrame, types: tuple[str, ...] = MEMORY_TYPES) -> DataFrame:
@@ -173,5 +174,7 @@ def last_turns(turns: DataFrame, most: int = 8, clip: int = 6000) -> DataFrame:
 
 def transcript(turns: DataFrame, most: int = 8000) -> DataFrame:
     """conv_id, body: the turns as '**role**: text' joined by blank lines, cut at `most` characters."""
-    lines = turns.where(F.col("text") != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("**"), F.coalesce("role", F.lit("?")), F.lit("**: "), F.col("text")).alias("line")))).alias("rows"))
+    # a line has nine characters at least with what parts it from the next, so that later turns can't be in reach
+    near = top_of(turns.where(F.col("text") != ""), ["conv_id"], [F.asc("turn")], most // 8 + 1)
+    lines = near.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("**"), F.coalesce("role", F.lit("?")), F.lit("**: "), F.col("text")).alias("line")))).alias("rows"))
     return lines.select("conv_id", F.substring(F.array_join(F.col("rows.line"), "\n\n"), 1, most).alias("body"))

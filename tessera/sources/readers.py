@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.ids import kebab, scope_hash
 from tessera.functions.text import derive_triggers, infer_type, map_type
+from tessera.operators.listing import top_of
 from tessera.schemas import BUNDLE
 
 SYNC_SUFFIXES = (".md", ".enc")
@@ -135,9 +136,12 @@ def scan_session(lines: DataFrame, most: int = 8000) -> DataFrame:
     """file, body: the messages of each session as '**role**: text' joined by blank lines; '(empty session)' without any."""
     role = F.coalesce(F.get_json_object("line", "$.role"), F.get_json_object("line", "$.author"), F.lit("?"))
     text = content_text(F.get_json_object("line", "$.content"))
-    said = F.when((text != "") & text.isNotNull(), F.struct("n", F.concat(F.lit("**"), role, F.lit("**: "), text).alias("line")))
+    rows = lines.select("file", "n", F.when((text != "") & text.isNotNull(), F.concat(F.lit("**"), role, F.lit("**: "), text)).alias("line"))
+    # a message has nine characters at least with what parts it from the next; lines without one stand last and tell that the file is there
+    near = top_of(rows, ["file"], [F.isnull("line"), F.asc("n")], most // 8 + 1)
+    said = F.when(F.col("line").isNotNull(), F.struct("n", "line"))
     joined = F.array_join(F.col("rows.line"), "\n\n")
-    return lines.groupBy("file").agg(F.array_sort(F.collect_list(said)).alias("rows")).select("file", F.substring(F.when(F.size("rows") > 0, joined).otherwise("(empty session)"), 1, most).alias("body"))
+    return near.groupBy("file").agg(F.array_sort(F.collect_list(said)).alias("rows")).select("file", F.substring(F.when(F.size("rows") > 0, joined).otherwise("(empty session)"), 1, most).alias("body"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("header", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType())]))

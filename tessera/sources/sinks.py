@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered
 from tessera.operators.security import encrypted
 
 
@@ -45,11 +46,12 @@ def markdown(memories: DataFrame) -> DataFrame:
 def next_version(versions: DataFrame, content: DataFrame) -> DataFrame:
     """versions with new ones (content_md, written_at, ...) numbered after the last in the order of their times.
 
-    The old rows' largest number is one broadcast row; only the new rows (a few) are put in order.
+    The old rows' largest number is one row; the new ones are numbered in ranges of their times, those of one time by content.
     """
     last = versions.agg(F.coalesce(F.max("version_num"), F.lit(0)).alias("last_"))
-    numbered = content.withColumn("n_", F.row_number().over(Window.orderBy("written_at"))).join(F.broadcast(last)).withColumn("version_num", (F.col("last_") + F.col("n_")).cast(versions.schema["version_num"].dataType))
-    return versions.unionByName(numbered.drop("n_", "last_"), allowMissingColumns=True)
+    rows = numbered(content.withColumn("all_", F.lit(0)), "all_", "written_at", "content_md").crossJoin(last)
+    rows = rows.withColumn("version_num", (F.col("last_") + F.col("pos")).cast(versions.schema["version_num"].dataType))
+    return versions.unionByName(rows.drop("all_", "pos", "first_", "last_"), allowMissingColumns=True)
 
 
 def save_report(reports: DataFrame, new: DataFrame) -> DataFrame:

@@ -452,3 +452,14 @@ def test_what_an_import_lands(spark):
             assert {tuple(r.merge_notes) for r in after.where("id <> 'new'").collect()} == {("pending-user-decision",)}
     with pytest.raises(ValueError, match="strategy"):
         sync.imported(local, landing, remote, "guess")
+
+
+def test_transcripts_are_cut_however_many_turns(spark):
+    """A conversation of short turns beyond the cut, and one of none: the same as of all turns joined."""
+    turns = [(1, i, "u" if i % 3 else None, "x" * (i % 4)) for i in range(400)] + [(2, 5, "a", "long " * 100), (2, 3, "b", "first")]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    whole = lambda c: "\n\n".join(f"**{r or '?'}**: {t}" for k, _, r, t in sorted(turns, key=lambda x: x[:2]) if k == c and t)
+    assert {r.conv_id: r.body for r in listing.transcript(df, 200).collect()} == {c: whole(c)[:200] for c in (1, 2)}
+    lines = [(str(c), i, json.dumps({"role": r or "?", "content": t})) for c, i, r, t in turns] + [("none", 1, "{}"), ("none", 2, "bad")]
+    found = {r.file: r.body for r in readers.scan_session(spark.createDataFrame(lines, "file string, n int, line string"), 200).collect()}
+    assert found == {"1": whole(1)[:200], "2": whole(2)[:200], "none": "(empty session)"}
