@@ -24,9 +24,12 @@ def union_lists(a: Column, b: Column) -> Column:
 
 
 def union_relations(a: Column, b: Column) -> Column:
-    """Relations by (subject, predicate, object): the place of the first, the value of the last."""
-    both = F.concat(F.coalesce(a, F.array().cast("array<struct<subject_id:string,predicate:string,object_id:string>>")), F.coalesce(b, F.array().cast("array<struct<subject_id:string,predicate:string,object_id:string>>")))
-    return F.array_distinct(both)  # entries hold nothing but their key
+    """Relations by (subject_id, predicate, object_id): the place of the first, the values (of any other fields) of the last."""
+    nothing = lambda x: F.filter(x, lambda _: F.lit(False))
+    both = F.concat(F.coalesce(a, nothing(b)), F.coalesce(b, nothing(a)))
+    key = lambda r: F.struct(r["subject_id"], r["predicate"], r["object_id"])
+    last = lambda k: F.element_at(F.filter(both, lambda r: key(r) == k), -1)
+    return F.transform(F.array_distinct(F.transform(both, key)), last)
 
 
 def field_winners(audit: DataFrame) -> DataFrame:

@@ -60,6 +60,18 @@ def _merged_by_audit(spark: SparkSession, d: str) -> DataFrame:
     return sync.merge_entries(local, remote, rows).select("id", "content_hash", "memory_type")
 
 
+def _united(spark: SparkSession, d: str) -> DataFrame:
+    """Relations with a confidence on both sides of a merge."""
+    told = [adapt.entries(spark, d, remote=r) for r in (False, True)]
+    sure = F.substring("id", 5, 20).cast("bigint") % 10
+    sides = []
+    for entries, more in zip(told, (0, 100), strict=True):
+        rows = entries.withColumn("sure", sure + more)
+        sides.append(rows.withColumn("relations", F.transform("relations", lambda r: r.withField("confidence", F.col("sure")))).drop("sure"))
+    one = F.explode("relations").alias("r")
+    return sync.merge_entries(*sides).select("id", one).select("id", F.col("r.object_id").alias("object_id"), F.col("r.confidence").alias("confidence"))
+
+
 def _saved(spark: SparkSession, d: str) -> DataFrame:
     """Memories are written by scope and type, those of sensitive scopes encrypted, and read again."""
     path = fresh_path(spark, "saved")
@@ -162,6 +174,14 @@ def _queries() -> dict[str, tuple[object, str]]:
                 WHEN r.doc_id % 8 = 1 THEN 'kind-1' ELSE 'kind-2' END AS memory_type FROM mine l FULL JOIN theirs r ON l.id = r.id""",
             ),
         ),
+        "merge_relations": (
+            _united,
+            _with(
+                "mine theirs",
+                """SELECT coalesce(l.id, r.id) AS id, unnest(CASE WHEN r.id IS NULL THEN ['l' || (l.doc_id % 2), 'both'] WHEN l.id IS NULL THEN ['r' || (r.doc_id % 2), 'both'] ELSE ['l' || (l.doc_id % 2), 'both', 'r' || (r.doc_id % 2)] END) AS object_id,
+                unnest(CASE WHEN r.id IS NULL THEN [l.doc_id % 10, l.doc_id % 10] WHEN l.id IS NULL THEN [r.doc_id % 10 + 100, r.doc_id % 10 + 100] ELSE [l.doc_id % 10, r.doc_id % 10 + 100, r.doc_id % 10 + 100] END) AS confidence FROM mine l FULL JOIN theirs r ON l.id = r.id""",
+            ),
+        ),
         "saved_memories": (_saved, _with("memories", "SELECT slug, type, sha1(body) AS body_sha1, scope_sensitive AS sealed FROM memories")),
         "markdown_round_trip": (
             _rendered,
