@@ -15,8 +15,8 @@ Ids of words are kept in a bounded cache, as few words make up most of a corpus.
 from __future__ import annotations
 
 import re
-from collections import ChainMap
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,9 @@ _WORDS = re.compile("▁*[^▁]+|▁+")
 #: Lengths of pieces that are tried whatever the last characters are.
 _SHORT = (2, 1)
 #: Words and pairs of pieces that a worker keeps at most, and the longest word that is kept.
-CACHE_WORDS, CACHE_PAIRS, CACHED_CHARS = 300_000, 500_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHED_CHARS = 600_000, 500_000, 48
+#: Ids of words that a worker keeps at most, about.
+CACHE_IDS = 4 << 20
 #: Characters that a task encodes at a time.
 BATCH_CHARS = 4 << 20
 #: What an unknown character costs in a unigram model, under the least score.
@@ -74,9 +76,7 @@ class Pieces:
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
-        self.cache: dict[str, bytes] = {}
-        #: of each kept word the number of pieces and the score, as one number to add up
-        self.best: dict[str, complex] = {}
+        self._forget()
         self.apart: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bytes] = {}
 
@@ -161,15 +161,28 @@ class Pieces:
                 end -= len(piece)
             yield b"".join(reversed(parts)), number[-1], best[-1]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        return [ids for ids, _, _ in self.segmented(texts)]
-
-    def segmented(self, texts: list[str]) -> list[tuple[bytes, int, float]]:
-        """The ids of each text, and the pieces and the score of its best-scored segmentation."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-            self.best.clear()
+    def _forget(self) -> None:
+        """Begin with no words kept: of each its place, and in arrays by place its ids (all in one), number of pieces and score."""
+        self.place: dict[str, int] = {}
+        self.flat = np.empty(0, np.uint32)
+        self.starts, self.sizes, self.numbers = (np.empty(0, np.int64) for _ in range(3))
+        self.best_scores = np.empty(0)
+
+    def _learn(self, words: list[str]) -> None:
+        """Walk sorted words and keep them."""
+        found, numbers, scores = zip(*self._walk(words), strict=True)
+        self.place.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
+        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64)])
+        self.best_scores = np.concatenate([self.best_scores, np.array(scores, float)])
+
+    def segmented(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, where each text's end, and the pieces and the score of each text's best-scored segmentation."""
+        if len(self.place) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+            self._forget()
         cut = []
         for text in texts:
             if not text:
@@ -178,16 +191,29 @@ class Pieces:
             marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
             cut.append(_WORDS.findall(marked))
         fresh = set().union(*cut) if cut else set()
-        fresh.difference_update(self.cache)
-        order, long, best = sorted(fresh), {}, {}
-        for word, (ids, number, score) in zip(order, self._walk(order), strict=True):
-            keep = len(word) <= CACHED_CHARS
-            (self.cache if keep else long)[word] = ids
-            (self.best if keep else best)[word] = complex(number, score)
-        look = self.cache.__getitem__ if not long else ChainMap(long, self.cache).__getitem__
-        tell = self.best.__getitem__ if not best else ChainMap(best, self.best).__getitem__
-        sums = [sum(map(tell, words)) for words in cut]
-        return [(b"".join(map(look, words)), int(x.real), x.imag) for words, x in zip(cut, sums, strict=True)]
+        fresh.difference_update(self.place)
+        if fresh:
+            self._learn(sorted(fresh))
+        counts = np.array([len(words) for words in cut], np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        values = self.flat[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        last = np.cumsum(counts)
+        numbers, scores = np.zeros(len(cut), np.int64), np.zeros(len(cut))
+        some = np.flatnonzero(counts)
+        if len(some):
+            firsts = (last - counts)[some]
+            numbers[some], scores[some] = np.add.reduceat(self.numbers[at], firsts), np.add.reduceat(self.best_scores[at], firsts)
+        for word in fresh:
+            if len(word) > CACHED_CHARS:
+                del self.place[word]
+        return values, ends[last], numbers, scores
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        values, ends, _, _ = self.segmented(texts)
+        return [values[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that stands before the first word goes, and bytes that aren't UTF-8 are replaced."""
@@ -209,11 +235,9 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
         pieces = Pieces.shared(model)
         for batch in batches:
             for part in slices(batch.column(2).to_numpy(), BATCH_CHARS):
-                found = pieces.segmented(batch.column(1)[part].to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x, _, _ in found)], dtype=np.int32)
-                values = np.frombuffer(b"".join(x for x, _, _ in found), np.int32)
-                best = [pa.array([x[1] for x in found], pa.int64()), pa.array([float(x[2]) for x in found])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), *best], names=["doc_id", "ids", "best_pieces", "best_score"])
+                values, ends, numbers, scores = pieces.segmented(batch.column(1)[part].to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], lists, pa.array(numbers), pa.array(scores)], names=["doc_id", "ids", "best_pieces", "best_score"])
         released()
 
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, best_pieces bigint, best_score double")
