@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,8 @@ from tessera.llm.common import released, slices, table, text_or_empty
 
 MARK = "▁"
 _WORDS = re.compile("▁*[^▁]+|▁+")
-#: Lengths of pieces that are tried whatever the last characters are.
-_SHORT = (2, 1)
 #: Words and pairs of pieces that a worker keeps at most, and the longest word that is kept.
-CACHE_WORDS, CACHE_PAIRS, CACHED_CHARS = 600_000, 500_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHED_CHARS = 400_000, 500_000, 48
 #: Ids of words that a worker keeps at most, about.
 CACHE_IDS = 4 << 20
 #: Characters that a task encodes at a time.
@@ -62,12 +61,11 @@ class Pieces:
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes over the start of a word")
-        # the lengths of the pieces that end in given three characters , the longest first, and of the short ones
-        sizes: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 2:
-                sizes.setdefault(p[-3:], set()).add(len(p))
-        self.tails = {tail: (*sorted(found, reverse=True), *_SHORT) for tail, found in sizes.items()}
+        self.automaton = ahocorasick.Automaton()
+        for p, score in self.scores.items():
+            self.automaton.add_word(p, (len(p), p, score))
+        self.automaton.make_automaton()
+        self.longest = max(map(len, self.ids))
         self.least = min(self.scores.values()) - UNKNOWN_COST
         self.bytes = {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)} if proto.trainer_spec.byte_fallback else {}
         self.raw = [b""] * len(special)
@@ -123,7 +121,7 @@ class Pieces:
         last[i] is the last piece of the first i characters as merging leaves it (or as scores have it, in a unigram model); best[i] is the
         highest sum of scores of the first i characters and number[i] that segmentation's pieces: the forward pass (Viterbi).
         """
-        ids, scores, tails, apart, own, least = self.ids, self.scores, self.tails, self.apart, self.own, self.least
+        apart, own, least, longest = self.apart, self.own, self.least, self.longest
         last, best, number, before = [""], [0.0], [0], ""
         for word in words:
             shared = 0
@@ -132,28 +130,30 @@ class Pieces:
                     break
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :], number[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top, found, most, merged = -np.inf, word[end - 1], 0, None
-                for n in tails.get(word[max(0, end - 3) : end], _SHORT):
-                    if n > end:
-                        continue
-                    piece = word[end - n : end]
-                    score = scores.get(piece)
-                    if score is None:
-                        if n > 1:
-                            continue
-                        score = least
-                    total = best[end - n] + score
-                    if total > top:
-                        top, found, most = total, piece, number[end - n] + 1
-                    if merged is None and self.bpe:
-                        left = last[end - n]
-                        known = apart.get((left, piece))
-                        if self._stay_apart(left, piece) if known is None else known:
-                            merged = piece
-                last.append((word[end - 1] if merged is None else merged) if self.bpe else found)
-                best.append(top)
-                number.append(most)
+            now, hits = shared + 1, []
+            # the pieces that end at each place, the longest first; a last one closes the word
+            for place, hit in chain(self.automaton.iter(word, max(0, now - longest)), ((len(word), None),)):
+                if place + 1 <= shared:
+                    continue
+                while now <= place:  # the places before this one are complete
+                    if not hits or hits[-1][0] > 1:
+                        hits.append((1, word[now - 1], least))
+                    top, merged = -np.inf, None
+                    for n, piece, score in hits:
+                        left = now - n
+                        total = best[left] + score
+                        if total > top:
+                            top, found, most = total, piece, number[left] + 1
+                        if merged is None and self.bpe:
+                            known = apart.get((last[left], piece))
+                            if self._stay_apart(last[left], piece) if known is None else known:
+                                merged = piece
+                    last.append((word[now - 1] if merged is None else merged) if self.bpe else found)
+                    best.append(top)
+                    number.append(most)
+                    now += 1
+                    hits = []
+                hits.append(hit)
             before, parts, end = word, [], len(word)
             while end:
                 piece = last[end]
