@@ -8,8 +8,9 @@ as far as its lines are equal, by comparing lines at equal distances from its en
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from tessera.operators.ordered import before
 from tessera.shared import written
 
 
+#: Rows of gaps that a task gives on at a time.
+ROWS = 10_000
+
+
 def _lines(pairs: DataFrame, column: str) -> DataFrame:
     """pair, pos, line of a text's lines (null: none; an empty text has one empty line)."""
     return pairs.where(F.col(column).isNotNull()).select("pair", F.posexplode(F.split(column, "\n", -1)).alias("pos", "line"))
@@ -45,19 +50,39 @@ def _ascending(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _gaps(points: DataFrame, sizes: DataFrame) -> DataFrame:
     """pair, gap, a0, a1, b0, b1: the line ranges (ends exclusive) between kept points."""
 
-    kept = points.select("pair", "a", "b").join(sizes, "pair", "right")
+    kept = points.select("pair", "a", "b").join(sizes, "pair", "right").sortWithinPartitions("pair", "a")
 
-    def own(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(group["n"].iloc[0]), int(group["m"].iloc[0])
-        there = group.dropna(subset=["a"]).sort_values("a")
-        found, at_a, at_b = [], 0, 0
-        for a, b in [*_ascending(list(zip(there["a"].astype(int), there["b"].astype(int), strict=True))), (n, m)]:
+    def own(pair: str, n: int, m: int, there: list[tuple[int, int]]) -> Iterator[tuple]:
+        at_a, at_b, gap = 0, 0, 0
+        for a, b in [*_ascending(there), (n, m)]:
             if a > at_a or b > at_b:
-                found.append((key[0], len(found), at_a, a, at_b, b))
+                yield pair, gap, at_a, a, at_b, b
+                gap += 1
             at_a, at_b = a + 1, b + 1
-        return pd.DataFrame(found, columns=["pair", "gap", "a0", "a1", "b0", "b1"])
 
-    return kept.groupBy("pair").applyInPandas(own, "pair string, gap long, a0 long, a1 long, b0 long, b1 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs one after the other, which may go over several batches; as functions of groups, small pairs would cost milliseconds each."""
+        current, there, found = None, [], []
+        for batch in batches:
+            for pair, a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("pair", "a", "b", "n", "m")), strict=True):
+                if current is None or pair != current[0]:
+                    if current is not None:
+                        found.extend(own(*current, there))
+                    current, there = (pair, n, m), []
+                if a is not None:
+                    there.append((a, b))
+                if len(found) >= ROWS:
+                    yield told(found)
+                    found = []
+        if current is not None:
+            found.extend(own(*current, there))
+            yield told(found)
+
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], names=["pair", "gap", "a0", "a1", "b0", "b1"])
+
+    return kept.mapInArrow(run, "pair string, gap long, a0 long, a1 long, b0 long, b1 long")
 
 
 def hunks(pairs: DataFrame, old: str = "before", new: str = "after") -> DataFrame:

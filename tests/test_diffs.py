@@ -77,3 +77,21 @@ def test_versions_of_pages(spark):
     pairs, told = diffs.version_hunks(rows)
     names = {r.pair: (r.page, r.version_num) for r in pairs.collect()}
     assert {(*names[r.pair], r.before_n, r.after_n) for r in told.collect()} == {("p", 1, 0, 1), ("p", 3, 0, 1), ("q", 2, 0, 1), (None, 1, 0, 1), (None, 4, 0, 1)}
+
+
+def test_many_small_pairs_share_a_function_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(diffs, "ROWS", 3)
+    rows = [(f"p{i}", "a\nb\nc\nd", "\n".join("abcd"[: i % 5]) + "\nx" * (i % 3)) for i in range(200)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        _, texts = found(spark, rows)
+        points = spark.createDataFrame([(p, k, k) for p, _, _ in rows for k in (0, 2)], "pair string, a int, b int")
+        gaps = diffs._gaps(points, spark.createDataFrame([(p, 4, 4) for p, _, _ in [*rows, ("none", "", "")]], "pair string, n long, m long"))
+        assert sorted(tuple(r) for r in gaps.collect()) == sorted([g for p, _, _ in rows for g in ((p, 0, 1, 2, 1, 2), (p, 1, 3, 4, 3, 4))] + [("none", 0, 0, 4, 0, 4)])
+    finally:
+        spark.conf.set(size, before)
+    assert texts == {p: b for p, _, b in rows}
+    # a function called for each group costs milliseconds for each small pair
+    assert "InPandas" not in gaps._jdf.queryExecution().toString()
