@@ -7,10 +7,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.batches import sliced
+
 # Patterns of comments, ends of lines and headings.
 COMMENT = r"(?s)<!--.*?-->"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -196,12 +199,15 @@ def chunks_of(text: str, most: int = 1500, overlap: int = 2) -> Iterator[tuple[s
 def chunk_markdown(docs: DataFrame, key: str = "slug", text: str = "body", most: int = 1500, overlap: int = 2) -> DataFrame:
     """source, content, heading, heading_level, start_line, end_line, n of every document's chunks, by tasks over batches of rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *c, n) for k, t in zip(batch["source"], batch["text"], strict=True) if t for n, c in enumerate(chunks_of(t, most, overlap))]
-            yield pd.DataFrame(rows, columns=["source", "content", "heading", "heading_level", "start_line", "end_line", "n"])
+    fields = {"source": pa.string(), "content": pa.string(), "heading": pa.string(), "heading_level": pa.int32(), "start_line": pa.int32(), "end_line": pa.int32(), "n": pa.int32()}
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(k, *c, n) for k, t in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for n, c in enumerate(chunks_of(t, most, overlap))]
+        columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, fields.values(), strict=True)], names=[*fields])
 
-    return docs.select(F.col(key).cast("string").alias("source"), F.col(text).alias("text")).mapInPandas(run, "source string, content string, heading string, heading_level int, start_line int, end_line int, n int")
+    rows = docs.select(F.col(key).cast("string").alias("source"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda batches: sliced(batches, "text", told), "source string, content string, heading string, heading_level int, start_line int, end_line int, n int")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

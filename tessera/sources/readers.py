@@ -6,13 +6,14 @@ Files are rows: Spark lists them and deals them out, and a parser sees one file
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.batches import sliced
 from tessera.functions.ids import kebab, scope_hash
 from tessera.functions.text import derive_triggers, infer_type, map_type
 from tessera.operators.listing import top_of
@@ -35,12 +36,14 @@ def parse_markdown(files: DataFrame, text: str = "text") -> DataFrame:
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema]
     schema = ", ".join([*columns, "meta map<string,string>", "lists map<string,array<string>>", "body string", "error string"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            told = [front_matter(t) for t in batch[text]]
-            yield batch.assign(meta=[x[0] for x in told], lists=[x[1] for x in told], body=[x[2] for x in told], error=[x[3] for x in told])
+    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = [front_matter(t) for t in rows.column(text).to_pylist()]
+        meta = pa.array([list(x[0].items()) for x in found], pa.map_(pa.string(), pa.string()))
+        lists = pa.array([list(x[1].items()) for x in found], pa.map_(pa.string(), pa.list_(pa.string())))
+        rest = [pa.array([x[i] for x in found], pa.string()) for i in (2, 3)]
+        return pa.RecordBatch.from_arrays([*rows.columns, meta, lists, *rest], names=[*rows.schema.names, "meta", "lists", "body", "error"])
 
-    return files.mapInPandas(run, schema)
+    return files.mapInArrow(lambda batches: sliced(batches, text, told), schema)
 
 
 def front_matter(text: str | None) -> tuple[dict, dict, str, str | None]:
