@@ -118,6 +118,25 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", b
     dropped(packed)
 
 
+def _without(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """Rows of an index without the documents that their blocks lose (of_segment, of_block, id)."""
+    lists = ("ids", "tfs", "lengths")
+
+    def run(own: pa.Table, gone: pa.Table) -> pa.Table:
+        ids = own["ids"].combine_chunks()
+        stays = pc.invert(pc.is_in(ids.flatten(), value_set=gone["id"].combine_chunks()))
+        row = np.repeat(np.arange(len(own)), pc.list_value_length(ids).to_numpy())
+        n = np.bincount(row[stays.to_numpy(zero_copy_only=False)], minlength=len(own))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        for c in lists:
+            own = own.set_column(own.schema.get_field_index(c), c, pa.ListArray.from_arrays(ends, own[c].combine_chunks().flatten().filter(stays)))
+        own = own.set_column(own.schema.get_field_index("n"), "n", pa.array(n.astype(np.int64)))
+        return own.filter(pc.or_(pc.greater(own["n"], 0), pc.equal(own["block"], NOTHING)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("segment", "block").cogroup(lost.groupBy("of_segment", "of_block")).applyInArrow(run, schema)
+
+
 def update(path: str, docs: DataFrame, gone: DataFrame | None = None, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> None:
     """Replace documents, and remove those whose keys are in `gone`.
 
@@ -135,11 +154,8 @@ def update(path: str, docs: DataFrame, gone: DataFrame | None = None, key: str =
     kept = None
     if hit:
         old = index.where(F.col("segment").isin(hit))
-        # the rows of a block are joined with the keys that the block loses
-        lost = old.where("term = ''").select("segment", "block", F.explode("ids").alias("id")).join(keys, "id", "left_semi").groupBy("segment", "block").agg(F.collect_set("id").alias("lost"))
-        zipped = F.filter(F.arrays_zip("ids", "tfs", "lengths"), lambda x: ~F.array_contains("lost", x["ids"]))
-        stays = old.join(lost, ["segment", "block"], "left").withColumn("all", F.when(F.col("lost").isNull(), F.arrays_zip("ids", "tfs", "lengths")).otherwise(zipped)).where((F.size("all") > 0) | (F.col("block") == NOTHING))
-        stays = stays.withColumns({"n": F.size("all").cast("bigint"), "ids": F.col("all.ids"), "tfs": F.col("all.tfs"), "lengths": F.col("all.lengths")}).select(*index.columns)
+        there = old.where("term = ''").select(F.col("segment").alias("of_segment"), F.col("block").alias("of_block"), F.explode("ids").alias("id"))
+        stays = _without(old, there.join(keys, "id", "left_semi"))
         kept = written(stays, "postings")  # before the segments that it reads are written anew
         empty = set(hit) - {r.segment for r in kept.select("segment").distinct().collect()}
         _write(kept, path, "overwrite")

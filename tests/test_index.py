@@ -101,3 +101,19 @@ def test_a_few_terms_reach_the_scan(spark, tmp_path):
     plan = rows.select("n")._jdf.queryExecution().toString()
     assert "PushedFilters: [EqualTo(term,beta)" in plan.replace("IsNotNull(term), ", "") and "ids" not in plan.rpartition("ReadSchema")[2]
     assert rows.select(F.sum("n")).first()[0] == 1
+
+
+def test_postings_are_dropped_by_blocks(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.build(spark.createDataFrame([(i, f"a w{i % 3}") for i in range(30)], SCHEMA).coalesce(1), path, block=8)
+    old = spark.read.parquet(path)
+    lost = old.where("term = '' AND block <> -1").selectExpr("segment AS of_segment", "block AS of_block", "explode(ids) AS id").where("id % 3 = 1 OR id < 8")
+    stays = index._without(old, lost)
+    # no row carries, nor is searched through, all that its block loses
+    assert "array_contains" not in stays._jdf.queryExecution().toString()
+    rows = {(r.term, r.block): r for r in stays.collect()}
+    assert sorted(i for (t, _), r in rows.items() if t == "a" for i in r.ids) == [i for i in range(8, 30) if i % 3 != 1]
+    assert not any(t == "w1" for t, _ in rows) and any(b == index.NOTHING for _, b in rows)
+    was = {(r.term, r.block): {k: x for k, *x in zip(r.ids, r.tfs, r.lengths, strict=True)} for r in old.collect()}
+    for key, r in rows.items():
+        assert r.n == len(r.ids) and {k: x for k, *x in zip(r.ids, r.tfs, r.lengths, strict=True)} == {k: x for k, x in was[key].items() if k in r.ids}
