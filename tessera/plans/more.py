@@ -254,7 +254,7 @@ def _bundled(spark: SparkSession, d: str) -> DataFrame:
     given = {"memories": memories_, "entities": graph.upsert_entities(adapt.mentions(spark, d)).select("id", "name", "mention_count"), "relations": adapt.relations(spark, d).drop("active", "ord"), "versions": _versions(spark, d), "audit": read(spark, d, "events").select("event_id", "props")}
     for _ in range(2):
         path = fresh_path(spark, "bundle")
-        bundles.export(spark, path, **given, passphrase="passphrase", spill=4096)
+        bundles.export(spark, path, **given, passphrase="passphrase", spill=4096, compression="gzip")
         given = bundles.read(spark, path, "passphrase")
         given["versions"] = given.pop("profile")
     part = lambda name, id_, value: given[name].select(F.lit(name).alias("section"), id_.cast("string").alias("id"), value.cast("string").alias("value"))

@@ -40,13 +40,14 @@ def _line(rows: DataFrame) -> Column:
 
 def export(
     spark: SparkSession, path: str, memories: DataFrame, entities: DataFrame | None = None, relations: DataFrame | None = None, versions: DataFrame | None = None,
-    audit: DataFrame | None = None, scopes: list[str] | None = None, passphrase: str | None = None, spill: int = SPILL_BYTES,
+    audit: DataFrame | None = None, scopes: list[str] | None = None, passphrase: str | None = None, spill: int = SPILL_BYTES, compression: str = "none",
 ) -> dict:
     """Write a bundle to an empty path and return its manifest.
 
     memories: id, content, scope, sensitive and any other columns, of which VARIANT ones are open metadata; all rows, or those of some
     scopes. With a passphrase the contents of sensitive ones are encrypted. Of the profile's versions (version_num, content_md) the last
     is taken. Sections that are not given are left out; a table without rows is a section without lines.
+    compression: of the sections' files, as Spark names it; a reader knows it by their names.
     """
     rows = memories if not scopes else memories.where(F.col("scope").isin(*scopes))
     secret = None
@@ -67,7 +68,7 @@ def export(
     for section, df in sections.items():
         if df is None:
             continue
-        df.select(_line(df).alias("value")).write.text(f"{path}/{section}")
+        df.select(_line(df).alias("value")).write.text(f"{path}/{section}", compression=compression)
         n, total = spark.read.schema("value string").text(f"{path}/{section}").agg(F.count("*"), _checksum(df)).first()
         manifest["sections"][section] = {"rows": n, "checksum": total, "schema": T.StructType(sorted(df.schema, key=lambda f: f.name)).json()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")

@@ -81,3 +81,13 @@ def test_a_bundle_that_was_changed_is_refused(spark, tmp_path):
     (part.parent / f".{part.name}.crc").unlink()
     with pytest.raises(ValueError, match="memories"):
         bundles.read(spark, where)
+
+
+def test_a_compressed_bundle_is_smaller_and_reads_alike(spark, tmp_path):
+    sizes, found = [], []
+    for codec in ("none", "gzip"):
+        path = tmp_path / codec
+        bundles.export(spark, str(path), spark.range(3000).selectExpr("'m' || id AS id", "repeat('text ', 9) AS content", "'s' AS scope", "false AS sensitive").coalesce(2), compression=codec)
+        sizes.append(sum(p.stat().st_size for p in (path / "memories").glob("part-*")))
+        found.append(plain(bundles.read(spark, str(path))["memories"]))
+    assert len(found[0]) == 3000 and found[0] == found[1] and sizes[1] * 5 < sizes[0]
