@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ids import entity_id
 from tessera.schemas import ENTITY_TYPES, GLOBAL_SCOPES, PREDICATES
+from tessera.shared import written
 
 # Other names of predicates, with those whose ends change places.
 ALIASES = {
@@ -22,6 +23,9 @@ ALIASES = {
 REVERSED = ("mentioned_by", "used_by", "cited_by")
 CONFLICTING = ("prefers", "uses", "works_on")
 
+#: A node's edges are dealt into so many groups, so that no task has all of a node that most edges share; results don't depend on it.
+GROUPS = 8
+
 
 def normalised_predicate(raw: Column) -> tuple[Column, Column]:
     """The canonical predicate (unknown ones as they are) and whether the ends change places."""
@@ -223,6 +227,26 @@ def conflicts(relations: DataFrame, predicates: tuple[str, ...] = CONFLICTING) -
     return rows.join(groups.select("subject_id", "predicate"), ["subject_id", "predicate"], "left_semi").select("subject_id", "predicate", "object_id", "memory_id")
 
 
+def last_edges(relations: DataFrame, *columns: str, memory_nodes: bool = False) -> DataFrame:
+    """subject_id, object_id and columns: the last of parallel edges among the active relations, written once for all hops."""
+    edges = relations.where("active")
+    if not memory_nodes:
+        edges = edges.where(~F.col("subject_id").startswith("memory:") & ~F.col("object_id").startswith("memory:"))
+    return written(edges.groupBy("subject_id", "object_id").agg(*[F.max_by(c, "ord").alias(c) for c in columns]), "edges")
+
+
+def _sides(edges: DataFrame) -> DataFrame:
+    """Edges from both of their ends: node, other, and the group that the edge is in among its node's."""
+    ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("subject_id", "object_id"), ("object_id", "subject_id"))]
+    return edges.select("*", F.explode(F.array(*ends)).alias("e")).select(*edges.columns, "e.*").withColumn("group_", F.pmod(F.xxhash64("other"), F.lit(GROUPS)).cast("int"))
+
+
+def _step(sides: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The edges at the frontier's nodes. A task holds its part of the frontier, where nodes are distinct, and edges pass by it: they aren't sorted."""
+    near = frontier.withColumn("group_", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    return sides.join(near.hint("shuffle_hash"), ["node", "group_"])
+
+
 def n_hop(relations: DataFrame, seeds: DataFrame, depth: int, *, memory_nodes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (seed, node, hops) and edges (seed, subject_id, object_id, predicate) within `depth` hops of each seed (seed).
 
@@ -257,21 +281,18 @@ def global_graph(entities: DataFrame, relations: DataFrame, now: str, days: int
     recent = entities.where(F.col("last_seen_at") >= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {int(days)} DAYS"))
     seeds = top_entities(recent, scope=None if scope in GLOBAL_SCOPES else scope, limit=top)
     seeds = seeds if kind is None else seeds.where(F.col("type") == kind)
-    live = relations.where(F.col("active") & ~F.col("subject_id").startswith("memory:") & ~F.col("object_id").startswith("memory:"))
-    live = live.select("subject_id", "object_id", "ord", F.struct("predicate", "confidence", "source_memory_id").alias("edge"))
-    ends = F.explode(F.array(F.struct(F.col("subject_id").alias("node"), F.col("object_id").alias("other")), F.struct(F.col("object_id").alias("node"), F.col("subject_id").alias("other")))).alias("e")
-    both = live.select("*", ends).select("subject_id", "object_id", "ord", "edge", "e.node", "e.other")
+    live = last_edges(relations, "predicate", "confidence", "source_memory_id")
+    sides = _sides(live)
     nodes, edges = seeds.select(F.col("id").alias("node"), F.lit(0).alias("hops")), None
     frontier = nodes
     for hop in range(1, max(1, min(3, depth)) + 1):
-        step = both.join(frontier.select("node"), "node")
+        step = _step(sides, frontier.select("node"))
         edges = step if edges is None else edges.unionByName(step)
         frontier = step.select(F.col("other").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
         nodes = nodes.unionByName(frontier)
     told = nodes.join(entities.select(F.col("id").alias("node"), "name", "type", "mention_count"), "node", "left")
     told = told.select("node", "hops", F.coalesce("name", "node").alias("name"), F.coalesce("type", F.lit("unknown")).alias("type"), "mention_count")
-    kept = edges.groupBy("subject_id", "object_id").agg(F.max_by("edge", "ord").alias("edge"))
-    return told, kept.select("subject_id", "object_id", "edge.*")
+    return told, edges.select(*live.columns).distinct()
 
 
 def _topological(edges: pd.DataFrame) -> list[str]:
