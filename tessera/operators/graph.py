@@ -252,23 +252,19 @@ def n_hop(relations: DataFrame, seeds: DataFrame, depth: int, *, memory_nodes: b
 
     One join for each hop: the active relations of the frontier, without nodes seen before. Of parallel edges the last stays.
     """
-    edges = relations.where("active")
-    if not memory_nodes:
-        edges = edges.where(~F.col("subject_id").startswith("memory:") & ~F.col("object_id").startswith("memory:"))
-    edges = edges.select("subject_id", "object_id", "predicate", "ord")
-    both = edges.select("*", F.col("subject_id").alias("node"), F.col("object_id").alias("other")).union(edges.select("*", F.col("object_id"), F.col("subject_id")))
+    live = last_edges(relations, "predicate", memory_nodes=memory_nodes)
+    sides = _sides(live)
     nodes = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"))
     frontier, found = nodes, None
     for hop in range(1, depth + 1):
-        step = frontier.select("seed", "node").join(both, "node")
+        step = _step(sides, frontier.select("seed", "node"))
         found = step if found is None else found.union(step)
         fresh = step.select("seed", F.col("other").alias("node")).distinct().join(nodes, ["seed", "node"], "left_anti")
         frontier = fresh.withColumn("hops", F.lit(hop))
         nodes = nodes.union(frontier)
     if found is None:
-        found = nodes.select("seed", "node").join(both, "node").limit(0)
-    kept = found.groupBy("seed", "subject_id", "object_id").agg(F.max_by("predicate", "ord").alias("predicate"))
-    return nodes, kept
+        found = _step(sides, nodes.select("seed", "node")).limit(0)
+    return nodes, found.select("seed", *live.columns).distinct()
 
 
 def global_graph(entities: DataFrame, relations: DataFrame, now: str, days: int = 30, top: int = 15, scope: str | None = None, kind: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:

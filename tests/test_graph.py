@@ -50,6 +50,17 @@ def test_the_global_graph_sorts_no_shared_nodes_edges(spark, relations, depth):
     assert len(rows) == len(pairs) and {(r.subject_id, r.object_id): (r.predicate, r.confidence, r.source_memory_id) for r in rows} == {k: said[n] for k, n in pairs.items()}
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_n_hop_sorts_no_shared_nodes_edges(spark, relations, depth):
+    seeds = {"t0", "t1", "p5", "none"}
+    nodes, kept = graph.n_hop(relations, spark.createDataFrame([(x,) for x in seeds], "seed string"), depth)
+    assert not edges_are_sorted(nodes, kept)
+    wanted = {x: reached({x}, depth) for x in seeds}
+    assert sorted((r.seed, r.node, r.hops) for r in nodes.collect()) == sorted((x, v, h) for x in seeds for v, h in wanted[x][0].items())
+    said = {n: p for _, p, _, n in EDGES}
+    assert sorted((r.seed, r.subject_id, r.object_id, r.predicate) for r in kept.collect()) == sorted((x, *k, said[n]) for x in seeds for k, n in wanted[x][1].items())
+
+
 def test_a_shared_nodes_edges_are_dealt_into_groups(spark, relations):
     step = graph._step(graph._sides(graph.last_edges(relations, "predicate")), spark.createDataFrame([("t0",)], "node string"))
     sizes = [r["count"] for r in step.groupBy("group_").count().collect()]
