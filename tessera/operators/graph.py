@@ -152,7 +152,8 @@ def ingest(entities: DataFrame, relations: DataFrame, memories: DataFrame, least
     """
     when = memories.select("memory_id", "scope_hash", "at", "seq")
     id_ = entity_id(F.col("type"), F.col("name")).alias("id")
-    told = parsed_entities(entities).join(when, "memory_id").select("memory_id", id_, "type", "name", "scope_hash", "at", F.struct("seq", F.lit(0).alias("kind"), "pos").alias("seq"), "context", "confidence")
+    # memories have a row each: a task holds them, and what is told passes by unsorted
+    told = parsed_entities(entities).join(when.hint("shuffle_hash"), "memory_id").select("memory_id", id_, "type", "name", "scope_hash", "at", F.struct("seq", F.lit(0).alias("kind"), "pos").alias("seq"), "context", "confidence")
     parsed = parsed_relations(relations).join(when, "memory_id")
     name, reverse = normalised_predicate(F.col("predicate"))
     taken = (F.col("confidence") >= least) & (F.col("name_") != "") & (F.col("name_").isin(*PREDICATES) | F.lit(not drop_unknown))
@@ -167,10 +168,12 @@ def ingest(entities: DataFrame, relations: DataFrame, memories: DataFrame, least
         .select(*told.columns)
         for i, e in enumerate(("subject", "object"))
     ]
-    # the first that names an id, in whichever way
-    firsts = told.unionByName(ends[0].unionByName(ends[1])).groupBy("id").agg(F.min_by(F.struct(*told.columns), F.struct("at", "seq")).alias("first")).select("first.*")
+    # when an id is named first, in whichever way; contexts of all that is told aren't compared
+    ends = ends[0].unionByName(ends[1])
+    firsts = told.select("id", "at", "seq").unionByName(ends.select("id", "at", "seq")).groupBy("id").agg(F.min(F.struct("at", "seq")).alias("first")).select("id", "first.*")
     firsts = firsts if old is None else firsts.join(old.select("id"), "id", "left_anti")
-    found = upsert_entities(told.unionByName(firsts.where("seq.kind = 1")), old)
+    opening = ends.groupBy("id").agg(F.min_by(F.struct(*ends.columns), F.struct("at", "seq")).alias("first")).select("first.*")
+    found = upsert_entities(told.unionByName(opening.join(firsts.where("seq.kind = 1").select("id"), "id", "left_semi").select(*told.columns)), old)
     mentions = told.groupBy("memory_id", "id").agg(F.min_by("confidence", "seq").alias("confidence"), F.min("seq.seq").alias("ord"))
     mentions = mentions.select(F.concat(F.lit("memory:"), "memory_id").alias("subject_id"), F.lit("mentions").alias("predicate"), F.col("id").alias("object_id"), F.col("memory_id").cast("string").alias("source_memory_id"), "confidence", F.lit(True).alias("active"), "ord")
     edges = rows.select(

@@ -36,11 +36,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut df's lineage by a table in the shared folder; it outlives any executor."""
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Cut df's lineage by a table in the shared folder; it outlives any executor. options: the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.parquet(path)
     out.written_to = path
     return out
