@@ -3,6 +3,9 @@
 Lines that both texts have once are their common points; the longest sequence of them that ascends on both sides is kept (a
 pair's points are two integers each, and no text is part of it). Between two kept points a gap is made smaller from either end
 as far as its lines are equal, by comparing lines at equal distances from its ends. What is left are the hunks.
+
+`hunks` has lines as rows. Versions of pages are sorted in ranges, where each passes by the one before it, and a pair's lines
+are compared as numbers there; texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -10,13 +13,19 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import before
+from tessera.functions.batches import sliced
 from tessera.shared import written
 
+HUNK = ["before_at", "before_n", "after_at", "after_n"]
+HUNKS = f"array<struct<{', '.join(f'{c}: bigint' for c in HUNK)}>>"
+#: Versions of a range: those after another of it; its first one, whose version before is in another range; its last one, once more.
+INNER, FIRST, LAST = range(3)
 
 #: Rows of gaps that a task gives on at a time.
 ROWS = 10_000
@@ -127,17 +136,110 @@ def patched(pairs: DataFrame, found: DataFrame, old: str = "before", new: str =
     return stays.unionByName(added.select("pair", F.col("before_at").alias("pos"), (F.col("of") - (1 << 40)).alias("nth"), "line"))
 
 
+def _compared(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """The hunks of two texts whose lines are numbers."""
+    sides = [np.unique(side, return_index=True, return_counts=True) for side in (x, y)]
+    once = [(line[n == 1], at[n == 1]) for line, at, n in sides]
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    points = np.stack([once[0][1][i], once[1][1][j]], 1)
+    a0, b0 = 0, 0
+    for a1, b1 in [*_ascending(points[np.argsort(points[:, 0])].tolist()), (len(x), len(y))]:
+        if a1 > a0 or b1 > b0:
+            k = min(a1 - a0, b1 - b0)
+            front = int(np.argmax(np.append(x[a0 : a0 + k] != y[b0 : b0 + k], True)))
+            k -= front
+            back = int(np.argmax(np.append((x[a1 - k : a1] != y[b1 - k : b1])[::-1], True)))
+            n, m = a1 - back - a0 - front, b1 - back - b0 - front
+            if n or m:
+                yield a0 + front + 1, n, b0 + front + 1, m
+        a0, b0 = a1 + 1, b1 + 1
+
+
+def _hunk_lists(before: pa.Array, after: pa.Array) -> pa.Array:
+    """The hunks of each pair, in their order."""
+    sides = [pc.split_pattern(side, "\n") for side in (before, after)]
+    ends = [np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False), dtype=np.int64)) for side in sides]
+    lines = pa.concat_arrays([side.flatten() for side in sides]).dictionary_encode().indices.to_numpy()
+    x, y = lines[: ends[0][-1]], lines[ends[0][-1] :]
+    found, until = [], [0]
+    for i in range(len(before)):
+        found.extend(_compared(x[ends[0][i] : ends[0][i + 1]], y[ends[1][i] : ends[1][i + 1]]))
+        until.append(len(found))
+    numbers = np.array(found, np.int64).reshape(-1, len(HUNK))
+    return pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays([pa.array(numbers[:, i]) for i in range(len(HUNK))], HUNK))
+
+
+def _with_hunks(pairs: DataFrame) -> DataFrame:
+    """pairs (before, after) with their hunks."""
+    names = [*pairs.columns, "hunks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sliced(batches, "after", lambda rows: pa.RecordBatch.from_arrays([*rows.columns, _hunk_lists(rows.column("before"), rows.column("after"))], names=names))
+
+    return pairs.mapInArrow(run, ", ".join([*(f"{c} {kind}" for c, kind in pairs.dtypes), f"hunks {HUNKS}"]))
+
+
+def patched_text(old: Column, new: Column, hunks: Column) -> Column:
+    """The old text with each hunk's lines of the new one in place of its own; null where no line is left."""
+    lines = lambda text: F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
+    whole = F.struct(lines(old).alias("a"), lines(new).alias("b"), hunks.alias("hunks"))
+
+    def joined(t: Column) -> Column:
+        past = lambda h: F.coalesce(h["before_at"] + h["before_n"], F.lit(1)).cast("int")
+        piece = lambda h, i: F.concat(F.slice(t["a"], past(F.get(t["hunks"], i - 1)), h["before_at"].cast("int") - past(F.get(t["hunks"], i - 1))), F.slice(t["b"], h["after_at"].cast("int"), h["after_n"].cast("int")))
+        rest = F.slice(t["a"], past(F.get(t["hunks"], F.size(t["hunks"]) - 1)), F.size(t["a"]))
+        every = F.concat(F.flatten(F.transform(t["hunks"], piece)), rest)
+        return F.when(F.size(every) > 0, F.array_join(every, "\n"))
+
+    # bound by a function, so that texts are cut once and not for each hunk
+    return F.transform(F.array(whole), joined)[0]
+
+
+def version_rows(versions: DataFrame, columns: dict[str, Column], page: str = "page", content: str = "content_md") -> DataFrame:
+    """page, version_num and columns, made of before, after and hunks, of each version and the one before it on its page.
+
+    A page's first version has null before. Versions are sorted in ranges of about as many each, whatever a page has of them, and are written as
+    the columns only, but for the first and the last of each range, whose texts meet those of the ranges beside.
+    """
+    rows = versions.select(F.col(page).alias("page"), "version_num", F.col(content).alias("after"))
+    kinds = dict(rows.dtypes)
+    whole = rows.repartitionByRange("page", "version_num").sortWithinPartitions("page", "version_num").withColumn("part", F.spark_partition_id())
+    names = [*whole.columns, "place", "before", "hunks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+
+        def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal last
+            n, first, after = len(rows), last is None, rows.column("after")
+            ahead = pa.concat_arrays([pa.nulls(1, after.type) if first else last.column("after"), after.slice(0, n - 1)])
+            pages = [None if first else last.column("page")[0].as_py(), *rows.column("page").to_pylist()]
+            before = pc.if_else(pa.array([a == b for a, b in zip(pages, pages[1:], strict=False)]), ahead, pa.scalar(None, after.type))
+            last = rows.slice(n - 1, 1)
+            place = np.full(n, INNER, np.int32)
+            place[: int(first)] = FIRST
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(place), before, _hunk_lists(before, after)], names=names)
+
+        yield from sliced(batches, "after", told)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*last.columns, pa.array([LAST], pa.int32()), pa.nulls(1, pa.string()), _hunk_lists(*[pa.nulls(1, pa.string())] * 2)], names=names)
+
+    told = whole.mapInArrow(run, f"page {kinds['page']}, version_num {kinds['version_num']}, after string, part int, place int, before string, hunks {HUNKS}")
+    inner = F.col("place") == INNER
+    table = written(told.select("page", "version_num", "part", "place", *[F.when(inner, c).alias(name) for name, c in columns.items()], F.when(~inner, F.col("after")).alias("text_")), "versions")
+    lasts = table.where(F.col("place") == LAST)
+    # numbers of ranges
+    order = lasts.select("part").withColumn("ahead", F.lag("part").over(Window.orderBy("part")))
+    met = table.where(F.col("place") == FIRST).select("page", "version_num", "part", F.col("text_").alias("after")).join(order, "part").join(lasts.select(F.col("part").alias("ahead"), F.col("page").alias("page_"), "text_"), "ahead", "left")
+    edges = _with_hunks(met.select("page", "version_num", F.when(F.col("page_").eqNullSafe(F.col("page")), F.col("text_")).alias("before"), "after"))
+    return table.where(inner).select("page", "version_num", *columns).unionByName(edges.select("page", "version_num", *[c.alias(name) for name, c in columns.items()]))
+
+
 def version_hunks(versions: DataFrame, page: str = "page", content: str = "content_md") -> tuple[DataFrame, DataFrame]:
     """Pairs (pair, page, version_num, before, after) of each version and the one before it on its page, and their hunks.
 
     A page's first version has null before. A page may have any number of versions, and a version any number of lines.
     """
-    name = lambda number: F.to_json(F.struct("page", F.col(number).alias("version_num")))
-    rows = versions.select(F.col(page).alias("page"), "version_num", F.col(content).alias("text"))
-    order = before(rows.select("page", "version_num"), "page", "version_num", "version_num").withColumn("was", F.col("before_.value"))
-    texts = rows.select(name("version_num").alias("of"), "text")
-    pairs = order.select(name("version_num").alias("pair"), "page", "version_num", F.when(F.col("was").isNotNull(), name("was")).alias("old"))
-    pairs = pairs.join(texts.select(F.col("of").alias("pair"), F.col("text").alias("after")), "pair")
-    pairs = pairs.join(texts.select(F.col("of").alias("old"), F.col("text").alias("before")), "old", "left")
-    pairs = written(pairs.select("pair", "page", "version_num", "before", "after"), "pairs")
-    return pairs, hunks(pairs)
+    rows = version_rows(versions, {c: F.col(c) for c in ("before", "after", "hunks")}, page, content)
+    pair = F.to_json(F.struct("page", "version_num")).alias("pair")
+    return rows.select(pair, "page", "version_num", "before", "after"), rows.select(pair, F.inline("hunks"))

@@ -145,18 +145,16 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
     return _stamped(lifecycle.upsert_memories(m, new.unionByName(added)).select("slug", "title", "created_at", "recall_count"))
 
 
-def _rebuilt(pairs: DataFrame, found: DataFrame) -> DataFrame:
+def _rebuilt(versions: DataFrame) -> DataFrame:
     """page, version_num, patched_sha1, changed: each version put together from the one before and its hunks."""
-    lines = diffs.patched(pairs, found).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("pos", "nth", "line"))).alias("rows"))
-    whole = lines.select("pair", F.sha1(F.array_join("rows.line", "\n")).alias("patched_sha1"))
-    some = found.select("pair", F.lit(True).alias("changed")).distinct()
-    return pairs.select("pair", "page", "version_num").join(whole, "pair", "left").join(some, "pair", "left").select("page", "version_num", "patched_sha1", F.coalesce("changed", F.lit(False)).alias("changed"))
+    text_ = diffs.patched_text(*[F.col(c) for c in ("before", "after", "hunks")])
+    return diffs.version_rows(versions, {"patched_sha1": F.sha1(text_), "changed": F.size("hunks") > 0})
 
 
 def _document_hunks(spark: SparkSession, d: str) -> DataFrame:
     """Each document against the one before it of its source."""
     rows = read(spark, d, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("version_num"), F.coalesce("text", F.lit("")).alias("content_md"))
-    return _rebuilt(*diffs.version_hunks(rows))
+    return _rebuilt(rows)
 
 
 def _version_hunks(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +163,7 @@ def _version_hunks(spark: SparkSession, d: str) -> DataFrame:
     changed = F.regexp_replace(text_, r"(?m)^(.{1,60})$", "short: $1")
     first = F.regexp_replace(changed, r"^[^\n]*\n", "")
     versions = F.posexplode(F.array(text_, changed, first, F.concat(F.lit("new\n"), first, F.lit("\nlast")))).alias("version_num", "content_md")
-    return _rebuilt(*diffs.version_hunks(read(spark, d, "documents").select(F.col("doc_id").alias("page"), versions)))
+    return _rebuilt(read(spark, d, "documents").select(F.col("doc_id").alias("page"), versions))
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:

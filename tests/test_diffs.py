@@ -95,3 +95,39 @@ def test_many_small_pairs_share_a_function_over_batches(spark, monkeypatch):
     assert texts == {p: b for p, _, b in rows}
     # a function called for each group costs milliseconds for each small pair
     assert "InPandas" not in gaps._jdf.queryExecution().toString()
+
+
+def test_versions_are_compared_in_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    made = {}
+    for page in ("p", "q", "r", None):
+        text = None
+        for number in range(1, 2 if page == "r" else 60):
+            text = None if rng.random() < 0.05 else "\n".join(rng.choice(["", "}", *(f"line {k}" for k in range(9))]) if rng.random() < 0.3 else x for x in [*(text or "").split("\n"), "end"][: rng.randrange(1, 30)])
+            made[(page, number)] = text
+    rows = spark.createDataFrame([(p, n, x) for (p, n), x in made.items()], "page string, version_num long, content_md string").repartition(5)
+    kept = []
+    monkeypatch.setattr(diffs, "written", lambda df, name, _f=diffs.written: kept.append(df) or _f(df, name))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        columns = {"before": F.col("before"), "hunks": F.col("hunks"), "patched": diffs.patched_text(*[F.col(c) for c in ("before", "after", "hunks")])}
+        found = {(r.page, r.version_num): r for r in diffs.version_rows(rows, columns).collect()}
+        plain = {r.pair: sorted((h.before_at, h.before_n, h.after_at, h.after_n) for h in found[(r.page, r.version_num)].hunks) for r in diffs.version_hunks(rows)[0].collect()}
+    finally:
+        spark.conf.unset(key)
+    assert found.keys() == made.keys()
+    for (page, number), r in found.items():
+        assert r.before == made.get((page, number - 1)) and r.patched == made[(page, number)]
+    # the same hunks as those of lines as rows
+    pairs = spark.createDataFrame([(k, made.get((p, n - 1)), made[(p, n)]) for (p, n), k in zip(made, map(str, range(len(made))), strict=True)], SCHEMA)
+    slow = {}
+    for r in diffs.hunks(pairs).collect():
+        slow.setdefault(r.pair, []).append((r.before_at, r.before_n, r.after_at, r.after_n))
+    assert {str(i): sorted(tuple(h) for h in found[k].hunks) for i, k in enumerate(made) if found[k].hunks} == {k: sorted(v) for k, v in slow.items()}
+    assert len(plain) == len(made)
+    # one table is written, of a version its columns and not its text, and texts are shuffled once
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
